@@ -21,7 +21,6 @@ reruns agree.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -147,8 +146,6 @@ def mix(
     rated = sized.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select(
         "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.docs", "t.sure", "t.p"
     )
-    top = targets.agg(F.max("docs")).first()[0] or 0
-    levels = 1 + max(0, math.ceil(math.log(max(top, 1)) / math.log(fan / 2)))
     units = rated.where("p > 0 and size > 0").select(
         "source",
         F.col("docs").alias("n"),
@@ -157,22 +154,15 @@ def mix(
         F.col("size").alias("w"),
         "p",
     )
-    decided = []
-    for level in range(levels):
+    decided, level, fractional = [], 0, 2
+    while fractional > 1:
         left = settle(_round_buckets(units, fan, level, seed))
         decided.append(left.select("source", F.explode("out").alias("o")).select("source", "o.i.doc_id", "o.i.size", "o.x"))
-        # the buckets are about as many as this; one more level gathers them
+        # every bucket leaves one row; the next level gathers those
         counts = left.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
         units = left.drop("out").alias("l").join(counts.alias("c"), F.expr("l.source <=> c.source")).select("l.*", "c.n")
-        if level == levels - 1:
-            most_left = counts.agg(F.max("n")).first()[0] or 0
-            while most_left > 1:
-                level += 1
-                left = settle(_round_buckets(units, fan, level, seed))
-                decided.append(left.select("source", F.explode("out").alias("o")).select("source", "o.i.doc_id", "o.i.size", "o.x"))
-                counts = left.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-                units = left.drop("out").alias("l").join(counts.alias("c"), F.expr("l.source <=> c.source")).select("l.*", "c.n")
-                most_left = counts.agg(F.max("n")).first()[0] or 0
+        fractional = counts.agg(F.max("n")).first()[0] or 0
+        level += 1
     last = units.select("source", "i.doc_id", "i.size", (_draw(F.col("k"), F.col("k"), seed - 1) < F.col("p")).cast("int").alias("x"))
     decided.append(last)
     whole = rated.where("p = 0 or size = 0").select("source", "doc_id", "size", F.lit(0).alias("x"))
@@ -184,3 +174,21 @@ def mix(
     return everything.join(known, F.expr("source <=> s")).select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def take(documents: DataFrame, few: int = 1_000_000, **options) -> DataFrame:
+    """documents, each as often as the mix takes it.
+
+    Rows that share a doc_id come out as one of them, as often as the mix takes all of them. The
+    copies are sent out while they are few (two numbers a document), else joined by doc_id.
+    """
+    copies = mix(documents, **options).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    copies = settle(copies.withColumnRenamed("doc_id", "_id"))
+    state = copies.agg(F.count(F.lit(1)).alias("n"), F.max("_rows").alias("most")).first()
+    if (state["most"] or 0) > 1:
+        documents = documents.dropDuplicates(["doc_id"])
+    wanted = copies.where("_copies > 0")
+    if state["n"] <= few:
+        wanted = F.broadcast(wanted)
+    joined = documents.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*documents.columns)

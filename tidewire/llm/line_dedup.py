@@ -34,7 +34,7 @@ def _lines(text: Column) -> Column:
 
 def _key(line: Column) -> Column:
     """Hash of the trimmed line, null for a blank one."""
-    bare = F.trim(F.regexp_replace(line, r"[\t\r]", " "))
+    bare = F.trim(F.translate(line, "\t\r", "  "))
     return F.when(bare != "", F.xxhash64(bare))
 
 
@@ -51,7 +51,8 @@ def boilerplate_lines(documents: DataFrame, min_sites: int = MIN_SITES, lg_k: in
     often = settle(often)
     if often.count() <= BROADCAST_LINES:
         often = F.broadcast(often)
-    some = seen.join(often, "line_key", "left_semi")
+    # the text is read once for this; counting and exact checks read the narrow rows
+    some = settle(seen.join(often, "line_key", "left_semi"))
     sketches = settle(
         some.groupBy("line_key").agg(
             F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"),

@@ -108,7 +108,7 @@ class WordIds:
     white-space separated words in order; new words of a batch are encoded in one call.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

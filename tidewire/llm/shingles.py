@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 _CODES: dict[bytes, int] = {}
-_MOST = 500_000
+_MOST = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -189,6 +189,13 @@ class Batch:
         return out
 
 
+def _slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes each."""
+    rows = max(1, batch.num_rows * size // max(size, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Which values are in the sorted array."""
     if not len(of):
@@ -201,7 +208,7 @@ def _blobs(table: pa.Table, column: str, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in table.column(column).to_pylist()]
 
 
-def remove_repeats(documents: DataFrame, window: int = 13, bucket_chars: int = 10_000_000, shard_chars: int = 8_000_000) -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = 13, bucket_chars: int = 4_000_000, shard_chars: int = 5_000_000) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space)."""
     if not ANCHOR <= window <= 16:
         raise ValueError("windows of 5 to 16 words")
@@ -211,7 +218,7 @@ def remove_repeats(documents: DataFrame, window: int = 13, bucket_chars: int = 1
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             ids = batch.column(0).to_numpy()
             b = Batch(list(raw_texts(batch.column(1))), window)
             if not len(b.minimizer):

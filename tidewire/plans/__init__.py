@@ -1 +1 @@
-
+"""Queries over whole tables."""

@@ -1,4 +1,749 @@
 """Every query of the library with its SQL."""
 
+from __future__ import annotations
+
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.functions import fixed
+from tidewire.functions import text as T
+from tidewire.operators import cluster, compose, dedup, discover, feedback, filters, history, model, rank
+from tidewire.plans import views as V
+from tidewire.plans.digest import digest, events_of
+from tidewire.runtime import settle, shared_dir, table
+from tidewire.sources import feeds, sinks
+from tidewire.streaming import streams
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def k4(c):
+    """A ratio in ten-thousandths, the same way in both engines."""
+    return F.floor(c * 10000 + 0.5).cast("long")
+
+
+K4 = "CAST(floor(({}) * 10000 + 0.5) AS BIGINT)"
+
+# ---- feedback ---------------------------------------------------------------------------------
+
+_NORM = "CASE lower(rating) WHEN 'mute' THEN 'blocked' WHEN 'save' THEN 'saved' ELSE lower(rating) END"
+_WIN = "created_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL {} DAYS"
+_CNT = "count(*) FILTER (r = 'up') AS up, count(*) FILTER (r = 'down') AS down, count(*) FILTER (r = 'blocked') AS blocked, count(*) FILTER (r = 'saved') AS saved"
+_STATS = f"""WITH {V.FEEDBACK}, c AS (SELECT source, {_CNT} FROM (SELECT trim(source) AS source, {_NORM} AS r FROM feedback WHERE {_WIN.format(30)}) GROUP BY source),
+  t AS (SELECT *, up + down + blocked + saved AS total FROM c),
+  stats AS (SELECT *, CASE WHEN total > 0 THEN greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (up + saved - down - 2 * blocked) / total)) ELSE 0.0 END AS score FROM t)"""
+_RATINGS = f"""WITH {V.FEEDBACK}, c AS (SELECT source, {_CNT} FROM (SELECT trim(source) AS source, {_NORM} AS r FROM feedback WHERE {_WIN.format(30)})
+    WHERE r IN ('up', 'down', 'blocked', 'saved') GROUP BY source),
+  ratings AS (SELECT *, up + down + blocked + saved AS total, (up - down - 2 * blocked) / greatest(up + down + blocked + saved, 1) AS score FROM c)"""
+
+
+def _stats(spark, d):
+    return feedback.source_stats(V.feedback(spark, d), V.AS_OF)
+
+
+def _ratings(spark, d):
+    return feedback.source_ratings(V.feedback(spark, d), V.AS_OF)
+
+
+@query(f"{_STATS} SELECT source, up, down, blocked, saved, total, {K4.format('score')} AS score_k FROM stats")
+def feedback_source_stats(spark, d):
+    return _stats(spark, d).withColumn("score_k", k4(F.col("score"))).drop("score")
+
+
+@query(f"{_RATINGS} SELECT source, up, down, blocked, saved, total, {K4.format('score')} AS score_k FROM ratings")
+def feedback_source_ratings(spark, d):
+    return _ratings(spark, d).withColumn("score_k", k4(F.col("score"))).drop("score")
+
+
+@query(f"{_RATINGS} SELECT source, total, {K4.format('score')} AS score_k FROM ratings WHERE total >= 5 AND score > -0.5")
+def feedback_top_sources(spark, d):
+    return feedback.top_sources(_ratings(spark, d), score=-0.5).select("source", "total", k4(F.col("score")).alias("score_k"))
+
+
+@query(f"{_RATINGS} SELECT source, blocked FROM ratings WHERE blocked >= 3")
+def feedback_blocked_sources(spark, d):
+    return feedback.blocked_sources(_ratings(spark, d))
+
+
+@query(f"""WITH {V.FEEDBACK}, c AS (SELECT user_id, {_CNT} FROM (SELECT user_id, {_NORM} AS r FROM feedback WHERE {_WIN.format(7)}) GROUP BY user_id)
+  SELECT *, up + down + blocked + saved AS total FROM c""")
+def feedback_user_pivot(spark, d):
+    return feedback.user_pivot(V.feedback(spark, d), V.AS_OF)
+
+
+@query(f"{_STATS} SELECT coalesce((SELECT {K4.format('score')} FROM stats WHERE source = 'src3'), 0) AS score_k")
+def source_score_lookup(spark, d):
+    return _stats(spark, d).agg(F.coalesce(F.max(F.when(F.col("source") == "src3", k4(F.col("score")))), F.lit(0)).alias("score_k"))
+
+
+_BOOST = "CASE WHEN total < 10 THEN 1.0::DOUBLE WHEN score > 0.3 THEN 1.5 WHEN score < -0.3 THEN 0.5 ELSE 1.0 END"
+
+
+@query(f"{_STATS} SELECT source, total, {K4.format('score')} AS score_k, CAST({_BOOST} AS DOUBLE) AS boost FROM stats")
+def source_boosts(spark, d):
+    return feedback.boosts(_stats(spark, d)).select("source", "total", k4(F.col("score")).alias("score_k"), "boost")
+
+
+@query(f"""{_RATINGS} SELECT source, 'boost' AS action, {K4.format('least(0.5::DOUBLE, 0.2::DOUBLE + 0.1::DOUBLE * (score - 0.5::DOUBLE) * 2)')} AS by_k FROM ratings WHERE total >= 5 AND score > 0.5
+  UNION ALL SELECT source, 'remove', 0 FROM ratings WHERE blocked >= 3""")
+def boost_suggestions(spark, d):
+    return feedback.suggestions(_ratings(spark, d)).select("source", "action", k4(F.col("by")).alias("by_k"))
+
+
+@query(f"""WITH {V.FEEDBACK}, b AS (SELECT id, lower(concat_ws(' ', article_url, source)) AS t FROM feedback WHERE {_WIN.format(30)} AND lower(rating) IN ('down', 'mute', 'blocked')),
+  w AS (SELECT id, unnest(regexp_extract_all(t, '[а-яёa-z]{{4,}}')) AS word, generate_subscripts(regexp_extract_all(t, '[а-яёa-z]{{4,}}'), 1) AS pos FROM b),
+  g AS (SELECT word, count(*) AS n, min((id, pos)) AS first FROM w WHERE word NOT IN ({', '.join(repr(x) for x in fixed.FEEDBACK_STOPS)}) GROUP BY word)
+  SELECT word, n FROM (SELECT * FROM g ORDER BY n DESC, first LIMIT 5) WHERE n >= 2""")
+def negative_keywords(spark, d):
+    return feedback.negative_keywords(V.feedback(spark, d), V.AS_OF)
+
+
+@query(f"""{_STATS}, b AS (SELECT source, {_BOOST} AS boost FROM stats)
+  SELECT coalesce(string_agg(source, ',' ORDER BY source) FILTER (boost > 1), '') AS boosted, coalesce(string_agg(source, ',' ORDER BY source) FILTER (boost < 1), '') AS demoted FROM b""")
+def learning_report(spark, d):
+    return feedback.learning_report(feedback.boosts(_stats(spark, d)))
+
+
+# ---- health and run statistics ----------------------------------------------------------------
+
+_HEALTH = f"""WITH {V.ARTICLES}, health AS (SELECT source, count(*) AS n, max(published_at) AS last_seen FROM articles
+  WHERE published_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14 DAYS GROUP BY source)"""
+
+
+def _health(spark, d):
+    return feedback.source_health(V.articles(spark, d), V.AS_OF)
+
+
+def _configured(spark):
+    return spark.range(26).select(F.concat(F.lit("rss:src"), F.col("id")).alias("source"))
+
+
+@query(f"{_HEALTH} SELECT source, n, last_seen, n >= 3 AS healthy FROM health")
+def source_health(spark, d):
+    return _health(spark, d)
+
+
+_BAD = "bad AS (SELECT c.source, coalesce(n, 0) AS n FROM (SELECT concat('rss:src', range) AS source FROM range(26)) c LEFT JOIN health h ON c.source = h.source WHERE coalesce(n, 0) < 3)"
+
+
+@query(f"{_HEALTH}, {_BAD} SELECT * FROM bad")
+def unhealthy_sources(spark, d):
+    return feedback.unhealthy(_configured(spark), _health(spark, d))
+
+
+@query(f"{_HEALTH}, {_BAD} SELECT string_agg(concat('- ', source, ': ', n), chr(10) ORDER BY concat('- ', source, ': ', n)) AS message FROM (SELECT * FROM bad ORDER BY source LIMIT 20)")
+def dead_source_message(spark, d):
+    return feedback.dead_source_lines(feedback.unhealthy(_configured(spark), _health(spark, d)))
+
+
+@query(f"""WITH {V.RUNS} SELECT status, count(*) AS n, CAST(floor(avg(duration_sec) FILTER (duration_sec <> 0) * 1000 + 0.5) AS BIGINT) AS mean_ms, CAST(sum(llm_calls) AS BIGINT) AS calls
+  FROM runs GROUP BY status""")
+def pipeline_stats_by_status(spark, d):
+    return feedback.run_stats(V.runs(spark, d))
+
+
+@query(f"WITH {V.FEEDBACK} SELECT rating, count(*) AS n FROM feedback GROUP BY rating")
+def rating_counts(spark, d):
+    return V.feedback(spark, d).groupBy("rating").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT count(*) AS digests, CAST(sum(n) AS BIGINT) AS items, count(*) FILTER (n > 20) AS large FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)""")
+def digest_counts(spark, d):
+    days = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return days.agg(F.count(F.lit(1)).alias("digests"), F.sum("n").alias("items"), F.count_if(F.col("n") > 20).alias("large"))
+
+
+@query(f"WITH {V.RUNS} SELECT id, started_at, status FROM runs ORDER BY started_at DESC, id DESC LIMIT 1")
+def last_run(spark, d):
+    return feedback.last_run(V.runs(spark, d))
+
+
+@query(f"""WITH {V.RUNS}, r AS (SELECT * FROM (SELECT * FROM runs WHERE status = 'ok' ORDER BY started_at DESC, id DESC LIMIT 14) WHERE duration_sec <> 0),
+  k AS (SELECT *, row_number() OVER (ORDER BY started_at DESC, id DESC) AS rn FROM r)
+  SELECT count(*) AS n, CAST(CASE WHEN count(*) >= 7 THEN greatest(5, least(120, round_even((sum(duration_sec) FILTER (rn <= 7)) / 7 / 60 * 1.3::DOUBLE, 0))) ELSE 15 END AS INTEGER) AS buffer_minutes FROM k""")
+def rolling_buffer(spark, d):
+    return feedback.build_minutes(V.runs(spark, d), V.AS_OF)
+
+
+@query(f"""WITH {V.RUNS} SELECT CAST(floor(avg(duration_sec) FILTER (duration_sec <> 0) / 60 * 10 + 0.5) AS BIGINT) AS tenth_minutes FROM runs
+  WHERE status = 'ok' AND started_at >= (SELECT max(started_at) FROM runs) - INTERVAL 7 DAYS""")
+def build_minutes_week(spark, d):
+    r = V.runs(spark, d)
+    newest = r.agg(F.max("started_at").alias("newest"))
+    rows = r.where("status = 'ok'").join(F.broadcast(newest)).where("started_at >= newest - INTERVAL 7 DAYS")
+    return rows.agg(F.floor(F.avg(F.when(F.col("duration_sec") != 0, F.col("duration_sec"))) / 60 * 10 + 0.5).cast("long").alias("tenth_minutes"))
+
+
+@query("SELECT o_orderkey, lpad(CAST(((o_orderkey % 1440) - 15 + 1440) % 1440 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(((o_orderkey % 1440) - 15 + 1440) % 1440 % 60 AS VARCHAR), 2, '0') AS build_at FROM orders")
+def build_time(spark, d):
+    m = F.col("o_orderkey") % 1440
+    at = F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), (m % 60).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", T.hhmm_minus(at, F.lit(fixed.BUILD_MINUTES["groq"])).alias("build_at"))
+
+
+# ---- text functions ---------------------------------------------------------------------------
+
+def norm_sql(c: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def list_sql(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_KW = f"list_filter(list_distinct(regexp_extract_all({norm_sql('title')}, '[a-zа-яё]{{3,}}')), lambda x: NOT list_contains({list_sql(fixed.KEYWORD_STOPS)}, x))"
+
+
+@query(f"WITH {V.ARTICLES} SELECT seq, {norm_sql('title')} AS norm FROM articles")
+def norm_title(spark, d):
+    return V.articles(spark, d).select("seq", T.normalize_title(F.col("title")).alias("norm"))
+
+
+@query(f"WITH {V.ARTICLES} SELECT seq, sha256({norm_sql('title')} || '|' || trim(url)) AS url_hash FROM articles")
+def url_hash(spark, d):
+    return V.articles(spark, d).select("seq", T.url_hash(F.col("title"), F.col("url")).alias("url_hash"))
+
+
+@query(f"WITH {V.ARTICLES} SELECT seq, array_to_string(list_sort({_KW}), ' ') AS kw FROM articles")
+def keywords(spark, d):
+    return V.articles(spark, d).select("seq", F.array_join(F.array_sort(T.keywords(F.col("title"))), " ").alias("kw"))
+
+
+_SIG = f"""string_split({norm_sql("title || ' ' || snippet")}, ' ')"""
+
+
+@query(f"""WITH {V.ARTICLES}, w AS (SELECT seq, unnest({_SIG}) AS w, generate_subscripts({_SIG}, 1) AS pos FROM articles),
+  f AS (SELECT seq, w, min(pos) AS pos FROM w WHERE length(w) >= 3 AND NOT list_contains({list_sql(fixed.SIGNATURE_STOPS)}, w) GROUP BY seq, w),
+  s AS (SELECT seq, string_agg(w, ' ' ORDER BY pos) AS sig FROM f GROUP BY seq)
+  SELECT a.seq, coalesce(sig, '') AS sig FROM articles a LEFT JOIN s ON a.seq = s.seq""")
+def card_signature(spark, d):
+    return V.articles(spark, d).select("seq", T.signature(F.col("title"), F.col("snippet")).alias("sig"))
+
+
+@query(f"""WITH {V.ARTICLES}, n AS (SELECT seq, {norm_sql('title')} AS t FROM articles)
+  SELECT seq, CASE WHEN length(t) < 3 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))) END AS n_grams FROM n""")
+def trigram_counts(spark, d):
+    return V.articles(spark, d).select("seq", F.size(T.trigrams(F.col("title"))).cast("long").alias("n_grams"))
+
+
+@query(f"WITH {V.ARTICLES} SELECT seq, trim(regexp_replace(lower(source), '^(rss:|tg:|search:?)\\s*', '')) AS source, replace(split_part(split_part(url, '://', 2), '/', 1), 'www.', '') AS domain FROM articles")
+def source_names(spark, d):
+    return V.articles(spark, d).select("seq", T.clean_source(F.col("source")).alias("source"), T.domain(F.col("url")).alias("domain"))
+
+
+@query(rf"""WITH {V.ARTICLES}, s AS (SELECT seq, regexp_replace(regexp_replace(snippet, '^[\s\x0b]+', ''), '[\s\x0b]+$', '') AS t FROM articles)
+  SELECT seq, CASE WHEN regexp_extract(t, '(?s)^(.*?[.!?])(?:\s|$)', 1) <> '' THEN substr(trim(regexp_extract(t, '(?s)^(.*?[.!?])(?:\s|$)', 1)), 1, 120) ELSE rtrim(substr(t, 1, 120)) END AS sentence FROM s""")
+def first_sentence(spark, d):
+    return V.articles(spark, d).select("seq", T.first_sentence(F.col("snippet")).alias("sentence"))
+
+
+@query(f"""WITH {V.ARTICLES} SELECT seq, len(regexp_extract_all(snippet, '[\\x{{0400}}-\\x{{04ff}}]')) AS cyrillic, len(regexp_extract_all(snippet, '[A-Za-z]')) AS latin,
+  CASE WHEN len(regexp_extract_all(snippet, '[A-Za-z\\x{{0400}}-\\x{{04ff}}]')) = 0 THEN true ELSE len(regexp_extract_all(snippet, '[\\x{{0400}}-\\x{{04ff}}]')) > 0.4 * len(regexp_extract_all(snippet, '[A-Za-z\\x{{0400}}-\\x{{04ff}}]')) END AS russian FROM articles""")
+def script_ratio(spark, d):
+    c, l = T.letters(F.col("snippet"))
+    return V.articles(spark, d).select("seq", c.cast("long").alias("cyrillic"), l.cast("long").alias("latin"), T.mostly_russian(F.col("snippet")).alias("russian"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages""")
+def html_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", T.escape_html(F.col("html")).alias("escaped"))
+
+
+@query(f"SELECT o_orderkey, concat(CAST(day(o_orderdate) AS VARCHAR), ' ', list_extract({list_sql(fixed.RU_MONTHS)}, CAST(month(o_orderdate) AS INTEGER)), ' ', CAST(year(o_orderdate) AS VARCHAR)) AS d FROM orders")
+def ru_dates(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", T.ru_date(F.col("o_orderdate")).alias("d"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 50 > 0 THEN floor((p_partkey % 13) * 100 / (p_partkey % 50)) ELSE 0 END AS BIGINT) AS pct, CAST(p_partkey * 3 + (p_partkey % 7) * 15 AS BIGINT) AS micro_cost FROM part")
+def percents_and_costs(spark, d):
+    k = F.col("p_partkey")
+    cost = T.token_cost(k, k % 7, 3.0, 15.0)
+    return table(spark, d, "part").select("p_partkey", T.percent(k % 13, k % 50).alias("pct"), F.round(cost * 1_000_000).cast("long").alias("micro_cost"))
+
+
+@query(f"""WITH {V.ARTICLES}, t AS (SELECT seq, unnest(list_filter(regexp_split_to_array(lower(title || ' ' || substr(snippet, 1, 200)), '\\s+'), lambda w: w <> '')) AS w FROM articles),
+  h AS (SELECT seq, CAST('0x' || substr(md5(w), 17, 16) AS UBIGINT) AS h FROM t),
+  b AS (SELECT seq, i, count(*) FILTER ((h >> i) & 1 = 1) AS ones, count(*) AS n FROM h, (SELECT CAST(range AS UBIGINT) AS i FROM range(64)) GROUP BY seq, i)
+  SELECT a.seq, coalesce(x.bits, repeat('0', 64)) AS bits FROM articles a LEFT JOIN (SELECT seq, string_agg(CASE WHEN ones * 2 > n THEN '1' ELSE '0' END, '' ORDER BY i DESC) AS bits FROM b GROUP BY seq) x ON a.seq = x.seq""")
+def simhash(spark, d):
+    h = V.articles(spark, d).select("seq", T.simhash(F.concat_ws(" ", "title", F.substring("snippet", 1, 200))).alias("h"))
+    return h.select("seq", F.lpad(F.bin("h"), 64, "0").alias("bits"))
+
+
+@query("""SELECT conv_id, turn, trim(regexp_replace(concat('<think>', substr(text, 1, 5), chr(10), '</think>', text, '<think>x</think>'), '(?s)<think>.*?</think>', '', 'g')) AS answer FROM conversations""")
+def think_strip(spark, d):
+    wrapped = F.concat(F.lit("<think>"), F.substring("text", 1, 5), F.lit("\n</think>"), F.col("text"), F.lit("<think>x</think>"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.trim(T.strip_thinking(wrapped)).alias("answer"))
+
+
+@query(f"WITH {V.ARTICLES} SELECT seq, title, trim(split_part(snippet, '[', 1), ' ' || chr(10) || chr(9) || chr(13)) AS summary FROM articles WHERE snippet NOT LIKE '%(%' AND title NOT LIKE '%(%' AND title NOT LIKE '%[%'")
+def tagged_sections(spark, d):
+    tags = ["ЗАГОЛОВОК", "СУТЬ", "ПОЧЕМУ ВАЖНО"]
+    head = F.split("snippet", r"\[")[0]
+    answer = F.concat(F.lit("So: [заголовок] (до 80 символов) "), "title", F.lit("\n[Суть]\n"), head, F.lit("\n[ПОЧЕМУ ВАЖНО] x"))
+    rows = V.articles(spark, d).where("NOT contains(snippet, '(') AND NOT contains(title, '(') AND NOT contains(title, '[')")
+    return rows.select("seq", T.tagged_section(answer, tags[0], tags).alias("title"), T.tagged_section(answer, tags[1], tags).alias("summary"))
+
+
+@query("""SELECT v, array_to_string(CASE v WHEN 0 THEN [0, 2] WHEN 1 THEN [0, 1, 2] WHEN 2 THEN CAST([] AS INTEGER[]) WHEN 3 THEN [1] END, ',') AS keep FROM (SELECT range AS v FROM range(4))""")
+def keep_answers(spark, d):
+    rows = spark.createDataFrame([(0, 'Sure: ```json\n{"keep": [0, 2, 9]}\n```'), (1, "no idea"), (2, '{"keep": []}'), (3, 'x {"keep": [1]} y')], "v long, answer string")
+    return rows.select("v", F.array_join(T.keep_indices(F.col("answer"), F.lit(3)), ",").alias("keep"))
+
+
+@query()
+def entities(spark, d):
+    return V.articles(spark, d).select("seq", T.entities(F.col("snippet")).alias("e")).select("seq", F.array_join("e.organizations", "|").alias("organizations"), F.array_join("e.products", "|").alias("products"), F.array_join("e.topics", "|").alias("topics"))
+
+
+# ---- filters ----------------------------------------------------------------------------------
+
+@query(rf"WITH {V.ARTICLES} SELECT seq FROM articles WHERE NOT (regexp_matches(lower(title || ' ' || snippet), '(^|[^\p{{L}}\p{{N}}_])the($|[^\p{{L}}\p{{N}}_])') AND regexp_matches(lower(title || ' ' || snippet), '(^|[^\p{{L}}\p{{N}}_])thor')) AND NOT regexp_matches(lower(title || ' ' || snippet), '(^|[^\p{{L}}\p{{N}}_])und($|[^\p{{L}}\p{{N}}_])')")
+def blacklist_filter(spark, d):
+    return filters.drop_blacklisted(V.articles(spark, d), F.concat_ws(" ", "title", "snippet"), ["the thor*", "UND"]).select("seq")
+
+
+@query(rf"""WITH {V.ARTICLES}, s AS (SELECT seq, regexp_replace(regexp_replace(title, '^\s+', ''), '\s+$', '') AS t, regexp_replace(regexp_replace(concat(CASE WHEN seq % 2 = 0 THEN repeat('новость ', 60) ELSE '' END, snippet), '^\s+', ''), '\s+$', '') AS s FROM articles),
+  c AS (SELECT *, len(regexp_extract_all(s, '[\x{{0400}}-\x{{04ff}}]')) AS cyr, len(regexp_extract_all(s, '[A-Za-z]')) AS lat FROM s)
+  SELECT seq FROM c WHERE length(s) >= 30 AND length(t) >= 5 AND NOT contains(s, '```') AND NOT contains(s, '  Tags:') AND NOT (contains(s, 'Release:') AND contains(s, 'Datasette'))
+    AND NOT starts_with(s, 'Tool:') AND NOT contains(s, '&amp;#') AND NOT contains(s, '&#x') AND NOT (cyr + lat > 20 AND cyr < (cyr + lat) * 0.35::DOUBLE)""")
+def quality_gate(spark, d):
+    summary = F.concat(F.when(F.col("seq") % 2 == 0, F.repeat(F.lit("новость "), 60)).otherwise(""), F.col("snippet"))
+    return V.articles(spark, d).where(filters.quality_card(F.col("title"), summary)).select("seq")
+
+
+@query("SELECT event_id FROM events WHERE value >= 50")
+def score_threshold(spark, d):
+    return filters.score_at_least(table(spark, d, "events"), "value").select("event_id")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'error') OR contains(lower(text), 'the')")
+def log_filter(spark, d):
+    return filters.log_lines(table(spark, d, "conversations"), ["ERROR", "the"], "text").select("conv_id", "turn")
+
+
+@query("""SELECT * FROM (VALUES ('rss', '', 'value is missing', 'rss:'), ('rss', 'ftp://x', 'url must start with http', 'rss:ftp://x'), ('reddit', 'r/Python', '', 'reddit:python'), ('telegram', '@News', '', 'tg:news'),
+  ('hackernews', 'many', 'min_score must be a number', 'hackernews:many'), ('fax', '1', 'unknown type', 'fax:1')) t(kind, value, errors, key)""")
+def source_settings(spark, d):
+    rows = spark.createDataFrame([("rss", ""), ("rss", "ftp://x"), ("reddit", "r/Python"), ("telegram", "@News"), ("hackernews", "many"), ("fax", "1")], "kind string, value string")
+    return rows.select("kind", "value", F.array_join(filters.config_errors(F.col("kind"), F.col("value")), "; ").alias("errors"), filters.source_key(F.col("kind"), F.col("value")).alias("key"))
+
+
+@query(f"WITH {V.ARTICLES} SELECT seq FROM articles")
+def batched_keep_filter(spark, d):
+    return model.filter_batches(V.articles(spark, d), "category", "seq", "title").select("seq")
+
+
+# ---- dedup, joins, clusters -------------------------------------------------------------------
+
+_FETCH = """f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category, source ORDER BY seq) AS r FROM articles) WHERE r <= 10),
+  u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category, url ORDER BY seq) AS k FROM f) WHERE k = 1)"""
+
+
+@query(f"WITH {V.ARTICLES}, {_FETCH} SELECT seq, category, url FROM u")
+def fetch_union_dedup(spark, d):
+    a = V.articles(spark, d)
+    odd, even = a.where("seq % 2 = 1"), a.where("seq % 2 = 0")
+    w = dedup.fetch_all((odd.unionByName(even), 10))
+    return w.select("seq", "category", "url")
+
+
+@query()
+def batch_dedup(spark, d):
+    return dedup.batch_dedup(V.articles(spark, d)).select("seq", "category", "url")
+
+
+@query()
+def fuzzy_batch_dedup(spark, d):
+    return dedup.fuzzy_batch_dedup(V.articles(spark, d)).select("seq", "category", "url")
+
+
+@query()
+def simhash_pairs(spark, d):
+    return dedup.simhash_pairs(V.articles(spark, d))
+
+
+@query(f"""WITH {V.ARTICLES}, h AS (SELECT sha256({norm_sql('title')} || '|' || trim(url)) AS url_hash, seq FROM articles)
+  SELECT seq FROM h WHERE url_hash NOT IN (SELECT url_hash FROM h WHERE seq % 3 = 0)""")
+def history_antijoin(spark, d):
+    a = V.articles(spark, d)
+    past = a.where("seq % 3 = 0").select(T.url_hash(F.col("title"), F.col("url")).alias("url_hash"))
+    return dedup.not_in_history(a, past).select("seq")
+
+
+_EDGES = f"""kw AS (SELECT category, seq, published_at, {_KW} AS kw FROM articles),
+  tok AS (SELECT category, seq, published_at, len(kw) AS n, unnest(kw) AS t FROM kw),
+  p AS (SELECT a.category, a.seq AS a, b.seq AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM tok a JOIN tok b ON a.category = b.category AND a.t = b.t AND a.seq < b.seq
+        AND abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 86400000000 GROUP BY ALL),
+  edges AS (SELECT category, a, b, shared FROM p WHERE shared >= 0.2::DOUBLE * (na + nb - shared) OR shared >= 2)"""
+_COMP = """reach AS (
+  WITH RECURSIVE both AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges), r(node, root) AS (
+    SELECT seq, seq FROM articles UNION SELECT both.b, r.root FROM r JOIN both ON r.node = both.a WHERE both.b > r.root)
+  SELECT node, min(root) AS event_id FROM r GROUP BY node)"""
+
+
+@query(f"WITH {V.ARTICLES}, {_EDGES} SELECT * FROM edges")
+def token_edges(spark, d):
+    return cluster.token_edges(V.articles(spark, d))
+
+
+def _grouped(spark, d):
+    a = V.articles(spark, d)
+    return settle(cluster.with_component(a, cluster.token_edges(a)))
+
+
+@query()
+def event_components(spark, d):
+    return _grouped(spark, d).select("seq", "event_id")
+
+
+@query()
+def event_summary(spark, d):
+    return cluster.ordered_events(cluster.event_summary(_grouped(spark, d)))
+
+
+# one event per (source, day): groups that SQL builds without recursion
+_DAY = "day_events AS (SELECT *, min(seq) OVER (PARTITION BY category, source, CAST(published_at AS DATE)) AS event_id FROM articles)"
+
+
+def _by_day(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("category", "source", F.to_date("published_at"))
+    return V.articles(spark, d).withColumn("event_id", F.min("seq").over(w))
+
+
+_FIT = r"(len(regexp_split_to_array(trim(title), '\s+')) >= 3 AND length(title) <= 120)"
+
+
+@query(rf"""WITH {V.ARTICLES}, {_DAY}, s AS (SELECT category, event_id, count(*) AS n_articles, list_extract(list(title ORDER BY CASE WHEN {_FIT} THEN 0 ELSE 1 END, CASE WHEN {_FIT} THEN length(title) ELSE 0 END, seq), 1) AS canonical_title,
+    CASE WHEN bool_or(role = 'source') THEN 'verified' WHEN bool_or(role = 'analysis') THEN 'partially_verified' ELSE 'signal_only' END AS role, min(published_at) AS published_at, min(seq) AS first_seq FROM day_events GROUP BY category, event_id)
+  SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY n_articles DESC, published_at DESC NULLS LAST, first_seq) AS INTEGER) AS position FROM s""")
+def day_event_summary(spark, d):
+    return cluster.ordered_events(cluster.event_summary(_by_day(spark, d)))
+
+
+_SRC = """src AS (SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY seq) AS place, url, title, source FROM (SELECT *, row_number() OVER (PARTITION BY event_id, url ORDER BY seq) AS k FROM day_events WHERE url <> '') WHERE k = 1)"""
+
+
+@query(f"WITH {V.ARTICLES}, {_DAY}, {_SRC} SELECT event_id, CAST(place AS INTEGER) AS place, url, title, source FROM src")
+def sources_collect(spark, d):
+    return cluster.collect_sources(_by_day(spark, d))
+
+
+@query(f"""WITH {V.ARTICLES}, {_DAY}, {_SRC}, x AS (SELECT event_id, min(place) AS place, split_part(split_part(url, '://', 2), '/', 1) AS domain FROM src WHERE place <= 6 GROUP BY event_id, 3)
+  SELECT event_id, CAST(shown AS INTEGER) AS shown, domain FROM (SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY place) AS shown, domain FROM x) WHERE shown <= 3""")
+def shown_sources(spark, d):
+    return cluster.shown_sources(cluster.collect_sources(_by_day(spark, d)))
+
+
+@query()
+def entity_overlap_pairs(spark, d):
+    e = V.articles(spark, d).select("category", F.col("seq").alias("event_id"), T.entities(F.col("title")).alias("entities"))
+    return cluster.entity_edges(e).select("a", "b", k4(F.col("overlap")).alias("overlap_k"))
+
+
+@query()
+def entity_groups(spark, d):
+    e = cluster.event_summary(_by_day(spark, d)).withColumn("entities", T.entities(F.col("canonical_title")))
+    return cluster.merge_by_entities(e)
+
+
+def grams_sql(c: str) -> str:
+    n = norm_sql(c)
+    return f"CASE WHEN length({n}) < 3 THEN [{n}] ELSE list_distinct(list_transform(range(1, length({n}) - 1), lambda i: substr({n}, i, 3))) END"
+
+
+_SIM = f"""ga AS (SELECT seq, {grams_sql('title')} AS g FROM articles), gp AS (SELECT item_id, {grams_sql('title')} AS g FROM past),
+  ta AS (SELECT seq, len(g) AS n, unnest(g) AS t FROM ga), tp AS (SELECT item_id, len(g) AS m, unnest(g) AS t FROM gp),
+  sim AS (SELECT * FROM (SELECT seq, item_id, count(*) AS shared, n, m FROM ta JOIN tp ON ta.t = tp.t GROUP BY seq, item_id, n, m) WHERE shared >= 0.3::DOUBLE * (n + m - shared))"""
+
+
+@query(f"WITH {V.ARTICLES}, {V.PAST}, {_SIM} SELECT seq, item_id, shared FROM sim")
+def similar_in_history(spark, d):
+    return history.similar_titles(V.articles(spark, d), V.past_titles(spark, d), "seq", "title", "item_id", "title", 0.3).select("seq", "item_id", "shared")
+
+
+@query(f"WITH {V.ARTICLES}, {V.PAST}, {_SIM} SELECT seq FROM articles WHERE seq NOT IN (SELECT seq FROM sim)")
+def history_fuzzy_antijoin(spark, d):
+    return history.new_only(V.articles(spark, d), V.past_titles(spark, d), "seq", "title", "item_id", "title", 0.3).select("seq")
+
+
+def _stories(spark, d):
+    a = V.articles(spark, d)
+    both = a.select(F.col("seq").alias("event_id"), F.col("title").alias("canonical_title"), T.entities(F.col("title")).alias("entities"), "published_at")
+    stories = both.where("event_id % 4 = 0").select(F.col("event_id").alias("story_id"), "canonical_title", "entities", F.col("published_at").alias("last_seen_at"), F.lit(1).cast("long").alias("card_count"))
+    return both.where("event_id % 4 = 1"), stories
+
+
+@query()
+def best_story_match(spark, d):
+    events, stories = _stories(spark, d)
+    return history.best_story(events, stories, 0.1).select("event_id", "story_id", k4(F.col("overlap")).alias("overlap_k"))
+
+
+@query()
+def recent_story_filter(spark, d):
+    events, stories = _stories(spark, d)
+    return history.not_recent(events, history.best_story(events, stories, 0.1), V.AS_OF, 10).select("event_id")
+
+
+@query()
+def stories_after_digest(spark, d):
+    events, stories = _stories(spark, d)
+    matched = settle(history.best_story(events, stories, 0.1))
+    return history.upsert_stories(stories, events, matched, V.AS_OF).select("story_id", "last_seen_at", "card_count")
+
+
+# ---- ranking ----------------------------------------------------------------------------------
+
+def _events(spark, d):
+    """One event per article, with the arrays that scoring reads."""
+    a = V.articles(spark, d)
+    return a.select(F.col("seq").alias("event_id"), "section", F.col("title").alias("canonical_title"), F.array("snippet").alias("snippets"), F.array("source").alias("sources"),
+                    F.when(F.col("role") == "source", "verified").when(F.col("role") == "analysis", "partially_verified").otherwise("signal_only").alias("role"), "published_at", F.lit(1).alias("n_articles"))
+
+
+def _scores(spark, d):
+    return rank.score_events(_events(spark, d), V.AS_OF)
+
+
+def _case(values: dict, other: str) -> str:
+    return "CASE section " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {other} END"
+
+
+_HIT = "CAST(len(list_filter({}, lambda w: contains(t, w))) AS DOUBLE)"
+_SCORE = f"""ev AS (SELECT seq AS event_id, section, lower(title || ' ' || substr(snippet, 1, 300)) AS t, trim(regexp_replace(lower(source), '^(rss:|tg:|search:?)\\s*', '')) AS src, length(snippet) AS ln, role, published_at FROM articles),
+  sc AS (SELECT event_id, section, greatest(0.05::DOUBLE, 1.0::DOUBLE - (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(published_at)) / 3600000000::DOUBLE / 48) AS freshness,
+    least(1.0::DOUBLE, 0.0::DOUBLE + CASE WHEN len(list_filter({_case({k: list_sql(v) for k, v in fixed.TRUSTED_IN.items()}, "CAST([] AS VARCHAR[])")}, lambda w: contains(src, w))) > 0 THEN 0.35::DOUBLE
+      WHEN len(list_filter({list_sql(fixed.TRUSTED)}, lambda w: contains(src, w))) > 0 THEN 0.20::DOUBLE ELSE 0.05::DOUBLE END + 0.0::DOUBLE + CASE role WHEN 'source' THEN 0.20::DOUBLE WHEN 'analysis' THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END) AS source_confidence,
+    least(1.0::DOUBLE, least(0.40::DOUBLE, 1 * 0.10::DOUBLE) + least(0.15::DOUBLE, 1 * 0.05::DOUBLE) + least(0.35::DOUBLE, {_HIT.format(_case({k: list_sql(v) for k, v in fixed.SIGNALS.items()}, "CAST([] AS VARCHAR[])"))} * 0.12::DOUBLE) + least(0.10::DOUBLE, (ln / 1) / 1200)) AS importance,
+    CASE WHEN section = 'custom' THEN {0.7 * 0.5}::DOUBLE ELSE least(1.0::DOUBLE, {_case({k: f"{v}::DOUBLE" for k, v in fixed.SECTION_WEIGHTS.items()}, "0.0::DOUBLE")} * 0.35::DOUBLE
+      + least(1.0::DOUBLE, {_HIT.format(_case({k: list_sql(v) for k, v in fixed.SECTION_KEYWORDS.items()}, "CAST([] AS VARCHAR[])"))} / greatest(1.0::DOUBLE, log2({_case({k: str(len(v) + 2) + "::DOUBLE" for k, v in fixed.SECTION_KEYWORDS.items()}, "2::DOUBLE")}))) * 0.65::DOUBLE) END AS relevance FROM ev),
+  fin AS (SELECT *, {' + '.join(_case({s: f"{w[k]}::DOUBLE" for s, w in fixed.SCORE_WEIGHTS.items()}, f"{fixed.OTHER_WEIGHTS[k]}::DOUBLE") + " * " + c for k, c in enumerate(("importance", "relevance", "freshness", "source_confidence")))} AS final_score FROM sc),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY final_score DESC, event_id) AS rank FROM fin)"""
+
+
+@query(f"WITH {V.ARTICLES}, {_SCORE} SELECT event_id, {', '.join(K4.format(c) + f' AS {c}_k' for c in ('freshness', 'source_confidence', 'importance', 'relevance', 'final_score'))} FROM fin")
+def event_scores(spark, d):
+    s = _scores(spark, d)
+    return s.select("event_id", *(k4(F.col(c)).alias(c + "_k") for c in ("freshness", "source_confidence", "importance", "relevance", "final_score")))
+
+
+@query(f"WITH {V.ARTICLES}, {_SCORE} SELECT section, event_id, CAST(rank AS INTEGER) AS rank FROM rk")
+def ranked_events(spark, d):
+    return rank.ranked(_scores(spark, d)).select("section", "event_id", "rank")
+
+
+@query(f"WITH {V.ARTICLES}, {_SCORE} SELECT section, event_id, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10")
+def category_topk(spark, d):
+    return rank.top_per(_scores(spark, d), 10).select("section", "event_id", "rank")
+
+
+@query()
+def diverse_topk(spark, d):
+    return rank.diverse_top(rank.ranked(_scores(spark, d)), 10, text="canonical_title").select("section", "event_id", "place", "diverse")
+
+
+_HEAD = f"""hs AS (SELECT *, CASE WHEN section = 'world' THEN importance + 0.1::DOUBLE ELSE relevance * 0.7::DOUBLE + importance * 0.3::DOUBLE END AS hscore, {_case({s: k for k, s in enumerate(fixed.SECTION_ORDER)}, '99')} AS place FROM rk),
+  hc AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY hscore DESC, rank) AS hr FROM hs WHERE place < 99)"""
+
+
+@query(f"WITH {V.ARTICLES}, {_SCORE}, {_HEAD} SELECT event_id, section FROM hc WHERE hr <= CASE WHEN section = 'world' THEN 3 ELSE 2 END ORDER BY hscore DESC, place, rank LIMIT 5")
+def headline_pick(spark, d):
+    return rank.headline(rank.ranked(_scores(spark, d)), 5).select("event_id", "section")
+
+
+@query(f"WITH {V.ARTICLES}, {_SCORE} SELECT event_id FROM fin WHERE section IN ('ai_agents', 'ai', 'tech') ORDER BY final_score DESC, event_id LIMIT 5")
+def merged_section_topk(spark, d):
+    rows = _scores(spark, d).where(F.col("section").isin("ai_agents", "ai", "tech"))
+    return rows.orderBy(F.desc("final_score"), "event_id").limit(5).select("event_id")
+
+
+@query()
+def boosted_rank(spark, d):
+    boosts = feedback.boosts(_stats(spark, d))
+    return rank.ranked(rank.boosted(_scores(spark, d), boosts)).select("section", "event_id", "rank")
+
+
+@query("""SELECT item_id AS id FROM (SELECT item_id, item_id % 7 AS importance FROM benchmark WHERE contains(lower(text), 'the') OR contains(lower(text), 'zebra')) ORDER BY importance DESC, item_id LIMIT 3""")
+def memory_lookup(spark, d):
+    m = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 20).alias("title"), F.col("text").alias("content"), (F.col("item_id") % 7).alias("importance"), F.lit(0).alias("created_at"))
+    return discover.memory_lookup(m, "the zebra", 3).select("id")
+
+
+# ---- discovery and state ----------------------------------------------------------------------
+
+_CAT = """cat AS (SELECT p_partkey AS id, lower(p_name) AS name, lower(p_type) AS description, string_split(lower(p_type), ' ') AS tags, p_partkey % 3 = 0 AS recommended, CASE p_partkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS quality FROM part)"""
+_ASK = ("steel green copper steel", "small brass and tin", "nickel 123 red")
+
+
+@query(f"""WITH {_CAT}, ask AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{t}')" for k, t in enumerate(_ASK))}) t(interest_id, txt)),
+  w AS (SELECT interest_id, unnest(regexp_extract_all(txt, '[a-zа-я0-9]{{3,}}')) AS w FROM ask),
+  h AS (SELECT interest_id, id, sum(CASE WHEN contains(name, w) THEN 3 ELSE 0 END + CASE WHEN contains(description, w) THEN 2 ELSE 0 END + 2 * len(list_filter(tags, lambda t: contains(t, w)))) AS hits FROM w, cat GROUP BY ALL),
+  s AS (SELECT interest_id, id, recommended, CAST(hits + CASE WHEN recommended THEN 5 ELSE 0 END + CASE quality WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS BIGINT) AS score FROM h JOIN cat USING (id) WHERE hits > 0)
+  SELECT CAST(interest_id AS BIGINT) AS interest_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY interest_id ORDER BY recommended DESC, score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+def interest_match(spark, d):
+    cat = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), F.lower("p_type").alias("description"), F.split(F.lower("p_type"), " ").alias("tags"), F.expr("p_partkey % 3 = 0").alias("recommended"), F.expr("CASE p_partkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END").alias("quality"))
+    ask = spark.createDataFrame(list(enumerate(_ASK)), "interest_id long, text string")
+    return discover.match_interests(ask, cat)
+
+
+@query("SELECT p_brand AS topic, p_type AS type, string_agg(p_name, ',' ORDER BY p_name) AS names, count(*) AS n FROM part WHERE p_partkey % 5 = 0 GROUP BY ALL")
+def selected_sources(spark, d):
+    p = table(spark, d, "part")
+    cat = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("topic"), F.col("p_type").alias("type"), F.col("p_name").alias("name"))
+    return discover.selected_sources(cat, cat.where("id % 5 = 0").select("id"))
+
+
+@query("""SELECT event_id, CASE WHEN age > 172800 THEN 'stale' ELSE 'live' END AS state, CASE WHEN age < 0 THEN 'future' WHEN age < 60 THEN age || 's' WHEN age < 3600 THEN (age // 60) || 'm' WHEN age < 86400 THEN (age // 3600) || 'h' ELSE (age // 86400) || 'd' END AS age
+  FROM (SELECT event_id, CAST(floor(epoch(TIMESTAMP '2024-01-31 00:00:00')) - floor(epoch(ts)) AS BIGINT) AS age FROM events)""")
+def source_freshness(spark, d):
+    kind, age = discover.freshness_class(F.col("ts"), F.lit(V.AS_OF).cast("timestamp_ntz"))
+    return table(spark, d, "events").select("event_id", kind.alias("state"), age.alias("age"))
+
+
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS r FROM conversations) WHERE r = 1")
+def latest_state(spark, d):
+    return sinks.latest(table(spark, d, "conversations"), "conv_id", ["turn", "role", "text"])
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' AND text <> '' THEN '***' ELSE text END AS token, role AS name FROM conversations")
+def redacted(spark, d):
+    m = F.create_map(F.when(F.col("role") == "user", "Token").otherwise("note"), F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.map_values(sinks.redact(m))[0].alias("token"), F.col("role").alias("name"))
+
+
+# ---- pages and feeds --------------------------------------------------------------------------
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def page_title(spark, d):
+    return table(spark, d, "pages").select("page_id", feeds.page_title(F.col("html")).alias("title"))
+
+
+@query("""SELECT page_id, href, CAST(min(pos) - 1 AS INTEGER) AS pos FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a[^>]+href="([^"]+)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?i)<a[^>]+href="([^"]+)"', 1), 1) AS pos FROM pages) GROUP BY ALL""")
+def page_links(spark, d):
+    return feeds.page_links(table(spark, d, "pages"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS text FROM pages")
+def html_strip(spark, d):
+    return table(spark, d, "pages").select("page_id", F.trim(T.strip_tags(F.col("html"))).alias("text"))
+
+
+@query("SELECT page_id, concat('https://feeds.example/', page_id, '.xml') AS feed FROM pages WHERE page_id % 2 = 0")
+def page_feed_links(spark, d):
+    link = F.concat(F.lit('<link rel="alternate" type="application/rss+xml" href="/'), "page_id", F.lit('.xml">'))
+    return feeds.page_feeds(table(spark, d, "pages").select("page_id", F.lit("https://feeds.example/x/y").alias("url"), F.when(F.col("page_id") % 2 == 0, F.concat(link, "html")).otherwise(F.col("html")).alias("html")))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('https://i.example/', page_id, '.png?x=1') WHEN page_id % 3 = 1 THEN concat('https://i.example/media/', page_id) END AS image FROM pages")
+def page_images(spark, d):
+    og = F.concat(F.lit('<meta property="og:image" content="https://i.example/'), "page_id", F.lit('.png?x=1">'))
+    img = F.concat(F.lit('<img src="https://i.example/media/'), "page_id", F.lit('">'))
+    html = F.concat(F.when(F.col("page_id") % 3 == 0, og).when(F.col("page_id") % 3 == 1, img).otherwise(""), F.col("html"))
+    return table(spark, d, "pages").select("page_id", feeds.page_image(html).alias("image"))
+
+
+@query("""SELECT b AS item_id, concat('Item ', b) AS title, concat('https://x.example/', b) AS url, 'rss:x.example' AS source, concat('note ', b) AS snippet FROM (SELECT item_id AS b FROM benchmark)""")
+def rss_parse(spark, d):
+    item = F.concat(F.lit("<item><title>Item "), "item_id", F.lit("</title><link>https://x.example/"), "item_id", F.lit("</link><description>&lt;p&gt;note "), "item_id", F.lit("&lt;/p&gt;</description><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate></item>"))
+    none = F.lit("<item><title></title><link>https://x.example/none</link></item>")
+    rows = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("category"), F.lit("https://www.X.example/feed").alias("url"), F.concat(F.lit("<rss><channel><title>t</title>"), none, item, F.lit("</channel></rss>")).alias("body"))
+    return feeds.parse_rss(rows).select(F.col("category").cast("long").alias("item_id"), "title", "url", "source", "snippet")
+
+
+@query("SELECT item_id, concat('Post ', item_id) AS title, concat('https://www.reddit.com/r/x/', item_id) AS url, CAST(1700000000 + item_id AS BIGINT) AS at FROM benchmark")
+def listing_parse(spark, d):
+    post = lambda s, n: F.concat(F.lit('{"data": {"title": "Post '), "item_id", F.lit('", "url": "/self", "permalink": "/r/x/'), "item_id", F.lit(f'", "score": {s}, "created_utc": '), F.lit(1700000000) + F.col("item_id"), F.lit("}}"))
+    rows = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("category"), F.lit("x").alias("sub"), F.concat(F.lit('{"data": {"children": ['), post(10, 1), F.lit(","), post(99, 2), F.lit("]}}")).alias("body"))
+    return feeds.parse_listing(rows).select(F.col("category").cast("long").alias("item_id"), "title", "url", F.unix_seconds("published_at").alias("at"))
+
+
+@query("SELECT item_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 120) AS title, concat('https://t.me/chan/', item_id) AS url FROM benchmark WHERE length(trim(substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 500))) >= 30")
+def channel_page_parse(spark, d):
+    body = F.concat(F.lit('<div class="tgme_widget_message_text js">'), "text", F.lit('</div><a href="https://t.me/chan/'), "item_id", F.lit('"><time datetime="2024-01-02T10:00:00+00:00"></time></a>'))
+    rows = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("category"), F.lit("chan").alias("user"), F.lit("https://t.me/s/chan").alias("url"), body.alias("body"))
+    return feeds.parse_channel_page(rows).select(F.col("category").cast("long").alias("item_id"), "title", "url")
+
+
+@query("SELECT event_id AS id, CAST(r - 1 AS INTEGER) AS pos, concat('HN score=', CAST(floor(value) AS BIGINT), ' comments=', event_id % 9) AS snippet FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS r FROM events WHERE event_id < 30) WHERE floor(value) >= 1 QUALIFY row_number() OVER (ORDER BY r) <= 15")
+def item_lookup(spark, d):
+    ev = table(spark, d, "events")
+    items = ev.select(F.col("event_id").alias("id"), F.floor("value").alias("score"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"), (F.col("event_id") % 9).alias("descendants"), F.lit("t").alias("title"), F.concat(F.lit("https://x/"), "event_id").alias("url"))
+    ids = ev.where("event_id < 30").agg(F.array_sort(F.collect_list("event_id")).alias("ids")).withColumn("category", F.lit("tech"))
+    out = feeds.join_items(ids, items, least=1)
+    return out.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("id"), "pos", "snippet")
+
+
+@query("SELECT item_id, e AS engine, concat('https://r.example/?q=', item_id) AS url, 'A & B' AS title FROM benchmark, (VALUES ('json'), ('web'), ('html')) t(e)")
+def search_parse(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.explode(F.array(F.lit("json"), F.lit("web"), F.lit("html"))).alias("engine"))
+    hit = F.concat(F.lit('{"url": "https://r.example/?q='), "item_id", F.lit('", "title": "<b>A</b> &amp; B", "content": "x", "description": "x"}'))
+    html = F.concat(F.lit('<a class="result__a" href="//d.example/l/?uddg=https%3A%2F%2Fr.example%2F%3Fq%3D'), "item_id", F.lit('&rut=1"><b>A</b> &amp; B</a><a class="result__snippet">x</a>'))
+    body = F.when(F.col("engine") == "json", F.concat(F.lit('{"results": ['), hit, F.lit("]}"))).when(F.col("engine") == "web", F.concat(F.lit('{"web": {"results": ['), hit, F.lit("]}}"))).otherwise(html)
+    rows = b.select(F.concat_ws("-", "item_id", "engine").alias("category"), "engine", body.alias("body"))
+    return feeds.parse_search(rows).select(F.split("category", "-")[0].cast("long").alias("item_id"), F.split("category", "-")[1].alias("engine"), "url", "title")
+
+
+# ---- composition, streams, whole digest -------------------------------------------------------
+
+@query()
+def message_split(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("full_text"))
+    return compose.split_messages(docs).select("doc_id", F.col("part_no._s").alias("section_no"), F.col("part_no._p").alias("chunk_no"), "part")
+
+
+def _digest(spark, d):
+    return digest(V.articles(spark, d), V.past_titles(spark, d), feedback.boosts(_stats(spark, d)), V.AS_OF, ["thor*"])
+
+
+@query()
+def digest_issue(spark, d):
+    return _digest(spark, d)["issue"]
+
+
+@query()
+def digest_parts(spark, d):
+    return _digest(spark, d)["parts"].select("item_count", F.col("part_no._s").alias("section_no"), F.col("part_no._p").alias("chunk_no"), "part")
+
+
+@query()
+def digest_events(spark, d):
+    return events_of(V.articles(spark, d)).select("category", "event_id", "n_articles", "canonical_title", "role")
+
+
+@query(f"WITH {V.FEEDBACK} SELECT CAST(created_at AS DATE) AS day, source, {_NORM} AS rating, count(*) AS n FROM feedback GROUP BY ALL")
+def stream_feedback_counts(spark, d):
+    raw = streams.read_table(spark, f"{d}/events.parquet")
+    fb = raw.select(F.expr("concat('src', user_id % 20)").alias("source"), F.expr("CASE event_type WHEN 'purchase' THEN 'save' WHEN 'click' THEN 'up' WHEN 'view' THEN 'down' WHEN 'error' THEN 'mute' ELSE 'ignored' END").alias("rating"), F.col("ts").alias("created_at"))
+    name = "counts_" + uuid.uuid4().hex
+    out = streams.run_once(streams.feedback_counts(fb), name, "complete", f"{shared_dir(spark)}/{name}")
+    return out.select(F.to_date("w.start").alias("day"), "source", "rating", "n")
+
+
+@query("SELECT count(DISTINCT user_id) AS keys FROM events")
+def stream_first_seen(spark, d):
+    raw = streams.read_table(spark, f"{d}/events.parquet").select("user_id", "ts")
+    name = "first_" + uuid.uuid4().hex
+    out = streams.run_once(streams.first_seen(raw, "user_id", "ts", 60), name, "append", f"{shared_dir(spark)}/{name}")
+    return out.agg(F.count(F.lit(1)).alias("keys"))
+
+
+

@@ -1 +1 @@
-
+"""Parsers of feeds, pages and listings, and sinks."""

@@ -190,7 +190,7 @@ def minutes_of(hhmm: Column) -> Column:
 
 def hhmm_minus(hhmm: Column, minutes: Column) -> Column:
     m = F.pmod(minutes_of(hhmm) - minutes, F.lit(1440))
-    return F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), (m % 60).cast("int"))
+    return F.when(m.isNotNull(), F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), (m % 60).cast("int")))
 
 
 def word_match(word: str) -> str:

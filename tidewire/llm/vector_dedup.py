@@ -126,7 +126,7 @@ def links(x: np.ndarray, keys: np.ndarray, key: int, left: np.ndarray, right: np
     return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int = 7, rotations: int = 2, block: int = 2000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int = 7, rotations: int = 3, block: int = 2000, task_rows: int = 4000) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").alias("label"), F.col("embedding").alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
@@ -155,25 +155,40 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int = 7, ro
     dealt = classes.mapInArrow(deal, f"size int, key long, label {label_type}, rep long, copies long, x array<double>, keys array<long>")
     group = ["label", "size", "key"]
     # sizes of the buckets first: narrow rows with map-side sums
-    narrow = dealt.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    narrow = settle(dealt.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # a task takes many buckets, and each of them is looked at by itself
+    parted = F.greatest(F.ceil(F.col("n") / block), F.lit(1))
+    work = narrow.agg(F.sum(F.col("n") * parted)).first()[0] or 0
+    n_tasks = max(1, -(-int(work) // task_rows))
     big = dealt.join(narrow, group)
     parts = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("p"), F.greatest(o, F.col("own")).alias("q")))
     tasks = big.withColumn("parts", parts).withColumn("own", own).withColumn("pq", F.explode(pairs)).select(*group, "pq.p", "pq.q", "own", "rep", "copies", "x", "keys")
+    bucket = F.xxhash64(*group, "p", "q")
+    tasks = tasks.withColumn("bucket", bucket).withColumn("task", F.pmod(bucket, F.lit(n_tasks)).cast("int"))
 
-    def verify(key: tuple, table: pa.Table) -> pa.Table:
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
         own, ids = table.column("own").to_numpy(), table.column("rep").to_numpy()
-        copies = table.column("copies").to_numpy()
-        a, b = links(_stack(table.column("x")), _stack_int(table.column("keys")), key[2].as_py(), own == key[3].as_py(), own == key[4].as_py(), least)
+        copies, buckets = table.column("copies").to_numpy(), table.column("bucket").to_numpy()
+        key, p, q, size = (table.column(c).to_numpy() for c in ("key", "p", "q", "size"))
+        vectors_, keys = table.column("x"), _stack_int(table.column("keys"))
         n = np.zeros(len(ids), np.int64)
-        np.add.at(n, a, copies[b])
-        np.add.at(n, b, copies[a])
         forest, src, dst = _Forest(len(ids)), [], []
-        for i, j in zip(a.tolist(), b.tolist()):
-            if forest.join(i, j):
-                src.append(ids[i])
-                dst.append(ids[j])
+        cuts = np.flatnonzero(np.diff(buckets)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+            if hi - lo < 2 or size[lo] == 0:
+                continue
+            x = _stack(vectors_.slice(lo, hi - lo))
+            a, b = links(x, keys[lo:hi], int(key[lo]), own[lo:hi] == p[lo], own[lo:hi] == q[lo], least)
+            a, b = a + lo, b + lo
+            np.add.at(n, a, copies[b])
+            np.add.at(n, b, copies[a])
+            for i, j in zip(a.tolist(), b.tolist()):
+                if forest.join(i, j):
+                    src.append(ids[i])
+                    dst.append(ids[j])
         hit = np.flatnonzero(n)
         return pa.table(
             {"rep": pa.array(np.concatenate((ids[hit], np.array(src, np.int64)))),
@@ -181,7 +196,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int = 7, ro
              "other": pa.array([None] * len(hit) + dst, pa.int64())}
         )
 
-    found = settle(tasks.groupBy(*group, "p", "q").applyInArrow(verify, "rep long, n long, other long"))
+    found = settle(tasks.groupBy("task").applyInArrow(verify, "rep long, n long, other long"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     edges = found.where("other is not null").select(F.col("rep").alias("src"), F.col("other").alias("dst"))
     comps = connected_components(edges).select(F.col("node").alias("rep"), "component")

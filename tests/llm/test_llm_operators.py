@@ -127,11 +127,20 @@ def test_word_ids_with_special_strings():
 def test_lines(spark, docs, rows, none):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, min_sites=10).collect()}
     assert len(got) == len(rows)
+    sites, befores = {}, {}
+    for r in rows:
+        last = ""
+        for line in ([] if r[1] is None else r[1].split("\n")):
+            sites.setdefault(line.strip(), set()).add(r[3])
+            befores.setdefault(line.strip(), set()).add(last)
+            last = line.strip()
+    bad = {x for x in sites if x and len(sites[x]) >= 10 and len(befores[x]) >= 10}
+    assert "shared footer line" in bad
     for r in rows:
         if r[1] is None:
             assert got[r[0]]["text"] is None and got[r[0]]["n_removed"] == 0
             continue
-        keep = [x for x in r[1].split("\n") if x.strip() != "shared footer line"]
+        keep = [x for x in r[1].split("\n") if x.strip() not in bad]
         assert got[r[0]]["text"] == "\n".join(keep) and got[r[0]]["extra"] == r[5]
     # a whole text copied to many sites is no boilerplate
     copies = spark.createDataFrame([(k, "one\ntwo", None, f"s{k}", 1, None, None) for k in range(40)], SCHEMA)
@@ -232,10 +241,10 @@ def test_html(spark):
     page = f"""<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><div class="cookie notice">We use the cookies of this site for you and for us, that is the deal we have with it.</div>
     <article><h1>Big &amp; small</h1><p>{long}<p>Short one.<p>a<b>b</b>c&nbsp;d<script>var x="</p>";</script><form>Sign up</form></article>
     <div id="comments"><p>{long}</p></div><aside>{long}</aside><footer>&copy; x</footer>"""
-    df = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", f"<div>{long}</div><div>Tail.</div><p><a href=x>more</a></p>")], "page_id long, url string, html string")
+    df = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", f"<div>{long}</div><div>Tail.</div><div>{long}</div><div>Between.</div><p><a href=x>more</a></p>")], "page_id long, url string, html string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(df).collect()}
     want = f"Big & small {long} Short one. abc d"
-    assert got[1] == (want, len(want)) and got[2] == ("", 0) and got[3] == ("", 0) and got[4][0] == f"{long} Tail."
+    assert got[1] == (want, len(want)) and got[2] == ("", 0) and got[3] == ("", 0) and got[4][0] == f"{long} Tail. {long}"
     assert html_text.extract(df.limit(0)).count() == 0
 
 

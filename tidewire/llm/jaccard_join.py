@@ -246,12 +246,16 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
     # everything that still lies apart and shares enough of both heads
     lists = settle(with_components())
     mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    lists = lists.join(mixed, "token", "left_semi")
+    lists = settle(lists.join(mixed, "token", "left_semi"))
+    # components meet per token first, so members of one component are never paired with each other
+    inside = settle(lists.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
+    one, other = (inside.select("token", F.col("comp").alias(f"c{c}"), F.col("lo").alias(f"lo{c}"), F.col("hi").alias(f"hi{c}")) for c in "ab")
+    may = (F.col("ca") < F.col("cb")) & (F.col("hia") * 100 >= F.col("lob") * percent) & (F.col("hib") * 100 >= F.col("loa") * percent)
+    meet = one.join(other, "token").where(may).select("token", "ca", "cb")
     x = lists.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     y = lists.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    fits &= F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    apart = x.join(y, "token").where(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    apart = meet.join(x, ["token", "ca"]).join(y, ["token", "cb"]).where(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
 
     def tail(n: str):
         whole = F.ceil(F.col(n) * percent / 100)

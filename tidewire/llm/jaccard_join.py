@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.shingles import concat, raw_texts, shingle_set
@@ -245,8 +245,12 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
         comps = settle(connected_components(edges, "a", "b"))
     # everything that still lies apart and shares enough of both heads
     lists = settle(with_components())
-    mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    lists = settle(lists.join(mixed, "token", "left_semi"))
+    mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("token", "k")
+    # linked documents of two components share more than n // 10 of these tokens, n being the larger
+    # set's size; without the n // 10 commonest of each, the least common shared one is still in both
+    commonest = Window.partitionBy("doc_id", "n").orderBy(F.desc("k"), "token")
+    lists = lists.join(mixed, "token").withColumn("place", F.row_number().over(commonest))
+    lists = settle(lists.where("place > n div 10").select("token", "doc_id", "n", "comp"))
     # components meet per token first, so members of one component are never paired with each other
     inside = settle(lists.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
     one, other = (inside.select("token", F.col("comp").alias(f"c{c}"), F.col("lo").alias(f"lo{c}"), F.col("hi").alias(f"hi{c}")) for c in "ab")
@@ -262,7 +266,8 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
         return F.greatest(whole - F.floor(F.col(n) / 10) - 1, F.lit(0))
 
     least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9)
-    apart = apart.where(F.col("c") >= least - F.greatest(tail("na"), tail("nb"))).select("a", "b")
+    dropped = F.floor(F.greatest("na", "nb") / 10)
+    apart = apart.where(F.col("c") >= least - F.greatest(tail("na"), tail("nb")) - dropped).select("a", "b")
     linked = settle(overlaps(documents, apart, words, percent))
     comps = settle(connected_components(edges.unionByName(linked), "a", "b"))
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))

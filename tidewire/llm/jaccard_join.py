@@ -51,71 +51,95 @@ def documents_only(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def sets_of(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, n and a 128-bit digest of every document's shingle set."""
+def sets_of(documents: DataFrame, words: int, percent: int, most: int = 32 << 20) -> DataFrame:
+    """doc_id, n, a 128-bit digest and the head (its codes) of every document's shingle set."""
+    names, kinds = ["doc_id", "n", "digest", "head"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest = [], []
-            for raw in raw_texts(b.column(1)):
+            rows: list[tuple] = []
+            held = 0
+            for doc, raw in zip(b.column(0).to_pylist(), raw_texts(b.column(1))):
                 s = shingle_set(raw, words)
-                n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary())})
+                head = s[: int(head_size(np.int64(len(s)), percent))].tobytes()
+                rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, head))
+                held += len(head)
+                if held > most:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return documents_only(documents).mapInArrow(run, "doc_id long, n long, digest binary, head binary")
+
+
+def _owned(ids: pa.Array, heads: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all heads one after the other, and the document of each."""
+    parts = [np.frombuffer(h, np.uint64) for h in heads.to_pylist()]
+    return concat(parts, np.uint64), np.repeat(ids.to_numpy(), [len(x) for x in parts])
+
 
-    return documents_only(documents).mapInArrow(run, "doc_id long, n long, digest binary")
+def _in_several(t: np.ndarray) -> np.ndarray:
+    """Which entries of a sorted array are equal to a neighbour."""
+    same = np.zeros(len(t), bool)
+    eq = t[1:] == t[:-1]
+    same[1:] |= eq
+    same[:-1] |= eq
+    return same
 
 
-def _shared_heads(documents: DataFrame, words: int, percent: int, shards: int) -> DataFrame:
-    """doc_id and how many shingles of its head also stand in another document's head."""
+def _shared_heads(sets: DataFrame, shards: int) -> DataFrame:
+    """doc_id and how many shingles of its head also stand in another document's head.
+
+    What several documents of a batch share is counted there and travels once, without an owner,
+    so a shingle of very many documents brings one entry a batch to its shard.
+    """
+    names, kinds = ["shard", "base", "tokens", "docs"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_pylist()
-            tokens, owner = [], []
-            for k, raw in enumerate(raw_texts(b.column(1))):
-                s = shingle_set(raw, words)
-                if len(s) and ids[k] is not None:
-                    head = s[: int(head_size(np.int64(len(s)), percent))]
-                    tokens.append(head)
-                    owner.append(np.full(len(head), ids[k], np.int64))
-            if not tokens:
+            t, d = _owned(b.column(0), b.column(1))
+            if not len(t):
                 continue
-            t, d = concat(tokens, np.uint64), concat(owner, np.int64)
-            # a well mixed code picks the shard; 48 of its bits travel: a clash only keeps a document
-            shard = ((t * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(shards)
-            order = np.argsort(shard, kind="stable")
-            t, d, shard = t[order], d[order], shard[order]
+            order = np.argsort(t)
+            t, d = t[order], d[order]
+            same = _in_several(t)
+            rows: list[tuple] = []
+            if same.any():
+                ids, n = np.unique(d[same], return_counts=True)
+                rows.append((int(ids[0] % shards), None, n.astype(np.int64).tobytes(), ids.tobytes()))
+            one = np.append(True, t[1:] != t[:-1])
+            base = int(d.min()) - 1
+            d = np.where(same, 0, d - base)[one]  # 0: no owner
+            t = t[one]
+            # a well mixed code picks the shard; 32 other bits travel: a clash only keeps a document
+            with np.errstate(over="ignore"):
+                shard = ((t * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(shards)
+            order = np.lexsort((d, shard))
+            t, d, shard = t[order].astype(np.uint32), d[order], shard[order]
+            d = d.astype(np.int64 if int(d.max()) >= 1 << 32 else np.uint32)
             cuts = np.flatnonzero(np.diff(shard)) + 1
-            first = np.concatenate(([0], cuts)) if len(shard) else cuts
-            rows = [], [], [], []
-            for tt, dd, at in zip(np.split(t, cuts), np.split(d, cuts), first):
-                base = int(dd.min())
-                wide = int(dd.max()) - base >= 1 << 32
-                rows[0].append(int(shard[at]))
-                rows[1].append(base)
-                rows[2].append(tt.tobytes())
-                rows[3].append((dd - base).astype(np.int64 if wide else np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], ["shard", "base", "tokens", "docs"])
+            for at, tt, dd in zip(np.append(0, cuts), np.split(t, cuts), np.split(d, cuts)):
+                rows.append((int(shard[at]), base, tt.tobytes(), dd.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def count(table: pa.Table) -> pa.Table:
-        tokens, docs = [], []
+        tokens, docs, ids, counts = [], [], [], []
         for base, t, d in zip(*(table.column(c).to_pylist() for c in ("base", "tokens", "docs"))):
-            tokens.append(np.frombuffer(t, np.uint64))
-            wide = len(d) == len(t)
-            docs.append(np.frombuffer(d, np.int64 if wide else np.uint32).astype(np.int64) + base)
-        t, d = concat(tokens, np.uint64), concat(docs, np.int64)
+            if base is None:
+                ids.append(np.frombuffer(d, np.int64))
+                counts.append(np.frombuffer(t, np.int64))
+                continue
+            tokens.append(np.frombuffer(t, np.uint32))
+            owner = np.frombuffer(d, np.int64 if len(d) > len(t) else np.uint32).astype(np.int64)
+            docs.append(np.where(owner > 0, owner + base, np.iinfo(np.int64).min))
+        t, d = concat(tokens, np.uint32), concat(docs, np.int64)
         order = np.argsort(t, kind="stable")
         t, d = t[order], d[order]
-        same = np.zeros(len(t), bool)
-        if len(t) > 1:
-            eq = t[1:] == t[:-1]
-            same[1:] |= eq
-            same[:-1] |= eq
-        ids, n = np.unique(d[same], return_counts=True)
-        return pa.table({"doc_id": ids, "n": n.astype(np.int64)})
-
-    blobs = documents_only(documents).mapInArrow(emit, "shard int, base long, tokens binary, docs binary")
+        found, n = np.unique(d[_in_several(t) & (d != np.iinfo(np.int64).min)], return_counts=True)
+        return pa.table({"doc_id": np.concatenate([found, *ids]), "n": np.concatenate([n.astype(np.int64), *counts])})
+
+    blobs = sets.where("n > 0 and doc_id is not null").select("doc_id", "head").mapInArrow(emit, "shard int, base long, tokens binary, docs binary")
     found = blobs.groupBy("shard").applyInArrow(count, "doc_id long, n long")
     return found.groupBy("doc_id").agg(F.sum("n").alias("shared"))
 
@@ -128,24 +152,18 @@ def _with_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "doc_id")
 
 
-def _heads(documents: DataFrame, alive: DataFrame, words: int, percent: int) -> DataFrame:
+def _heads(sets: DataFrame, alive: DataFrame) -> DataFrame:
     """(token, doc_id, n) for the heads of the documents that are still in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.schema.names
-            heads, sizes = [], []
-            for raw in raw_texts(b.column(names.index("text"))):
-                s = shingle_set(raw, words)
-                sizes.append(len(s))
-                heads.append(s[: int(head_size(np.int64(len(s)), percent))])
-            k = np.array([len(h) for h in heads], np.int64)
-            ids = np.repeat(b.column(names.index("doc_id")).to_numpy(), k)
-            yield pa.RecordBatch.from_pydict(
-                {"token": pa.array(concat(heads, np.uint64).view(np.int64)), "doc_id": pa.array(ids), "n": pa.array(np.repeat(np.array(sizes, np.int64), k))}
-            )
+            t, d = _owned(b.column(0), b.column(2))
+            n = np.repeat(b.column(1).to_numpy(), [len(h) // 8 for h in b.column(2).to_pylist()])
+            yield pa.RecordBatch.from_pydict({"token": pa.array(t.view(np.int64)), "doc_id": pa.array(d), "n": pa.array(n)})
 
-    return _with_texts(documents, alive).mapInArrow(run, "token long, doc_id long, n long")
+    if alive.count() <= BROADCAST_IDS:
+        alive = F.broadcast(alive)
+    return sets.select("doc_id", "n", "head").join(alive, "doc_id").mapInArrow(run, "token long, doc_id long, n long")
 
 
 def overlaps(documents: DataFrame, pairs: DataFrame, words: int, percent: int, per_task: int = 1500) -> DataFrame:
@@ -210,15 +228,15 @@ def overlaps(documents: DataFrame, pairs: DataFrame, words: int, percent: int, p
 
 def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80, rounds: int = 3, shard_rows: int = 3_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    sets = settle(sets_of(documents, words))
+    sets = settle(sets_of(documents, words, percent))
     classes = settle(sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
     shards = max(8, math.ceil(sets.count() / shard_rows))
-    shared = _shared_heads(documents, words, percent, shards)
+    shared = _shared_heads(sets, shards)
     size = classes.select(F.col("rep").alias("doc_id"), "n").distinct()
     # partners may be as small as percent of n: the least that any of them asks for
     low = F.floor(F.floor(F.col("n") * percent / 100) / 10) + 1
     alive = settle(shared.join(size, "doc_id").where(F.col("shared") >= low).select("doc_id"))
-    heads = settle(_heads(documents, alive, words, percent))
+    heads = settle(_heads(sets, alive))
     repeated = heads.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
     heads = settle(heads.join(repeated, "token", "left_semi").distinct())
     edges, comps = None, None
@@ -238,7 +256,9 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
         ).where("lo <> hi").select("token", "lead")
         near = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
         met = lists.join(lead, "token").where(F.col("comp") != F.col("lead.comp")).where(near)
-        met = met.groupBy("doc_id", F.col("lead.doc_id").alias("a")).agg(F.count(F.lit(1)).alias("c"))
+        met = met.groupBy("doc_id", F.col("lead.doc_id").alias("a"), F.greatest("n", "lead.n").alias("m")).agg(F.count(F.lit(1)).alias("c"))
+        # linked documents share so much of their heads; if the leaders of a list hide it, the last join finds it
+        met = met.where("c >= m div 10")
         best = met.groupBy("doc_id").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
         linked = settle(overlaps(documents, best.select("a", F.col("doc_id").alias("b")), words, percent))
         edges = linked if edges is None else edges.unionByName(linked)

@@ -34,6 +34,7 @@ from tidewire.operators.components import connected_components
 from tidewire.runtime import settle
 
 FRAGMENTS = 8  # ranges of the global order, by its top bits
+SKETCH = 16  # codes of each head that look for a leader
 BROADCAST_IDS = 300_000  # at most so many ids (and a few numbers each) are sent to every executor
 
 
@@ -153,17 +154,19 @@ def _with_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _heads(sets: DataFrame, alive: DataFrame) -> DataFrame:
-    """(token, doc_id, n) for the heads of the documents that are still in."""
+    """(token, doc_id, n, place) for the heads of the documents that are still in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t, d = _owned(b.column(0), b.column(2))
-            n = np.repeat(b.column(1).to_numpy(), [len(h) // 8 for h in b.column(2).to_pylist()])
-            yield pa.RecordBatch.from_pydict({"token": pa.array(t.view(np.int64)), "doc_id": pa.array(d), "n": pa.array(n)})
+            k = [len(h) // 8 for h in b.column(2).to_pylist()]
+            n = np.repeat(b.column(1).to_numpy(), k)
+            place = concat([np.arange(x, dtype=np.int32) for x in k], np.int32)
+            yield pa.RecordBatch.from_pydict({"token": pa.array(t.view(np.int64)), "doc_id": pa.array(d), "n": pa.array(n), "place": pa.array(place)})
 
     if alive.count() <= BROADCAST_IDS:
         alive = F.broadcast(alive)
-    return sets.select("doc_id", "n", "head").join(alive, "doc_id").mapInArrow(run, "token long, doc_id long, n long")
+    return sets.select("doc_id", "n", "head").join(alive, "doc_id").mapInArrow(run, "token long, doc_id long, n long, place int")
 
 
 def overlaps(documents: DataFrame, pairs: DataFrame, words: int, percent: int, per_task: int = 1500) -> DataFrame:
@@ -237,19 +240,18 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
     low = F.floor(F.floor(F.col("n") * percent / 100) / 10) + 1
     alive = settle(shared.join(size, "doc_id").where(F.col("shared") >= low).select("doc_id"))
     heads = settle(_heads(sets, alive))
-    repeated = heads.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
-    heads = settle(heads.join(repeated, "token", "left_semi").distinct())
     edges, comps = None, None
 
-    def with_components() -> DataFrame:
+    def with_components(rows: DataFrame) -> DataFrame:
         if comps is None:
-            return heads.withColumn("comp", F.col("doc_id"))
-        return heads.join(comps, F.col("doc_id") == F.col("node"), "left").select(
+            return rows.select("token", "doc_id", "n", F.col("doc_id").alias("comp"))
+        return rows.join(comps, F.col("doc_id") == F.col("node"), "left").select(
             "token", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")
         )
 
     for r in range(rounds):
-        lists = settle(with_components())
+        # the first codes of a head are enough to meet a near copy; what they miss the last join finds
+        lists = settle(with_components(heads.where(F.col("place") < SKETCH)))
         rank = F.col("doc_id") if r == 0 else F.xxhash64("doc_id", F.lit(r))
         lead = lists.groupBy("token").agg(
             F.min_by(F.struct("doc_id", "comp", "n"), rank).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
@@ -257,14 +259,13 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
         near = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
         met = lists.join(lead, "token").where(F.col("comp") != F.col("lead.comp")).where(near)
         met = met.groupBy("doc_id", F.col("lead.doc_id").alias("a"), F.greatest("n", "lead.n").alias("m")).agg(F.count(F.lit(1)).alias("c"))
-        # linked documents share so much of their heads; if the leaders of a list hide it, the last join finds it
-        met = met.where("c >= m div 10")
+        met = met.where(F.col("c") * 3 >= F.least(F.expr("m div 4 + 1"), F.lit(SKETCH)))
         best = met.groupBy("doc_id").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
         linked = settle(overlaps(documents, best.select("a", F.col("doc_id").alias("b")), words, percent))
         edges = linked if edges is None else edges.unionByName(linked)
         comps = settle(connected_components(edges, "a", "b"))
     # everything that still lies apart and shares enough of both heads
-    lists = settle(with_components())
+    lists = settle(with_components(heads))
     mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("token", "k")
     # linked documents of two components share more than n // 10 of these tokens, n being the larger
     # set's size; without the n // 10 commonest of each, the least common shared one is still in both

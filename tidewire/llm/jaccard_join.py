@@ -211,8 +211,10 @@ def overlaps(documents: DataFrame, pairs: DataFrame, words: int, percent: int, p
         a, b, n, blob = (table.column(c).to_pylist() for c in ("a", "b", "n", "segment"))
         own = {x: (np.frombuffer(s, np.uint64), k) for x, y, k, s in zip(a, b, n, blob) if y is None}
         out: list[tuple] = []
+        seen = set()
         for x, y, k, s in zip(a, b, n, blob):
-            if y is not None:
+            if y is not None and (x, y, k) not in seen:  # repeated rows of one document count once
+                seen.add((x, y, k))
                 mine, size = own[x]
                 theirs = np.frombuffer(s, np.uint64)
                 shared = 0

@@ -69,6 +69,19 @@ def test_jaccard(docs, rows, none):
 def test_jaccard_repeated_rows(spark, rows):
     twice = spark.createDataFrame(rows[118:130] + rows[118:130], SCHEMA)
     assert jaccard_join.jaccard_components(twice).count() == 24
+    near = [f"w{k}" for k in range(100)]  # 75 of 117 shingles shared: under the threshold, also when rows repeat
+    texts = {1: near, 2: near[:79] + [f"v{k}" for k in range(21)], 3: near[:98] + ["v"]}
+    some = [[k, " ".join(t), "en", "s", 1, "e", 0.5] for k, t in texts.items()]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(some + some, SCHEMA)).collect()
+    assert sorted((r[0], r[2]) for r in got) == [(1, 1), (1, 1), (2, 2), (2, 2), (3, 1), (3, 1)]
+
+
+def test_jaccard_shared_heads_count_once(spark):
+    code = lambda *x: np.array(x, np.uint64).tobytes()
+    heads = [(k, 3, code(7, 100 + k, 200 + k // 2)) for k in range(8)] + [(8, 1, code(9)), (9, 0, b""), (None, 1, code(7))]
+    sets = spark.createDataFrame(heads, "doc_id long, n long, head binary").repartition(3)
+    got = {r[0]: r[1] for r in jaccard_join._shared_heads(sets, 4).collect()}
+    assert got == {k: 2 for k in range(8)}
 
 
 def test_mixing(docs, rows, none):

@@ -280,3 +280,20 @@ def test_pipeline(spark):
             want = brute.jaccard(before)
             assert sorted(r[0] for r in docs.select("doc_id").collect()) == sorted(k for k, (_, comp) in want.items() if k == comp)
     assert seen == [n for n, _ in c.STAGES] and docs.count() > 0
+
+
+def test_pipeline_rejects_unknown_languages(spark):
+    import corpus_pipeline as c
+
+    rng = random.Random(3)
+    words = {"aa": ["tha", "shon", "wick"], "bb": ["üngeit", "schra", "ölf"], "cc": ["eauxi", "çanè", "ouré"]}
+    data = []
+    for k in range(600):
+        lang = rng.choice(list(words))
+        data.append((k, " ".join("".join(rng.choices(words[lang], k=2)) for _ in range(rng.choice([1, 4, 30, 200]))), lang, "s", 1, None, None))
+    data += [(700, "thashon", None, "s", 1, None, None), (701, "Ölfschra!", None, "s", 1, None, None), (702, "a b", None, "s", 1, None, None)]
+    strange = ["Tämä lause on kirjoitettu kielellä jota verkko ei tunne", "Это предложение на русском языке", "xqzvk wjqxz kkvzq zxqwv jjqkx", "日本語の文章です"]
+    data += [(800 + k, t, None, "s", 1, None, None) for k, t in enumerate(strange)] + [(900, "12 !?", "aa", "s", 1, None, None), (901, None, None, None, None, None, None)]
+    df = spark.createDataFrame(data, SCHEMA)
+    kept = {r["doc_id"] for r in c.keep_known_languages(spark, df, "").collect()}
+    assert kept == {*range(600), 700, 701, 702}

@@ -6,27 +6,33 @@ trained in numpy on a bounded sample of labelled rows (`per_language` rows of ea
 most `most_languages` languages) and applied to every window of every text in batches; the
 scores of a text's windows are averaged by their length.
 
+The softmax shares all of a text among the learned languages, however strange it is, so rejecting
+has a score of its own: the share of the text's letter trigrams that the training sample of a
+language holds. `with_rejection` learns the least share of each language on held-out rows.
+
 Defined cases: null texts and texts without a letter are `und` with score 0; without any labelled
 row every text is `und` with score 0; ties go to the language that sorts first; repeated rows are
-scored one by one; empty tables give no rows; other columns of the input are ignored.
+scored one by one; empty tables give no rows; other columns of the input are ignored. A text without three letters
+in a row, and a language without held-out rows, give no ground for rejecting.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 WINDOW = 192
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 8
 EMBED = 6
 SPAN = max(WIDTHS)
+BINS = 1 << 16  # hashed letter trigrams
 
 
 def held_out(doc_id: Column) -> Column:
@@ -44,6 +50,8 @@ class Model:
     bias: np.ndarray
     out: np.ndarray  # filters x languages
     out_bias: np.ndarray
+    seen: np.ndarray | None = None  # languages x BINS, the trigrams of the training sample
+    least: np.ndarray | None = None  # per language, the least share of seen trigrams
 
 
 def _mask() -> np.ndarray:
@@ -154,6 +162,54 @@ def score_texts(m: Model, data: np.ndarray, begins: np.ndarray, ends: np.ndarray
     return total / total.sum(axis=1, keepdims=True)
 
 
+_LOW = np.arange(256, dtype=np.uint16)
+_LOW[65:91] += 32
+_LETTER = np.array([97 <= b <= 122 or b >= 128 for b in _LOW])
+
+
+def trigrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bin of the three bytes at every place, and whether all three belong to letters; case is ignored for ASCII."""
+    if len(data) < 3:
+        return np.zeros(0, np.uint16), np.zeros(0, bool)
+    low = _LOW[data]
+    good = _LETTER[low]
+    bins = low[:-2] * np.uint16(40503) + low[1:-1] * np.uint16(30011) + low[2:] * np.uint16(10007)  # modulo BINS
+    return bins, good[:-2] & good[1:-1] & good[2:]
+
+
+def seen_share(seen: np.ndarray, raw: np.ndarray) -> float:
+    """Share of the letter trigrams of one text that a language has seen, 1 without any."""
+    bins, good = trigrams(raw)
+    return float(seen[bins[good]].mean()) if good.any() else 1.0
+
+
+def familiar(m: Model, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Which texts the predicted language, or else any other one, knows well enough."""
+    out = np.ones(len(begins), bool)
+    for k in range(len(begins)):
+        bins, good = trigrams(data[begins[k] : ends[k]])
+        bins = bins[good]
+        if len(bins) and m.seen[best[k]][bins].mean() < m.least[best[k]]:
+            out[k] = any(m.seen[j][bins].mean() >= m.least[j] for j in range(len(m.languages)))
+    return out
+
+
+def _labelled(documents: DataFrame) -> DataFrame:
+    return documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+
+
+def _draw(seed: int) -> Column:
+    """A number in [0, 1) from the id."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") / float(1 << 53)
+
+
+def _piece(draw: Column) -> Column:
+    """Two windows of each sampled text, at places given by the hash."""
+    span = 2 * WINDOW
+    place = F.lit(1) + F.floor(draw * 997_003) % F.greatest(F.length("text") - span, F.lit(1))
+    return F.expr("text").substr(place.cast("int"), F.lit(span))
+
+
 def fit(documents: DataFrame, per_language: int = 700, most_languages: int = 200, seed: int = 7) -> Model | None:
     """Train on at most per_language rows of each language, chosen by a hash of the id.
 
@@ -161,20 +217,17 @@ def fit(documents: DataFrame, per_language: int = 700, most_languages: int = 200
     per_language rows of their language; every labelled row outside of the held-out part counts
     for that share.
     """
-    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
+    known = _labelled(documents).where(~held_out(F.col("doc_id")))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
         return None
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") / float(1 << 53)
+    draw = _draw(seed)
     share = F.lit(0.0)
     for row in counts:
         share = F.when(F.col("lang") == row["lang"], min(1.0, per_language / row["n"])).otherwise(share)
-    # two windows of each sampled text, at places given by the hash
-    span = 2 * WINDOW
-    place = F.lit(1) + F.floor(draw * 997_003) % F.greatest(F.length("text") - span, F.lit(1))
     rows = (
         known.where(draw < share)
-        .select("lang", "doc_id", F.expr("text").substr(place.cast("int"), F.lit(span)).alias("piece"))
+        .select("lang", "doc_id", _piece(draw).alias("piece"))
         .limit(2 * per_language * len(counts))
         .toPandas()
         .sort_values(["doc_id", "piece"])
@@ -182,10 +235,13 @@ def fit(documents: DataFrame, per_language: int = 700, most_languages: int = 200
     languages = sorted(r["lang"] for r in counts)
     rng = np.random.default_rng(seed)
     windows, labels = [], []
+    seen = np.zeros((len(languages), BINS), bool)
     for lang, piece in zip(rows["lang"], rows["piece"]):
         raw = piece.encode("utf-8")
         if not raw.strip():
             continue
+        bins, good = trigrams(np.frombuffer(raw, np.uint8))
+        seen[languages.index(lang), bins[good]] = True
         cut = int(rng.integers(8, WINDOW))
         for part in (raw[:WINDOW], raw[WINDOW : 2 * WINDOW], raw[:cut]):
             if len(part) >= 4 or part is raw:
@@ -193,39 +249,61 @@ def fit(documents: DataFrame, per_language: int = 700, most_languages: int = 200
                 labels.append(languages.index(lang))
     if not windows:
         return None
-    return train(np.array(windows), np.array(labels), languages, seed=seed)
+    return replace(train(np.array(windows), np.array(labels), languages, seed=seed), seen=seen)
+
 
+def with_rejection(model: Model | None, documents: DataFrame, per_language: int = 700, seed: int = 7) -> Model | None:
+    """model with the least share of seen trigrams of each language: half of what 99 % of its held-out rows reach.
 
-def _predicted(m: Model | None, text: pa.Array, letters: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Language and score of each text of a batch."""
+    Like the training sample, the rows are bounded to about per_language of each language.
+    """
+    if model is None:
+        return None
+    known = _labelled(documents).where(held_out(F.col("doc_id")))
+    share = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("_share"))
+    draw = _draw(seed)
+    rows = known.join(F.broadcast(share), "lang").where(draw < F.col("_share")).select("lang", _piece(draw).alias("piece")).toPandas()
+    place = {lang: k for k, lang in enumerate(model.languages)}
+    least = np.zeros(len(place))
+    for lang, pieces in rows.groupby("lang")["piece"]:
+        if lang in place:
+            shares = [seen_share(model.seen[place[lang]], np.frombuffer(p.encode("utf-8"), np.uint8)) for p in pieces]
+            least[place[lang]] = np.quantile(shares, 0.01) / 2
+    return replace(model, least=least)
+
+
+def _predicted(m: Model | None, text: pa.Array, letters: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Language and score of each text of a batch, and whether it is not rejected."""
     text = text.cast(pa.binary())
     if m is None or not len(text):
-        return pa.array(["und"] * len(text), pa.string()), pa.array(np.zeros(len(text)), pa.float64())
+        return pa.array(["und"] * len(text), pa.string()), pa.array(np.zeros(len(text)), pa.float64()), pa.array(np.zeros(len(text), bool))
     offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
     data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
     p = score_texts(m, data, offsets[:-1], offsets[1:])
     best = p.argmax(axis=1)
     names = np.where(letters, np.array(m.languages, object)[best], "und").tolist()
     scores = np.where(letters, np.clip(p[np.arange(len(p)), best], 0.0, 1.0), 0.0)
-    return pa.array(names, pa.string()), pa.array(scores, pa.float64())
+    known = letters if m.least is None else letters & familiar(m, data, offsets[:-1], offsets[1:], best)
+    return pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(known)
 
 
-def with_language(rows: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """rows with two more columns, the predicted language and its score."""
+def with_language(rows: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "score", known: str | None = None) -> DataFrame:
+    """rows with two more columns, the predicted language and its score; with `known`, whether the text is not rejected."""
     inner = rows.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).withColumn(
         "_text", F.coalesce(F.col(text).cast("string"), F.lit(""))
     )
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    names = rows.columns
+    names, added = rows.columns, [pred, score, known] if known else [pred, score]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
-            found, sure = _predicted(m, batch.column("_text"), letters)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), found, sure], [*names, pred, score])
+            found = _predicted(m, batch.column("_text"), letters)[: len(added)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], [*names, *added])
 
-    schema = StructType([*rows.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
+    kinds = (StringType(), DoubleType(), BooleanType())
+    schema = StructType([*rows.schema.fields, *(StructField(c, t) for c, t in zip(added, kinds))])
     return inner.mapInArrow(run, schema)
 
 

@@ -297,3 +297,16 @@ def test_pipeline_rejects_unknown_languages(spark):
     df = spark.createDataFrame(data, SCHEMA)
     kept = {r["doc_id"] for r in c.keep_known_languages(spark, df, "").collect()}
     assert kept == {*range(600), 700, 701, 702}
+
+
+def test_take_keeps_rows_of_one_id_apart(spark):
+    data = [(None, f"text {k} " * (1 + k % 5), None, "s", k, None, None) for k in range(30)]
+    data += [(7, f"other {k}", "en", "s", 1, None, None) for k in range(5)] + [(7, "other 0", None, "s", 1, "en", None), (8, "same", "en", "s", 1, None, 0.5), (8, "same", "en", "s", 1, None, 0.5)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    # one source with as many words as its target: every row exactly once
+    got = mixing.take(df, weights=(1,), share=1.0, fan=4)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, data))
+    assert sorted(map(repr, map(tuple, mixing.take(df, few=0, weights=(1,), share=1.0, fan=4).collect()))) == sorted(map(repr, data))
+    # fractional copies: each row at least once and at most twice
+    many = [tuple(r)[1] for r in mixing.take(df, weights=(1,), share=1.5, fan=4).where("doc_id is null").collect()]
+    assert {many.count(r[1]) for r in data[:30]} == {1, 2}

@@ -119,7 +119,7 @@ def _round_buckets(units: DataFrame, fan: int, level: int, seed: int) -> DataFra
         .groupBy("source", "bucket")
         .agg(F.array_sort(F.collect_list(one)).alias("all"))
     )
-    kind = "array<struct<i:struct<doc_id:bigint,size:bigint>,x:int>>"
+    kind = "array<struct<i:struct<doc_id:bigint,size:bigint,_row:bigint>,x:int>>"
     head = F.col("all")[0]
     start = F.struct(head["k"].alias("k"), head["i"].alias("i"), head["w"].alias("w"), head["p"].alias("p"), F.array().cast(kind).alias("out"))
     folded = F.aggregate(F.expr("slice(all, 2, size(all))"), start, lambda s, e: _meet(s, e, seed + level))
@@ -133,9 +133,14 @@ def mix(
     most: float = 2.0,
     fan: int = 128,
     seed: int = 20240229,
+    row: str | None = None,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every document."""
-    sized = settle(documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")))
+    """doc_id, source, size, source_size, target, copies and taken of every document.
+
+    `row` names a long column that tells rows of one doc_id apart; it comes back as _row.
+    """
+    mark = (F.col(row) if row else F.lit(None)).cast("long").alias("_row")
+    sized = settle(documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), mark))
     targets = settle(source_targets(sized, weights, share, most))
     base = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rate = F.least(base, F.lit(float(most)))
@@ -144,51 +149,59 @@ def mix(
     targets = targets.withColumn("sure", F.floor("rate").cast("int")).withColumn("p", F.col("rate") - F.floor("rate"))
     # a handful of numbers per source: joined by value, null sources included
     rated = sized.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select(
-        "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.docs", "t.sure", "t.p"
+        "d.doc_id", "d.source", "d.size", "d._row", "t.source_size", "t.target", "t.docs", "t.sure", "t.p"
     )
     units = rated.where("p > 0 and size > 0").select(
         "source",
         F.col("docs").alias("n"),
-        F.xxhash64("doc_id", "size").alias("k"),
-        F.struct("doc_id", "size").alias("i"),
+        F.xxhash64(F.coalesce("doc_id", "_row"), "size").alias("k"),
+        F.struct("doc_id", "size", "_row").alias("i"),
         F.col("size").alias("w"),
         "p",
     )
     decided, level, fractional = [], 0, 2
     while fractional > 1:
         left = settle(_round_buckets(units, fan, level, seed))
-        decided.append(left.select("source", F.explode("out").alias("o")).select("source", "o.i.doc_id", "o.i.size", "o.x"))
+        decided.append(left.select("source", F.explode("out").alias("o")).select("source", "o.i.doc_id", "o.i.size", "o.i._row", "o.x"))
         # every bucket leaves one row; the next level gathers those
         counts = left.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
         units = left.drop("out").alias("l").join(counts.alias("c"), F.expr("l.source <=> c.source")).select("l.*", "c.n")
         fractional = counts.agg(F.max("n")).first()[0] or 0
         level += 1
-    last = units.select("source", "i.doc_id", "i.size", (_draw(F.col("k"), F.col("k"), seed - 1) < F.col("p")).cast("int").alias("x"))
+    last = units.select("source", "i.doc_id", "i.size", "i._row", (_draw(F.col("k"), F.col("k"), seed - 1) < F.col("p")).cast("int").alias("x"))
     decided.append(last)
-    whole = rated.where("p = 0 or size = 0").select("source", "doc_id", "size", F.lit(0).alias("x"))
+    whole = rated.where("p = 0 or size = 0").select("source", "doc_id", "size", "_row", F.lit(0).alias("x"))
     everything = whole
     for part in decided:
         everything = everything.unionByName(part)
     known = targets.select(F.col("source").alias("s"), "source_size", "target", "sure")
     copies = F.when(F.col("size") > 0, F.col("sure") + F.col("x")).otherwise(F.lit(0)).cast("int")
     return everything.join(known, F.expr("source <=> s")).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["_row"] if row else [])
     )
 
 
+def _row_key(documents: DataFrame) -> Column:
+    """64-bit hash of a whole row; xxhash64 skips nulls, so their places are hashed as well."""
+    cols = [F.col(f"`{f.name}`") for f in documents.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*cols, *(c.isNull() for c in cols))
+
+
 def take(documents: DataFrame, few: int = 1_000_000, **options) -> DataFrame:
-    """documents, each as often as the mix takes it.
+    """documents, each row as often as the mix takes it.
 
-    Rows that share a doc_id come out as one of them, as often as the mix takes all of them. The
-    copies are sent out while they are few (two numbers a document), else joined by doc_id.
+    Rows are told apart by a hash of all their columns, so a null or repeated doc_id merges none;
+    only rows that are equal in everything come out as copies of one, as often as the mix takes all
+    of them. The copies are sent out while they are few (three numbers a row), else joined.
     """
-    copies = mix(documents, **options).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    copies = settle(copies.withColumnRenamed("doc_id", "_id"))
+    keyed = documents.withColumn("_row", _row_key(documents))
+    copies = mix(keyed, row="_row", **options).groupBy("doc_id", "_row").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    copies = settle(copies.withColumnsRenamed({"doc_id": "_id", "_row": "_key"}))
     state = copies.agg(F.count(F.lit(1)).alias("n"), F.max("_rows").alias("most")).first()
     if (state["most"] or 0) > 1:
-        documents = documents.dropDuplicates(["doc_id"])
+        keyed = keyed.dropDuplicates(["doc_id", "_row"])
     wanted = copies.where("_copies > 0")
     if state["n"] <= few:
         wanted = F.broadcast(wanted)
-    joined = documents.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+    joined = keyed.join(wanted, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*documents.columns)

@@ -310,3 +310,12 @@ def test_take_keeps_rows_of_one_id_apart(spark):
     # fractional copies: each row at least once and at most twice
     many = [tuple(r)[1] for r in mixing.take(df, weights=(1,), share=1.5, fan=4).where("doc_id is null").collect()]
     assert {many.count(r[1]) for r in data[:30]} == {1, 2}
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+    data = [(9 * k + n, f"w{k} " + _text(rng, 3), f"l{k:03d}", "s", 1, None, None) for k in range(205) for n in range(9)]
+    df = spark.createDataFrame(data, SCHEMA)
+    model = language_id.fit(df, per_language=4)
+    assert model.languages == [f"l{k:03d}" for k in range(205)] and model.out.shape[1] == 205
+    assert language_id.with_rejection(model, df).least.shape == (205,)

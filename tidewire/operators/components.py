@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.runtime import settle
+from tidewire.runtime import drop, settle
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -52,7 +52,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .where("u <> v")
             .distinct()
         )
-        e = settle(small)
+        old, e = e, settle(small)
+        drop(old)
         after = _mark(e)
         if after == before:
             break

@@ -56,6 +56,16 @@ def test_substrings(docs, rows, none):
     assert sorted(map(tuple, got)) == sorted(brute.substrings([r[:2] for r in rows]))
     assert sum(r["n_removed"] for r in got) > 500
     assert substring_dedup.remove_repeats(none).count() == 0
+    split = substring_dedup.remove_repeats(docs, hot=3).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, split)) == sorted(map(tuple, got))
+
+
+def test_substrings_without_ids(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(None, passage + " a"), (None, "b " + passage), (5, "c " + passage), (5, passage + " d"), (9, None), (9, "")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, hot int"))
+    mine = [(r[0] or 0, r[1], r[2], r[3]) for r in got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()]
+    assert sorted(mine) == sorted((r[0] or 0, *r[1:]) for r in brute.substrings(rows))
 
 
 def test_jaccard(docs, rows, none):
@@ -76,12 +86,23 @@ def test_jaccard_repeated_rows(spark, rows):
     assert sorted((r[0], r[2]) for r in got) == [(1, 1), (1, 1), (2, 2), (2, 2), (3, 1), (3, 1)]
 
 
-def test_jaccard_shared_heads_count_once(spark):
-    code = lambda *x: np.array(x, np.uint64).tobytes()
-    heads = [(k, 3, code(7, 100 + k, 200 + k // 2)) for k in range(8)] + [(8, 1, code(9)), (9, 0, b""), (None, 1, code(7))]
-    sets = spark.createDataFrame(heads, "doc_id long, n long, head binary").repartition(3)
-    got = {r[0]: r[1] for r in jaccard_join._shared_heads(sets, 4).collect()}
-    assert got == {k: 2 for k in range(8)}
+def test_shared_shingles_count_once(spark):
+    texts = [f"q w e r t z{k} u{k} i o p" for k in range(8)] + ["q w e r t", None, "a b", "x x x x x x"]
+    some = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    keys = {r["rid"]: r["doc_id"] for r in jaccard_join.with_text_key(some).collect()}
+    got = {keys[r["rid"]]: r["shared"] for r in jaccard_join.shared_counts(some, 5, 4).collect()}
+    assert got == {k: 1 for k in range(9)}
+
+
+def test_jaccard_rows_of_one_id(spark, rows):
+    near = [f"w{k}" for k in range(100)]
+    some = [(7, " ".join(near), "a"), (7, "something else that stands alone here", "b"), (9, " ".join(near[:99]), "c"), (None, " ".join(near[1:]), "d"), (None, None, "e"), (3, "x y", "f"), (3, "x y", "f")]
+    table = spark.createDataFrame([(*r, 1) for r in some], "doc_id long, text string, comp string, _rid int")
+    got = jaccard_join.jaccard_components(table).collect()
+    assert sorted((r[0] or 0, r[1], r[2] or 0) for r in got) == sorted([(7, 96, 7), (7, 2, 7), (9, 95, 7), (0, 95, 7), (0, 0, 0), (3, 1, 3), (3, 1, 3)])
+    kept = jaccard_join.keep_one(table)
+    assert kept.columns == table.columns
+    assert sorted((r["doc_id"] or 0, r["comp"]) for r in kept.collect()) == [(0, "e"), (3, "f"), (7, "a"), (7, "b")]
 
 
 def test_mixing(docs, rows, none):

@@ -1,21 +1,25 @@
 """Jaccard join of documents on word shingles by vertical partitioning.
 
-Shingles have one global order (their 64-bit code). It is cut into fragments; a pair's overlap is
-counted in each fragment separately and summed per pair. The first fragment is an inverted index
-over the head of every set: with sets a and b at similarity >= t, every shared shingle outside
-of the heads lies in the rest of the longer tail, so the two heads share at least a known number
-of shingles. Documents whose head can't reach that number with any others drop out before a pair
-is formed. Verified overlaps come from `FRAGMENTS` ranges of the order, each its own task key.
-
-Groups of copies: equal sets are one class. In the lists of the inverted index each document
-first meets one leader per round; after each round linked documents are one component, and pairs
-within a component need no check. What then still lies in different components and shares enough
-of the heads is verified pair by pair, so no link between components is lost and no group emits
-all its pairs.
+Shingles have one global order, from rare to common (number of different sets that hold them, then
+their 64-bit code). The order is cut into fragments; every set is cut at the same places, the overlap
+of a pair is counted in each fragment separately and summed per pair.
+
+Which pairs are counted follows from the order and loses none: a set at similarity >= t to any other
+shares at least ceil(t n) of its n shingles, so sets with fewer shingles that stand elsewhere drop
+out; two linked sets share one of the first n - ceil(t n) + 1 shingles of each, which are the rarest,
+so documents that only share a common passage never meet; and the places of the shared shingle must
+leave room for the overlap.
+
+Groups of copies: equal sets are one class. Twice each set is counted against one leader of the lists
+that it stands in; what links is one component, and sets of one component are never paired. All pairs
+of different components that still pass are counted. So no link between components is lost and no
+group emits all its pairs.
 
 Defined cases: null and empty texts have an empty set and link with nothing; texts shorter than a
-shingle are one shingle; repeated rows are in one class; empty tables give no rows; other columns
-of the input are ignored.
+shingle are one shingle; repeated rows and repeated ids are rows of their own (a class goes by its
+shingles, not by ids); component_id is the smallest doc_id that is not null, the row's own id (null
+too) if it links with nothing; texts of any length are read in whole, one in memory at a time at
+least; empty tables give no rows; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,16 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.shingles import concat, raw_texts, shingle_set
+from tidewire.llm.shingles import concat, places, release, releasing, shingle_sets, slices
 from tidewire.operators.components import connected_components
-from tidewire.runtime import settle
+from tidewire.runtime import drop, settle, unused
 
-FRAGMENTS = 8  # ranges of the global order, by its top bits
-SKETCH = 16  # codes of each head that look for a leader
-BROADCAST_IDS = 300_000  # at most so many ids (and a few numbers each) are sent to every executor
+FRAGMENTS = 8  # ranges of the global order with about equally many shingles
+BROADCAST_ROWS = 300_000  # rows of at most 24 bytes that are sent to every executor
 
 
 def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -43,41 +46,33 @@ def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return -(-(n * percent) // 100)
 
 
-def head_size(n: np.ndarray, percent: int) -> np.ndarray:
-    """Length of the indexed head: the prefix that must hold a shared shingle, and a tenth more."""
-    return np.minimum(n, n - needed(n, percent) + n // 10 + 1)
+def with_text_key(documents: DataFrame) -> DataFrame:
+    """doc_id, rid (a hash of the text) and text of every row."""
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"), text.alias("text"))
 
 
-def documents_only(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _small(rows: DataFrame) -> DataFrame:
+    """A settled table of keys, sent to every executor only while its rows are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def sets_of(documents: DataFrame, words: int, percent: int, most: int = 32 << 20) -> DataFrame:
-    """doc_id, n, a 128-bit digest and the head (its codes) of every document's shingle set."""
-    names, kinds = ["doc_id", "n", "digest", "head"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+def _node(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc, raw in zip(b.column(0).to_pylist(), raw_texts(b.column(1))):
-                s = shingle_set(raw, words)
-                head = s[: int(head_size(np.int64(len(s)), percent))].tobytes()
-                rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, head))
-                held += len(head)
-                if held > most:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return documents_only(documents).mapInArrow(run, "doc_id long, n long, digest binary, head binary")
+def sets_of(documents: DataFrame, words: int) -> DataFrame:
+    """doc_id, rid, n and node (64 bits of a digest, null for an empty set) of every row's shingle set."""
 
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole)):
+            codes, n = shingle_sets(b.column("text"), words)
+            ends = np.cumsum(n)
+            node = [_node(hashlib.blake2b(codes[e - k : e], digest_size=16).digest()) if k else None for e, k in zip(ends.tolist(), n.tolist())]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "rid": b.column("rid"), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64())})
 
-def _owned(ids: pa.Array, heads: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of all heads one after the other, and the document of each."""
-    parts = [np.frombuffer(h, np.uint64) for h in heads.to_pylist()]
-    return concat(parts, np.uint64), np.repeat(ids.to_numpy(), [len(x) for x in parts])
+    return with_text_key(documents).mapInArrow(run, "doc_id long, rid long, n long, node long")
 
 
 def _in_several(t: np.ndarray) -> np.ndarray:
@@ -89,221 +84,221 @@ def _in_several(t: np.ndarray) -> np.ndarray:
     return same
 
 
-def _shared_heads(sets: DataFrame, shards: int) -> DataFrame:
-    """doc_id and how many shingles of its head also stand in another document's head.
+def shared_counts(documents: DataFrame, words: int, shards: int) -> DataFrame:
+    """rid and how many shingles of that text stand in other rows too.
 
-    What several documents of a batch share is counted there and travels once, without an owner,
-    so a shingle of very many documents brings one entry a batch to its shard.
+    Shingles are dealt to shards by their code, as packed numbers: 32 bits each, and per text and
+    shard one id and a length. What several rows of a slice share is counted there and travels once,
+    without an owner, so a shingle of very many documents brings one entry a slice to its shard.
     """
-    names, kinds = ["shard", "base", "tokens", "docs"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    names, kinds = ["shard", "tokens", "rids", "sizes"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
+    @releasing
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t, d = _owned(b.column(0), b.column(1))
-            if not len(t):
+        for b in (part for whole in batches for part in slices(whole)):
+            codes, n = shingle_sets(b.column("text"), words)
+            if not len(codes):
                 continue
-            order = np.argsort(t)
-            t, d = t[order], d[order]
+            rid = b.column("rid").to_numpy(zero_copy_only=False)
+            own = np.repeat(np.arange(len(n)), n)
+            order = np.argsort(codes)
+            t = codes[order]
             same = _in_several(t)
+            inner = np.zeros(len(codes), bool)
+            inner[order[same]] = True
             rows: list[tuple] = []
-            if same.any():
-                ids, n = np.unique(d[same], return_counts=True)
-                rows.append((int(ids[0] % shards), None, n.astype(np.int64).tobytes(), ids.tobytes()))
-            one = np.append(True, t[1:] != t[:-1])
-            base = int(d.min()) - 1
-            d = np.where(same, 0, d - base)[one]  # 0: no owner
-            t = t[one]
-            # a well mixed code picks the shard; 32 other bits travel: a clash only keeps a document
-            with np.errstate(over="ignore"):
-                shard = ((t * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(shards)
-            order = np.lexsort((d, shard))
-            t, d, shard = t[order].astype(np.uint32), d[order], shard[order]
-            d = d.astype(np.int64 if int(d.max()) >= 1 << 32 else np.uint32)
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            for at, tt, dd in zip(np.append(0, cuts), np.split(t, cuts), np.split(d, cuts)):
-                rows.append((int(shard[at]), base, tt.tobytes(), dd.tobytes()))
+            held = np.bincount(own[inner], minlength=len(n))
+            # counts of what is already known to be shared ride along, marked by no tokens
+            known = np.flatnonzero(held)
+            if len(known):
+                rows.append((int(codes[0] % np.uint64(shards)), b"", rid[known].tobytes(), held[known].astype(np.int64).tobytes()))
+            common = np.unique(t[same])
+            alone = ~inner
+            t, o = np.concatenate([codes[alone], common]), np.concatenate([own[alone], np.full(len(common), -1)])
+            shard = (t >> np.uint64(32)) % np.uint64(shards)
+            order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+            t, o, shard = t[order].astype(np.uint32), o[order], shard[order]
+            cuts = np.append(0, np.flatnonzero(np.diff(shard)) + 1)
+            stops = np.append(cuts[1:], len(t))
+            for a, z in zip(cuts.tolist(), stops.tolist()):
+                mine = o[a:z]
+                head = np.append(0, np.flatnonzero(np.diff(mine)) + 1)
+                size = np.diff(np.append(head, len(mine)))
+                free = int(size[-1]) if mine[-1] < 0 else 0  # ownerless ones come last
+                who = rid[mine[head[: len(head) - bool(free)]]]
+                rows.append((int(shard[a]), t[a:z].tobytes(), who.tobytes(), size[: len(who)].astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def count(table: pa.Table) -> pa.Table:
-        tokens, docs, ids, counts = [], [], [], []
-        for base, t, d in zip(*(table.column(c).to_pylist() for c in ("base", "tokens", "docs"))):
-            if base is None:
-                ids.append(np.frombuffer(d, np.int64))
-                counts.append(np.frombuffer(t, np.int64))
+        tokens, owner, free, ids, counts = [], [], [], [], []
+        for t, r, s in zip(*(table.column(c).to_pylist() for c in ("tokens", "rids", "sizes"))):
+            r = np.frombuffer(r, np.int64)
+            if not t:
+                ids.append(r)
+                counts.append(np.frombuffer(s, np.int64))
                 continue
-            tokens.append(np.frombuffer(t, np.uint32))
-            owner = np.frombuffer(d, np.int64 if len(d) > len(t) else np.uint32).astype(np.int64)
-            docs.append(np.where(owner > 0, owner + base, np.iinfo(np.int64).min))
-        t, d = concat(tokens, np.uint32), concat(docs, np.int64)
+            t, s = np.frombuffer(t, np.uint32), np.frombuffer(s, np.uint32)
+            owner.append(np.concatenate([np.repeat(r, s), np.zeros(len(t) - int(s.sum()), np.int64)]))
+            free.append(np.arange(len(t)) >= int(s.sum()))
+            tokens.append(t)
+        t, r, f = concat(tokens, np.uint32), concat(owner, np.int64), concat(free, bool)
         order = np.argsort(t, kind="stable")
-        t, d = t[order], d[order]
-        found, n = np.unique(d[_in_several(t) & (d != np.iinfo(np.int64).min)], return_counts=True)
-        return pa.table({"doc_id": np.concatenate([found, *ids]), "n": np.concatenate([n.astype(np.int64), *counts])})
+        hit = _in_several(t[order]) & ~f[order]
+        found, k = np.unique(r[order[hit]], return_counts=True)
+        del tokens, owner, free, t, r, f, order, hit
+        release()
+        return pa.table({"rid": np.concatenate([found, *ids]), "k": np.concatenate([k.astype(np.int64), *counts])})
 
-    blobs = sets.where("n > 0 and doc_id is not null").select("doc_id", "head").mapInArrow(emit, "shard int, base long, tokens binary, docs binary")
-    found = blobs.groupBy("shard").applyInArrow(count, "doc_id long, n long")
-    return found.groupBy("doc_id").agg(F.sum("n").alias("shared"))
+    blobs = with_text_key(documents).mapInArrow(emit, "shard int, tokens binary, rids binary, sizes binary")
+    found = blobs.groupBy("shard").applyInArrow(count, "rid long, k long")
+    return found.groupBy("rid").agg(F.sum("k").alias("shared"))
 
 
-def _with_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (one row per doc_id) with one text each; wanted is sent out only while it is small."""
-    texts = documents_only(documents)
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    return texts.join(wanted, "doc_id")
+def tokens_of(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node, n and tokens of one text of each wanted rid."""
 
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole)):
+            codes, n = shingle_sets(b.column("text"), words)
+            edges = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "n": pa.array(n, pa.int64()), "tokens": pa.ListArray.from_arrays(edges, pa.array(codes.view(np.int64)))})
 
-def _heads(sets: DataFrame, alive: DataFrame) -> DataFrame:
-    """(token, doc_id, n, place) for the heads of the documents that are still in."""
+    texts = with_text_key(documents).join(_small(wanted), "rid").groupBy("node").agg(F.first("text").alias("text"))
+    return texts.mapInArrow(run, "node long, n long, tokens array<long>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t, d = _owned(b.column(0), b.column(2))
-            k = [len(h) // 8 for h in b.column(2).to_pylist()]
-            n = np.repeat(b.column(1).to_numpy(), k)
-            place = concat([np.arange(x, dtype=np.int32) for x in k], np.int32)
-            yield pa.RecordBatch.from_pydict({"token": pa.array(t.view(np.int64)), "doc_id": pa.array(d), "n": pa.array(n), "place": pa.array(place)})
 
-    if alive.count() <= BROADCAST_IDS:
-        alive = F.broadcast(alive)
-    return sets.select("doc_id", "n", "head").join(alive, "doc_id").mapInArrow(run, "token long, doc_id long, n long, place int")
+def _key(token: Column, count: Column) -> Column:
+    """A shingle's place in the global order as one number: its count, then its code."""
+    return count + (token.cast("double") / 2.0**64 + 0.5)
 
 
-def overlaps(documents: DataFrame, pairs: DataFrame, words: int, percent: int, per_task: int = 1500) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least `percent`, by summed fragment overlaps.
+def ordered_fragments(classes: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Per node and fragment: n, the place of its first shingle in the order, and the shingles by order.
 
-    a's segments are sent once to each task that holds some of its pairs; a document a in very
-    many pairs is salted over several tasks.
+    Only shingles of at least two classes are in there; they come after the others. The second value
+    lists settled tables that the first one reads.
     """
-    pairs = settle(pairs)
-    total = pairs.count()
-    buckets = max(1, math.ceil(total / per_task))
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("salts"))
-    salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    task = F.pmod(F.xxhash64("a", "salt"), F.lit(buckets)).cast("int")
-    salted = salted.withColumn("task", task)
-    as_b = salted.select(F.col("b").alias("doc_id"), "a", "task")
-    as_a = salted.select(F.col("a").alias("doc_id"), F.lit(None).cast("long").alias("a"), "task").distinct()
-    roles = as_b.unionByName(as_a).groupBy("doc_id").agg(F.collect_list(F.struct("a", "task")).alias("roles"))
-    shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["fragment", "task", "a", "b", "n", "segment"]
-        for batch in batches:
-            rows: list[tuple] = []
-            roles_at, text_at, id_at = (batch.schema.names.index(c) for c in ("roles", "text", "doc_id"))
-            for doc, raw, roles in zip(batch.column(id_at).to_pylist(), raw_texts(batch.column(text_at)), batch.column(roles_at).to_pylist()):
-                s = shingle_set(raw, words)
-                cuts = np.searchsorted(s >> shift, np.arange(1, FRAGMENTS, dtype=np.uint64))
-                for f, part in enumerate(np.split(s, cuts)):
-                    blob = part.tobytes()
-                    for r in roles:
-                        own = r["a"] is None
-                        rows.append((f, r["task"], doc if own else r["a"], None if own else doc, len(s), blob))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    def count(table: pa.Table) -> pa.Table:
-        a, b, n, blob = (table.column(c).to_pylist() for c in ("a", "b", "n", "segment"))
-        own = {x: (np.frombuffer(s, np.uint64), k) for x, y, k, s in zip(a, b, n, blob) if y is None}
-        out: list[tuple] = []
-        seen = set()
-        for x, y, k, s in zip(a, b, n, blob):
-            if y is not None and (x, y, k) not in seen:  # repeated rows of one document count once
-                seen.add((x, y, k))
-                mine, size = own[x]
-                theirs = np.frombuffer(s, np.uint64)
-                shared = 0
-                if len(mine) and len(theirs):
-                    at = np.searchsorted(mine, theirs)
-                    shared = int((mine[np.minimum(at, len(mine) - 1)] == theirs).sum())
-                out.append((x, y, size, k, shared))
-        cols = list(zip(*out)) if out else [()] * 5
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "na", "nb", "shared"), cols)})
-
-    parts = _with_texts(documents, settle(roles)).mapInArrow(segments, "fragment int, task int, a long, b long, n long, segment binary")
-    counted = parts.groupBy("fragment", "task").applyInArrow(count, "a long, b long, na long, nb long, shared long")
-    summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    tokens = classes.select("node", "n", F.explode("tokens").alias("token"))
+    counts = settle(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    cuts = counts.agg(F.percentile_approx(_key(F.col("token"), F.col("k")), [i / FRAGMENTS for i in range(1, FRAGMENTS)], 1000)).first()[0] or []
+    fragment = sum((F.when(_key(F.col("token"), F.col("k")) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    every = Window.partitionBy("node")
+    rows = tokens.join(counts, "token").withColumn("shared", F.count(F.lit(1)).over(every))
+    rows = rows.where(F.col("shared") * 100 >= F.col("n") * percent)
+    # the shingles that no other class has come first
+    rows = rows.withColumn("place", F.col("n") - F.col("shared") + F.row_number().over(every.orderBy("k", "token")) - 1)
+    packed = rows.withColumn("fragment", fragment).groupBy("node", "n", "fragment").agg(
+        F.array_sort(F.collect_list(F.struct("place", "token"))).alias("seg")
+    )
+    found = packed.select("node", "n", "fragment", F.col("seg")[0]["place"].alias("first"), F.col("seg.token").alias("seg"))
+    return settle(found), [counts]
+
+
+def overlaps(fragments: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose similarity is at least `percent`, by the sum of their overlaps in each fragment."""
+    one = fragments.select(F.col("node").alias("a"), "fragment", F.col("n").alias("na"), F.col("seg").alias("sa"))
+    two = fragments.select(F.col("node").alias("b"), "fragment", F.col("n").alias("nb"), F.col("seg").alias("sb"))
+    part = pairs.select("a", "b").join(one, "a").join(two, ["b", "fragment"])
+    part = part.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("part"))
+    summed = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("shared"))
     return summed.where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent).select("a", "b", "shared")
 
 
-def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80, rounds: int = 3, shard_rows: int = 3_000) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
-    sets = settle(sets_of(documents, words, percent))
-    classes = settle(sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
-    shards = max(8, math.ceil(sets.count() / shard_rows))
-    shared = _shared_heads(sets, shards)
-    size = classes.select(F.col("rep").alias("doc_id"), "n").distinct()
-    # partners may be as small as percent of n: the least that any of them asks for
-    low = F.floor(F.floor(F.col("n") * percent / 100) / 10) + 1
-    alive = settle(shared.join(size, "doc_id").where(F.col("shared") >= low).select("doc_id"))
-    heads = settle(_heads(sets, alive))
-    edges, comps = None, None
-
-    def with_components(rows: DataFrame) -> DataFrame:
+def _room(n: Column, m: Column, percent: int) -> Column:
+    """Least overlap of two sets of n and m shingles."""
+    return F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+
+
+def _links(fragments: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The linked pairs that hold the components together, and the components."""
+    last = F.col("n") - F.ceil(F.col("n") * percent / 100)  # a link shares a shingle at this place or before
+    heads = fragments.where(F.col("first") <= last).select("node", "n", "first", F.posexplode("seg").alias("at", "token"))
+    heads = heads.withColumn("rest", F.col("n") - F.col("first") - F.col("at")).where(F.col("n") - F.col("rest") <= last)
+    heads = settle(heads.select("token", "node", "n", "rest"))
+    edges, comps, used = None, None, [heads]
+
+    def lists() -> DataFrame:
         if comps is None:
-            return rows.select("token", "doc_id", "n", F.col("doc_id").alias("comp"))
-        return rows.join(comps, F.col("doc_id") == F.col("node"), "left").select(
-            "token", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")
-        )
-
-    for r in range(rounds):
-        # the first codes of a head are enough to meet a near copy; what they miss the last join finds
-        lists = settle(with_components(heads.where(F.col("place") < SKETCH)))
-        rank = F.col("doc_id") if r == 0 else F.xxhash64("doc_id", F.lit(r))
-        lead = lists.groupBy("token").agg(
-            F.min_by(F.struct("doc_id", "comp", "n"), rank).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-        ).where("lo <> hi").select("token", "lead")
-        near = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
-        met = lists.join(lead, "token").where(F.col("comp") != F.col("lead.comp")).where(near)
-        met = met.groupBy("doc_id", F.col("lead.doc_id").alias("a"), F.greatest("n", "lead.n").alias("m")).agg(F.count(F.lit(1)).alias("c"))
-        met = met.where(F.col("c") * 3 >= F.least(F.expr("m div 4 + 1"), F.lit(SKETCH)))
-        best = met.groupBy("doc_id").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-        linked = settle(overlaps(documents, best.select("a", F.col("doc_id").alias("b")), words, percent))
-        edges = linked if edges is None else edges.unionByName(linked)
-        comps = settle(connected_components(edges, "a", "b"))
-    # everything that still lies apart and shares enough of both heads
-    lists = settle(with_components(heads))
-    mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("token", "k")
-    # linked documents of two components share more than n // 10 of these tokens, n being the larger
-    # set's size; without the n // 10 commonest of each, the least common shared one is still in both
-    commonest = Window.partitionBy("doc_id", "n").orderBy(F.desc("k"), "token")
-    lists = lists.join(mixed, "token").withColumn("place", F.row_number().over(commonest))
-    lists = settle(lists.where("place > n div 10").select("token", "doc_id", "n", "comp"))
-    # components meet per token first, so members of one component are never paired with each other
-    inside = settle(lists.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
-    one, other = (inside.select("token", F.col("comp").alias(f"c{c}"), F.col("lo").alias(f"lo{c}"), F.col("hi").alias(f"hi{c}")) for c in "ab")
-    may = (F.col("ca") < F.col("cb")) & (F.col("hia") * 100 >= F.col("lob") * percent) & (F.col("hib") * 100 >= F.col("loa") * percent)
-    meet = one.join(other, "token").where(may).select("token", "ca", "cb")
-    x = lists.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = lists.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    apart = meet.join(x, ["token", "ca"]).join(y, ["token", "cb"]).where(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-
-    def tail(n: str):
-        whole = F.ceil(F.col(n) * percent / 100)
-        return F.greatest(whole - F.floor(F.col(n) / 10) - 1, F.lit(0))
-
-    least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9)
-    dropped = F.floor(F.greatest("na", "nb") / 10)
-    apart = apart.where(F.col("c") >= least - F.greatest(tail("na"), tail("nb")) - dropped).select("a", "b")
-    linked = settle(overlaps(documents, apart, words, percent))
-    comps = settle(connected_components(edges.unionByName(linked), "a", "b"))
-    named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    in_class = sets.join(named, "digest", "left")
-    return in_class.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """documents with one row for each component of near copies, the one with its smallest doc_id."""
-    found = settle(jaccard_components(documents, words, percent))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    few = gone.count() <= 4 * BROADCAST_IDS
-    kept = documents.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*documents.columns)
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+            return heads.withColumn("comp", F.col("node"))
+        known = comps.select("node", F.col("component").alias("comp"))
+        return heads.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def fits(n: str, m: str, rest: str, other: str) -> Column:
+        big, small = F.greatest(n, m), F.least(n, m)
+        return (small * 100 >= big * percent) & (F.least(rest, other) >= _room(F.col(n), F.col(m), percent))
+
+    for r in range(rounds + 1):
+        rows = settle(lists())
+        used.append(rows)
+        if r < rounds:
+            lead = rows.groupBy("token").agg(
+                F.min_by(F.struct("node", "comp", "n", "rest"), F.xxhash64("node", F.lit(r))).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+            ).where("lo <> hi").select("token", F.col("lead.node").alias("a"), F.col("lead.comp").alias("ca"), F.col("lead.n").alias("na"), F.col("lead.rest").alias("resta"))
+            met = rows.join(lead, "token").where((F.col("comp") != F.col("ca")) & fits("n", "na", "rest", "resta"))
+            met = met.groupBy("node", "a").agg(F.count(F.lit(1)).alias("c"))
+            pairs = met.groupBy("node").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("node").alias("b"))
+        else:
+            # components meet per token first, so members of one component are never paired with each other
+            inside = settle(rows.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest")))
+            used.append(inside)
+            one, two = (inside.select("token", *(F.col(c).alias(f"{c}{x}") for c in ("comp", "lo", "hi", "rest"))) for x in "ab")
+            may = (F.col("compa") < F.col("compb")) & (F.col("hia") * 100 >= F.col("lob") * percent) & (F.col("hib") * 100 >= F.col("loa") * percent)
+            may &= F.least("resta", "restb") >= _room(F.col("loa"), F.col("lob"), percent)
+            meet = one.join(two, "token").where(may).select("token", "compa", "compb")
+            x, y = (rows.select("token", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("comp").alias(f"comp{s}"), F.col("rest").alias(f"rest{s}")) for s in "ab")
+            pairs = meet.join(x, ["token", "compa"]).join(y, ["token", "compb"]).where(fits("na", "nb", "resta", "restb")).select("a", "b").distinct()
+        linked = settle(overlaps(fragments, pairs, percent))
+        old, edges = edges, linked if edges is None else settle(edges.unionByName(linked))
+        found = settle(connected_components(edges, "a", "b"))
+        if old is not None:
+            drop(old, linked)
+        if comps is not None:
+            drop(comps)
+        comps = found
+    drop(*used)
+    return edges, comps
+
+
+def _components(documents: DataFrame, words: int, percent: int, rounds: int, shard_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, rid, n and node; and, for nodes of more than one row, node and comp."""
+    sets = settle(sets_of(documents, words))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    shared = shared_counts(documents, words, max(8, math.ceil(total / shard_shingles)))
+    classes = sets.where("n > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    alive = shared.join(sets.where("n > 0").select("rid", "n", "node"), "rid").where(F.col("shared") * 100 >= F.col("n") * percent)
+    wanted = settle(alive.select("rid", "node").join(classes.select("rid", "node"), ["rid", "node"]).distinct())
+    tokens = settle(tokens_of(documents, wanted, words))
+    fragments, used = ordered_fragments(tokens, percent)
+    edges, comps = _links(fragments, percent, rounds)
+    copies = classes.where("copies > 1").select("node", F.col("node").alias("comp"))
+    linked = comps.select("node", F.col("component").alias("comp"))
+    found = settle(copies.join(linked.select("node"), "node", "left_anti").unionByName(linked))
+    drop(wanted, tokens, fragments, edges, comps, *used)
+    return sets, found
+
+
+def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80, rounds: int = 2, shard_shingles: int = 2_000_000) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    sets, found = _components(documents, words, percent, rounds, shard_shingles)
+    rows = sets.join(_small(found), "node", "left")
+    # a component's smallest id; partial minima meet, so its size does not matter
+    least = settle(rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")))
+    rows = rows.join(_small(least), "comp", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_one(documents: DataFrame, words: int = 5, percent: int = 80, rounds: int = 2, shard_shingles: int = 2_000_000) -> DataFrame:
+    """documents with one row for each component of near copies, the one with its smallest doc_id.
+
+    Rows are told apart by their text, not by doc_id: rows that share an id but not a component stay.
+    """
+    sets, found = _components(documents, words, percent, rounds, shard_shingles)
+    rid, key, comp, row = (unused(documents, c) for c in ("_rid", "_key", "_comp", "_row"))
+    known = settle(sets.join(_small(found), "node").select(F.col("rid").alias(key), F.col("comp").alias(comp)).distinct())
+    keyed = documents.withColumn(rid, F.xxhash64(F.col("text").cast("string")))
+    alone = keyed.join(_small(known), F.col(rid) == F.col(key), "left_anti").select(*documents.columns)
+    grouped = keyed.join(_small(known), F.col(rid) == F.col(key))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(rid), F.xxhash64(*documents.columns))
+    first = grouped.groupBy(comp).agg(F.min_by(F.struct(*documents.columns), order).alias(row)).select(f"{row}.*")
+    return alone.unionByName(first)

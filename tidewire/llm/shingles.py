@@ -1,30 +1,37 @@
-"""Words and word n-grams of texts as 64-bit codes, in numpy."""
+"""Words and word n-grams of many texts at once as 64-bit codes, in numpy.
+
+A word's code is a sum of random numbers, one for each byte, times powers of an odd number by their
+place, so the codes of all words of a batch come from one running sum; nothing is cached between
+batches, and memory follows the batch. Batches are cut into slices of a few MB before that.
+"""
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-_CODES: dict[bytes, int] = {}
-_MOST = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_WINDOW = 1 << 17  # bytes coded in one step; longer words are hashed as a whole
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _code(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+def _powers(base: int) -> np.ndarray:
+    out = np.ones(_WINDOW, np.uint64)
+    out[1:] = base
+    return np.multiply.accumulate(out)
 
 
-def word_codes(words: list[bytes]) -> np.ndarray:
-    """64-bit code of each word, by a bounded cache."""
-    if len(_CODES) > _MOST:
-        _CODES.clear()
-    known = _CODES
-    for w in set(words).difference(known):
-        known[w] = _code(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+_BASE = 0x2545F4914F6CDD1B  # 3 mod 8: its powers differ in low bits
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+_BYTES = np.random.default_rng(20250101).integers(1, 1 << 64, 256, np.uint64)
+_LOWER = _BYTES.copy()
+_LOWER[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -33,6 +40,49 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class Words:
+    """Places and codes of the words of some texts, which stand one after the other in `data`."""
+
+    def __init__(self, texts: pa.Array, lower: bool = False):
+        column = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = column.buffers()[2]
+        self.data = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]] if raw is not None else np.zeros(0, np.uint8)
+        edges = edges - edges[0]
+        inside = np.zeros(len(self.data) + 2, bool)
+        inside[1:-1] = ~_SPACE[self.data]
+        # a text's first byte begins a word whatever stands before it
+        first = inside[1:-1] & ~inside[:-2]
+        last = inside[1:-1] & ~inside[2:]
+        at = edges[1:-1][(edges[1:-1] > 0) & (edges[1:-1] < len(self.data))]
+        first[at] = inside[1:-1][at]
+        last[at - 1] = inside[1:-1][at - 1]
+        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        cuts = np.searchsorted(self.starts, edges)
+        self.begins, self.sizes = cuts[:-1], np.diff(cuts)
+        self.codes = self._codes(_LOWER if lower else _BYTES, lower)
+
+    def _codes(self, table: np.ndarray, lower: bool) -> np.ndarray:
+        out = np.zeros(len(self.starts), np.uint64)
+        at = 0
+        with np.errstate(over="ignore"):
+            while at < len(out):
+                base = int(self.starts[at])
+                upto = int(np.searchsorted(self.ends, base + _WINDOW, side="right"))
+                if upto <= at:
+                    word = self.data[base : self.ends[at]].tobytes()
+                    word = word.lower() if lower else word
+                    out[at] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+                    at += 1
+                    continue
+                s, e = self.starts[at:upto] - base, self.ends[at:upto] - base
+                run = np.zeros(int(e[-1]) + 1, np.uint64)
+                np.cumsum(table[self.data[base : base + int(e[-1])]] * _UP[: int(e[-1])], out=run[1:])
+                out[at:upto] = _stir((run[e] - run[s]) * _DOWN[s] + (e - s).astype(np.uint64) * _MIX)
+                at = upto
+        return out
+
+
 def ngram_codes(codes: np.ndarray, n: int) -> np.ndarray:
     """Code of each run of n words; empty if there are fewer."""
     size = len(codes) - n + 1
@@ -45,12 +95,67 @@ def ngram_codes(codes: np.ndarray, n: int) -> np.ndarray:
         return _stir(out)
 
 
+def places(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, one run after the other."""
+    return np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def shingle_sets(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-word shingles of each text with A-Z lower-cased, and how many each has.
+
+    A text with fewer words has one, the whole sequence; a text without words has none.
+    """
+    w = Words(texts, lower=True)
+    counts = np.where(w.sizes >= n, w.sizes - n + 1, np.minimum(w.sizes, 1))
+    begins = np.cumsum(counts) - counts
+    every = ngram_codes(w.codes, n)
+    at = places(w.begins, counts)
+    out = every[np.minimum(at, max(0, len(every) - 1))] if len(every) else np.zeros(len(at), np.uint64)
+    for k in np.flatnonzero((w.sizes > 0) & (w.sizes < n)):
+        out[begins[k]] = ngram_codes(w.codes[w.begins[k] : w.begins[k] + w.sizes[k]], int(w.sizes[k]))[0]
+    for a, c in zip(begins.tolist(), counts.tolist()):
+        if c > 1:
+            out[a : a + c].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[begins[counts > 0]] = True
+    return out[new], np.add.reduceat(np.append(new, False).astype(np.int64), begins) * (counts > 0) if len(counts) else counts
+
+
 def shingle_set(text: bytes, n: int = 5) -> np.ndarray:
-    """Sorted distinct n-word shingles of a text with A-Z lower-cased; one for a shorter text."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(ngram_codes(word_codes(words), min(n, len(words))))
+    """shingle_sets of one text."""
+    return shingle_sets(pa.array([text], pa.large_binary()), n)[0]
+
+
+def slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes each, by the lengths of column `text`."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // size
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def release() -> None:
+    """Give memory that a finished task no longer uses back; Python workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its allocator decides
+        pass
+
+
+def releasing(function):
+    """A mapInArrow function that gives its memory back at the end of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
 
 
 def raw_texts(column: pa.Array) -> Iterator[bytes]:

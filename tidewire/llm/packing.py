@@ -5,29 +5,35 @@ the whole order of placements is decided from a histogram of at most `capacity`
 driver holds that, never the documents. A segment tree over remaining capacities finds the
 tightest open bin in logarithmic time; equal documents that would go one after the other into
 bins of equal room are placed as one run, which gives the same packing as one by one. Each piece
-then finds its run from its rank among the pieces of its length, counted in salted parts so that
-a length shared by a third of all pieces is no single task.
+then finds its run from its rank among the pieces of its length, counted in salted parts whose
+number grows with the pieces of that length, so no length is a single task.
 
 Defined cases: null text is empty and becomes one piece of the one closing id; documents longer
-than the capacity are cut into full pieces and a last shorter one; repeated rows are packed one
-by one; an empty table gives no rows; other columns are ignored.
+than the capacity are cut into full pieces and a last shorter one, whatever their length; repeated
+rows (and rows of one id) are packed one by one; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.llm.shingles import codes_at, places, raw_texts, releasing, slices
 from tidewire.runtime import settle
 
 CAPACITY = 2048
+PART = 100_000  # pieces of one length that one task numbers, about
 
 
 class RoomTree:
@@ -101,50 +107,191 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tu
     return runs, bins
 
 
-class WordIds:
-    """Token ids of texts, word by word, with a bounded cache of words.
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _alphabet() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _kinds() -> np.ndarray:
+    """0 for white space, 1 for bytes of letters, 2 for digits, 3 for signs; of lower-cased plain texts."""
+    kind = np.full(256, 3, np.uint8)
+    kind[[0x20, *range(0x09, 0x0E)]] = 0
+    kind[ord("a") : ord("z") + 1] = 1
+    kind[0x80:] = 1
+    kind[ord("0") : ord("9") + 1] = 2
+    return kind
+
+
+_KIND = _kinds()
+
+
+def _odd(data: np.ndarray) -> np.ndarray:
+    """Bytes that are not plain: characters beyond U+00FF and those between letters, and the start of a special token.
 
-    The tokenizer's pieces never span white space, so the ids of a text are those of its
-    white-space separated words in order; new words of a batch are encoded in one call.
+    Plain ones are kept by NFC and are lower-cased one by one.
     """
+    before = np.append(np.uint8(0), data[:-1])
+    behind = np.append(data[1:], np.uint8(0))
+    second = (before == 0xC3) & (data != 0x97) & (data != 0xB7)
+    return ((data >= 0x80) & (data != 0xC3) & ~second) | ((data == ord("<")) & (behind == ord("|")))
+
+
+def plain_pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Plain text lower-cased, and where its pieces start and end: by the pattern _SPLIT, in whole arrays."""
+    low = data.copy()
+    low[(data >= 65) & (data <= 90)] += 32
+    second = np.append(False, data[:-1] == 0xC3)
+    low[second & (data >= 0x80) & (data <= 0x9E)] += 32
+    kind = _KIND[low]
+    cut = np.ones(len(low) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    # a sign run that begins with an apostrophe: 's 't 'm 'd 're 've 'll are pieces of their own
+    at = np.flatnonzero((low == ord("'")) & cut[:-1])
+    one, two = (np.append(low, np.zeros(2, np.uint8))[at + k] for k in (1, 2))
+    size = np.where(np.isin(one, np.frombuffer(b"stmd", np.uint8)), 2, 0)
+    e, l = ord("e"), ord("l")  # noqa: E741
+    size[((one == ord("r")) | (one == ord("v"))) & (two == e) | (one == l) & (two == l)] = 3
+    at, size = at[size > 0], size[size > 0]
+    cut[at + 1] = False
+    cut[at + size] = True
+    edges = np.flatnonzero(cut)
+    word = kind[edges[:-1]] > 0
+    return low, edges[:-1][word], edges[1:][word]
 
-    def __init__(self, path: str, most: int = 150_000):
-        from tokenizers import Tokenizer
+
+class WordIds:
+    """Token ids of texts, piece by piece, with a bounded cache of pieces.
+
+    A tokenizer that drops white space, lower-cases and marks word ends encodes each letter run,
+    digit or sign run on its own. So the pieces of a group of texts are found and coded in whole
+    arrays, and only new ones are encoded, many in one call and without the tracking of offsets; the
+    ids that end a word part them again. Pieces not seen lately make room when the cache is full.
+    Texts with other than plain Latin characters go word by word by the tokenizer's own rules, and
+    a tokenizer of another kind gets whole texts.
+    """
+
+    def __init__(self, path: str, most: int = 300_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
         self.most = most
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode words that are not in the cache, many as one text; offsets part their ids."""
-        new = list(words)
-        for at in range(0, len(new), 2000):
-            part = [w.decode("utf-8") for w in new[at : at + 2000]]
+        self.cache: dict[int | bytes, bytes] = {}
+        self.older: dict[int | bytes, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0] if "pretokenizers" in (spec["pre_tokenizer"] or {}) else {}
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.by_piece = (
+            model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"] and not model["ignore_merges"]
+            and kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": _SPLIT} and split.get("invert") is True
+        )
+        if self.by_piece:
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.letters = _alphabet() | {ord("\n"): "\n"}
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[k for w, k in model["vocab"].items() if w.endswith("</w>")]] = True
+
+    def _room(self, keys: list) -> list:
+        """The places of the keys that have to be encoded now; others are in the cache after this."""
+        new = [k for k, w in enumerate(keys) if w not in self.cache]
+        if len(self.cache) + len(new) > self.most:
+            self.older, self.cache, new = self.cache, {}, range(len(keys))
+        found = [k for k in new if keys[k] in self.older]
+        for k in found:
+            self.cache[keys[k]] = self.older[keys[k]]
+        return [k for k in new if keys[k] not in self.cache]
+
+    def _learn(self, keys: list[int], new: list[bytes], most: int = 100) -> None:
+        """Encode plain pieces."""
+        parts = [b"\n".join(new[at : at + most]).decode("latin-1").translate(self.letters) for at in range(0, len(new), most)]
+        found = [np.array(e.ids, dtype="<u4") for e in self.bare.encode_batch_fast(parts, add_special_tokens=False)]
+        ids = np.concatenate(found)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(new):
+            raise ValueError("pieces and word ends do not agree")
+        raw, at = ids.tobytes(), 0
+        for key, end in zip(keys, cuts.tolist()):
+            self.cache[key] = raw[at:end]
+            at = end
+
+    def _learn_words(self, new: list[bytes]) -> None:
+        """Encode whole words by the tokenizer's own rules; offsets part their ids."""
+        for at in range(0, len(new), 1000):
+            part = [w.decode() for w in new[at : at + 1000]]
             found = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
             sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
-            starts = np.cumsum(sizes) - sizes
             begin = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-            ids = np.array(found.ids, dtype="<u4")
-            cuts = np.searchsorted(begin, starts)
-            edges = np.append(cuts, len(ids)).tolist()
-            raw = ids.tobytes()
-            for k, w in enumerate(new[at : at + 2000]):
+            edges = np.append(np.searchsorted(begin, np.cumsum(sizes) - sizes), len(found.ids)).tolist()
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            for k, w in enumerate(new[at : at + 1000]):
                 self.cache[w] = raw[4 * edges[k] : 4 * edges[k + 1]]
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of plain texts."""
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        low, starts, ends = plain_pieces(data)
+        where, codes = pd.factorize(codes_at(low, starts, ends))
+        first = np.zeros(len(codes), np.int64)
+        first[where[::-1]] = np.arange(len(where))[::-1]
+        keys = codes.tolist()
+        if new := self._room(keys):
+            raw, a, z = low.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
+            self._learn([keys[k] for k in new], [raw[i:j] for i, j in zip(a, z)])
+        found = [self.cache[k] for k in keys]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")[places((np.cumsum(size) - size)[where], size[where])].tobytes()
+        stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        upto = np.append(0, np.cumsum(size[where]))[np.searchsorted(starts, stops)].tolist()
+        return [ids[4 * a : 4 * z] for a, z in zip([0, *upto], upto)]
+
+    def _words(self, text: bytes) -> bytes:
+        """The ids of any text, word by word."""
+        words = text.split()
+        every = list(set(words))
+        self._learn_words([every[k] for k in self._room(every)])
+        return b"".join(map(self.cache.__getitem__, words))
+
+    def _group(self, texts: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        odd = np.append(0, np.cumsum(_odd(data)))[np.minimum(np.append(0, stops), len(data))]
+        plain = (odd[1:] == odd[:-1]).tolist()
+        ids = iter(self._plain([t for t, p in zip(texts, plain) if p]) if any(plain) else ())
+        return [next(ids) if p else self._words(t) for t, p in zip(texts, plain)]
+
+    def _parts(self, text: bytes, size: int) -> Iterator[bytes]:
+        """The text, in parts that end at white space."""
+        at = 0
+        while len(text) - at > size and (gap := _SPACE.search(text, at + size)):
+            yield text[at : gap.start()]
+            at = gap.end()
+        yield text[at:]
+
+    def encode(self, texts: list[bytes], group: int = 2 << 20) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        for text in texts:
-            words = text.split()
-            new = set(words).difference(self.cache)
-            if new:
-                if len(self.cache) + len(new) > self.most:
-                    self.cache.clear()
-                    new = set(words)
-                self.learn(new)
-            yield b"".join(map(self.cache.__getitem__, words))
-
+        if not self.by_piece:
+            for found in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
+                yield np.array(found.ids, dtype="<u4").tobytes()
+            return
+        at = 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= group):
+                size += len(texts[upto])
+                upto += 1
+            if size > group:  # one long text
+                yield b"".join(self._group([part])[0] for part in self._parts(texts[at], group))
+            else:
+                yield from self._group(texts[at:upto])
+            at = upto
 
-_ENCODERS: dict[str, WordIds] = {}
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -153,18 +300,16 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_
     """The pieces of every document: its ids and a closing id 0, cut at the capacity."""
     schema = PIECE_SCHEMA + (", ids binary" if keep_ids else "")
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = WordIds(tokenizer)
-        encoder = _ENCODERS[tokenizer]
-        for batch in batches:
+        encoder = WordIds(tokenizer)
+        for batch in (part for whole in batches for part in slices(whole)):
             rows: list[tuple] = []
-            docs = batch.column(0).to_pylist()
-            texts = (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1).cast(pa.binary()))
-            for doc, raw in zip(docs, encoder.encode(texts)):
+            docs = batch.column("doc_id").to_pylist()
+            for doc, raw in zip(docs, encoder.encode(list(raw_texts(batch.column("text"))))):
                 raw += b"\0\0\0\0"
                 step = 4 * capacity
                 for k, at in enumerate(range(0, len(raw), step)):
@@ -178,39 +323,44 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, parts: int = 64, keep_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, part: int = PART, keep_ids: bool = False) -> DataFrame:
     """The pieces of every document with sequence_id and offset."""
+    spark = documents.sparkSession
     cut = settle(pieces(documents, tokenizer, capacity, keep_ids))
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")
-    salted = cut.withColumn("part", salt)
-    # at most capacity * parts rows, whatever the corpus: counts for the plan and first ranks
-    table = salted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    counts = {int(k): int(v) for k, v in table.groupby("length")["n"].sum().items()}
+    # at most `capacity` counts for the plan
+    counts = {int(k): int(n) for k, n in cut.groupBy("length").agg(F.count(F.lit(1))).collect()}
     runs, _ = plan_runs(counts, capacity)
     by_length: dict[int, list[tuple]] = {}
     for length, *run in runs:
         by_length.setdefault(length, []).append(tuple(run))
     plan = {k: (np.array([r[0] for r in v]), np.array(v, dtype=np.int64)) for k, v in by_length.items()}
-    table = table.sort_values(["length", "part"])
-    table["first"] = table.groupby("length")["n"].cumsum() - table["n"]
-    firsts = np.zeros((capacity + 1, parts), dtype=np.int64)
-    firsts[table["length"].to_numpy(dtype=int), table["part"].to_numpy(dtype=int)] = table["first"]
+    # a length's pieces are numbered in as many parts as they need: capacity + pieces / part numbers in all
+    parts = [(k, -(-n // part)) for k, n in counts.items()]
+    salted = cut.join(F.broadcast(spark.createDataFrame(parts, "length long, parts long")), "length")
+    salted = salted.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
+    firsts: dict[tuple[int, int], int] = {}
+    upto = dict.fromkeys(counts, 0)
+    for length, salt, n in sorted(map(tuple, salted.groupBy("length", "part").agg(F.count(F.lit(1))).collect())):
+        firsts[length, salt] = upto[length]
+        upto[length] += n
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start")
     ranked = salted.withColumn("rank", F.row_number().over(order).cast("long") - 1)
-    shared = documents.sparkSession.sparkContext.broadcast((plan, firsts))
+    shared = spark.sparkContext.broadcast((plan, firsts))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, firsts = shared.value
         for batch in batches:
-            length = batch.column("length").to_numpy()
-            part = batch.column("part").to_numpy()
-            rank = batch.column("rank").to_numpy() + firsts[length, part]
+            length, salt = batch.column("length").to_numpy(), batch.column("part").to_numpy()
+            rank = batch.column("rank").to_numpy().copy()
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for value in np.unique(length):
-                mine = length == value
-                begins, run = plan[int(value)]
-                hit = run[np.searchsorted(begins, rank[mine], side="right") - 1]
-                behind = rank[mine] - hit[:, 0]
+            order = np.lexsort((salt, length))
+            cuts = np.flatnonzero((np.diff(length[order]) != 0) | (np.diff(salt[order]) != 0)) + 1
+            for mine in np.split(order, cuts) if len(order) else ():
+                value = int(length[mine[0]])
+                begins, run = plan[value]
+                at = rank[mine] + firsts[value, int(salt[mine[0]])]
+                hit = run[np.searchsorted(begins, at, side="right") - 1]
+                behind = at - hit[:, 0]
                 sequence[mine] = hit[:, 2] + behind // hit[:, 3]
                 offset[mine] = hit[:, 4] + behind % hit[:, 3] * value
             out = {c: batch.column(c) for c in names}

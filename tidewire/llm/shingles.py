@@ -40,6 +40,29 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def codes_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit code of the bytes of each word, A-Z lower-cased if `lower`; words are in order."""
+    table = _LOWER if lower else _BYTES
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(out):
+            base = int(starts[at])
+            upto = int(np.searchsorted(ends, base + _WINDOW, side="right"))
+            if upto <= at:
+                word = data[base : ends[at]].tobytes()
+                word = word.lower() if lower else word
+                out[at] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+                at += 1
+                continue
+            s, e = starts[at:upto] - base, ends[at:upto] - base
+            run = np.zeros(int(e[-1]) + 1, np.uint64)
+            np.cumsum(table[data[base : base + int(e[-1])]] * _UP[: int(e[-1])], out=run[1:])
+            out[at:upto] = _stir((run[e] - run[s]) * _DOWN[s] + (e - s).astype(np.uint64) * _MIX)
+            at = upto
+    return out
+
+
 class Words:
     """Places and codes of the words of some texts, which stand one after the other in `data`."""
 
@@ -60,27 +83,7 @@ class Words:
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         cuts = np.searchsorted(self.starts, edges)
         self.begins, self.sizes = cuts[:-1], np.diff(cuts)
-        self.codes = self._codes(_LOWER if lower else _BYTES, lower)
-
-    def _codes(self, table: np.ndarray, lower: bool) -> np.ndarray:
-        out = np.zeros(len(self.starts), np.uint64)
-        at = 0
-        with np.errstate(over="ignore"):
-            while at < len(out):
-                base = int(self.starts[at])
-                upto = int(np.searchsorted(self.ends, base + _WINDOW, side="right"))
-                if upto <= at:
-                    word = self.data[base : self.ends[at]].tobytes()
-                    word = word.lower() if lower else word
-                    out[at] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-                    at += 1
-                    continue
-                s, e = self.starts[at:upto] - base, self.ends[at:upto] - base
-                run = np.zeros(int(e[-1]) + 1, np.uint64)
-                np.cumsum(table[self.data[base : base + int(e[-1])]] * _UP[: int(e[-1])], out=run[1:])
-                out[at:upto] = _stir((run[e] - run[s]) * _DOWN[s] + (e - s).astype(np.uint64) * _MIX)
-                at = upto
-        return out
+        self.codes = codes_at(self.data, self.starts, self.ends, lower)
 
 
 def ngram_codes(codes: np.ndarray, n: int) -> np.ndarray:

@@ -161,14 +161,15 @@ def test_word_ids_with_special_strings():
 def test_lines(spark, docs, rows, none):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, min_sites=10).collect()}
     assert len(got) == len(rows)
-    sites, befores = {}, {}
-    for r in rows:
-        last = ""
-        for line in ([] if r[1] is None else r[1].split("\n")):
-            sites.setdefault(line.strip(), set()).add(r[3])
-            befores.setdefault(line.strip(), set()).add(last)
-            last = line.strip()
-    bad = {x for x in sites if x and len(sites[x]) >= 10 and len(befores[x]) >= 10}
+    def wide(some):
+        sites = {}
+        for r in some:
+            for line in [] if r[1] is None else r[1].split("\n"):
+                sites.setdefault(line.strip(), set()).add(r[3])
+        return {x for x in sites if x and len(sites[x]) >= 10}
+
+    first = wide(rows)
+    bad = first & wide([r for r in rows if r[1] is not None and sum(len(x) for x in r[1].split("\n") if x.strip() in first) * 100 < 80 * len(r[1].replace("\n", ""))])
     assert "shared footer line" in bad
     for r in rows:
         if r[1] is None:
@@ -179,6 +180,17 @@ def test_lines(spark, docs, rows, none):
     # a whole text copied to many sites is no boilerplate
     copies = spark.createDataFrame([(k, "one\ntwo", None, f"s{k}", 1, None, None) for k in range(40)], SCHEMA)
     assert line_dedup.dedup_lines(copies).where("n_removed > 0").count() == 0
+    # all lines of a notice go, wherever they stand, and from copies too
+    notice = "Cookies.\n\tRead our policy \nAll rights reserved"
+    pages = [(f"banner\nThe text of page {k} stands here, and on no other page.\n\n{notice}", f"s{k}") for k in range(60)] + [("a copy that stands on many sites\nbanner", f"s{k}") for k in range(40)]
+    some = spark.createDataFrame([(k, *p, 1, 2) for k, p in enumerate(pages)], "doc_id long, text string, source string, _kept int, line_key int")
+    left = line_dedup.dedup_lines(some)
+    assert left.columns == [*some.columns, "n_lines", "n_removed"]
+    got = {r["text"]: r["n_removed"] for r in left.collect()}
+    assert got == {f"The text of page {k} stands here, and on no other page.\n": 4 for k in range(60)} | {"a copy that stands on many sites": 1}
+    many = line_dedup.boilerplate_lines(some)
+    more = spark.range(line_dedup.INLINE_LINES + 1).select(F.col("id").alias("line_key")).unionByName(many)
+    assert {r["text"]: r["n_removed"] for r in line_dedup.remove_lines(some, more).collect()} == got
     assert line_dedup.dedup_lines(none).count() == 0
 
 

@@ -1,19 +1,23 @@
 """Cross-site boilerplate lines by their distinct-site spread.
 
-A line (trimmed) is boilerplate when it stands on at least `min_sites` distinct sites and follows
-at least `min_sites` different lines. The second spread tells boilerplate, which turns up in many
-surroundings, from the lines of a text that was copied as a whole to many sites; copies are the
-business of the near-duplicate operators. Both spreads are HyperLogLog sketches per line hash,
-built map-side and merged by aggregation; lines whose estimate comes within `band` of the
-threshold get exact distinct counts. Sketches are only built for lines with at least min_sites
-occurrences, since rarer lines can't have that many sites.
-
-Boilerplate lines are removed from every document; other lines, blank ones included, stay as they
-are and in order.
-
-Defined cases: null text stays null, has no lines and loses none; a null source is a site of its
-own; the line before the first one is the empty line; repeated rows count like any others; empty
-tables give no rows; extra columns pass through.
+A line (trimmed) is boilerplate when it stands on at least `min_sites` distinct sites. The spread is a
+HyperLogLog sketch per line hash, built map-side and merged by aggregation; lines whose estimate comes
+within `band` of the threshold get exact distinct counts. Sketches are only built for lines with at
+least min_sites occurrences, since rarer lines can't have that many sites.
+
+A text that was copied as a whole to many sites is no boilerplate; copies are the business of the
+near-duplicate operators. So the spread is taken twice: a document of which at least `copied` percent
+of the characters are lines that passed is a copy, and only lines that still pass without the
+copies are boilerplate. They are removed from every document; other lines, blank ones included, stay
+as they are and in order.
+
+The texts are split and hashed once for all counts; the narrow rows are written, and each step reads
+those of its lines only.
+
+Defined cases: null text stays null, has no lines and loses none; a null source is a site of its own;
+repeated rows count like any others, and each is a document; a text of any length is one row of one
+task; empty tables give no rows; extra columns pass through, whatever their names (but n_lines and
+n_removed, which are set).
 """
 
 from __future__ import annotations
@@ -21,9 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.runtime import settle
+from tidewire.runtime import drop, settle, unused
 
 MIN_SITES = 10
+COPIED = 80
 BROADCAST_LINES = 200_000  # 64-bit hashes; more than that are joined by a shuffle
 INLINE_LINES = 5_000  # hashes that go into the plan as a set; more are joined
 
@@ -34,70 +39,75 @@ def _lines(text: Column) -> Column:
 
 def _key(line: Column) -> Column:
     """Hash of the trimmed line, null for a blank one."""
-    bare = F.trim(F.translate(line, "\t\r", "  "))
+    bare = F.trim(F.when(line.contains("\t") | line.contains("\r"), F.translate(line, "\t\r", "  ")).otherwise(line))
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def boilerplate_lines(documents: DataFrame, min_sites: int = MIN_SITES, lg_k: int = 12, band: float = 0.1) -> DataFrame:
-    """One column, line_key: the hashes of the boilerplate lines."""
-    keyed = documents.where(F.col("text").isNotNull()).select(
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_LINES else keys
+
+
+def wide_lines(seen: DataFrame, min_sites: int, lg_k: int, band: float) -> DataFrame:
+    """The line_key of lines on at least min_sites distinct sites."""
+    sketches = settle(seen.groupBy("line_key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites")))
+    under, over = min_sites * (1 - band) - 1, min_sites * (1 + band) + 1
+    near = sketches.where((F.col("sites") >= under) & (F.col("sites") <= over)).select("line_key")
+    # distinct pairs first, so a line on very many rows is pre-aggregated before any shuffle
+    pairs = seen.join(_few(near), "line_key", "left_semi").select("line_key", "site").distinct()
+    exact = pairs.groupBy("line_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("line_key")
+    found = settle(sketches.where(F.col("sites") > over).select("line_key").unionByName(exact))
+    drop(sketches)
+    return found
+
+
+def boilerplate_lines(documents: DataFrame, min_sites: int = MIN_SITES, lg_k: int = 12, band: float = 0.1, copied: int = COPIED) -> DataFrame:
+    """One settled column, line_key: the hashes of the boilerplate lines."""
+    text = F.col("text").cast("string")
+    cut = documents.where(F.col("text").isNotNull()).select(
         F.coalesce(F.xxhash64(F.col("source").cast("string")), F.lit(0)).alias("site"),
-        F.transform(_lines(F.col("text")), _key).alias("keys"),
+        F.monotonically_increasing_id().alias("row"),
+        F.length(text).alias("chars"),
+        _lines(text).alias("lines"),
     )
-    seen = keyed.select("site", F.posexplode("keys").alias("pos", "line_key"), "keys").select(
-        "site", "line_key", F.when(F.col("pos") > 0, F.expr("coalesce(keys[pos - 1], 0L)")).otherwise(F.lit(0)).alias("before")
-    ).where("line_key is not null")
-    often = seen.groupBy("line_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("line_key")
-    often = settle(often)
-    if often.count() <= BROADCAST_LINES:
-        often = F.broadcast(often)
-    # the text is read once for this; counting and exact checks read the narrow rows
-    some = settle(seen.join(often, "line_key", "left_semi"))
-    sketches = settle(
-        some.groupBy("line_key").agg(
-            F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"),
-            F.hll_sketch_estimate(F.hll_sketch_agg("before", F.lit(lg_k))).alias("befores"),
-        )
-    )
-    under, over = min_sites * (1 - band) - 1, min_sites * (1 + band) + 1
-    maybe = sketches.where((F.col("sites") >= under) & (F.col("befores") >= under))
-    sure = maybe.where((F.col("sites") > over) & (F.col("befores") > over)).select("line_key")
-    near = maybe.where((F.col("sites") <= over) | (F.col("befores") <= over)).select("line_key")
-    # exact: distinct pairs first, so a line on very many rows is pre-aggregated before any shuffle
-    pairs = some.join(near, "line_key", "left_semi")
-    sites = pairs.select("line_key", "site").distinct().groupBy("line_key").agg(F.count(F.lit(1)).alias("s"))
-    befores = pairs.select("line_key", "before").distinct().groupBy("line_key").agg(F.count(F.lit(1)).alias("b"))
-    exact = sites.join(befores, "line_key").where((F.col("s") >= min_sites) & (F.col("b") >= min_sites)).select("line_key")
-    return sure.unionByName(exact)
+    each = cut.select("site", "row", (F.col("chars") - F.size("lines") + 1).alias("chars"), F.explode("lines").alias("line"))
+    seen = settle(each.select("site", "row", "chars", _key(F.col("line")).alias("line_key"), F.length("line").alias("size")).where("line_key is not null"))
+    often = settle(seen.groupBy("line_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("line_key"))
+    some = settle(seen.join(_few(often), "line_key", "left_semi"))
+    wide = wide_lines(some, min_sites, lg_k, band)
+    held = settle(some.join(_few(wide), "line_key", "left_semi"))
+    copies = held.groupBy("row", "chars").agg(F.sum("size").alias("held")).where(F.col("held") * 100 >= F.col("chars") * copied).select("row")
+    found = wide_lines(held.join(copies, "row", "left_anti"), min_sites, lg_k, band)
+    drop(seen, often, some, wide, held)
+    return found
 
 
 def remove_lines(documents: DataFrame, boilerplate: DataFrame) -> DataFrame:
     """documents with text without the boilerplate lines, and n_lines and n_removed.
 
-    Only hashes are joined to the boilerplate table; of the documents, the positions to drop come
-    back, and are sent out to the documents while they are few, else joined by doc_id.
+    A bounded number of hashes goes into the plan; more are joined to the hashes of the lines, and
+    the positions to drop come back by a hash of the text.
     """
-    boilerplate = settle(boilerplate)
     keys = [r[0] for r in boilerplate.limit(INLINE_LINES + 1).collect()]
-    lines = _lines(F.col("text"))
+    every, kept_lines, row, dropped, at = (unused(documents, c) for c in ("_all", "_kept", "_text_key", "_dropped", "_at"))
+    text = F.col("text").cast("string")
+    lines = _lines(text)
     if len(keys) <= INLINE_LINES:
         # a bounded set of hashes: decided inside each row, without any shuffle
         keep = (lambda x: ~F.coalesce(_key(x).isin(keys), F.lit(False))) if keys else (lambda x: F.lit(True))
-        kept = documents.withColumn("_all", F.size(lines)).withColumn("_kept", F.filter(lines, keep))
+        kept = documents.withColumn(every, F.size(lines)).withColumn(kept_lines, F.filter(lines, keep))
     else:
-        row = F.xxhash64("doc_id", "text")
-        ids = documents.select(row.alias("_row"), F.posexplode(F.transform(lines, _key)).alias("_pos", "line_key"))
-        drop = ids.join(boilerplate, "line_key", "left_semi").groupBy("_row").agg(F.collect_set("_pos").alias("_drop"))
-        joined = documents.withColumn("_row", row).join(drop, "_row", "left")
-        kept = joined.withColumn("_all", F.size(lines)).withColumn(
-            "_kept", F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(F.col("_drop"), i), F.lit(False)))
-        ).drop("_drop", "_row")
+        ids = documents.select(F.xxhash64(text).alias(row), F.posexplode(lines).alias(at, "line")).select(row, at, _key(F.col("line")).alias("line_key"))
+        gone = ids.join(boilerplate, "line_key", "left_semi").groupBy(row).agg(F.collect_set(at).alias(dropped))
+        joined = documents.withColumn(row, F.xxhash64(text)).join(gone, row, "left")
+        kept = joined.withColumn(every, F.size(lines)).withColumn(
+            kept_lines, F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(F.col(dropped), i), F.lit(False)))
+        ).drop(dropped, row)
     none = F.col("text").isNull()
     return (
-        kept.withColumn("n_lines", F.when(none, 0).otherwise(F.col("_all")).cast("long"))
-        .withColumn("n_removed", F.when(none, 0).otherwise(F.col("_all") - F.size("_kept")).cast("long"))
-        .withColumn("text", F.array_join("_kept", "\n"))
-        .drop("_all", "_kept")
+        kept.withColumn("n_lines", F.when(none, 0).otherwise(F.col(every)).cast("long"))
+        .withColumn("n_removed", F.when(none, 0).otherwise(F.col(every) - F.size(kept_lines)).cast("long"))
+        .withColumn("text", F.array_join(kept_lines, "\n"))
+        .drop(every, kept_lines)
     )
 
 

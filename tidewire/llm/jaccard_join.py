@@ -146,12 +146,23 @@ def shared_counts(documents: DataFrame, words: int, shards: int) -> DataFrame:
         hit = _in_several(t[order]) & ~f[order]
         found, k = np.unique(r[order[hit]], return_counts=True)
         del tokens, owner, free, t, r, f, order, hit
+        r, k = np.concatenate([found, *ids]), np.concatenate([k.astype(np.int64), *counts])
+        home = r % shards
+        order = np.argsort(home, kind="stable")
+        home, r, k = home[order], r[order], k[order]
+        cuts = np.flatnonzero(np.diff(home)) + 1
+        parts = [(int(h[0]), x.tobytes(), y.tobytes()) for h, x, y in zip(np.split(home, cuts), np.split(r, cuts), np.split(k, cuts)) if len(h)]
         release()
-        return pa.table({"rid": np.concatenate([found, *ids]), "k": np.concatenate([k.astype(np.int64), *counts])})
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("home", "rids", "ks"), zip(*parts) if parts else ((), (), ()), (pa.int32(), pa.binary(), pa.binary()))})
+
+    def add(table: pa.Table) -> pa.Table:
+        r, k = (concat([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()], np.int64) for c in ("rids", "ks"))
+        found, at = np.unique(r, return_inverse=True)
+        return pa.table({"rid": found, "shared": np.bincount(at, k, len(found)).astype(np.int64)})
 
     blobs = with_text_key(documents).mapInArrow(emit, "shard int, tokens binary, rids binary, sizes binary")
-    found = blobs.groupBy("shard").applyInArrow(count, "rid long, k long")
-    return found.groupBy("rid").agg(F.sum("k").alias("shared"))
+    found = blobs.groupBy("shard").applyInArrow(count, "home int, rids binary, ks binary")
+    return found.groupBy("home").applyInArrow(add, "rid long, shared long")
 
 
 def tokens_of(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -216,7 +227,7 @@ def _links(fragments: DataFrame, percent: int, rounds: int) -> tuple[DataFrame,
     heads = fragments.where(F.col("first") <= last).select("node", "n", "first", F.posexplode("seg").alias("at", "token"))
     heads = heads.withColumn("rest", F.col("n") - F.col("first") - F.col("at")).where(F.col("n") - F.col("rest") <= last)
     heads = settle(heads.select("token", "node", "n", "rest"))
-    edges, comps, used = None, None, [heads]
+    edges, comps, tested, used = None, None, None, [heads]
 
     def lists() -> DataFrame:
         if comps is None:
@@ -232,12 +243,20 @@ def _links(fragments: DataFrame, percent: int, rounds: int) -> tuple[DataFrame,
         rows = settle(lists())
         used.append(rows)
         if r < rounds:
+            # the set with the fewest shingles before this one is closest to what a group shares
+            rank = F.struct(F.col("n") - F.col("rest"), F.xxhash64("node", F.lit(r)))
             lead = rows.groupBy("token").agg(
-                F.min_by(F.struct("node", "comp", "n", "rest"), F.xxhash64("node", F.lit(r))).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+                F.min_by(F.struct("node", "comp", "n", "rest"), rank).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
             ).where("lo <> hi").select("token", F.col("lead.node").alias("a"), F.col("lead.comp").alias("ca"), F.col("lead.n").alias("na"), F.col("lead.rest").alias("resta"))
             met = rows.join(lead, "token").where((F.col("comp") != F.col("ca")) & fits("n", "na", "rest", "resta"))
             met = met.groupBy("node", "a").agg(F.count(F.lit(1)).alias("c"))
+            if tested is not None:
+                met = met.join(tested, (F.col("node") == F.col("b")) & (F.col("a") == F.col("l")), "left_anti")
             pairs = met.groupBy("node").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("node").alias("b"))
+            pairs = settle(pairs)
+            used.append(pairs)
+            more = pairs.select(F.col("a").alias("l"), "b")
+            tested = more if tested is None else tested.unionByName(more)
         else:
             # components meet per token first, so members of one component are never paired with each other
             inside = settle(rows.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest")))

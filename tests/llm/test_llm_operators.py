@@ -269,17 +269,26 @@ def test_urls(spark):
 
 
 def test_segmentation_is_cheapest():
-    from itertools import product
-
-    s = urls.Segmenter(["free", "bets", "bet", "re", "cheap", "heap", "at"])
-    for name in ("freebets", "cheapbet", "xfreat", "zz"):
-        best = min(
-            (sum(s.cost.get(p, s.unknown if len(p) == 1 else float("inf")) for p in parts), parts)
-            for cut in product([0, 1], repeat=len(name) - 1)
-            for parts in ["".join(ch + ("|" if k < len(cut) and cut[k] else "") for k, ch in enumerate(name)).split("|")]
-        )
-        cost = sum(s.cost.get(w, s.unknown * len(w)) for w in s.split(name))
-        assert "".join(s.split(name)) == name and abs(cost - best[0]) < 1e-9
+    s = urls.Segmenter({"free": 9, "bets": 2, "bet": 3, "re": 1, "cheap": 4, "heap": 2, "at": 30, "a": 2})
+    for name in ("freebets", "cheapbet", "xfreat", "zz", "qqfreeqq", "abetsheap"):
+        best = min(sum(map(s.price, parts)) for parts in brute.splits(name))
+        assert "".join(s.split(name)) == name and abs(sum(map(s.price, s.split(name))) - best) < 1e-9
+    # counts decide between splits that are both words
+    assert urls.UrlModel({"the": 900, "best": 50, "bestcasin": 0}).segmenter.split("thebestcasinoonline") == ["the", "best", "casino", "online"]
+    assert "".join(s.split("freeq" * 100_000)) == "freeq" * 100_000
+
+
+def test_urls_like_brute(spark):
+    rng = random.Random(4)
+    hosts = ["freebets", "quiet", "newsblog", "casinowin", "gardenhome", "zzz"]
+    data = [f"http://{rng.choice(['www.', 'm.', ''])}{rng.choice(hosts)}.{rng.choice(['example.com', 'net', 'org'])}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.choice(['winner', 'story', '17', ''])}{rng.choice(['?a=b', '#c', ''])}" for _ in range(150)]
+    data += data[:20] + [None, "", "://", "http://", "HTTP://A.B.com:80", "http://" + "freebets" * 9000 + ".org/x", "http://net/es/", "http://net/es", "http://xnet/es/"]
+    pages = spark.createDataFrame([(k, u, f"<p>quiet garden</p> home garden {u}", 5) for k, u in enumerate(data)], "page_id long, url string, html string, host int").repartition(3)
+    texts = spark.createDataFrame([(1, "News of the garden, news of the blog"), (2, None)], "doc_id long, text string")
+    got = sorted(map(tuple, urls.judge_urls(pages, texts).drop("block_odds").collect()))
+    text = ["News of the garden, news of the blog"] + [f" quiet garden  home garden {u}" for u in data]
+    assert got == sorted((k, *r) for k, r in enumerate(brute.urls(data, text, urls.RULES, urls.BLOCK_WORDS, urls.ALLOW_WORDS)))
+    assert {r[4] for r in got if r[3] is None} == {"allow", "block"}
 
 
 def test_html(spark):
@@ -294,6 +303,41 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_like_brute(spark):
+    rng = random.Random(9)
+    texts = ["The cat of the house is in the garden and it was there with a friend for the whole of the day.", "Short.", "Foreign words only: bardo kelmu trista vonde lapir sumat gordi neska plimo. Verta kudo.", "これは日本語の長い文章です。" * 8, "a & b < c", "x"]
+
+    def tree(depth):
+        children = []
+        for _ in range(rng.randrange(1, 6)):
+            pick = rng.random()
+            if depth == 0 or pick < 0.35:
+                children.append(rng.choice(texts))
+            elif pick < 0.45:
+                children.append(("a", ' href="/x?a>b"', [rng.choice(texts)]))
+            elif pick < 0.55:
+                children.append(("b", "", [rng.choice(texts)]))
+            elif pick < 0.6:
+                children.append(("br", "", []))
+            elif pick < 0.7:
+                children.append(tree(depth - 1)[:1] + (rng.choice([' class="sidebar"', ' class="with-sidebar"', " hidden", ' style="overflow:hidden"', ' style="display: none"', ' class="comments"']),) + tree(depth - 1)[2:])
+            else:
+                children.append(tree(depth - 1))
+        return (rng.choice(["div", "section", "article", "main", "nav", "aside", "form", "div", "div"]), "", children)
+
+    trees = [("div", "", [tree(3)]) for _ in range(300)]
+    pages = [(k, "u", brute.page_html(t), 1) for k, t in enumerate(trees)]
+    pages += pages[:5] + [(900, "u", f"<p>{texts[0]}</p>" * 20_000, 1), (901, "u", f"<p>{texts[0]}</p><svg/><p>Tail.", 1), (902, "u", f'<div class="social-science"><p>{texts[0]}</div>', 1)]
+    got = {}
+    for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string, text int").repartition(4)).collect():
+        got.setdefault(r["page_id"], []).append(r["text"])
+    want = {k: [brute.page_text(t, html_text.STOP_WORDS, {"sidebar", "comments"})] for k, t in enumerate(trees)}
+    for k in range(5):
+        want[k] *= 2
+    want |= {900: [" ".join([texts[0]] * 20_000)], 901: [f"{texts[0]} Tail."], 902: [texts[0]]}
+    assert got == want and sum(len(t) > 0 for t, *_ in want.values()) > 150
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
     from tidewire.runtime import settle, table

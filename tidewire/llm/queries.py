@@ -40,7 +40,7 @@ def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(table(spark, sf_dir, "pages")).drop("block_odds")
+    return urls.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")).drop("block_odds")
 
 
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,21 @@
 """Main text of web pages by two-pass block rules.
 
 One scan of the markup cuts a page into blocks at block-level tags and notes for every block the
-containers it stands in, its words, and the words inside links. The first pass decides blocks
-that are clear: blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments
-(by element, or by the words of class, id and role), blocks of mostly links, and long blocks with
-running text, which a share of stop words gives away. Short and unclear blocks stay open. The
-second pass lets every open block inherit the label of its nearest decided neighbour within the
+containers it stands in, its words, and the words inside links. The first pass decides blocks that
+are clear: blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments (by
+element, or by a whole name in class, id or role; a name that only holds such a word says nothing),
+blocks of mostly links, and long blocks with running text, which a share of stop words gives away.
+A long block with hardly any stop words is no running text, unless the page or the block is in a
+language without a list: then length and sentence signs decide. Short and unclear blocks stay open.
+The second pass lets every open block inherit the label of its nearest decided neighbour within the
 same container (article, main, or the rest of the page); a container without decided neighbours
-counts as text if it is an article or main element.
+counts as text if it is an article or main element, or if the page has neither.
 
-Defined cases: null, empty and unclosed markup give what text there is, or an empty string; every
-block is taken whole; empty tables give no rows; other columns of the input are ignored.
+Defined cases: null, empty and unclosed markup give what text there is, or an empty string; only an
+attribute named hidden, or a style of display:none or visibility:hidden, hides an element; a
+self-closing svg or math is empty; every block is taken whole, and a page of any length is one row
+of one task; repeated rows are extracted one by one; empty tables give no rows; other columns of
+the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.shingles import releasing
+
 STOP_WORDS = frozenset(
     # English
     "the of and to in is that it for was on as with be by at from this are or an have not but which".split()
@@ -41,32 +48,44 @@ BLOCK_TAGS = frozenset(
 )
 # their content is never the article
 DROP_TAGS = frozenset("nav header footer aside form head title noscript select button menu dialog fieldset textarea option template svg iframe object".split())
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select")
+RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")  # all up to their end tag is no markup
+FOREIGN = frozenset(("svg", "math"))  # may close themselves
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion sidebar menu nav navbar navigation "
-    "footer header masthead breadcrumb breadcrumbs cookie cookies consent notice notices alert popup modal overlay newsletter subscribe "
-    "signup login share sharing social related recommended comment comments disqus discussion replies respond widget toolbar pagination pager".split()
+# whole names in class, id or role
+DROP_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper "
+    "banner banners sponsor sponsored promo promotion sidebar side-bar left-sidebar right-sidebar menu main-menu mobile-menu site-menu "
+    "nav navbar nav-bar nav-menu main-nav site-nav top-nav navigation main-navigation site-navigation "
+    "footer site-footer page-footer main-footer header site-header page-header main-header masthead topbar top-bar "
+    "breadcrumb breadcrumbs cookie cookies cookie-banner cookie-bar cookie-consent cookie-notice consent gdpr notice notices site-notice alert alerts "
+    "popup modal overlay newsletter newsletter-signup subscribe signup sign-up login search-form share share-bar share-buttons sharing social-links social-share "
+    "related related-articles related-links related-posts recommended "
+    "comment comments comment-list commentlist comment-section comments-area comments-section disqus disqus_thread replies respond "
+    "widget widgets toolbar pagination pager contentinfo complementary search dialog".split()
 )
 KEEP_TAGS = frozenset(("article", "main"))
+_REST = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b" + _REST + r">.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(" + _REST + r")>|<[!?/][^>]*>",
     re.S | re.I,
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 SPACE = re.compile(r"\s+")
 LETTERS = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[.!?…。！？।؟]")
 
 
 def _drops(tag: str, attributes: str) -> bool:
     if tag in DROP_TAGS:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body"):
         return False
-    if re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", attributes, re.I):
-        return True
-    for m in NAMES.finditer(attributes):
-        if DROP_WORDS.intersection(re.split(r"[^a-z]+", next(filter(None, m.groups()), "").lower())):
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), entities.unescape("".join(values))
+        if name == "hidden" or name == "style" and HIDES.search(value):
+            return True
+        if name in ("class", "id", "role") and tag not in KEEP_TAGS and DROP_NAMES.intersection(value.lower().split()):
             return True
     return False
 
@@ -134,6 +153,8 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Block]], dict[int, bool]]:
             if tag in BLOCK_TAGS:
                 cut()
             continue
+        if tag in FOREIGN and m.group(4).endswith("/"):
+            continue
         drop = bool(stack and stack[-1][1]) or _drops(tag, m.group(4))
         if tag in BLOCK_TAGS or drop:
             if tag in ("p", "li") and stack and stack[-1][0] == tag:
@@ -155,19 +176,32 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Block]], dict[int, bool]]:
     return out, homes
 
 
+def _latin(text: str) -> bool:
+    """Whether most letters are of the script that the stop words are written in."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c < "\u0250" for c in letters) >= len(letters)
+
+
 def classify(found: list[tuple[str, Block]], homes: dict[int, bool], long: int = 70, high: float = 0.15, low: float = 0.05, most_links: float = 0.5) -> None:
     """Both passes; sets every block's label to True for text and False for the rest."""
-    for whole, b in found:
+    density: dict[int, float] = {}
+    for k, (whole, b) in enumerate(found):
         size = sum(map(len, b.parts))
         if b.drop or b.linked > most_links * size:
             b.label = False
         elif len(whole) >= long:
             words = [w.lower() for w in LETTERS.findall(whole)]
-            density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if density >= high:
-                b.label = True
-            elif density < low and not homes[b.home]:
-                b.label = False
+            density[k] = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    known = any(d >= high for d in density.values())  # some block is in a language that has a list
+    for k, d in density.items():
+        whole, b = found[k]
+        if d >= high:
+            b.label = True
+        elif not known or not _latin(whole):
+            b.label = True if SENTENCE.search(whole) else None
+        elif d < low and not homes[b.home]:
+            b.label = False
+    marked = any(homes.values())
     # second pass: nearest decided neighbour of the same container, by number of blocks
     by_home: dict[int, list[Block]] = {}
     for _, b in found:
@@ -185,7 +219,7 @@ def classify(found: list[tuple[str, Block]], homes: dict[int, bool], long: int =
             if members[k].label is None:
                 b = before[k]
                 if b is None and after is None:
-                    members[k].label = homes[home]
+                    members[k].label = homes[home] or not marked
                 elif b is None or (after is not None and after - k < k - b):
                     members[k].label = labels[after]
                 elif after is None or k - b < after - k:
@@ -207,6 +241,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [main_text(x) for x in b.column("html").to_pylist()]

@@ -284,16 +284,19 @@ def _components(documents: DataFrame, words: int, percent: int, rounds: int, sha
     sets = settle(sets_of(documents, words))
     total = sets.agg(F.sum("n")).first()[0] or 0
     shared = shared_counts(documents, words, max(8, math.ceil(total / shard_shingles)))
-    classes = sets.where("n > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    alive = shared.join(sets.where("n > 0").select("rid", "n", "node"), "rid").where(F.col("shared") * 100 >= F.col("n") * percent)
-    wanted = settle(alive.select("rid", "node").join(classes.select("rid", "node"), ["rid", "node"]).distinct())
+    # rows of one text are one from here on, so a text of very many rows is no hot key
+    texts = sets.where("n > 0").groupBy("rid", "node", "n").agg(F.count(F.lit(1)).alias("copies"))
+    classes = settle(texts.groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.sum("copies").alias("copies")))
+    # one text stands for its class; with others of equal set, all of its shingles are shared
+    alive = shared.join(classes, "rid").where(F.col("shared") * 100 >= F.col("n") * percent)
+    wanted = settle(alive.select("rid", "node"))
     tokens = settle(tokens_of(documents, wanted, words))
     fragments, used = ordered_fragments(tokens, percent)
     edges, comps = _links(fragments, percent, rounds)
     copies = classes.where("copies > 1").select("node", F.col("node").alias("comp"))
     linked = comps.select("node", F.col("component").alias("comp"))
     found = settle(copies.join(linked.select("node"), "node", "left_anti").unionByName(linked))
-    drop(wanted, tokens, fragments, edges, comps, *used)
+    drop(wanted, classes, tokens, fragments, edges, comps, *used)
     return sets, found
 
 

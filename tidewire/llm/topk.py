@@ -9,15 +9,17 @@ can still be among the best k narrows. The `low` lowest attribute bits are left
 the rows within the bound of what they can add are the boundary rows, and their scores are then
 computed exactly.
 
-Queries are dealt in chunks against row blocks, all rows against each query; each pair of chunk
-and block is one group of bounded size and yields k rows per query, of which a window keeps the
-best.
-
-Defined cases: null vectors, and vectors with null or non-finite components, take no part;
-shorter vectors count as filled up with zeros; ties go to the smaller id; empty tables give no
-rows; other columns of the input are ignored. No row of the query's own vec_id is among its k,
-however many there are. Rows of one vec_id count one by one, as in the query's SQL: several of them
-may hold ranks of a query, and if a query stands in r rows, the scores of all r are ranked together.
+A block's index is built once for each chunk of queries, and a chunk is as large as memory allows, so
+rows are copied once per many thousand queries; all rows meet each query. Each pair of chunk and block
+is one group of bounded size and yields k rows per query, of which a window keeps the best.
+
+Defined cases: null vectors, and vectors with null or non-finite components, take no part; neither do
+rows without a vec_id; shorter vectors count as filled up with zeros; ties go to the smaller id; empty
+tables give no rows; other columns of the input are ignored, whatever their names. No row of the
+query's own vec_id is among its k, however many there are. Rows of one vec_id count one by one, as in
+the query's SQL: several of them may hold ranks of a query, and if a query stands in r rows, the
+scores of all r are ranked together. Scores are 64-bit integers: a component is cut to that range,
+and a table whose largest possible score leaves it is an error, never a wrong score.
 """
 
 from __future__ import annotations
@@ -30,6 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.llm.shingles import release
+
+BLOCK_VALUES = 1 << 22  # components of a block's rows, 8 bytes each
+QUERY_VALUES = 1 << 20  # components of a chunk's queries
+
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and v, the array of floor(scale * x); only rows that take part."""
@@ -170,21 +177,33 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 
 
 def top_k(
-    vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, block_rows: int = 65_536, query_chunk: int = 192, low: int = 2
+    vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, block_rows: int | None = None, query_chunk: int | None = None, low: int = 2
 ) -> DataFrame:
-    """query_id, rank, vec_id and score: the k best of all other rows for every query."""
+    """query_id, rank, vec_id and score: the k best of all other rows for every query.
+
+    A group has about block_rows rows and query_chunk queries, by default as many as have BLOCK_VALUES
+    and QUERY_VALUES components.
+    """
     rows = quantised(vectors, scale)
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    most = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"), most.alias("most")).first()
     n, width = sizes["n"], max(1, sizes["d"] or 1)
-    blocks, chunks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(n / every / query_chunk))
+    if width * (sizes["most"] or 0.0) ** 2 >= 2.0**62:
+        raise ValueError("scores of these vectors do not fit into 64 bits; use a smaller scale")
+    chunks = max(1, math.ceil(n / every / (query_chunk or max(1, QUERY_VALUES // width))))
+    if block_rows:
+        blocks = max(1, math.ceil(n / block_rows))
+    else:  # enough blocks for every core, each of at least some thousand rows
+        cores = vectors.sparkSession.sparkContext.defaultParallelism
+        blocks = max(1, math.ceil(n * width / BLOCK_VALUES), min(cores, math.ceil(n / 4096)))
     queries = rows.where(F.col("vec_id") % every == 0)
     left = rows.select(
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("is_query"), "vec_id", "v"
     )
     right = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), F.lit(True).alias("is_query"), "vec_id", "v"
+        F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), F.lit(True).alias("is_query"), "vec_id", "v"
     )
 
     def search(group: pa.Table) -> pa.Table:
@@ -202,6 +221,7 @@ def top_k(
             found_ids, score = found_ids[other], score[other]
             best = np.lexsort((found_ids, -score))[:k]
             out.append((np.full(len(best), query_id), found_ids[best], score[best]))
+        release()
         cols = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else [()] * 3)]
         return pa.table({"query_id": cols[0].astype(np.int64), "vec_id": cols[1].astype(np.int64), "score": cols[2].astype(np.int64)})
 

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.runtime import settle
+from tidewire.runtime import settle, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,41 +36,41 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _ranked(per: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """per with `rank`, the place of its source by code point, nulls last; ranges of sources are numbered apart."""
+    order = F.col("source").asc_nulls_last()
+    parts = max(1, -(-per.count() // rows))
+    ranges = settle(per.repartitionByRange(parts, order).withColumn("range", F.spark_partition_id()))
+    ranked = ranges.withColumn("rank", F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1)
+    counts = {r["range"]: r["n"] for r in ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, offset = F.lit(0), 0
+    for k in sorted(counts):
+        before = F.when(F.col("range") == k, F.lit(offset)).otherwise(before)
+        offset += counts[k]
+    return ranked.withColumn("rank", F.col("rank") + before).drop("range")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """One row per source of (source, size): target words by weight, none above most * its size.
 
     Resharing the excess by weight until nothing is above is water filling: the target is
-    min(cap, level * weight) for the one level at which the targets add up. Sources are ordered by
-    cap / weight, and running sums give the level. The table has one row per source.
+    min(cap, level * weight) for the one level at which the targets add up. The level rises from
+    the one without caps, each time to what the sources below their cap share, until it stays.
+    Sums are whole numbers of words, so the level does not depend on the order of rows.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    per = per.withColumn("ratio", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("ratio", "source")
-    everything = Window.partitionBy()
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = (
-        per.withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
-        .withColumn("capped", F.sum("cap").over(upto))
-        .withColumn("open", F.sum("weight").over(everything) - F.sum("weight").over(upto))
-    )
-    # with the first k sources at their cap, the others share the rest at this level
-    level = F.when(F.col("open") > 1e-9, (F.col("total") - F.col("capped")) / F.col("open"))
-    per = per.withColumn("level_after", level)
-    first = F.col("total") / F.sum("weight").over(everything)
-    per = per.withColumn("first_level", first)
-    nxt = F.lead("ratio").over(order)
-    # the right level lies between the last capped ratio and the next ratio
-    fits = (F.col("level_after") >= F.col("ratio") - 1e-9) & (F.col("level_after") <= nxt + 1e-9)
-    per = per.withColumn("fits", F.when(fits, F.col("level_after")))
-    least = F.min("ratio").over(everything)
-    per = per.withColumn(
-        "level",
-        F.when(F.col("first_level") <= least, F.col("first_level")).otherwise(F.max("fits").over(everything)),
-    )
-    target = F.least(F.col("cap"), F.coalesce(F.col("level"), F.col("ratio")) * F.col("weight"))
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("docs"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    per = settle(_ranked(per).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))))
+    whole = per.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    total = float(share) * (whole["words"] or 0)
+    level, before = total / (whole["weight"] or 1.0), None
+    while level != before:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        row = per.agg(F.sum(F.when(full, F.col("source_size"))).alias("capped"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if not row["open"]:
+            break
+        level, before = max(level, (total - float(most) * (row["capped"] or 0)) / row["open"]), level
+    target = F.least(F.col("cap"), F.lit(level) * F.col("weight"))
     return per.select("source", "source_size", "docs", target.alias("target"))
 
 
@@ -126,6 +126,16 @@ def _round_buckets(units: DataFrame, fan: int, level: int, seed: int) -> DataFra
     return rows.select("source", folded.alias("r")).select("source", "r.*")
 
 
+def _numbered(sized: DataFrame, block: int = 8_192) -> DataFrame:
+    """One row for each of the m equal rows, with its number _n; many are numbered by several tasks."""
+    keys = ["doc_id", "source", "size", "_row"]
+    once = sized.where("m = 1").select(*keys, F.lit(0).cast("long").alias("_n"))
+    again = sized.where("m > 1").select(*keys, "m", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {block}"))).alias("b"))
+    again = again.repartition(F.xxhash64("doc_id", "size", "b"))
+    first, last = F.col("b") * block, F.least(F.col("m"), (F.col("b") + 1) * block) - 1
+    return once.unionByName(again.select(*keys, F.explode(F.sequence(first, last)).alias("_n")))
+
+
 def mix(
     documents: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -140,7 +150,8 @@ def mix(
     `row` names a long column that tells rows of one doc_id apart; it comes back as _row.
     """
     mark = (F.col(row) if row else F.lit(None)).cast("long").alias("_row")
-    sized = settle(documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), mark))
+    sized = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), mark)
+    sized = settle(sized.groupBy("doc_id", "source", "size", "_row").agg(F.count(F.lit(1)).alias("m")))
     targets = settle(source_targets(sized, weights, share, most))
     base = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rate = F.least(base, F.lit(float(most)))
@@ -148,13 +159,13 @@ def mix(
     targets = targets.withColumn("rate", F.when(F.abs(rate - F.round(rate)) < 1e-12, F.round(rate)).otherwise(rate))
     targets = targets.withColumn("sure", F.floor("rate").cast("int")).withColumn("p", F.col("rate") - F.floor("rate"))
     # a handful of numbers per source: joined by value, null sources included
-    rated = sized.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select(
-        "d.doc_id", "d.source", "d.size", "d._row", "t.source_size", "t.target", "t.docs", "t.sure", "t.p"
+    rated = _numbered(sized).alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select(
+        "d.doc_id", "d.source", "d.size", "d._row", "d._n", "t.source_size", "t.target", "t.docs", "t.sure", "t.p"
     )
     units = rated.where("p > 0 and size > 0").select(
         "source",
         F.col("docs").alias("n"),
-        F.xxhash64(F.coalesce("doc_id", "_row"), "size").alias("k"),
+        F.when(F.col("_n") == 0, F.xxhash64(F.coalesce("doc_id", "_row"), "size")).otherwise(F.xxhash64(F.coalesce("doc_id", "_row"), "size", "_n")).alias("k"),
         F.struct("doc_id", "size", "_row").alias("i"),
         F.col("size").alias("w"),
         "p",
@@ -194,14 +205,15 @@ def take(documents: DataFrame, few: int = 1_000_000, **options) -> DataFrame:
     only rows that are equal in everything come out as copies of one, as often as the mix takes all
     of them. The copies are sent out while they are few (three numbers a row), else joined.
     """
-    keyed = documents.withColumn("_row", _row_key(documents))
-    copies = mix(keyed, row="_row", **options).groupBy("doc_id", "_row").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    copies = settle(copies.withColumnsRenamed({"doc_id": "_id", "_row": "_key"}))
+    row, key, times, again = (unused(documents, c) for c in ("_row", "_key", "_copies", "_k"))
+    keyed = documents.withColumn(row, _row_key(documents))
+    copies = mix(keyed, row=row, **options).groupBy("_row").agg(F.sum("copies").alias(times), F.count(F.lit(1)).alias("_rows"))
+    copies = settle(copies.withColumnRenamed("_row", key))
     state = copies.agg(F.count(F.lit(1)).alias("n"), F.max("_rows").alias("most")).first()
     if (state["most"] or 0) > 1:
-        keyed = keyed.dropDuplicates(["doc_id", "_row"])
-    wanted = copies.where("_copies > 0")
+        keyed = keyed.dropDuplicates([row])
+    wanted = copies.where(F.col(times) > 0).select(key, times)
     if state["n"] <= few:
         wanted = F.broadcast(wanted)
-    joined = keyed.join(wanted, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*documents.columns)
+    joined = keyed.join(wanted, F.col(row) == F.col(key))
+    return joined.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*documents.columns)

@@ -10,19 +10,22 @@ first of them only. Buckets of more than `block` vectors are cut into sub-blocks
 sub-blocks are tasks of bounded size, so no bucket is capped and nothing is dropped.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows
-without a label, link with nothing and are components of their own; vectors of different lengths
-link with nothing; repeated vec_ids count as one vector each; empty tables give no rows; other
-columns of the input are ignored.
+without a label or vec_id, link with nothing and are components of their own; vectors of different
+lengths link with nothing; rows of one vec_id are a vector each, and component_id is the smallest
+vec_id reachable from the row's own vector; pairs exactly at the threshold link; vectors of any width
+are read in whole; empty tables give no rows; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.shingles import release, releasing
 from tidewire.operators.components import connected_components
 from tidewire.runtime import settle
 
@@ -139,9 +142,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int | None
     usable = rows.where("x is not null and label is not null and vec_id is not null").where(finite & some)
     # x + 0.0 makes -0.0 and 0.0 equal
     usable = usable.select("vec_id", "label", F.transform("x", lambda v: v.cast("double") + F.lit(0.0)).alias("x"))
-    classes = settle(usable.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    members = usable.join(classes, ["label", "x"]).select("vec_id", "rep", "copies")
+    # a class has a number of its own: two classes may hold one vec_id
+    classes = usable.groupBy("label", "x").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()))
+    members = usable.join(classes, ["label", "x"]).select("vec_id", "rep", "copies", "least")
 
+    @releasing
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = b.column("x").value_lengths().to_numpy(zero_copy_only=False)
@@ -157,7 +163,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int | None
                 )
 
     label_type = vectors.schema["label"].dataType.simpleString()
-    dealt = classes.mapInArrow(deal, f"size int, key long, label {label_type}, rep long, copies long, x array<double>, keys array<long>")
+    dealt = classes.select("label", "rep", "copies", "x").mapInArrow(deal, f"size int, key long, label {label_type}, rep long, copies long, x array<double>, keys array<long>")
     group = ["label", "size", "key"]
     # sizes of the buckets first: narrow rows with map-side sums
     narrow = settle(dealt.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -195,6 +201,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int | None
                     src.append(ids[i])
                     dst.append(ids[j])
         hit = np.flatnonzero(n)
+        release()
         return pa.table(
             {"rep": pa.array(np.concatenate((ids[hit], np.array(src, np.int64)))),
              "n": pa.array(np.concatenate((n[hit], np.zeros(len(src), np.int64)))),
@@ -204,11 +211,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int | None
     found = settle(tasks.groupBy("task").applyInArrow(verify, "rep long, n long, other long"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     edges = found.where("other is not null").select(F.col("rep").alias("src"), F.col("other").alias("dst"))
-    comps = connected_components(edges).select(F.col("node").alias("rep"), "component")
+    comps = settle(connected_components(edges).select(F.col("node").alias("rep"), "component").join(classes.select("rep", "least"), "rep"))
+    lowest = comps.groupBy("component").agg(F.min("least").alias("lowest"))
+    comps = comps.join(lowest, "component").select("rep", "lowest")
     linked = members.join(counts, "rep", "left").join(comps, "rep", "left").select(
         "vec_id",
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+        F.coalesce("lowest", "least").alias("component_id"),
     )
     rest = rows.where(~F.coalesce(F.expr("x is not null and label is not null and vec_id is not null") & finite & some, F.lit(False)))
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

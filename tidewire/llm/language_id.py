@@ -3,8 +3,9 @@
 The network reads windows of fixed length: each byte has a small embedding, filters of several
 widths slide over the window, their largest responses (max pooling) feed a softmax layer. It is
 trained in numpy on a bounded sample of labelled rows (`per_language` rows of each language, fewer
-of each beyond `many` languages; every labelled language is learned) and applied to every window of every text in batches; the
-scores of a text's windows are averaged by their length.
+of each beyond `many` languages, and of each row the PIECE characters from a place that a hash of its
+id gives; every labelled language is learned) and applied to every window of every whole text in
+batches; the scores of a text's windows are averaged by their length.
 
 The softmax shares all of a text among the learned languages, however strange it is, so rejecting
 has a score of its own: the share of the text's letter trigrams that the training sample of a
@@ -27,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from tidewire.runtime import settle
+from tidewire.llm.shingles import releasing, slices
+from tidewire.runtime import settle, unused
 
 WINDOW = 192
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 8
 EMBED = 6
 SPAN = max(WIDTHS)
+PIECE = 2 * WINDOW  # characters of each sampled row
 LEAST_ROWS = 30  # of a language with that many, so that the sample does not miss it
 BINS = 1 << 16  # hashed letter trigrams
 
@@ -208,9 +211,8 @@ def _draw(seed: int) -> Column:
 
 def _piece(draw: Column) -> Column:
     """Two windows of each sampled text, at places given by the hash."""
-    span = 2 * WINDOW
-    place = F.lit(1) + F.floor(draw * 997_003) % F.greatest(F.length("text") - span, F.lit(1))
-    return F.expr("text").substr(place.cast("int"), F.lit(span))
+    place = F.lit(1) + F.floor(draw * 997_003) % F.greatest(F.length("text") - PIECE, F.lit(1))
+    return F.expr("text").substr(place.cast("int"), F.lit(PIECE))
 
 
 def fit(documents: DataFrame, per_language: int = 700, many: int = 200, seed: int = 7) -> Model | None:
@@ -294,17 +296,19 @@ def _predicted(m: Model | None, text: pa.Array, letters: np.ndarray) -> tuple[pa
 
 def with_language(rows: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "score", known: str | None = None) -> DataFrame:
     """rows with two more columns, the predicted language and its score; with `known`, whether the text is not rejected."""
-    inner = rows.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).withColumn(
-        "_text", F.coalesce(F.col(text).cast("string"), F.lit(""))
+    has, whole = unused(rows, "_letters"), unused(rows, "_text")
+    inner = rows.withColumn(has, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).withColumn(
+        whole, F.coalesce(F.col(text).cast("string"), F.lit(""))
     )
     shared = rows.sparkSession.sparkContext.broadcast(model)
     names, added = rows.columns, [pred, score, known] if known else [pred, score]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
-            found = _predicted(m, batch.column("_text"), letters)[: len(added)]
+        for batch in (part for whole_batch in batches for part in slices(whole_batch, column=whole)):
+            letters = batch.column(has).to_numpy(zero_copy_only=False).astype(bool)
+            found = _predicted(m, batch.column(whole), letters)[: len(added)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], [*names, *added])
 
     kinds = (StringType(), DoubleType(), BooleanType())

@@ -130,9 +130,9 @@ def shingle_set(text: bytes, n: int = 5) -> np.ndarray:
     return shingle_sets(pa.array([text], pa.large_binary()), n)[0]
 
 
-def slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many bytes each, by the lengths of column `text`."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+def slices(batch: pa.RecordBatch, size: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes each, by the lengths of one column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // size
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):

@@ -135,3 +135,51 @@ FEEDBACK_STOPS = "http https www com html idx rss feed news".split()
 # fixed values: what an image address looks like
 IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".webp", ".gif")
 IMAGE_PATHS = ("/image", "/media/", "/uploads/", "/content/", "/wp-content/")
+
+# fixed values: thumbnails that are no images
+NO_THUMBNAILS = ("self", "default", "nsfw", "spoiler", "")
+
+# fixed values: patterns that find a page's announced image and its first one
+IMAGE_META = r"""(?i)<meta[^>]+property=["']og:image["'][^>]+content=["']([^"']+)["']"""
+IMAGE_TAG = r"""(?i)<img[^>]+src=["']([^"']+)["']"""
+
+# fixed values: usual places of feeds
+FEED_PATHS = ("/feed", "/feed/", "/rss", "/rss.xml", "/atom.xml", "/index.xml")
+
+# fixed values: patterns of products with numbers, quoted names and capitalised names
+NUMBERED_NAME = r"(?U)\b([A-Za-z]{2,}[-\s]?\d+(?:\.\d+)?)\b"
+QUOTED_NAME = "[\"“«']([^\"”»']{2,40})[\"”»']"
+CAPITAL_NAME = r"(?U)\b([A-Z][A-Za-z0-9]{1,}(?:\s+[A-Z][A-Za-z0-9]{1,}){0,3})\b"
+
+# fixed values: texts that mark a card as unfinished: anywhere, and at its start
+LEFTOVERS = ("```", "  Tags:", "&amp;#", "&#x")
+LEFTOVER_START = "Tool:"
+LEFTOVER_PAIR = ("Release:", "Datasette")
+
+# fixed values: tags of the answers that cards are made of
+CARD_TAGS = ["ЗАГОЛОВОК", "СУТЬ", "ПОЧЕМУ ВАЖНО", "РЕДАКЦИОННЫЙ КОММЕНТАРИЙ"]
+AGENT_TAGS = ["ЗАГОЛОВОК", "ЧТО ПРОИЗОШЛО", "ПОЧЕМУ ВАЖНО", "ЗОНА ВЛИЯНИЯ", "ДОСТОВЕРНОСТЬ"]
+
+# fixed values: lines and marks of a digest
+WHY_LINE = ("<blockquote><i>Почему важно:</i> ", "</blockquote>")
+TAKE_LINE = "<i>Редакция:</i> "
+AREA_LINE = "<i>Зона влияния:</i> "
+LINKS_SIGN = "🔗 "
+HEADLINE_HEAD = "⚡ <b>Главное</b>"
+HEADLINE_TAGS = "#главное #world"
+RADAR_HEAD = "📡 <b>На радаре</b>"
+ISSUE_SIGN = "📰"
+ISSUE_NAME = "Утренний дайджест"
+# fixed values: name, heading and sources of each part of a digest, in order
+ISSUE_PARTS = [
+    ("world", "🌍 <b>Мировые новости</b>\n#world", ("world",)),
+    ("russia_moscow", "🇷🇺 <b>Россия и Москва</b>\n#Москва", ("russia_moscow",)),
+    ("ai", "🤖 <b>AI и технологии</b>\n#ai", ("ai_agents", "ai", "tech")),
+    ("games", "🎮 <b>Игры</b>\n#games", ("games",)),
+]
+
+# fixed values: days of the week in block times
+WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
+
+# fixed values: key of the state row that pauses delivery
+PAUSE_KEY = "__digest_pause__"

@@ -76,7 +76,7 @@ def trigrams(text: Column) -> Column:
     return F.when(F.length(t) < 3, F.array(t)).otherwise(F.array_distinct(grams))
 
 
-def _unique(a: Column) -> Column:
+def unique(a: Column) -> Column:
     """First spelling of each value, whatever its case."""
     low = F.transform(a, lambda x: F.lower(F.trim(x)))
     return F.filter(a, lambda x, i: (F.trim(x) != "") & (F.array_position(low, F.lower(F.trim(x))) == i + 1))
@@ -85,17 +85,17 @@ def _unique(a: Column) -> Column:
 def entities(text: Column) -> Column:
     """Organisations, people (none by rule), products and topics of a text."""
     t = F.coalesce(text, F.lit(""))
-    numbered = F.filter(F.regexp_extract_all(t, F.lit(r"(?U)\b([A-Za-z]{2,}[-\s]?\d+(?:\.\d+)?)\b"), 1), lambda x: x.rlike(r"\d"))
-    quoted = F.transform(F.regexp_extract_all(t, F.lit("[\"“«']([^\"”»']{2,40})[\"”»']"), 1), lambda x: F.trim(x))
-    runs = F.regexp_extract_all(t, F.lit(r"(?U)\b([A-Z][A-Za-z0-9]{1,}(?:\s+[A-Z][A-Za-z0-9]{1,}){0,3})\b"), 1)
+    numbered = F.filter(F.regexp_extract_all(t, F.lit(fixed.NUMBERED_NAME), 1), lambda x: x.rlike(r"\d"))
+    quoted = F.transform(F.regexp_extract_all(t, F.lit(fixed.QUOTED_NAME), 1), lambda x: F.trim(x))
+    runs = F.regexp_extract_all(t, F.lit(fixed.CAPITAL_NAME), 1)
     stops = F.array(*[F.lit(w) for w in fixed.CAPITAL_STOPS])
     orgs = F.filter(runs, lambda x: ~x.rlike(r"\d") & ~F.array_contains(stops, F.lower(F.split(x, r"\s+")[0])))
     words = F.regexp_extract_all(F.lower(t), F.lit("[a-zа-яё]{4,}"), 0)
     topics = F.slice(F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in fixed.CAPITAL_STOPS + fixed.SIGNATURE_STOPS])), 1, 15)
     return F.struct(
-        _unique(orgs).alias("organizations"),
+        unique(orgs).alias("organizations"),
         F.array().cast("array<string>").alias("people"),
-        _unique(F.concat(numbered, quoted)).alias("products"),
+        unique(F.concat(numbered, quoted)).alias("products"),
         topics.alias("topics"),
     )
 
@@ -167,6 +167,79 @@ def tagged_section(text: Column, tag: str, tags: Sequence[str]) -> Column:
     return strip(F.regexp_replace(strip(found), r"(?s)^\([^)]{3,120}\)\s*", ""))
 
 
+def card_answer(text: Column) -> Column:
+    """Fields of a model's card answer: title, summary, why, take and whether one of the first two is missing.
+
+    What stands before the first title tag is dropped; null if neither title nor summary is there.
+    """
+    tags = fixed.CARD_TAGS
+    body = F.when(F.locate("[" + tags[0] + "]", text) > 0, F.substring(text, F.locate("[" + tags[0] + "]", text), F.length(text))).otherwise(text)
+    title, summary, why, take = (tagged_section(body, t, tags) for t in tags)
+    found = F.struct(title.alias("title"), summary.alias("summary"), why.alias("why"), take.alias("take"), ((title == "") | (summary == "")).alias("partial"))
+    return F.when((title != "") | (summary != ""), found)
+
+
+def agent_answer(text: Column) -> Column:
+    """Fields of a model's answer on agents: title, summary, why, area and confidence."""
+    tags = fixed.AGENT_TAGS
+    body = F.when(F.locate("[" + tags[0] + "]", text) > 0, F.substring(text, F.locate("[" + tags[0] + "]", text), F.length(text))).otherwise(text)
+    title, summary, why, area, raw = (tagged_section(body, t, tags) for t in tags)
+    return F.struct(title.alias("title"), summary.alias("summary"), why.alias("why"), area.alias("area"), confidence(raw).alias("confidence"))
+
+
+def confidence(raw: Column) -> Column:
+    """verified, partially_verified or signal_only, from what a model wrote."""
+    low = F.lower(F.coalesce(raw, F.lit("")))
+    partial = F.contains(low, F.lit("partial"))
+    return F.when(F.contains(low, F.lit("verified")) & ~partial, "verified").when(partial, "partially_verified").otherwise("signal_only")
+
+
+def parse_json(c: Column, schema: str, default: Column) -> Column:
+    """A JSON text by a schema; the default for what is empty or can't be read."""
+    mark = F.from_json(c, schema, {"mode": "PERMISSIVE"})
+    ok = F.try_parse_json(c).isNotNull() & (F.trim(c) != "")
+    return F.when(ok, F.coalesce(mark, default)).otherwise(default)
+
+
+def callback(c: Column) -> Column:
+    """digest_id, article_idx and action of "fb:digest:article:action", null for anything else."""
+    part = F.split(c, ":")
+    whole = lambda i: F.when(F.trim(part[i]).rlike(r"^[+-]?\d+$"), F.trim(part[i]).try_cast("long"))
+    digest, article = (F.when(F.size(part) == 4, whole(i)) for i in (1, 2))
+    ok = (F.size(part) == 4) & (part[0] == "fb") & digest.isNotNull() & article.isNotNull()
+    return F.when(ok, F.struct(digest.alias("digest_id"), article.alias("article_idx"), part[3].alias("action")))
+
+
+def menu_callback(c: Column) -> Column:
+    """screen, action, value and extra of "menu:screen:action[:value[:extra]]"; extra keeps further colons."""
+    part = F.split(c, ":", 5)
+    at = lambda i: F.coalesce(F.get(part, F.lit(i)), F.lit(""))
+    return F.when(c.startswith("menu:") & (F.size(part) >= 3), F.struct(at(1).alias("screen"), at(2).alias("action"), at(3).alias("value"), at(4).alias("extra")))
+
+
+def valid_hhmm(c: Column) -> Column:
+    """Whether a text is a time of the day, two numbers around one colon."""
+    part = F.split(c, ":")
+    number = lambda i: F.when(F.trim(F.get(part, F.lit(i))).rlike(r"^[+-]?\d+$"), F.trim(F.get(part, F.lit(i))).try_cast("int"))
+    return F.coalesce((F.size(part) == 2) & number(0).between(0, 23) & number(1).between(0, 59), F.lit(False))
+
+
+def block_time(c: Column) -> Column:
+    """day (null without one), hour and minute of "HH:MM" or "mon 09:00"; null where the time is none."""
+    words = F.filter(F.split(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"\s+"), lambda w: w != "")
+    two = F.size(words) == 2
+    clock = F.when(two, F.get(words, F.lit(1))).otherwise(F.array_join(words, " "))
+    day = F.when(two, F.substring(F.get(words, F.lit(0)), 1, 3))
+    m = minutes_of(clock)
+    return F.struct(F.when(day.isin(*fixed.WEEKDAYS), day).alias("day"), F.floor(m / 60).cast("int").alias("hour"), (m % 60).cast("int").alias("minute"))
+
+
+def ordered_union(a: Column, b: Column) -> Column:
+    """Values of both arrays, each once, in the order of their first place."""
+    none = F.array().cast("array<string>")
+    return F.array_union(F.coalesce(a, none), F.coalesce(b, none))
+
+
 def strip_thinking(c: Column) -> Column:
     return F.regexp_replace(c, "(?s)<think>.*?</think>", "")
 

@@ -8,20 +8,29 @@ from pyspark.sql import functions as F
 from tidewire.functions import fixed
 from tidewire.functions import text as T
 from tidewire.operators.components import connected_components
+from tidewire.operators.history import entity_sets
+from tidewire.operators.overlap import similar_within
 from tidewire.runtime import settle
 
 
 def token_edges(articles: DataFrame, jaccard: float = 0.20, shared: int = 2, hours: int = 24) -> DataFrame:
     """Pairs a < b of a category with enough common keywords, close in time.
 
-    Sizes travel with the tokens, so the Jaccard value needs no second join. Each pair of rows is
-    counted from the rows of its common tokens; the sum is pre-aggregated before the shuffle.
+    Sizes travel with the tokens, so the Jaccard value needs no second join. Rows meet in time
+    buckets of `hours`: each in its own bucket and those beside it, so a keyword of all times is many
+    keys; an unknown time is close to any, and such rows meet all others. Each pair of rows is counted
+    from the rows of its common tokens; the sum is pre-aggregated before the shuffle.
     """
     kw = articles.select("category", "seq", "published_at", T.keywords(F.col("title")).alias("kw"))
-    tok = settle(kw.select("category", "seq", "published_at", F.size("kw").alias("n"), F.explode("kw").alias("token")))
-    a = tok.select("category", "token", F.col("seq").alias("a"), F.col("n").alias("na"), F.col("published_at").alias("ta"))
-    b = tok.select("category", "token", F.col("seq").alias("b"), F.col("n").alias("nb"), F.col("published_at").alias("tb"))
-    near = a.join(b, ["category", "token"]).where("a < b").where(T.time_close(F.col("ta"), F.col("tb"), hours))
+    bucket = F.floor(F.unix_micros(F.col("published_at").cast("timestamp")) / F.lit(hours * 3_600_000_000))
+    tok = settle(kw.select("category", "seq", "published_at", bucket.alias("bucket"), F.size("kw").alias("n"), F.explode("kw").alias("token")))
+    a = tok.select("category", "token", F.col("seq").alias("a"), F.col("n").alias("na"), F.col("published_at").alias("ta"), "bucket")
+    b = tok.select("category", "token", F.col("seq").alias("b"), F.col("n").alias("nb"), F.col("published_at").alias("tb"), "bucket")
+    beside = b.where("bucket IS NOT NULL").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
+    timed = a.join(beside, ["category", "token", "bucket"]).where("a < b").where(T.time_close(F.col("ta"), F.col("tb"), hours))
+    free = a.where("bucket IS NULL").drop("bucket").join(b.drop("bucket"), ["category", "token"]).where("a < b")
+    free = free.unionByName(a.where("bucket IS NOT NULL").drop("bucket").join(b.where("bucket IS NULL").drop("bucket"), ["category", "token"]).where("a < b"))
+    near = timed.drop("bucket").unionByName(free)
     pairs = near.groupBy("category", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
     alike = F.col("shared") >= jaccard * (F.col("na") + F.col("nb") - F.col("shared"))
     return pairs.where(alike | (F.col("shared") >= shared)).select("category", "a", "b", "shared")
@@ -79,29 +88,33 @@ def shown_sources(sources: DataFrame, most: int = 3) -> DataFrame:
     w = Window.partitionBy("event_id", "domain").orderBy("place")
     one = some.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     rank = F.row_number().over(Window.partitionBy("event_id").orderBy("place"))
-    return one.withColumn("shown", rank).where(F.col("shown") <= most).select("event_id", "shown", "domain")
+    return one.withColumn("shown", rank).where(F.col("shown") <= most).select("event_id", "shown", "domain", "url")
 
 
 def entity_edges(events: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of events of a category whose entity overlap is at least `least`.
 
-    The overlap is positive only if some organisation, product or topic is common to both, so
-    blocking on those values loses nothing for a positive threshold.
+    The overlap is a weighted mean of the similarities of all kinds of entities, so at least one kind
+    is as similar as the overlap; pairs come from the kinds, and the overlap is then computed.
     """
     e = settle(events.select("category", F.col("event_id").alias("id"), "entities"))
-    low = lambda k: F.transform(F.col(f"entities.{k}"), lambda v: F.concat(F.lit(k + ":"), F.lower(F.trim(v))))
-    tok = e.select("category", "id", F.explode(F.array_distinct(F.concat(low("organizations"), low("products"), low("topics")))).alias("token"))
-    pairs = tok.alias("x").join(tok.alias("y"), ["category", "token"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    kinds = entity_sets(e, "id").join(e.select("id", "category"), "id")
+    pairs = similar_within(kinds, least, ("category", "kind")).select("a", "b").distinct()
     ea, eb = (e.select(F.col("id").alias(k), F.col("entities").alias("e" + k)) for k in "ab")
     scored = pairs.join(ea, "a").join(eb, "b").withColumn("overlap", T.entity_overlap(F.col("ea"), F.col("eb")))
     return scored.where(F.col("overlap") >= least).select("a", "b", "overlap")
 
 
+def entity_groups(events: DataFrame, least: float = 0.5) -> DataFrame:
+    """(event_id, group_id): the component of each event over entity edges, itself without any."""
+    comps = connected_components(entity_edges(events, least), "a", "b")
+    joined = events.select("event_id").join(comps, F.col("event_id") == F.col("node"), "left")
+    return joined.select("event_id", F.coalesce("component", "event_id").alias("group_id"))
+
+
 def merge_by_entities(events: DataFrame, least: float = 0.5) -> DataFrame:
     """Events merged over entity edges; the largest, then first, event gives title, time and role."""
-    edges = entity_edges(events, least)
-    comps = connected_components(edges, "a", "b")
-    joined = events.join(comps, F.col("event_id") == F.col("node"), "left").withColumn("group_id", F.coalesce("component", "event_id"))
+    joined = events.join(entity_groups(events, least), "event_id")
     lead = F.max_by(F.struct("event_id", "canonical_title", "published_at", "role"), F.struct("n_articles", -F.col("first_seq")))
     out = joined.groupBy("category", "group_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum("n_articles").alias("n_articles"), lead.alias("lead"))
     return out.select("category", "group_id", "n_events", "n_articles", "lead.*")

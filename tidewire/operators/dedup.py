@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
+from tidewire.operators.history import within
 from tidewire.runtime import settle
 
 
@@ -50,19 +53,27 @@ def batch_dedup(articles: DataFrame) -> DataFrame:
 
 
 def simhash_pairs(articles: DataFrame, below: int = 4) -> DataFrame:
-    """Pairs a < b of a category whose SimHashes differ in fewer than `below` bits.
+    """Pairs a < b of a category whose SimHashes differ in fewer than `below` bits, between classes.
 
-    With at most three differing bits, one of four 16-bit bands is equal: candidates come from an
-    equi-join on bands and none is lost.
+    Rows of one hash are a class: each is paired with the first of them only, and only the first ones
+    are paired with other classes. The hash is cut into twice `below` - 2 bands; of these, `below` - 1
+    are equal in all bits whatever the others hold, so candidates come from an equi-join on
+    each choice of that many bands and none is lost.
     """
-    h = articles.select("category", "seq", T.simhash(F.concat_ws(" ", "title", F.substring("snippet", 1, 200))).alias("h"))
-    h = settle(h)
-    bands = F.transform(F.sequence(F.lit(0), F.lit(below - 1)), lambda i: F.struct(i.alias("i"), F.call_function("shiftrightunsigned", F.col("h"), i * (64 // below)).bitwiseAND(F.lit((1 << 64 // below) - 1)).alias("v")))
-    b = h.withColumn("band", F.explode(bands)).select("category", "seq", "h", F.col("band.i").alias("i"), F.col("band.v").alias("v"))
+    h = settle(articles.select("category", "seq", T.simhash(F.concat_ws(" ", "title", F.substring("snippet", 1, 200))).alias("h")))
+    first = settle(h.groupBy("category", "h").agg(F.min("seq").alias("seq")))
+    same = h.join(first.withColumnRenamed("seq", "a"), ["category", "h"]).where("a < seq").select("category", "a", F.col("seq").alias("b"), F.lit(0).alias("bits"))
+    parts = 2 * (below - 1)
+    edges = [round(64 * k / parts) for k in range(parts + 1)]
+    masks = [sum(1 << bit for bit in range(a, z)) for a, z in zip(edges, edges[1:])]
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    keys = [F.col("h").bitwiseAND(F.lit(signed(sum(masks[i] for i in some)))) for some in combinations(range(parts), below - 1)]
+    b = first.select("category", "seq", "h", F.posexplode(F.array(*keys)).alias("i", "v"))
     x = b.select("category", "i", "v", F.col("seq").alias("a"), F.col("h").alias("ha"))
     y = b.select("category", "i", "v", F.col("seq").alias("b"), F.col("h").alias("hb"))
     near = T.hamming(F.col("ha"), F.col("hb"))
-    return x.join(y, ["category", "i", "v"]).where("a < b").where(near < below).select("category", "a", "b", near.cast("int").alias("bits")).distinct()
+    other = x.join(y, ["category", "i", "v"]).where("a < b").where(near < below).select("category", "a", "b", near.cast("int").alias("bits")).distinct()
+    return other.unionByName(same)
 
 
 def fuzzy_batch_dedup(articles: DataFrame, below: int = 4, more_than: int = 50) -> DataFrame:
@@ -70,15 +81,19 @@ def fuzzy_batch_dedup(articles: DataFrame, below: int = 4, more_than: int = 50)
     exact = settle(batch_dedup(articles))
     big = exact.groupBy("category").count().where(F.col("count") > more_than).select("category")
     pairs = settle(simhash_pairs(exact.join(big, "category", "left_semi"), below))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.concat_ws("-", "a", "b").alias("key"))
+    # of a class only the first row can stay: what drops it is close to the others too
+    again = pairs.where("bits = 0").select(F.col("b").alias("id"))
+    ends = pairs.where("bits > 0").select(F.explode(F.array("a", "b")).alias("id"), F.concat_ws("-", "a", "b").alias("key"))
     near = settle(ends)
     kept = greedy_keep(near)
-    lost = near.select("id").distinct().join(kept, "id", "left_anti")
+    lost = near.select("id").distinct().join(kept, "id", "left_anti").unionByName(again)
     return exact.join(lost, F.col("seq") == F.col("id"), "left_anti")
 
 
-def not_in_history(articles: DataFrame, history: DataFrame) -> DataFrame:
-    """Articles whose url hash is not among the past ones."""
+def not_in_history(articles: DataFrame, history: DataFrame, as_of: str | None = None, days: int = 7, at: str = "digest_date") -> DataFrame:
+    """Articles whose url hash is not among the past ones; with as_of, among those of the last days up to it."""
+    if as_of is not None:
+        history = within(history, at, as_of, days)
     own = articles.withColumn("url_hash", T.url_hash(F.col("title"), F.col("url")))
     return own.join(history.select("url_hash").distinct(), "url_hash", "left_anti")
 

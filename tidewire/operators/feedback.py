@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import fixed
+from tidewire.functions import text as T
 
 
 def normal_rating(c: Column) -> Column:
@@ -119,3 +120,32 @@ def build_minutes(runs: DataFrame, as_of: str, provider: str = "groq", override:
     history = F.when(F.col("n") >= fixed.BUILD_SAMPLES, clamp(F.bround(F.col("minutes") * fixed.BUILD_FACTOR, 0).cast("int")))
     given = F.lit(override).cast("int")
     return rolled.select("n", F.coalesce(clamp(given) if override is not None else given, history, F.lit(fixed.BUILD_MINUTES.get(provider, fixed.BUILD_OTHER))).cast("int").alias("buffer_minutes"))
+
+
+def rating_counts(feedback: DataFrame) -> DataFrame:
+    """Stored ratings and how often each stands there."""
+    return feedback.groupBy("rating").agg(F.count(F.lit(1)).alias("n"))
+
+
+def digest_totals(days: DataFrame, large: int = 20) -> DataFrame:
+    """One row of counts from the items of each digest: digests, items, digests of more than `large` items."""
+    return days.agg(F.count(F.lit(1)).alias("digests"), F.sum("n").alias("items"), F.count_if(F.col("n") > large).alias("large"))
+
+
+def recent_minutes(runs: DataFrame, days: int = 7) -> DataFrame:
+    """Mean minutes (in tenths) of the successful runs of the last days before the newest run, zeros left out."""
+    newest = runs.agg(F.max("started_at").alias("newest"))
+    rows = runs.where("status = 'ok'").join(F.broadcast(newest)).where(f"started_at >= newest - INTERVAL {days} DAYS")
+    return rows.agg(F.floor(F.avg(F.when(F.col("duration_sec") != 0, F.col("duration_sec"))) / 60 * 10 + 0.5).cast("long").alias("tenth_minutes"))
+
+
+def apply_learning(topics: DataFrame, found: DataFrame, words: DataFrame) -> DataFrame:
+    """Topics (topic, blacklist, sources map) after learning: words to avoid added once, sources to remove left out.
+
+    found: suggestions (source, action); words: (word). Both are short lists by their own limits.
+    """
+    gone = found.where("action = 'remove'").agg(F.collect_set("source").alias("_gone"))
+    more = words.agg(F.sort_array(F.collect_set("word")).alias("_more"))
+    rows = topics.join(F.broadcast(gone)).join(F.broadcast(more))
+    kept = F.map_filter("sources", lambda k, v: ~F.array_contains(F.col("_gone"), k))
+    return rows.withColumns({"blacklist": T.ordered_union(F.col("blacklist"), F.col("_more")), "sources": kept}).drop("_gone", "_more")

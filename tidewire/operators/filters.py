@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions import fixed
 from tidewire.functions import text as T
 
 
@@ -31,8 +32,9 @@ def quality_card(title: Column, summary: Column) -> Column:
     s, t = T.strip(F.coalesce(summary, F.lit(""))), T.strip(F.coalesce(title, F.lit("")))
     cyrillic, latin = T.letters(s)
     foreign = (cyrillic + latin > 20) & (cyrillic < (cyrillic + latin) * 0.35)
-    leftovers = F.contains(s, F.lit("```")) | F.contains(s, F.lit("  Tags:")) | (F.contains(s, F.lit("Release:")) & F.contains(s, F.lit("Datasette")))
-    leftovers = leftovers | s.startswith("Tool:") | F.contains(s, F.lit("&amp;#")) | F.contains(s, F.lit("&#x"))
+    leftovers = s.startswith(fixed.LEFTOVER_START) | (F.contains(s, F.lit(fixed.LEFTOVER_PAIR[0])) & F.contains(s, F.lit(fixed.LEFTOVER_PAIR[1])))
+    for mark in fixed.LEFTOVERS:
+        leftovers = leftovers | F.contains(s, F.lit(mark))
     return (F.length(s) >= 30) & (F.length(t) >= 5) & ~leftovers & ~foreign
 
 
@@ -61,6 +63,23 @@ def config_errors(kind: Column, value: Column) -> Column:
     return F.array_compact(F.array(*checks))
 
 
+def paused_until(context: Column) -> Column:
+    """The time in a state's JSON, null for none that can be read."""
+    return F.try_to_timestamp(F.get_json_object(context, "$.paused_until")).cast("timestamp")
+
+
+def paused(state: DataFrame, as_of: str) -> DataFrame:
+    """Of a state table (key, context), whether delivery is paused: one row, false without a readable time."""
+    own = state.where(F.col("key") == fixed.PAUSE_KEY)
+    return own.agg(F.coalesce(F.max(paused_until(F.col("context"))) > F.lit(as_of).cast("timestamp"), F.lit(False)).alias("paused"))
+
+
+def pause_row(spark: SparkSession, as_of: str, days: int = 1) -> DataFrame:
+    """The state row that pauses delivery for some days; upsert it by key, delete it to resume."""
+    until = F.date_format(F.lit(as_of).cast("timestamp") + F.expr(f"INTERVAL {days} DAYS"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return spark.range(1).select(F.lit(fixed.PAUSE_KEY).alias("key"), F.to_json(F.struct(until.alias("paused_until"))).alias("context"))
+
+
 def source_key(kind: Column, value: Column) -> Column:
     """Identity of a configured source."""
     low = F.lower(F.trim(value))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import fixed
 from tidewire.functions import text as T
 from tidewire.operators.dedup import greedy_keep
+from tidewire.operators.overlap import similar_within
 from tidewire.runtime import settle
 
 
@@ -32,8 +33,13 @@ def freshness(published: Column, as_of: str) -> Column:
     return F.when(published.isNull(), 0.5).otherwise(F.greatest(F.lit(0.05), F.lit(1.0) - hours / 48))
 
 
+def places4(c: Column) -> Column:
+    """Four decimal places, half to even."""
+    return F.rint(c * 10000) / 10000
+
+
 def score_events(events: DataFrame, as_of: str) -> DataFrame:
-    """Four scores and the final one; events carry section, title, snippets, sources, role, published_at, n_articles.
+    """Four scores and the final one, each rounded to four places after the sum; events carry section, title, snippets, sources, role, published_at, n_articles.
 
     snippets and sources are arrays in article order.
     """
@@ -58,7 +64,8 @@ def score_events(events: DataFrame, as_of: str) -> DataFrame:
     )
     weight = lambda k: _by_section(section, {s: F.lit(w[k]) for s, w in fixed.SCORE_WEIGHTS.items()}, F.lit(fixed.OTHER_WEIGHTS[k]))
     final = weight(0) * F.col("importance") + weight(1) * F.col("relevance") + weight(2) * F.col("freshness") + weight(3) * F.col("source_confidence")
-    return out.withColumn("final_score", final).drop("_text")
+    names = ["freshness", "source_confidence", "importance", "relevance", "final_score"]
+    return out.withColumn("final_score", final).withColumns({c: places4(F.col(c)) for c in names}).drop("_text")
 
 
 def ranked(events: DataFrame, part: str = "section", score: str = "final_score", order: str = "event_id") -> DataFrame:
@@ -78,12 +85,10 @@ def diverse_top(events: DataFrame, k: int, alike: float = 0.40, part: str = "sec
     fill up in rank order.
     """
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[а-яёa-z]{4,}"), 0))
-    rows = settle(events.withColumn("_tok", tokens).withColumn("_id", F.row_number().over(Window.orderBy(part, "rank")).cast("long")))
-    tok = rows.select(part, "_id", F.size("_tok").alias("n"), F.explode("_tok").alias("t"))
-    a, b = tok.alias("a"), tok.alias("b")
-    pairs = a.join(b, F.expr(f"a.{part} = b.{part} AND a.t = b.t AND a._id < b._id")).groupBy(F.col("a._id").alias("x"), F.col("b._id").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).agg(F.count(F.lit(1)).alias("c"))
-    near = settle(pairs.where(F.col("c") >= alike * (F.col("nx") + F.col("ny") - F.col("c"))).select("x", "y"))
-    marks = near.select(F.explode(F.array("x", "y")).alias("id"), F.concat_ws("-", "x", "y").alias("key"))
+    # section and rank together number a row, so no task ever sees all rows
+    rows = settle(events.withColumn("_tok", tokens).withColumn("_id", F.struct(F.col(part).alias("s"), F.col("rank").alias("r"))))
+    near = similar_within(rows.select(part, F.col("_id").alias("id"), F.col("_tok").alias("tokens")), alike, (part,))
+    marks = settle(near.select(F.explode(F.array("a", "b")).alias("id"), F.concat_ws("-", part, F.col("a.r"), F.col("b.r")).alias("key")))
     kept = greedy_keep(marks)
     lost = marks.select("id").distinct().join(kept, "id", "left_anti")
     decided = rows.join(lost.withColumn("_lost", F.lit(True)), F.col("_id") == F.col("id"), "left").withColumn("_ok", F.col("_lost").isNull()).drop("id", "_lost")
@@ -94,11 +99,34 @@ def diverse_top(events: DataFrame, k: int, alike: float = 0.40, part: str = "sec
 
 
 def boosted(events: DataFrame, boosts: DataFrame) -> DataFrame:
-    """final_score times the mean boost of the event's matched sources."""
+    """final_score times the mean boost of the event's matched sources, rounded to four places; others keep theirs."""
     src = events.select("event_id", F.explode(F.array_distinct(F.transform("sources", T.clean_source))).alias("s"))
     known = boosts.select(T.clean_source(F.col("source")).alias("s"), "boost")
     factor = src.join(known, "s").groupBy("event_id").agg(F.avg("boost").alias("factor"))
-    return events.join(factor, "event_id", "left").withColumn("final_score", F.col("final_score") * F.coalesce("factor", F.lit(1.0)))
+    return events.join(factor, "event_id", "left").withColumn("final_score", F.when(F.col("factor").isNull(), F.col("final_score")).otherwise(places4(F.col("final_score") * F.col("factor"))))
+
+
+def merged_top(events: DataFrame, sections: tuple[str, ...] = ("ai_agents", "ai", "tech"), k: int = 5, score: str = "final_score", other: str | None = None, order: str = "event_id") -> DataFrame:
+    """The best rows of several sections together, sections in the given order on ties.
+
+    Rows without a positive score go by `other`, if given.
+    """
+    place = _by_section(F.col("section"), {s: F.lit(i) for i, s in enumerate(sections)}, F.lit(None).cast("int"))
+    value = F.when(F.col(score) > 0, F.col(score)).otherwise(F.col(other) if other else F.lit(0.0))
+    rows = events.where(F.col("section").isin(*sections)).withColumns({"_value": value, "_place": place})
+    return rows.orderBy(F.desc("_value"), "_place", order).limit(k).drop("_value", "_place")
+
+
+def chosen_events(events: DataFrame, k: int = 5, part: str = "category", score: str = "final_score", order: str = "event_id") -> DataFrame:
+    """The events of each category that cards are written for, with their place.
+
+    Scored events go by score; those without a positive one by their articles, then with a snippet first.
+    """
+    scored = F.coalesce(F.col(score), F.lit(0.0)) > 0
+    first = F.when(scored, -F.col(score)).otherwise(-F.col("n_articles").cast("double"))
+    bare = ~F.exists("snippets", lambda s: F.trim(F.coalesce(s, F.lit(""))) != "")
+    w = Window.partitionBy(part).orderBy(first, F.when(scored, 0).otherwise(bare.cast("int")), order)
+    return events.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def headline(cards: DataFrame, count: int = 5) -> DataFrame:

@@ -160,13 +160,13 @@ def pipeline_stats_by_status(spark, d):
 
 @query(f"WITH {V.FEEDBACK} SELECT rating, count(*) AS n FROM feedback GROUP BY rating")
 def rating_counts(spark, d):
-    return V.feedback(spark, d).groupBy("rating").agg(F.count(F.lit(1)).alias("n"))
+    return feedback.rating_counts(V.feedback(spark, d))
 
 
 @query("""SELECT count(*) AS digests, CAST(sum(n) AS BIGINT) AS items, count(*) FILTER (n > 20) AS large FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)""")
 def digest_counts(spark, d):
     days = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return days.agg(F.count(F.lit(1)).alias("digests"), F.sum("n").alias("items"), F.count_if(F.col("n") > 20).alias("large"))
+    return feedback.digest_totals(days)
 
 
 @query(f"WITH {V.RUNS} SELECT id, started_at, status FROM runs ORDER BY started_at DESC, id DESC LIMIT 1")
@@ -184,10 +184,7 @@ def rolling_buffer(spark, d):
 @query(f"""WITH {V.RUNS} SELECT CAST(floor(avg(duration_sec) FILTER (duration_sec <> 0) / 60 * 10 + 0.5) AS BIGINT) AS tenth_minutes FROM runs
   WHERE status = 'ok' AND started_at >= (SELECT max(started_at) FROM runs) - INTERVAL 7 DAYS""")
 def build_minutes_week(spark, d):
-    r = V.runs(spark, d)
-    newest = r.agg(F.max("started_at").alias("newest"))
-    rows = r.where("status = 'ok'").join(F.broadcast(newest)).where("started_at >= newest - INTERVAL 7 DAYS")
-    return rows.agg(F.floor(F.avg(F.when(F.col("duration_sec") != 0, F.col("duration_sec"))) / 60 * 10 + 0.5).cast("long").alias("tenth_minutes"))
+    return feedback.recent_minutes(V.runs(spark, d))
 
 
 @query("SELECT o_orderkey, lpad(CAST(((o_orderkey % 1440) - 15 + 1440) % 1440 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(((o_orderkey % 1440) - 15 + 1440) % 1440 % 60 AS VARCHAR), 2, '0') AS build_at FROM orders")
@@ -380,11 +377,12 @@ def simhash_pairs(spark, d):
 
 
 @query(f"""WITH {V.ARTICLES}, h AS (SELECT sha256({norm_sql('title')} || '|' || trim(url)) AS url_hash, seq FROM articles)
-  SELECT seq FROM h WHERE url_hash NOT IN (SELECT url_hash FROM h WHERE seq % 3 = 0)""")
+  SELECT seq FROM h WHERE url_hash NOT IN (SELECT url_hash FROM h WHERE seq % 10 <= 7)""")
 def history_antijoin(spark, d):
+    """Every article was in a digest seq % 10 days ago; those of the last seven days are known."""
     a = V.articles(spark, d)
-    past = a.where("seq % 3 = 0").select(T.url_hash(F.col("title"), F.col("url")).alias("url_hash"))
-    return dedup.not_in_history(a, past).select("seq")
+    past = a.select(T.url_hash(F.col("title"), F.col("url")).alias("url_hash"), F.expr("date_sub(DATE'2024-01-31', cast(seq % 10 as int))").alias("digest_date"))
+    return dedup.not_in_history(a, past, V.AS_OF).select("seq")
 
 
 _EDGES = f"""kw AS (SELECT category, seq, published_at, {_KW} AS kw FROM articles),
@@ -392,10 +390,14 @@ _EDGES = f"""kw AS (SELECT category, seq, published_at, {_KW} AS kw FROM article
   p AS (SELECT a.category, a.seq AS a, b.seq AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM tok a JOIN tok b ON a.category = b.category AND a.t = b.t AND a.seq < b.seq
         AND abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 86400000000 GROUP BY ALL),
   edges AS (SELECT category, a, b, shared FROM p WHERE shared >= 0.2::DOUBLE * (na + nb - shared) OR shared >= 2)"""
-_COMP = """reach AS (
-  WITH RECURSIVE both AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges), r(node, root) AS (
-    SELECT seq, seq FROM articles UNION SELECT both.b, r.root FROM r JOIN both ON r.node = both.a WHERE both.b > r.root)
-  SELECT node, min(root) AS event_id FROM r GROUP BY node)"""
+_FIT = r"(len(regexp_split_to_array(trim(title), '\s+')) >= 3 AND length(title) <= 120)"
+_SUMMARY = rf"""s AS (SELECT category, event_id, count(*) AS n_articles, list_extract(list(title ORDER BY CASE WHEN {_FIT} THEN 0 ELSE 1 END, CASE WHEN {_FIT} THEN length(title) ELSE 0 END, seq), 1) AS canonical_title,
+    CASE WHEN bool_or(role = 'source') THEN 'verified' WHEN bool_or(role = 'analysis') THEN 'partially_verified' ELSE 'signal_only' END AS role, min(published_at) AS published_at, min(seq) AS first_seq FROM day_events GROUP BY category, event_id),
+  summary AS (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY n_articles DESC, published_at DESC NULLS LAST, first_seq) AS INTEGER) AS position FROM s)"""
+# the smallest id that paths reach, taking smaller ones along edges until nothing changes
+_COMP = """both_ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+  walk AS (WITH RECURSIVE r(node, root) AS (SELECT seq, seq FROM articles UNION SELECT w.b, r.root FROM r JOIN both_ways w ON r.node = w.a) SELECT node, root FROM r),
+  reach AS (SELECT node, min(root) AS event_id FROM walk GROUP BY node)"""
 
 
 @query(f"WITH {V.ARTICLES}, {_EDGES} SELECT * FROM edges")
@@ -408,12 +410,12 @@ def _grouped(spark, d):
     return settle(cluster.with_component(a, cluster.token_edges(a)))
 
 
-@query()
+@query(f"WITH {V.ARTICLES}, {_EDGES}, {_COMP} SELECT node AS seq, event_id FROM reach")
 def event_components(spark, d):
     return _grouped(spark, d).select("seq", "event_id")
 
 
-@query()
+@query(rf"""WITH {V.ARTICLES}, {_EDGES}, {_COMP}, day_events AS (SELECT a.*, event_id FROM articles a JOIN reach r ON a.seq = r.node), {_SUMMARY} SELECT * FROM summary""")
 def event_summary(spark, d):
     return cluster.ordered_events(cluster.event_summary(_grouped(spark, d)))
 
@@ -429,12 +431,7 @@ def _by_day(spark, d):
     return V.articles(spark, d).withColumn("event_id", F.min("seq").over(w))
 
 
-_FIT = r"(len(regexp_split_to_array(trim(title), '\s+')) >= 3 AND length(title) <= 120)"
-
-
-@query(rf"""WITH {V.ARTICLES}, {_DAY}, s AS (SELECT category, event_id, count(*) AS n_articles, list_extract(list(title ORDER BY CASE WHEN {_FIT} THEN 0 ELSE 1 END, CASE WHEN {_FIT} THEN length(title) ELSE 0 END, seq), 1) AS canonical_title,
-    CASE WHEN bool_or(role = 'source') THEN 'verified' WHEN bool_or(role = 'analysis') THEN 'partially_verified' ELSE 'signal_only' END AS role, min(published_at) AS published_at, min(seq) AS first_seq FROM day_events GROUP BY category, event_id)
-  SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY n_articles DESC, published_at DESC NULLS LAST, first_seq) AS INTEGER) AS position FROM s""")
+@query(f"WITH {V.ARTICLES}, {_DAY}, {_SUMMARY} SELECT * FROM summary")
 def day_event_summary(spark, d):
     return cluster.ordered_events(cluster.event_summary(_by_day(spark, d)))
 
@@ -450,7 +447,7 @@ def sources_collect(spark, d):
 @query(f"""WITH {V.ARTICLES}, {_DAY}, {_SRC}, x AS (SELECT event_id, min(place) AS place, split_part(split_part(url, '://', 2), '/', 1) AS domain FROM src WHERE place <= 6 GROUP BY event_id, 3)
   SELECT event_id, CAST(shown AS INTEGER) AS shown, domain FROM (SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY place) AS shown, domain FROM x) WHERE shown <= 3""")
 def shown_sources(spark, d):
-    return cluster.shown_sources(cluster.collect_sources(_by_day(spark, d)))
+    return cluster.shown_sources(cluster.collect_sources(_by_day(spark, d))).drop("url")
 
 
 @query()
@@ -472,17 +469,24 @@ def grams_sql(c: str) -> str:
 
 _SIM = f"""ga AS (SELECT seq, {grams_sql('title')} AS g FROM articles), gp AS (SELECT item_id, {grams_sql('title')} AS g FROM past),
   ta AS (SELECT seq, len(g) AS n, unnest(g) AS t FROM ga), tp AS (SELECT item_id, len(g) AS m, unnest(g) AS t FROM gp),
-  sim AS (SELECT * FROM (SELECT seq, item_id, count(*) AS shared, n, m FROM ta JOIN tp ON ta.t = tp.t GROUP BY seq, item_id, n, m) WHERE shared >= 0.3::DOUBLE * (n + m - shared))"""
+  sim AS (SELECT * FROM (SELECT seq, item_id, count(*) AS shared, n, m FROM ta JOIN tp ON ta.t = tp.t GROUP BY seq, item_id, n, m) WHERE shared >= 0.7::DOUBLE * (n + m - shared))"""
+_WEEK = "digest_date >= DATE '2024-01-31' - 7 AND digest_date <= DATE '2024-01-31'"
 
 
-@query(f"WITH {V.ARTICLES}, {V.PAST}, {_SIM} SELECT seq, item_id, shared FROM sim")
+def _week(spark, d):
+    return history.within(V.past_titles(spark, d), "digest_date", V.AS_OF, 7)
+
+
+@query(f"WITH {V.ARTICLES}, every_{V.PAST}, past AS (SELECT * FROM every_past WHERE {_WEEK}), {_SIM} SELECT seq, s.item_id, digest_date, shared FROM sim s JOIN past p ON s.item_id = p.item_id")
 def similar_in_history(spark, d):
-    return history.similar_titles(V.articles(spark, d), V.past_titles(spark, d), "seq", "title", "item_id", "title", 0.3).select("seq", "item_id", "shared")
+    past = _week(spark, d)
+    found = history.similar_titles(V.articles(spark, d), past, "seq", "title", "item_id", "title")
+    return found.join(past.select("item_id", "digest_date"), "item_id").select("seq", "item_id", "digest_date", "shared")
 
 
-@query(f"WITH {V.ARTICLES}, {V.PAST}, {_SIM} SELECT seq FROM articles WHERE seq NOT IN (SELECT seq FROM sim)")
+@query(f"WITH {V.ARTICLES}, every_{V.PAST}, past AS (SELECT * FROM every_past WHERE {_WEEK}), {_SIM} SELECT seq FROM articles WHERE seq NOT IN (SELECT seq FROM sim)")
 def history_fuzzy_antijoin(spark, d):
-    return history.new_only(V.articles(spark, d), V.past_titles(spark, d), "seq", "title", "item_id", "title", 0.3).select("seq")
+    return history.new_only(V.articles(spark, d), _week(spark, d), "seq", "title", "item_id", "title").select("seq")
 
 
 def _stories(spark, d):
@@ -495,19 +499,19 @@ def _stories(spark, d):
 @query()
 def best_story_match(spark, d):
     events, stories = _stories(spark, d)
-    return history.best_story(events, stories, 0.1).select("event_id", "story_id", k4(F.col("overlap")).alias("overlap_k"))
+    return history.best_story(events, stories, 0.1, V.AS_OF).select("event_id", "story_id", k4(F.col("overlap")).alias("overlap_k"))
 
 
 @query()
 def recent_story_filter(spark, d):
     events, stories = _stories(spark, d)
-    return history.not_recent(events, history.best_story(events, stories, 0.1), V.AS_OF, 10).select("event_id")
+    return history.not_recent(events, history.best_story(events, stories, 0.1, V.AS_OF), V.AS_OF, 10).select("event_id")
 
 
 @query()
 def stories_after_digest(spark, d):
     events, stories = _stories(spark, d)
-    matched = settle(history.best_story(events, stories, 0.1))
+    matched = settle(history.best_story(events, stories, 0.1, V.AS_OF))
     return history.upsert_stories(stories, events, matched, V.AS_OF).select("story_id", "last_seen_at", "card_count")
 
 
@@ -536,7 +540,8 @@ _SCORE = f"""ev AS (SELECT seq AS event_id, section, lower(title || ' ' || subst
     least(1.0::DOUBLE, least(0.40::DOUBLE, 1 * 0.10::DOUBLE) + least(0.15::DOUBLE, 1 * 0.05::DOUBLE) + least(0.35::DOUBLE, {_HIT.format(_case({k: list_sql(v) for k, v in fixed.SIGNALS.items()}, "CAST([] AS VARCHAR[])"))} * 0.12::DOUBLE) + least(0.10::DOUBLE, (ln / 1) / 1200)) AS importance,
     CASE WHEN section = 'custom' THEN {0.7 * 0.5}::DOUBLE ELSE least(1.0::DOUBLE, {_case({k: f"{v}::DOUBLE" for k, v in fixed.SECTION_WEIGHTS.items()}, "0.0::DOUBLE")} * 0.35::DOUBLE
       + least(1.0::DOUBLE, {_HIT.format(_case({k: list_sql(v) for k, v in fixed.SECTION_KEYWORDS.items()}, "CAST([] AS VARCHAR[])"))} / greatest(1.0::DOUBLE, log2({_case({k: str(len(v) + 2) + "::DOUBLE" for k, v in fixed.SECTION_KEYWORDS.items()}, "2::DOUBLE")}))) * 0.65::DOUBLE) END AS relevance FROM ev),
-  fin AS (SELECT *, {' + '.join(_case({s: f"{w[k]}::DOUBLE" for s, w in fixed.SCORE_WEIGHTS.items()}, f"{fixed.OTHER_WEIGHTS[k]}::DOUBLE") + " * " + c for k, c in enumerate(("importance", "relevance", "freshness", "source_confidence")))} AS final_score FROM sc),
+  raw AS (SELECT *, {' + '.join(_case({s: f"{w[k]}::DOUBLE" for s, w in fixed.SCORE_WEIGHTS.items()}, f"{fixed.OTHER_WEIGHTS[k]}::DOUBLE") + " * " + c for k, c in enumerate(("importance", "relevance", "freshness", "source_confidence")))} AS final_score FROM sc),
+  fin AS (SELECT event_id, section, {', '.join(f"round_even({c} * 10000, 0) / 10000 AS {c}" for c in ("freshness", "source_confidence", "importance", "relevance", "final_score"))} FROM raw),
   rk AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY final_score DESC, event_id) AS rank FROM fin)"""
 
 
@@ -570,13 +575,19 @@ def headline_pick(spark, d):
     return rank.headline(rank.ranked(_scores(spark, d)), 5).select("event_id", "section")
 
 
-@query(f"WITH {V.ARTICLES}, {_SCORE} SELECT event_id FROM fin WHERE section IN ('ai_agents', 'ai', 'tech') ORDER BY final_score DESC, event_id LIMIT 5")
+@query(f"WITH {V.ARTICLES}, {_SCORE} SELECT event_id FROM fin WHERE section IN ('ai_agents', 'ai', 'tech') ORDER BY final_score DESC, CASE section WHEN 'ai_agents' THEN 0 WHEN 'ai' THEN 1 ELSE 2 END, event_id LIMIT 5")
 def merged_section_topk(spark, d):
-    rows = _scores(spark, d).where(F.col("section").isin("ai_agents", "ai", "tech"))
-    return rows.orderBy(F.desc("final_score"), "event_id").limit(5).select("event_id")
+    return rank.merged_top(_scores(spark, d)).select("event_id")
 
 
-@query()
+@query(f"""WITH {V.ARTICLES}, {_SCORE} SELECT section, event_id, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY final_score DESC, event_id) AS r FROM fin) WHERE r <= 5""")
+def chosen_events(spark, d):
+    return rank.chosen_events(_scores(spark, d), part="section").select("section", "event_id", "place")
+
+
+@query(f"""{_STATS}, boosts AS (SELECT trim(regexp_replace(lower(source), '^(rss:|tg:|search:?)\\s*', '')) AS s, {_BOOST} AS boost FROM stats), {V.ARTICLES}, {_SCORE},
+  fb AS (SELECT f.section, f.event_id, CASE WHEN b.boost IS NULL THEN f.final_score ELSE round_even(f.final_score * b.boost * 10000, 0) / 10000 END AS score FROM fin f JOIN ev USING (event_id) LEFT JOIN boosts b ON ev.src = b.s)
+  SELECT section, event_id, CAST(row_number() OVER (PARTITION BY section ORDER BY score DESC, event_id) AS INTEGER) AS rank FROM fb""")
 def boosted_rank(spark, d):
     boosts = feedback.boosts(_stats(spark, d))
     return rank.ranked(rank.boosted(_scores(spark, d), boosts)).select("section", "event_id", "rank")
@@ -711,7 +722,9 @@ def message_split(spark, d):
 
 
 def _digest(spark, d):
-    return digest(V.articles(spark, d), V.past_titles(spark, d), feedback.boosts(_stats(spark, d)), V.AS_OF, ["thor*"])
+    # stories of the benchmark items, last seen on the day of their digest
+    stories = table(spark, d, "benchmark").select(F.col("item_id").alias("story_id"), T.entities(F.col("text")).alias("entities"), F.expr("timestampadd(DAY, -cast(item_id % 20 as int), TIMESTAMP_NTZ'2024-01-31 00:00:00')").alias("last_seen_at"))
+    return digest(V.articles(spark, d), V.past_titles(spark, d), feedback.boosts(_stats(spark, d)), V.AS_OF, ["thor*"], stories=stories)
 
 
 @query()
@@ -746,4 +759,125 @@ def stream_first_seen(spark, d):
     return out.agg(F.count(F.lit(1)).alias("keys"))
 
 
+# ---- small parsers, state and catalogues --------------------------------------------------------
+
+@query("SELECT item_id, concat('Entry ', item_id) AS title, concat('https://y.example/', item_id) AS url, concat('body ', item_id) AS snippet, 1704189600 + item_id * 60 AS at, concat('https://y.example/', item_id, '.png') AS image_url, 'analysis' AS role FROM benchmark")
+def atom_parse(spark, d):
+    """Atom entries without a published time and without a summary: the updated time and the first content stand in."""
+    at = F.date_format(F.timestamp_seconds(F.lit(1704189600) + F.col("item_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    entry = F.concat(F.lit("<entry><title>Entry "), "item_id", F.lit('</title><link rel="self" href="https://self.example/"/><link href="https://y.example/'), "item_id", F.lit('"/><updated>'), at, F.lit('</updated><content type="html">&lt;img src="https://y.example/'), "item_id", F.lit('.png"&gt;body '), "item_id", F.lit("</content></entry>"))
+    rows = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("category"), F.lit("https://y.example/atom").alias("url"), F.lit("analysis").alias("role"), F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title>'), entry, F.lit("</feed>")).alias("body"))
+    out = feeds.parse_feed(rows)
+    return out.select(F.col("category").cast("long").alias("item_id"), "title", "url", "snippet", F.unix_seconds(F.col("published_at").cast("timestamp")).alias("at"), "image_url", "role")
+
+
+@query("""SELECT item_id, CASE item_id % 4 WHEN 0 THEN concat('https://i.example/', item_id, '.jpg') WHEN 1 THEN concat('https://i.example/media/', item_id) WHEN 2 THEN concat('https://i.example/e', item_id, '.png') END AS image FROM benchmark""")
+def feed_images(spark, d):
+    """Images of feed items: a thumbnail, a medium, an enclosure, and one that is no image."""
+    k, url = F.col("item_id") % 4, F.concat(F.lit("https://i.example/"), "item_id")
+    media = (
+        F.when(k == 0, F.concat(F.lit('<media:thumbnail url="'), url, F.lit('.jpg"/>')))
+        .when(k == 1, F.concat(F.lit('<media:thumbnail url="ftp://x/y.png"/><media:content medium="video" url="https://i.example/v.png"/><media:content type="image/x" url="https://i.example/media/'), "item_id", F.lit('"/>')))
+        .when(k == 2, F.concat(F.lit('<enclosure type="image/png" url="https://i.example/e'), "item_id", F.lit('.png"/>')))
+        .otherwise('<enclosure type="audio/mp3" url="https://i.example/a.png"/><description>&lt;img src="https://i.example/page"&gt;</description>')
+    )
+    body = F.concat(F.lit('<rss xmlns:media="http://search.yahoo.com/mrss/"><channel><item><title>T</title><link>https://x.example/1</link>'), media, F.lit("</item></channel></rss>"))
+    rows = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("category"), F.lit("https://x.example/feed").alias("url"), body.alias("body"))
+    return feeds.parse_feed(rows).select(F.col("category").cast("long").alias("item_id"), F.col("image_url").alias("image"))
+
+
+@query("""SELECT item_id, CASE item_id % 3 WHEN 0 THEN concat('https://p.example/', item_id, '.png?a=1&b=2') WHEN 1 THEN concat('https://t.example/', item_id, '.jpg') END AS image FROM benchmark""")
+def post_images(spark, d):
+    k = F.col("item_id") % 3
+    post = F.when(k == 0, F.concat(F.lit('{"preview": {"images": [{"source": {"url": "https://p.example/'), "item_id", F.lit('.png?a=1&amp;b=2"}}]}}'))).when(k == 1, F.concat(F.lit('{"thumbnail": "https://t.example/'), "item_id", F.lit('.jpg"}'))).otherwise('{"thumbnail": "self", "url": "https://u.example/media/1"}')
+    return table(spark, d, "benchmark").select("item_id", feeds.post_image(post).alias("image"))
+
+
+@query(f"SELECT page_id, CAST(i AS INTEGER) AS place, list_extract(list_concat(CASE WHEN page_id % 2 = 0 THEN [concat('https://h', page_id, '.example/own.xml')] ELSE [] END, list_transform({list_sql(fixed.FEED_PATHS)}, lambda p: concat('https://h', page_id, '.example', p))), i + 1) AS feed FROM pages, unnest(range({len(fixed.FEED_PATHS)} + CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END)) t(i)")
+def feed_candidates(spark, d):
+    link = F.lit('<link rel="alternate" type="application/rss+xml" href="/own.xml"><link rel="alternate" type="application/atom+xml" href="/own.xml">')
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://h"), "page_id", F.lit(".example/a/b")).alias("url"), F.when(F.col("page_id") % 2 == 0, F.concat(link, "html")).otherwise(F.col("html")).alias("html"))
+    return feeds.feed_candidates(pages)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey END AS digest_id, CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey % 7 END AS article_idx, CASE WHEN o_orderkey % 4 < 2 THEN 'up' END AS action FROM orders")
+def callbacks(spark, d):
+    key = F.col("o_orderkey")
+    data = F.when(key % 4 < 2, F.concat_ws(":", F.lit("fb"), key, key % 7, F.lit("up"))).when(key % 4 == 2, F.concat_ws(":", F.lit("fb"), key, F.lit("x"), F.lit("up"))).otherwise("menu:main:open")
+    got = T.callback(data)
+    return table(spark, d, "orders").select("o_orderkey", got["digest_id"].alias("digest_id"), got["article_idx"].alias("article_idx"), got["action"].alias("action"))
+
 
+@query("SELECT * FROM (VALUES ('menu:a:b', 'a', 'b', '', ''), ('menu:a:b:c:d:e', 'a', 'b', 'c', 'd:e'), ('menu:a', NULL, NULL, NULL, NULL), ('fb:1:2:up', NULL, NULL, NULL, NULL)) t(data, screen, action, value, extra)")
+def menu_callbacks(spark, d):
+    rows = spark.createDataFrame([("menu:a:b",), ("menu:a:b:c:d:e",), ("menu:a",), ("fb:1:2:up",)], "data string")
+    got = T.menu_callback(F.col("data"))
+    return rows.select("data", *(got[k].alias(k) for k in ("screen", "action", "value", "extra")))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN list_extract(['mon', 'tue', 'wed', 'thu', 'fri', 'sat', 'sun'], CAST(o_orderkey % 7 + 1 AS INTEGER)) END AS day, CASE WHEN o_orderkey % 30 < 24 THEN CAST(o_orderkey % 30 AS INTEGER) END AS hour, CASE WHEN o_orderkey % 30 < 24 THEN CAST(o_orderkey % 60 AS INTEGER) END AS minute, o_orderkey % 30 < 24 AS valid FROM orders")
+def block_times(spark, d):
+    key = F.col("o_orderkey")
+    clock = F.format_string("%02d:%02d", (key % 30).cast("int"), (key % 60).cast("int"))
+    days = F.array(*[F.lit(w + "day") for w in ("Mon", "Tues", "Wednes", "Thurs", "Fri", "Satur", "Sun")])
+    at = T.block_time(F.when(key % 3 == 0, F.concat_ws(" ", F.element_at(days, (key % 7 + 1).cast("int")), clock)).otherwise(clock))
+    return table(spark, d, "orders").select("o_orderkey", at["day"].alias("day"), at["hour"].alias("hour"), at["minute"].alias("minute"), T.valid_hhmm(clock).alias("valid"))
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN conv_id WHEN 1 THEN -1 ELSE 0 END AS v FROM conversations")
+def json_default(spark, d):
+    text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('{"v": '), "conv_id", F.lit("}"))).when(F.col("turn") % 3 == 1, F.lit("{broken")).otherwise(F.lit('{"v": 0}'))
+    got = T.parse_json(text, "v bigint", F.struct(F.lit(-1).cast("long").alias("v")))
+    return table(spark, d, "conversations").select("conv_id", "turn", got["v"].alias("v"))
+
+
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'partially_verified' WHEN 2 THEN 'signal_only' ELSE 'partially_verified' END AS confidence, concat('T', conv_id) AS title, concat('area ', turn) AS area FROM conversations")
+def agent_answers(spark, d):
+    raw = F.element_at(F.array(F.lit("Verified."), F.lit("partial"), F.lit("?"), F.lit("partially_verified")), (F.col("turn") % 4 + 1).cast("int"))
+    tags = fixed.AGENT_TAGS
+    text = F.concat(F.lit(f"Well: [{tags[0]}] T"), "conv_id", F.lit(f"\n[{tags[1]}] s\n[{tags[3]}] (about what) area "), "turn", F.lit(f"\n[{tags[4]}] "), raw)
+    got = T.agent_answer(text)
+    return table(spark, d, "conversations").select("conv_id", "turn", *(got[k].alias(k) for k in ("confidence", "title", "area")))
+
+
+@query("SELECT p_partkey, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))), ' ') AS words FROM (SELECT p_partkey, list_distinct_ordered(string_split(p_name, ' ')) AS a, list_distinct_ordered(string_split(p_type, ' ')) AS b FROM (SELECT p_partkey, lower(p_name) AS p_name, lower(p_type) AS p_type FROM part))".replace("list_distinct_ordered(string_split(p_name, ' '))", "list_filter(string_split(p_name, ' '), lambda x, i: list_position(string_split(p_name, ' '), x) = i)").replace("list_distinct_ordered(string_split(p_type, ' '))", "list_filter(string_split(p_type, ' '), lambda x, i: list_position(string_split(p_type, ' '), x) = i)"))
+def merged_words(spark, d):
+    """Two word lists as one, each word once, in order: how blacklists grow."""
+    p = table(spark, d, "part")
+    return p.select("p_partkey", F.array_join(T.ordered_union(F.split(F.lower("p_name"), " "), F.split(F.lower("p_type"), " ")), " ").alias("words"))
+
+
+@query("SELECT o_orderkey % 11 AS shard, max(CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate END) > TIMESTAMP '2000-01-01 00:00:00' AS paused FROM orders GROUP BY 1")
+def pause_gate(spark, d):
+    """Per shard, whether the latest pause reaches beyond a time; other rows of the state and broken ones say nothing."""
+    text = F.to_json(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("paused_until")))
+    state = table(spark, d, "orders").select((F.col("o_orderkey") % 11).alias("shard"), F.when(F.col("o_orderkey") % 5 == 0, fixed.PAUSE_KEY).otherwise("user").alias("key"), text.alias("context"))
+    until = F.max(F.when(F.col("key") == fixed.PAUSE_KEY, filters.paused_until(F.col("context"))))
+    return state.groupBy("shard").agg((until > F.lit("2000-01-01 00:00:00").cast("timestamp")).alias("paused"))
+
+
+@query("""SELECT 'b' || (p_partkey % 5) AS topic, 'rss' AS type, 'https://x.example/' || p_partkey AS label FROM part
+  UNION ALL SELECT 'b' || (p_partkey % 5), 'telegram', '@c' || p_partkey FROM part UNION ALL SELECT 'b' || (p_partkey % 5), 'reddit', 'r/s' || p_partkey || CASE WHEN p_partkey % 2 = 0 AND p_partkey <> 0 THEN ' (min_score=' || p_partkey || ')' ELSE '' END FROM part""")
+def catalog_flat(spark, d):
+    """Sources of topics, given as plain values and as objects."""
+    k = F.col("p_partkey")
+    sub = F.when(k % 2 == 0, F.concat(F.lit('{"subreddit": "s'), k, F.lit('", "min_score": '), k, F.lit("}"))).otherwise(F.concat(F.lit("s"), k))
+    entries = F.create_map(F.lit("rss"), F.array(F.concat(F.lit("https://x.example/"), k)), F.lit("telegram"), F.array(F.concat(F.when(k % 2 == 0, "@").otherwise(""), F.lit("c"), k)), F.lit("reddit"), F.array(sub))
+    topics = table(spark, d, "part").select(F.concat(F.lit("b"), k % 5).alias("id"), entries.alias("sources"))
+    return discover.flatten_catalog(topics).select("topic", "type", "label")
+
+
+@query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN event_id % 9 = 0 THEN 'error' WHEN ts < TIMESTAMP '2024-01-29 00:00:00' THEN 'stale' ELSE 'live' END AS status FROM events) GROUP BY 1""")
+def validation_counts(spark, d):
+    checked = table(spark, d, "events").select(F.col("event_type").alias("type"), F.col("event_id").cast("string").alias("label"), F.when(F.col("event_id") % 9 == 0, "no answer").alias("error"), F.col("ts").alias("last_post"))
+    return discover.validation_report(checked, F.lit(V.AS_OF).cast("timestamp_ntz"))[1]
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS item_count, CAST(0 AS BIGINT) AS llm_items, CAST(count(*) AS BIGINT) AS fallback_items, 'world,russia_moscow,ai_agents,tech,ai,games' AS sections FROM documents")
+def issue_counts(spark, d):
+    return compose.issue_counts(_events(spark, d).withColumn("llm_used", F.lit(False)))
+
+
+@query()
+def digest_cards(spark, d):
+    return _digest(spark, d)["cards"].select("section", "rank", "event_id", "title", "card")

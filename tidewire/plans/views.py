@@ -12,10 +12,9 @@ AS_OF = "2024-01-31 00:00:00"
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").alias("d")
-    ev = table(spark, d, "events").select(F.col("event_id"), F.col("ts").alias("published_at"))
-    joined = docs.join(ev, F.col("doc_id") == F.col("event_id"))
-    return joined.select(
+    """Every document as an article; the times spread over January 2024 by id."""
+    docs = table(spark, d, "documents").withColumn("published_at", F.expr("timestampadd(MINUTE, cast((doc_id * 7919) % 43200 as int), TIMESTAMP_NTZ'2024-01-01 00:00:00')"))
+    return docs.select(
         F.col("doc_id").alias("seq"),
         F.col("lang").alias("category"),
         F.expr("array_join(slice(split(trim(text), '\\\\s+'), 1, 8), ' ')").alias("title"),
@@ -32,9 +31,9 @@ _SECTIONS = ", ".join(f"'{s}'" for s in [*fixed.SECTION_ORDER, "custom"])
 ARTICLES = rf"""articles AS (
   SELECT d.doc_id AS seq, d.lang AS category, array_to_string(list_slice(regexp_split_to_array(trim(d.text), '\s+'), 1, 8), ' ') AS title,
     concat('https://', d.source, '.example/', d.doc_id % 700) AS url, substr(d.text, 1, 300) AS snippet, concat('rss:', d.source) AS source,
-    e.ts AS published_at, CASE d.doc_id % 3 WHEN 0 THEN 'source' WHEN 1 THEN 'analysis' ELSE 'signal' END AS role,
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes((d.doc_id * 7919) % 43200) AS published_at, CASE d.doc_id % 3 WHEN 0 THEN 'source' WHEN 1 THEN 'analysis' ELSE 'signal' END AS role,
     list_extract([{_SECTIONS}], CAST(d.doc_id % 7 + 1 AS INTEGER)) AS section
-  FROM documents d JOIN events e ON d.doc_id = e.event_id)"""
+  FROM documents d)"""
 
 
 def feedback(spark: SparkSession, d: str) -> DataFrame:
@@ -72,11 +71,15 @@ RUNS = """runs AS (
 
 
 def past_titles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(
-        "item_id", F.expr("array_join(slice(split(trim(text), '\\\\s+'), 1, 8), ' ')").alias("title"), F.expr("date_sub(DATE'2024-01-31', cast(item_id % 10 as int))").alias("digest_date")
-    )
+    """Titles of former digests: of benchmark items, and of all documents (negative ids) without their last word."""
+    words = lambda n: F.expr(f"array_join(slice(split(trim(text), '\\\\s+'), 1, {n}), ' ')")
+    day = lambda c: F.expr(f"date_sub(DATE'2024-01-31', cast({c} % 10 as int))")
+    items = table(spark, d, "benchmark").select("item_id", words(8).alias("title"), day("item_id").alias("digest_date"))
+    docs = table(spark, d, "documents").select((F.lit(-1) - F.col("doc_id")).alias("item_id"), words(7).alias("title"), day("doc_id").alias("digest_date"))
+    return items.unionByName(docs)
 
 
 PAST = r"""past AS (
   SELECT item_id, array_to_string(list_slice(regexp_split_to_array(trim(text), '\s+'), 1, 8), ' ') AS title, CAST(DATE '2024-01-31' - CAST(item_id % 10 AS INTEGER) AS DATE) AS digest_date
-  FROM benchmark)"""
+  FROM benchmark
+  UNION ALL SELECT -1 - doc_id, array_to_string(list_slice(regexp_split_to_array(trim(text), '\s+'), 1, 7), ' '), CAST(DATE '2024-01-31' - CAST(doc_id % 10 AS INTEGER) AS DATE) FROM documents)"""

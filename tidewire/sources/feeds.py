@@ -20,18 +20,69 @@ def feed_snippet(c: Column) -> Column:
     return F.substring(F.trim(T.strip_tags(c)), 1, 300)
 
 
-def parse_rss(feeds: DataFrame, limit: int = 20, text: str = "body") -> DataFrame:
-    """feeds (category, url, body) to articles: the first `limit` items, then those with link and title."""
-    item = "item ARRAY<STRUCT<title STRING, link STRING, description STRING, pubDate STRING>>"
-    ch = F.from_xml(F.col(text), f"channel STRUCT<title STRING, {item}>", {"mode": "PERMISSIVE"})["channel"]["item"]
-    rows = feeds.select("category", "url", F.posexplode(F.slice(ch, 1, limit)).alias("pos", "i"))
-    host = F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("AUTHORITY"))), r"^www\.", "")
-    return rows.where("coalesce(i.title, '') <> '' AND coalesce(i.link, '') <> ''").select(
-        "category", "pos", F.trim("i.title").alias("title"), F.trim("i.link").alias("url"), feed_snippet(F.col("i.description")).alias("snippet"),
-        F.concat(F.lit("rss:"), host).alias("source"), feed_date(F.col("i.pubDate")).alias("published_at"), F.lit("source").alias("role"),
+_MEDIA = "ARRAY<STRUCT<_VALUE: STRING, _url: STRING, _href: STRING, _type: STRING, _medium: STRING, _rel: STRING>>"
+_RSS = f"channel STRUCT<title: STRING, item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, encoded: STRING, pubDate: STRING, updated: STRING, date: STRING, thumbnail: {_MEDIA}, content: {_MEDIA}, enclosure: {_MEDIA}>>>"
+_ATOM = f"entry ARRAY<STRUCT<title: STRING, link: {_MEDIA}, summary: STRING, published: STRING, updated: STRING, thumbnail: {_MEDIA}, content: {_MEDIA}>>"
+
+
+def _image_in(markup: Column) -> Column:
+    found = F.regexp_extract(F.coalesce(markup, F.lit("")), fixed.IMAGE_TAG, 1)
+    return F.when(valid_image(found), found)
+
+
+def _first_image(media: Column, wanted) -> Column:
+    """The first valid url among media elements that are wanted."""
+    url = lambda m: F.coalesce(m["_href"], m["_url"])
+    return F.get(F.transform(F.filter(media, lambda m: wanted(m) & valid_image(url(m))), url), F.lit(0))
+
+
+def entry_image(i: Column) -> Column:
+    """Image of a feed entry: thumbnail, media of kind image, enclosure, then the first image in its texts."""
+    typed = lambda m: F.contains(F.coalesce(m["_type"], F.lit("")), F.lit("image"))
+    thumb = F.get(i["thumbnail"], F.lit(0))["_url"]
+    return F.coalesce(
+        F.when(valid_image(thumb), thumb),
+        _first_image(i["content"], lambda m: (F.coalesce(m["_medium"], F.lit("")) == "image") | typed(m)),
+        _first_image(i["enclosure"], typed),
+        _image_in(i["summary"]),
+        F.get(F.filter(F.transform(i["texts"], _image_in), lambda x: x.isNotNull()), F.lit(0)),
     )
 
 
+def parse_feed(feeds: DataFrame, limit: int = 20, text: str = "body") -> DataFrame:
+    """feeds (category, url, body and, if given, role) to articles: the first `limit` entries, then those with link and title.
+
+    RSS items or Atom entries. The time is the published one, else the updated one; the snippet comes
+    from the summary, else from the first content; a broken feed gives no rows.
+    """
+    body = F.col(text)
+    rss = F.from_xml(body, _RSS, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})["channel"]["item"]
+    atom = F.from_xml(body, _ATOM, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})["entry"]
+    none = F.array().cast(_MEDIA)
+    texts = lambda media: F.transform(F.coalesce(media, none), lambda m: m["_VALUE"])
+    item = lambda title, link, summary, first, at, thumb, content, enclosure, more: F.struct(
+        title.alias("title"), link.alias("link"), summary.alias("summary"), first.alias("first"), at.alias("at"),
+        F.coalesce(thumb, none).alias("thumbnail"), F.coalesce(content, none).alias("content"), F.coalesce(enclosure, none).alias("enclosure"), more.alias("texts"),
+    )
+    items = F.transform(rss, lambda i: item(i["title"], i["link"], i["description"], i["encoded"], F.coalesce(i["pubDate"], i["updated"], i["date"]), i["thumbnail"], i["content"], i["enclosure"], F.array(i["encoded"])))
+    href = lambda links: F.get(F.filter(links, lambda m: F.coalesce(m["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
+    enclosed = lambda links: F.filter(links, lambda m: F.coalesce(m["_rel"], F.lit("")) == "enclosure")
+    entries = F.transform(atom, lambda i: item(i["title"], href(i["link"]), i["summary"], F.get(texts(i["content"]), F.lit(0)), F.coalesce(i["published"], i["updated"]), i["thumbnail"], i["content"], enclosed(i["link"]), texts(i["content"])))
+    role = F.coalesce("role", F.lit("source")) if "role" in feeds.columns else F.lit("source")
+    rows = feeds.select("category", "url", role.alias("role"), F.posexplode(F.slice(F.coalesce(items, entries), 1, limit)).alias("pos", "i"))
+    host = F.replace(F.lower(F.try_parse_url("url", F.lit("AUTHORITY"))), F.lit("www."), F.lit(""))
+    rows = rows.where("trim(coalesce(i.title, '')) <> '' AND trim(coalesce(i.link, '')) <> ''")
+    return rows.select(
+        "category", "pos", F.trim("i.title").alias("title"), F.trim("i.link").alias("url"), feed_snippet(F.coalesce("i.summary", "i.first")).alias("snippet"),
+        F.concat(F.lit("rss:"), host).alias("source"), feed_date(F.col("i.at")).alias("published_at"), "role", entry_image(F.col("i")).alias("image_url"),
+    )
+
+
+def parse_rss(feeds: DataFrame, limit: int = 20, text: str = "body") -> DataFrame:
+    """parse_feed without images."""
+    return parse_feed(feeds, limit, text).drop("image_url")
+
+
 def parse_atom(feeds: DataFrame, limit: int = 20, text: str = "body") -> DataFrame:
     """Atom entries of video channels: (category, channel, body) to articles."""
     entry = "entry ARRAY<STRUCT<title STRING, link STRUCT<_href: STRING>, published STRING, group STRUCT<description: STRING>>>"
@@ -114,9 +165,19 @@ def valid_image(c: Column) -> Column:
 
 def page_image(html: Column) -> Column:
     """The page's announced image, else its first image, if valid."""
-    og = F.regexp_extract(html, r"""(?i)<meta[^>]+property=["']og:image["'][^>]+content=["']([^"']+)["']""", 1)
-    img = F.regexp_extract(html, r"""(?i)<img[^>]+src=["']([^"']+)["']""", 1)
-    return F.coalesce(F.when(valid_image(og), og), F.when(valid_image(img), img))
+    og = F.regexp_extract(html, fixed.IMAGE_META, 1)
+    return F.coalesce(F.when(valid_image(og), og), _image_in(html))
+
+
+def post_image(post: Column) -> Column:
+    """Image of a forum post (JSON text): its preview, its thumbnail, or its url if that ends like an image."""
+    preview = F.replace(F.get_json_object(post, "$.preview.images[0].source.url"), F.lit("&amp;"), F.lit("&"))
+    thumb, url = F.get_json_object(post, "$.thumbnail"), F.get_json_object(post, "$.url")
+    bare = F.lower(F.split(F.coalesce(url, F.lit("")), r"\?")[0])
+    ends = F.lit(False)
+    for e in fixed.IMAGE_ENDINGS:
+        ends = ends | bare.endswith(e)
+    return F.coalesce(F.when(valid_image(preview), preview), F.when(valid_image(thumb) & ~thumb.isin(*fixed.NO_THUMBNAILS), thumb), F.when(valid_image(url) & ends, url))
 
 
 def page_title(html: Column) -> Column:
@@ -138,6 +199,21 @@ def page_feeds(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", full.alias("feed")).distinct()
 
 
+def feed_candidates(pages: DataFrame) -> DataFrame:
+    """(page_id, place, feed): the feeds a page announces, then the usual feed paths of its host; each once.
+
+    Which of them answer is for the caller to find out; this is the list to probe, in order.
+    """
+    tags = F.regexp_extract_all("html", F.lit(r"""(?i)<link[^>]+type=["']application/(?:rss|atom)\+xml["'][^>]*>"""), 0)
+    hrefs = F.filter(F.transform(tags, lambda t: F.regexp_extract(t, r"""(?i)href=["']([^"']+)["']""", 1)), lambda h: h != "")
+    root = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    folder = F.when(F.col("url").rlike("^https?://[^/?#]+/"), F.regexp_replace(F.split("url", "[?#]")[0], "[^/]*$", "")).otherwise(F.concat(root, F.lit("/")))
+    full = lambda h: F.when(h.rlike("^https?://"), h).when(h.startswith("//"), F.concat(F.regexp_extract("url", "^(https?:)", 1), h)).when(h.startswith("/"), F.concat(root, h)).otherwise(F.concat(folder, h))
+    usual = F.when(root != "", F.array(*[F.concat(root, F.lit(p)) for p in fixed.FEED_PATHS])).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(F.transform(hrefs, full), usual))
+    return pages.select("page_id", F.posexplode(every).alias("place", "feed"))
+
+
 def validate_pages(pages: DataFrame, as_of: str) -> DataFrame:
     """ok and items of fetched source pages (type, body, newest): channel pages by their messages, feeds by entries and age."""
     items = F.when(F.col("type") == "telegram", F.regexp_count("body", F.lit("tgme_widget_message_text"))).otherwise(F.regexp_count("body", F.lit("<(?:item|entry)[ >]")))

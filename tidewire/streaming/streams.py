@@ -30,12 +30,26 @@ def first_seen(rows: DataFrame, key: str = "url_hash", at: str = "published_at",
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process all that is there and return the result as a table in memory."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Process all that is there and return the result, which is written as Parquet beside the checkpoint.
+
+    Each micro-batch has a folder of its own, so a batch that is run again replaces its rows; in
+    complete mode the newest one is the result.
+    """
+    out, spark = f"{checkpoint.rstrip('/')}-{name}-out", stream.sparkSession
+    seen = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        seen.append(number)
+
+    q = stream.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return stream.sparkSession.table(name)
+    if not seen:
+        return spark.createDataFrame([], stream.schema)
+    folders = [f"{out}/batch={n}" for n in ([max(seen)] if mode == "complete" else sorted(set(seen)))]
+    return spark.read.schema(stream.schema).parquet(*folders)
 
 
 def deliver(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):

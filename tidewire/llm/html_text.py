@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.shingles import releasing
+from tidewire.llm.shingles import releasing, small_batches
 
 STOP_WORDS = frozenset(
     # English
@@ -250,4 +250,4 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return small_batches(rows).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.shingles import concat, places, release, releasing, shingle_sets, slices
+from tidewire.llm.shingles import concat, release, releasing, shingle_sets, slices, small_batches
 from tidewire.operators.components import connected_components
 from tidewire.runtime import drop, settle, unused
 
@@ -72,7 +72,7 @@ def sets_of(documents: DataFrame, words: int) -> DataFrame:
             node = [_node(hashlib.blake2b(codes[e - k : e], digest_size=16).digest()) if k else None for e, k in zip(ends.tolist(), n.tolist())]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "rid": b.column("rid"), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64())})
 
-    return with_text_key(documents).mapInArrow(run, "doc_id long, rid long, n long, node long")
+    return small_batches(with_text_key(documents)).mapInArrow(run, "doc_id long, rid long, n long, node long")
 
 
 def _in_several(t: np.ndarray) -> np.ndarray:
@@ -160,7 +160,7 @@ def shared_counts(documents: DataFrame, words: int, shards: int) -> DataFrame:
         found, at = np.unique(r, return_inverse=True)
         return pa.table({"rid": found, "shared": np.bincount(at, k, len(found)).astype(np.int64)})
 
-    blobs = with_text_key(documents).mapInArrow(emit, "shard int, tokens binary, rids binary, sizes binary")
+    blobs = small_batches(with_text_key(documents)).mapInArrow(emit, "shard int, tokens binary, rids binary, sizes binary")
     found = blobs.groupBy("shard").applyInArrow(count, "home int, rids binary, ks binary")
     return found.groupBy("home").applyInArrow(add, "rid long, shared long")
 
@@ -176,7 +176,7 @@ def tokens_of(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"node": b.column("node"), "n": pa.array(n, pa.int64()), "tokens": pa.ListArray.from_arrays(edges, pa.array(codes.view(np.int64)))})
 
     texts = with_text_key(documents).join(_small(wanted), "rid").groupBy("node").agg(F.first("text").alias("text"))
-    return texts.mapInArrow(run, "node long, n long, tokens array<long>")
+    return small_batches(texts).mapInArrow(run, "node long, n long, tokens array<long>")
 
 
 def _key(token: Column, count: Column) -> Column:

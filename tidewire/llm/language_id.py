@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from tidewire.llm.shingles import releasing, slices
+from tidewire.llm.shingles import releasing, slices, small_batches
 from tidewire.runtime import settle, unused
 
 WINDOW = 192
@@ -313,7 +313,7 @@ def with_language(rows: DataFrame, model: Model | None, text: str = "text", pred
 
     kinds = (StringType(), DoubleType(), BooleanType())
     schema = StructType([*rows.schema.fields, *(StructField(c, t) for c, t in zip(added, kinds))])
-    return inner.mapInArrow(run, schema)
+    return small_batches(inner).mapInArrow(run, schema)
 
 
 def identify(documents: DataFrame, model: Model | None) -> DataFrame:

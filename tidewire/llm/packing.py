@@ -24,12 +24,11 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.shingles import codes_at, places, raw_texts, releasing, slices
+from tidewire.llm.shingles import codes_at, places, raw_texts, releasing, slices, small_batches
 from tidewire.runtime import settle
 
 CAPACITY = 2048
@@ -176,7 +175,7 @@ class WordIds:
     a tokenizer of another kind gets whole texts.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -237,10 +236,11 @@ class WordIds:
         """The ids of plain texts."""
         data = np.frombuffer(b"\n".join(texts), np.uint8)
         low, starts, ends = plain_pieces(data)
-        where, codes = pd.factorize(codes_at(low, starts, ends))
+        once = pa.array(codes_at(low, starts, ends)).dictionary_encode()
+        where, codes = once.indices.to_numpy(), once.dictionary
         first = np.zeros(len(codes), np.int64)
         first[where[::-1]] = np.arange(len(where))[::-1]
-        keys = codes.tolist()
+        keys = codes.to_pylist()
         if new := self._room(keys):
             raw, a, z = low.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
             self._learn([keys[k] for k in new], [raw[i:j] for i, j in zip(a, z)])
@@ -320,7 +320,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    return small_batches(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(cut, schema)
 
 
 def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, part: int = PART, keep_ids: bool = False) -> DataFrame:

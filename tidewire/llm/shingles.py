@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WINDOW = 1 << 17  # bytes coded in one step; longer words are hashed as a whole
@@ -140,6 +141,19 @@ def slices(batch: pa.RecordBatch, size: int = 4 << 20, column: str = "text") ->
             yield batch.slice(a, b - a)
 
 
+def small_batches(rows: DataFrame, records: int = 1000, size: int = 8 << 20) -> DataFrame:
+    """rows, with the session's Arrow batches bounded for whole texts: records, and bytes where Spark knows that setting.
+
+    Both sides hold a batch; ten thousand texts at once would be most of a small executor's memory.
+    """
+    conf, unset = rows.sparkSession.conf, "1999999999"  # comes back where the session has no value of its own
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = conf.get(key, unset).rstrip("bB")
+        if not now.isdigit() or int(now) > most:
+            conf.set(key, str(most))
+    return rows
+
+
 def release() -> None:
     """Give memory that a finished task no longer uses back; Python workers live on after their task."""
     pa.default_memory_pool().release_unused()

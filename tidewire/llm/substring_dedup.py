@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.shingles import Words, concat, ngram_codes, places, release, releasing, slices
+from tidewire.llm.shingles import Words, concat, ngram_codes, places, release, releasing, slices, small_batches
 
 ANCHOR = 5  # words of a minimizer
 LAST = np.iinfo(np.int64).max
@@ -399,7 +399,7 @@ def remove_repeats(documents: DataFrame, window: int = 13, bucket_chars: int = 4
         release()
         return out
 
-    blobs = docs.mapInArrow(anchors, "shard int, base long, tokens binary, docs binary")
+    blobs = small_batches(docs).mapInArrow(anchors, "shard int, base long, tokens binary, docs binary")
     shared = blobs.groupBy("shard").applyInArrow(repeated, "bucket int, hot boolean, tokens binary")
     d = F.col("doc_id")
     bucket = F.pmod(d.bitwiseXOR(F.shiftright(d, 17)).bitwiseXOR(F.shiftright(d, 34)), F.lit(n_buckets)).cast("int")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = getattr(spark, "_tidewire_dir", None)
     if found is None:
         found = tempfile.mkdtemp(prefix="tidewire-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark._tidewire_dir = found
     return found
 
@@ -53,15 +58,29 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
+    settled(spark).add(path)
     return out
 
 
+def settled(spark: SparkSession) -> set[str]:
+    """The paths that settle() wrote for this session's application and that still stand."""
+    found = getattr(spark.sparkContext, "_tidewire_settled", None)
+    if found is None:
+        found = spark.sparkContext._tidewire_settled = set()
+    return found
+
+
+def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:
+    for name in list(paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        settled(spark).discard(name)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete tables that settle() wrote and nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._settled_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_paths(df.sparkSession, [df._settled_at])
 
 
 def unused(df: DataFrame, name: str) -> str:

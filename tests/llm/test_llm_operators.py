@@ -359,6 +359,58 @@ def test_pipeline(spark):
     assert seen == [n for n, _ in c.STAGES] and docs.count() > 0
 
 
+NAMES = "rid node comp n k shared place bucket shard token tokens line line_key lines row site seen key keys size source_size target docs weight cap _row _rid _comp _key _n _text _letters _kept _all rep copies least task block chunk is_query part rank first seg parts".split()
+
+
+def _clashing(df):
+    return df.withColumns({c: F.lit(7) for c in NAMES if c not in df.columns})
+
+
+def test_columns_that_clash(docs, vectors, spark):
+    some = docs.where("doc_id < 40 or doc_id >= 155")
+    wide, plain = _clashing(some), lambda df: sorted(map(repr, df.collect()))
+    for f in (jaccard_join.jaccard_components, substring_dedup.remove_repeats, lambda x: mixing.mix(x, fan=8), lambda x: packing.pieces(x, tokenizer_path())):
+        assert plain(f(wide)) == plain(f(some))
+    for f in (jaccard_join.keep_one, lambda x: mixing.take(x, fan=8), line_dedup.dedup_lines):
+        got = f(wide)
+        assert got.columns[: len(wide.columns)] == wide.columns and plain(got.select(*some.columns)) == plain(f(some).select(*some.columns))
+    import corpus_pipeline as c
+
+    kept = c.keep_known_languages(spark, wide, "")
+    assert kept.columns == wide.columns and plain(kept.select(*some.columns)) == plain(c.keep_known_languages(spark, some, ""))
+    df = vectors[0].drop("rank").where("vec_id < 120")
+    for f in (topk.top_k, vector_dedup.near_duplicates):
+        assert plain(f(_clashing(df))) == plain(f(df))
+
+
+def test_vectors_of_one_id(spark):
+    rng = np.random.default_rng(1)
+    a, b, c = ([float(x) for x in rng.normal(size=64)] for _ in range(3))
+    near = [x * 1.5 for x in a]  # the same direction
+    rows = [(1, a, 0), (1, b, 0), (1, a, 0), (5, near, 0), (6, [x * 2 for x in b], 0), (7, c, 0)]
+    got = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 2, 1), (1, 2, 1), (5, 2, 1), (6, 1, 1), (7, 0, 7)]
+
+
+def test_pipeline_run_on_odd_rows(spark, rows, tmp_path):
+    import corpus_pipeline as c
+
+    from tidewire.runtime import settled
+
+    data = rows + rows[:10] + [(None, "the house of the garden", "en", None, 1, None, None)] * 3 + [(5, rows[40][1] + " more words", "en", "s1", 1, None, None)]
+    docs = spark.createDataFrame(data, SCHEMA).drop("score")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(settled(spark))
+    got = c.run(spark, str(tmp_path)).collect()
+    assert len(settled(spark) - before) == 1 and sum(r["length"] for r in got) > 5000
+    ends = {}
+    for r in got:
+        ends.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in p) <= 2048 and sorted(p)[0][0] == 0 for p in ends.values())
+    spark.createDataFrame([], docs.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert c.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline_rejects_unknown_languages(spark):
     import corpus_pipeline as c
 

@@ -201,7 +201,8 @@ def familiar(m: Model, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, b
 
 
 def _labelled(documents: DataFrame) -> DataFrame:
-    return documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    return known.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
 
 def _draw(seed: int) -> Column:

@@ -724,7 +724,7 @@ def message_split(spark, d):
 def _digest(spark, d):
     # stories of the benchmark items, last seen on the day of their digest
     stories = table(spark, d, "benchmark").select(F.col("item_id").alias("story_id"), T.entities(F.col("text")).alias("entities"), F.expr("timestampadd(DAY, -cast(item_id % 20 as int), TIMESTAMP_NTZ'2024-01-31 00:00:00')").alias("last_seen_at"))
-    return digest(V.articles(spark, d), V.past_titles(spark, d), feedback.boosts(_stats(spark, d)), V.AS_OF, ["thor*"], stories=stories)
+    return digest(V.articles(spark, d), V.past_titles(spark, d), feedback.boosts(_stats(spark, d)), V.AS_OF, ["thor*"], stories=stories, make=V.Writer)
 
 
 @query()

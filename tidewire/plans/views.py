@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,19 @@ from tidewire.runtime import table
 AS_OF = "2024-01-31 00:00:00"
 
 
+class Writer:
+    """A backend without a model: cards in Russian from a number of the prompt; no answer to every seventh."""
+
+    def answer(self, prompt: str) -> str:
+        number = zlib.crc32(prompt.encode())
+        if number % 7 == 0:
+            return ""
+        agents = f"[{fixed.AGENT_TAGS[1]}]" in prompt
+        said = [f"Новость под номером {number % 10_000}", f"Коротко о событии {number % 97}. Подробности остались в источниках.", "Это меняет планы многих."]
+        said += ["локальные модели", ("verified", "partial", "?")[number % 3]] if agents else ["Следим дальше."]
+        return "Вот карточка:\n" + "\n".join(f"[{t}] {s}" for t, s in zip(fixed.AGENT_TAGS if agents else fixed.CARD_TAGS, said))
+
+
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """Every document as an article; the times spread over January 2024 by id."""
     docs = table(spark, d, "documents").withColumn("published_at", F.expr("timestampadd(MINUTE, cast((doc_id * 7919) % 43200 as int), TIMESTAMP_NTZ'2024-01-01 00:00:00')"))

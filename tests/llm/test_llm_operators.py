@@ -278,6 +278,12 @@ def test_segmentation_is_cheapest():
     assert "".join(s.split("freeq" * 100_000)) == "freeq" * 100_000
 
 
+def test_most_frequent(spark):
+    counts = spark.createDataFrame([(w, n) for w, n in zip("abcdefg", (5, 3, 3, 3, 9, 1, 1))], "word string, n long")
+    pick = lambda most: sorted(r["word"] for r in urls.most_frequent(counts, "n", most).collect())
+    assert [pick(k) for k in (0, 1, 2, 4, 5, 6, 7)] == [[], ["e"], ["a", "e"], ["a", "e"], list("abcde"), list("abcde"), list("abcdefg")]
+
+
 def test_urls_like_brute(spark):
     rng = random.Random(4)
     hosts = ["freebets", "quiet", "newsblog", "casinowin", "gardenhome", "zzz"]

@@ -6,10 +6,10 @@ over a unigram model, the letter runs of the path are cut in the same way, and a
 Bayes model scores the tokens.
 
 Both models are learned from the tables. The unigram counts are those of all words in the texts and
-pages (the `most_words` most frequent are kept, a bound on the model, not on what is counted), on top
+pages (the most frequent are kept, at most `most_words`, a bound on the model, not on what is counted), on top
 of two short word lists that name what the classes are about. Naive Bayes counts the tokens of every
 url that a rule labels, again with the word lists, which weigh as much as all labelled urls of the
-larger class; of the tokens, the `most_words` most frequent are kept. A token that the model does not hold
+larger class; of the tokens, again at most `most_words` are kept. A token that the model does not hold
 says nothing, and a url without a known token is allowed.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits no rule and is
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.runtime import settle
+from tidewire.runtime import drop, settle
 
 RULES = (
     ("com", "/", "allow"),
@@ -168,16 +168,31 @@ class UrlModel:
         return ("block" if tokens and odds > 0 else "allow"), odds
 
 
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows with the largest counts, at most so many; rows of one count are all in or all out.
+
+    The least count that fits comes from how many rows have each count, so no sorted rows meet anywhere.
+    """
+    least, room = None, most
+    for r in counts.groupBy(n).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc(n)).limit(most).collect():
+        if r["rows"] > room:
+            break
+        least, room = r[n], room - r["rows"]
+    return counts.where(F.lit(False) if least is None else F.col(n) >= least)
+
+
 def word_counts(texts: Sequence[Column], tables: Sequence[DataFrame], most_words: int = 50_000) -> dict[str, int]:
-    """Counts of the words of a-z in all these columns, of the most frequent ones (ties by word)."""
+    """Counts of the words of a-z in all these columns, of the most frequent ones."""
     words = None
     for text, table in zip(texts, tables):
         part = table.select(F.explode(F.split(F.lower(text.cast("string")), "[^a-z]+")).alias("word"))
         words = part if words is None else words.unionByName(part)
     if words is None:
         return {}
-    fit = words.where(F.length("word").between(2, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return {r["word"]: r["n"] for r in fit.orderBy(F.desc("n"), "word").limit(most_words).collect()}
+    fit = settle(words.where(F.length("word").between(2, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    found = {r["word"]: r["n"] for r in most_frequent(fit, "n", most_words).collect()}
+    drop(fit)
+    return found
 
 
 def with_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -217,7 +232,9 @@ def token_counts(judged: DataFrame, model: UrlModel, most_words: int = 50_000) -
 
     rows = judged.where("rule_verdict is not null").select("host", "path", "rule_verdict").mapInArrow(cut, "token string, verdict string, n long")
     sums = [F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("block", "allow")]
-    top = rows.groupBy("token").agg(*sums).orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(most_words).collect()
+    whole = settle(rows.groupBy("token").agg(*sums, F.sum("n").alias("n")))
+    top = most_frequent(whole, "n", most_words).collect()
+    drop(whole)
     return {v: {r["token"]: r[v] for r in top if r[v]} for v in ("block", "allow")}
 
 

@@ -170,55 +170,97 @@ class WordIds:
     A tokenizer that drops white space, lower-cases and marks word ends encodes each letter run,
     digit or sign run on its own. So the pieces of a group of texts are found and coded in whole
     arrays, and only new ones are encoded, many in one call and without the tracking of offsets; the
-    ids that end a word part them again. Pieces not seen lately make room when the cache is full.
+    ids that end a word part them again. Known pieces stand in plain arrays, at most `most` of them;
+    those asked for last stay.
     Texts with other than plain Latin characters go word by word by the tokenizer's own rules, and
     a tokenizer of another kind gets whole texts.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.cache: dict[int | bytes, bytes] = {}
-        self.older: dict[int | bytes, bytes] = {}
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0] if "pretokenizers" in (spec["pre_tokenizer"] or {}) else {}
-        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.words: dict[bytes, bytes] = {}
+        # of the pieces known so far: code in order, where its ids stand in `flat`, how many, when it was last asked for
+        self.codes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size, self.asked = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.clock = np.zeros(0, "<u4"), 0
+        model, parts = self.tokenizer.model, [self.tokenizer.normalizer, self.tokenizer.pre_tokenizer]
+        norm, cut = (json.loads(x.__getstate__()) if x is not None else {} for x in parts)
+        split = (cut.get("pretokenizers") or [{}])[0]
         self.by_piece = (
-            model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"] and not model["ignore_merges"]
-            and kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": _SPLIT} and split.get("invert") is True
+            type(model).__name__ == "BPE" and model.end_of_word_suffix == "</w>" and not model.dropout and not model.ignore_merges
+            and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and split.get("pattern") == {"Regex": _SPLIT} and split.get("invert") is True
         )
         if self.by_piece:
-            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare = Tokenizer(model)
             self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.letters = _alphabet() | {ord("\n"): "\n"}
-            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
-            self.ends[[k for w, k in model["vocab"].items() if w.endswith("</w>")]] = True
-
-    def _room(self, keys: list) -> list:
-        """The places of the keys that have to be encoded now; others are in the cache after this."""
-        new = [k for k, w in enumerate(keys) if w not in self.cache]
-        if len(self.cache) + len(new) > self.most:
-            self.older, self.cache, new = self.cache, {}, range(len(keys))
-        found = [k for k in new if keys[k] in self.older]
-        for k in found:
-            self.cache[keys[k]] = self.older[keys[k]]
-        return [k for k in new if keys[k] not in self.cache]
-
-    def _learn(self, keys: list[int], new: list[bytes], most: int = 100) -> None:
-        """Encode plain pieces."""
+            ends = [k for w, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]
+            self.ends = np.zeros(max(ends) + 1, bool)
+            self.ends[ends] = True
+
+    def _encoded(self, new: list[bytes], most: int = 100) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain pieces one after the other, and where each piece's end."""
         parts = [b"\n".join(new[at : at + most]).decode("latin-1").translate(self.letters) for at in range(0, len(new), most)]
-        found = [np.array(e.ids, dtype="<u4") for e in self.bare.encode_batch_fast(parts, add_special_tokens=False)]
-        ids = np.concatenate(found)
-        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(cuts) != len(new):
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.bare.encode_batch_fast(parts, add_special_tokens=False)])
+        stops = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)] & (ids < len(self.ends))) + 1
+        if len(stops) != len(new):
             raise ValueError("pieces and word ends do not agree")
-        raw, at = ids.tobytes(), 0
-        for key, end in zip(keys, cuts.tolist()):
-            self.cache[key] = raw[at:end]
-            at = end
+        return ids, stops
+
+    def _forget(self, most: int) -> None:
+        """Keep the pieces that were asked for last."""
+        if len(self.codes) <= most:
+            return
+        keep = np.sort(np.argpartition(-self.asked, most)[:most])
+        self.flat = self.flat[places(self.at[keep], self.size[keep])]
+        self.codes, self.size, self.asked = self.codes[keep], self.size[keep], self.asked[keep]
+        self.at = np.cumsum(self.size) - self.size
+
+    def _learn(self, codes: np.ndarray, new: list[bytes]) -> None:
+        """Encode these pieces, of which none is known, and put them among the others."""
+        self._forget(max(0, self.most - len(codes)))
+        ids, stops = self._encoded(new)
+        starts = np.append(0, stops[:-1])
+        every = np.concatenate((self.codes, codes))
+        order = np.argsort(every, kind="stable")
+        self.codes = every[order]
+        self.at = np.concatenate((self.at, starts + len(self.flat)))[order]
+        self.size = np.concatenate((self.size, stops - starts))[order]
+        self.asked = np.concatenate((self.asked, np.full(len(codes), self.clock)))[order]
+        self.flat = np.concatenate((self.flat, ids))
+
+    def _find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of codes among the known ones, and which are known."""
+        if not len(self.codes):
+            return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return at, self.codes[at] == codes
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of plain texts."""
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        low, starts, ends = plain_pieces(data)
+        once = pa.array(codes_at(low, starts, ends)).dictionary_encode()
+        where, codes = once.indices.to_numpy(), once.dictionary.to_numpy()
+        self.clock += 1
+        at, known = self._find(codes)
+        self.asked[at[known]] = self.clock
+        if not known.all():
+            first = np.zeros(len(codes), np.int64)
+            first[where[::-1]] = np.arange(len(where))[::-1]
+            some = first[~known]
+            raw = low.tobytes()
+            self._learn(codes[~known], [raw[i:j] for i, j in zip(starts[some].tolist(), ends[some].tolist())])
+            at, _ = self._find(codes)
+        size = self.size[at][where]
+        ids = self.flat[places(self.at[at][where], size)].tobytes()
+        stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        upto = np.append(0, np.cumsum(size))[np.searchsorted(starts, stops)].tolist()
+        return [ids[4 * a : 4 * z] for a, z in zip([0, *upto], upto)]
 
     def _learn_words(self, new: list[bytes]) -> None:
         """Encode whole words by the tokenizer's own rules; offsets part their ids."""
@@ -230,33 +272,16 @@ class WordIds:
             edges = np.append(np.searchsorted(begin, np.cumsum(sizes) - sizes), len(found.ids)).tolist()
             raw = np.array(found.ids, dtype="<u4").tobytes()
             for k, w in enumerate(new[at : at + 1000]):
-                self.cache[w] = raw[4 * edges[k] : 4 * edges[k + 1]]
-
-    def _plain(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of plain texts."""
-        data = np.frombuffer(b"\n".join(texts), np.uint8)
-        low, starts, ends = plain_pieces(data)
-        once = pa.array(codes_at(low, starts, ends)).dictionary_encode()
-        where, codes = once.indices.to_numpy(), once.dictionary
-        first = np.zeros(len(codes), np.int64)
-        first[where[::-1]] = np.arange(len(where))[::-1]
-        keys = codes.to_pylist()
-        if new := self._room(keys):
-            raw, a, z = low.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
-            self._learn([keys[k] for k in new], [raw[i:j] for i, j in zip(a, z)])
-        found = [self.cache[k] for k in keys]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = np.frombuffer(b"".join(found), "<u4")[places((np.cumsum(size) - size)[where], size[where])].tobytes()
-        stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-        upto = np.append(0, np.cumsum(size[where]))[np.searchsorted(starts, stops)].tolist()
-        return [ids[4 * a : 4 * z] for a, z in zip([0, *upto], upto)]
+                self.words[w] = raw[4 * edges[k] : 4 * edges[k + 1]]
 
     def _words(self, text: bytes) -> bytes:
         """The ids of any text, word by word."""
         words = text.split()
-        every = list(set(words))
-        self._learn_words([every[k] for k in self._room(every)])
-        return b"".join(map(self.cache.__getitem__, words))
+        new = set(words).difference(self.words)
+        if len(self.words) + len(new) > self.most // 10:
+            self.words, new = {}, set(words)
+        self._learn_words(list(new))
+        return b"".join(map(self.words.__getitem__, words))
 
     def _group(self, texts: list[bytes]) -> list[bytes]:
         data = np.frombuffer(b"\n".join(texts), np.uint8)

@@ -190,12 +190,11 @@ def top_k(
     n, width = sizes["n"], max(1, sizes["d"] or 1)
     if width * (sizes["most"] or 0.0) ** 2 >= 2.0**62:
         raise ValueError("scores of these vectors do not fit into 64 bits; use a smaller scale")
+    blocks = max(1, math.ceil(n / (block_rows or max(64, BLOCK_VALUES // width))))
     chunks = max(1, math.ceil(n / every / (query_chunk or max(1, QUERY_VALUES // width))))
-    if block_rows:
-        blocks = max(1, math.ceil(n / block_rows))
-    else:  # enough blocks for every core, each of at least some thousand rows
+    if not query_chunk:  # few blocks are searched by several tasks each, so that every core has work
         cores = vectors.sparkSession.sparkContext.defaultParallelism
-        blocks = max(1, math.ceil(n * width / BLOCK_VALUES), min(cores, math.ceil(n / 4096)))
+        chunks = max(chunks, min(math.ceil(cores / blocks), math.ceil(n / every / 64)))
     queries = rows.where(F.col("vec_id") % every == 0)
     left = rows.select(
         F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"),

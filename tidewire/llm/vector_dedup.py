@@ -140,44 +140,43 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int | None
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
     some = F.exists("x", lambda v: v != 0)
     usable = rows.where("x is not null and label is not null and vec_id is not null").where(finite & some)
-    # x + 0.0 makes -0.0 and 0.0 equal
-    usable = usable.select("vec_id", "label", F.transform("x", lambda v: v.cast("double") + F.lit(0.0)).alias("x"))
+    # x + 0.0 makes -0.0 and 0.0 equal; float components stay floats until they are compared
+    kind = "float" if rows.schema["x"].dataType.simpleString() == "array<float>" else "double"
+    usable = usable.select("vec_id", "label", F.transform("x", lambda v: v.cast(kind) + F.lit(0.0).cast(kind)).alias("x"))
     # a class has a number of its own: two classes may hold one vec_id
     classes = usable.groupBy("label", "x").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()))
     members = usable.join(classes, ["label", "x"]).select("vec_id", "rep", "copies", "least")
 
     @releasing
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = b.column("x").value_lengths().to_numpy(zero_copy_only=False)
             for size in np.unique(sizes):
                 part = b.filter(pa.array(sizes == size))
                 keys = bucket_keys(_stack(part.column("x")), tables or tables_for(int(size)), rotations)
-                k = keys.shape[1]
-                take = pa.array(np.repeat(np.arange(part.num_rows), k))
-                cols = {c: part.column(c).take(take) for c in ("label", "rep", "copies", "x")}
-                yield pa.RecordBatch.from_pydict(
-                    {"size": pa.array(np.full(len(take), size), pa.int32()), "key": pa.array(keys.ravel()), **cols,
-                     "keys": pa.array(np.repeat(keys, k, axis=0).tolist(), pa.list_(pa.int64()))}
-                )
+                edges = pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32())
+                cols = {c: part.column(c) for c in ("label", "rep", "copies", "x")}
+                yield pa.RecordBatch.from_pydict({**cols, "size": pa.array(np.full(part.num_rows, size), pa.int32()), "keys": pa.ListArray.from_arrays(edges, pa.array(keys.ravel()))})
 
     label_type = vectors.schema["label"].dataType.simpleString()
-    dealt = classes.select("label", "rep", "copies", "x").mapInArrow(deal, f"size int, key long, label {label_type}, rep long, copies long, x array<double>, keys array<long>")
+    dealt = settle(classes.select("label", "rep", "copies", "x").mapInArrow(hashed, f"label {label_type}, rep long, copies long, x array<{kind}>, size int, keys array<long>"))
     group = ["label", "size", "key"]
-    # sizes of the buckets first: narrow rows with map-side sums
-    narrow = settle(dealt.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # narrow rows until it is known which vectors meet any other; only those travel with their components
+    narrow = dealt.select("label", "size", F.explode("keys").alias("key"), "rep")
+    counts = settle(narrow.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     # a task takes many buckets, and each of them is looked at by itself
     parted = F.greatest(F.ceil(F.col("n") / block), F.lit(1))
-    work = narrow.agg(F.sum(F.col("n") * parted)).first()[0] or 0
+    work = counts.agg(F.sum(F.col("n") * parted)).first()[0] or 0
     n_tasks = max(1, -(-int(work) // task_rows))
-    big = dealt.join(narrow, group)
     parts = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("p"), F.greatest(o, F.col("own")).alias("q")))
-    tasks = big.withColumn("parts", parts).withColumn("own", own).withColumn("pq", F.explode(pairs)).select(*group, "pq.p", "pq.q", "own", "rep", "copies", "x", "keys")
+    meet = narrow.join(counts, group).withColumn("parts", parts).withColumn("own", own).withColumn("pq", F.explode(pairs))
     bucket = F.xxhash64(*group, "p", "q")
-    tasks = tasks.withColumn("bucket", bucket).withColumn("task", F.pmod(bucket, F.lit(n_tasks)).cast("int"))
+    meet = meet.select("key", "pq.p", "pq.q", "own", "rep", *group[:2]).withColumn("bucket", bucket)
+    meet = meet.select("size", "key", "p", "q", "own", "rep", "bucket", F.pmod(F.col("bucket"), F.lit(n_tasks)).cast("int").alias("task"))
+    tasks = meet.join(dealt.select("rep", "copies", "x", "keys"), "rep")
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by("bucket")

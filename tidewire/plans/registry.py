@@ -274,9 +274,12 @@ def percents_and_costs(spark, d):
     return table(spark, d, "part").select("p_partkey", T.percent(k % 13, k % 50).alias("pct"), F.round(cost * 1_000_000).cast("long").alias("micro_cost"))
 
 
-@query(f"""WITH {V.ARTICLES}, t AS (SELECT seq, unnest(list_filter(regexp_split_to_array(lower(title || ' ' || substr(snippet, 1, 200)), '\\s+'), lambda w: w <> '')) AS w FROM articles),
-  h AS (SELECT seq, CAST('0x' || substr(md5(w), 17, 16) AS UBIGINT) AS h FROM t),
-  b AS (SELECT seq, i, count(*) FILTER ((h >> i) & 1 = 1) AS ones, count(*) AS n FROM h, (SELECT CAST(range AS UBIGINT) AS i FROM range(64)) GROUP BY seq, i)
+_VOTES = """t AS (SELECT seq, unnest(list_filter(regexp_split_to_array(lower(title || ' ' || substr(snippet, 1, 200)), '\\s+'), lambda w: w <> '')) AS w FROM articles),
+  votes AS (SELECT seq, CAST('0x' || substr(md5(w), 17, 16) AS UBIGINT) AS h FROM t),
+  b AS (SELECT seq, i, count(*) FILTER ((h >> i) & 1 = 1) AS ones, count(*) AS n FROM votes, (SELECT CAST(range AS UBIGINT) AS i FROM range(64)) GROUP BY seq, i)"""
+
+
+@query(f"""WITH {V.ARTICLES}, {_VOTES}
   SELECT a.seq, coalesce(x.bits, repeat('0', 64)) AS bits FROM articles a LEFT JOIN (SELECT seq, string_agg(CASE WHEN ones * 2 > n THEN '1' ELSE '0' END, '' ORDER BY i DESC) AS bits FROM b GROUP BY seq) x ON a.seq = x.seq""")
 def simhash(spark, d):
     h = V.articles(spark, d).select("seq", T.simhash(F.concat_ws(" ", "title", F.substring("snippet", 1, 200))).alias("h"))
@@ -361,7 +364,12 @@ def fetch_union_dedup(spark, d):
     return w.select("seq", "category", "url")
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.ARTICLES}, a AS (SELECT category, seq, url, row_number() OVER (PARTITION BY category ORDER BY seq) AS rn,
+    list_concat(['u|' || trim(url)], CASE WHEN {norm_sql('title')} <> '' THEN ['t|' || {norm_sql('title')}] ELSE [] END) AS keys FROM articles),
+  p AS (SELECT DISTINCT category, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS url FROM a
+    UNION ALL SELECT a.category, a.rn, CASE WHEN list_has_any(p.seen, a.keys) THEN p.seen ELSE list_concat(p.seen, a.keys) END, CASE WHEN NOT list_has_any(p.seen, a.keys) THEN a.seq END, a.url
+    FROM p JOIN a ON a.category = p.category AND a.rn = p.rn + 1)
+  SELECT seq, category, url FROM p WHERE seq IS NOT NULL""")
 def batch_dedup(spark, d):
     return dedup.batch_dedup(V.articles(spark, d)).select("seq", "category", "url")
 
@@ -371,7 +379,10 @@ def fuzzy_batch_dedup(spark, d):
     return dedup.fuzzy_batch_dedup(V.articles(spark, d)).select("seq", "category", "url")
 
 
-@query()
+@query(f"""WITH {V.ARTICLES}, {_VOTES}, h AS (SELECT a.category, a.seq, coalesce(x.h, 0) AS h FROM articles a LEFT JOIN (SELECT seq, CAST(sum(CASE WHEN ones * 2 > n THEN CAST(1 AS UBIGINT) << i ELSE 0 END) AS UBIGINT) AS h FROM b GROUP BY seq) x ON a.seq = x.seq),
+  one AS (SELECT category, h, min(seq) AS seq FROM h GROUP BY category, h)
+  SELECT x.category, x.seq AS a, y.seq AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS bits FROM one x JOIN one y ON x.category = y.category AND x.seq < y.seq AND bit_count(xor(x.h, y.h)) < 4
+  UNION ALL SELECT h.category, one.seq, h.seq, 0 FROM h JOIN one ON h.category = one.category AND h.h = one.h AND one.seq < h.seq""")
 def simhash_pairs(spark, d):
     return dedup.simhash_pairs(V.articles(spark, d))
 

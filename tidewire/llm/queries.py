@@ -106,4 +106,29 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-ORACLES = {"op2_line_dedup": LINE_SQL, "op7_exact_top_k": TOP_SQL}
+WORD = r"[^\x20\x09-\x0D]+"
+
+REPEATS_SQL = f"""
+WITH n AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents)),
+g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS win FROM n, unnest(range(1, n - 11)) t(i) WHERE n >= 13),
+first AS (SELECT win, min(doc_id) AS least FROM g GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM g JOIN first USING (win), range(13) r(k) WHERE least < doc_id),
+each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM n),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.pos) AS text, count(*) AS k FROM each e ANTI JOIN gone USING (doc_id, pos) GROUP BY e.doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_words, CAST(n.n - coalesce(k, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM n LEFT JOIN kept USING (doc_id)
+"""
+
+JACCARD_SQL = f"""
+WITH n AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents)),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS gram FROM n, unnest(range(1, greatest(n - 4, least(n, 1)) + 1)) t(i)),
+size AS (SELECT n.doc_id, count(gram) AS k FROM n LEFT JOIN s USING (doc_id) GROUP BY n.doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 80 * (x.k + y.k - c)),
+ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+walk AS (WITH RECURSIVE r(node, root) AS (SELECT doc_id, doc_id FROM size UNION SELECT w.b, r.root FROM r JOIN ways w ON r.node = w.a) SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT doc_id, k AS n_shingles, root AS component_id FROM size JOIN walk ON doc_id = node
+"""
+
+ORACLES = {"op2_line_dedup": LINE_SQL, "op5_substring_dedup": REPEATS_SQL, "op7_exact_top_k": TOP_SQL, "op10_ngram_jaccard": JACCARD_SQL}

@@ -364,22 +364,31 @@ def fetch_union_dedup(spark, d):
     return w.select("seq", "category", "url")
 
 
-@query(f"""WITH RECURSIVE {V.ARTICLES}, a AS (SELECT category, seq, url, row_number() OVER (PARTITION BY category ORDER BY seq) AS rn,
+_BATCH = f"""a AS (SELECT category, seq, url, row_number() OVER (PARTITION BY category ORDER BY seq) AS rn,
     list_concat(['u|' || trim(url)], CASE WHEN {norm_sql('title')} <> '' THEN ['t|' || {norm_sql('title')}] ELSE [] END) AS keys FROM articles),
   p AS (SELECT DISTINCT category, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS url FROM a
     UNION ALL SELECT a.category, a.rn, CASE WHEN list_has_any(p.seen, a.keys) THEN p.seen ELSE list_concat(p.seen, a.keys) END, CASE WHEN NOT list_has_any(p.seen, a.keys) THEN a.seq END, a.url
-    FROM p JOIN a ON a.category = p.category AND a.rn = p.rn + 1)
-  SELECT seq, category, url FROM p WHERE seq IS NOT NULL""")
+    FROM p JOIN a ON a.category = p.category AND a.rn = p.rn + 1),
+  firsts AS (SELECT seq, category, url FROM p WHERE seq IS NOT NULL)"""
+_HASHES = "h AS (SELECT a.category, a.seq, coalesce(x.h, 0) AS h FROM articles a LEFT JOIN (SELECT seq, CAST(sum(CASE WHEN ones * 2 > n THEN CAST(1 AS UBIGINT) << i ELSE 0 END) AS UBIGINT) AS h FROM b GROUP BY seq) x ON a.seq = x.seq)"
+
+
+@query(f"WITH RECURSIVE {V.ARTICLES}, {_BATCH} SELECT * FROM firsts")
 def batch_dedup(spark, d):
     return dedup.batch_dedup(V.articles(spark, d)).select("seq", "category", "url")
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.ARTICLES}, {_BATCH}, {_VOTES}, {_HASHES},
+  f AS (SELECT firsts.*, h.h, row_number() OVER (PARTITION BY firsts.category ORDER BY firsts.seq) AS rn, count(*) OVER (PARTITION BY firsts.category) > 50 AS large FROM firsts JOIN h USING (seq)),
+  q AS (SELECT DISTINCT category, CAST(0 AS BIGINT) AS rn, CAST([] AS UBIGINT[]) AS seen, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS url FROM f
+    UNION ALL SELECT f.category, f.rn, CASE WHEN f.large AND len(list_filter(q.seen, lambda k: bit_count(xor(k, f.h)) < 4)) > 0 THEN q.seen ELSE list_append(q.seen, f.h) END,
+      CASE WHEN f.large AND len(list_filter(q.seen, lambda k: bit_count(xor(k, f.h)) < 4)) > 0 THEN NULL ELSE f.seq END, f.url FROM q JOIN f ON f.category = q.category AND f.rn = q.rn + 1)
+  SELECT seq, category, url FROM q WHERE seq IS NOT NULL""")
 def fuzzy_batch_dedup(spark, d):
     return dedup.fuzzy_batch_dedup(V.articles(spark, d)).select("seq", "category", "url")
 
 
-@query(f"""WITH {V.ARTICLES}, {_VOTES}, h AS (SELECT a.category, a.seq, coalesce(x.h, 0) AS h FROM articles a LEFT JOIN (SELECT seq, CAST(sum(CASE WHEN ones * 2 > n THEN CAST(1 AS UBIGINT) << i ELSE 0 END) AS UBIGINT) AS h FROM b GROUP BY seq) x ON a.seq = x.seq),
+@query(f"""WITH {V.ARTICLES}, {_VOTES}, {_HASHES},
   one AS (SELECT category, h, min(seq) AS seq FROM h GROUP BY category, h)
   SELECT x.category, x.seq AS a, y.seq AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS bits FROM one x JOIN one y ON x.category = y.category AND x.seq < y.seq AND bit_count(xor(x.h, y.h)) < 4
   UNION ALL SELECT h.category, one.seq, h.seq, 0 FROM h JOIN one ON h.category = one.category AND h.h = one.h AND one.seq < h.seq""")
@@ -574,7 +583,13 @@ def category_topk(spark, d):
     return rank.top_per(_scores(spark, d), 10).select("section", "event_id", "rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.ARTICLES}, {_SCORE},
+  d AS (SELECT rk.section, event_id, rank, list_distinct(regexp_extract_all(lower(title), '[а-яёa-z]{{4,}}')) AS tok FROM rk JOIN articles ON seq = event_id),
+  g AS (SELECT DISTINCT section, CAST(0 AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS event_id, CAST([] AS VARCHAR[][]) AS chosen, false AS ok FROM d
+    UNION ALL SELECT section, rank, event_id, CASE WHEN alike THEN chosen ELSE list_append(chosen, tok) END, NOT alike FROM (SELECT d.section, d.rank, d.event_id, g.chosen, d.tok,
+      len(list_filter(g.chosen, lambda c: len(list_distinct(list_concat(c, d.tok))) > 0 AND len(list_intersect(c, d.tok)) >= 0.4::DOUBLE * len(list_distinct(list_concat(c, d.tok))))) > 0 AS alike
+      FROM g JOIN d ON d.section = g.section AND d.rank = g.rank + 1))
+  SELECT section, event_id, CAST(place AS INTEGER) AS place, ok AS diverse FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY NOT ok, rank) AS place FROM g WHERE rank > 0) WHERE place <= 10""")
 def diverse_topk(spark, d):
     return rank.diverse_top(rank.ranked(_scores(spark, d)), 10, text="canonical_title").select("section", "event_id", "place", "diverse")
 
@@ -750,7 +765,7 @@ def digest_parts(spark, d):
     return _digest(spark, d)["parts"].select("item_count", F.col("part_no._s").alias("section_no"), F.col("part_no._p").alias("chunk_no"), "part")
 
 
-@query()
+@query(f"WITH {V.ARTICLES}, {_EDGES}, {_COMP}, day_events AS (SELECT a.*, event_id FROM articles a JOIN reach r ON a.seq = r.node), {_SUMMARY} SELECT category, event_id, n_articles, canonical_title, role FROM summary")
 def digest_events(spark, d):
     return events_of(V.articles(spark, d)).select("category", "event_id", "n_articles", "canonical_title", "role")
 

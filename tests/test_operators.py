@@ -312,3 +312,12 @@ def test_stream_first_seen_forgets_and_keeps(spark, tmp_path):
     handed = []
     streams.deliver(spark.readStream.schema("url_hash string, published_at timestamp").parquet(str(tmp_path / "in" / "t.parquet")), lambda df, n: handed.append(df.count()), str(tmp_path / "cp2")).awaitTermination()
     assert handed == [4]
+
+
+def test_chain_takes_the_first_answer():
+    class Down:
+        def answer(self, prompt):
+            raise TimeoutError
+
+    assert model.Chain(Down(), Said(""), Said("yes"), Said("no")).answer("x") == "yes"
+    assert model.Chain(Down()).answer("x") == ""

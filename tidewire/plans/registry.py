@@ -909,3 +909,31 @@ def issue_counts(spark, d):
 @query()
 def digest_cards(spark, d):
     return _digest(spark, d)["cards"].select("section", "rank", "event_id", "title", "card")
+
+
+@query(f"""WITH {V.RUNS}, log AS (SELECT id % 50 AS id, started_at AS t0, status, CASE WHEN status = 'error' THEN repeat(concat('e', id, ' '), 200) END AS error, id AS n FROM runs)
+  SELECT id, t0 AS last_at, status, substr(error, 1, 500) AS error FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t0 DESC, n DESC) AS r FROM log) WHERE r = 1""")
+def run_log(spark, d):
+    """The last record of each run, its error cut."""
+    log = V.runs(spark, d).select((F.col("id") % 50).alias("id"), F.struct(F.col("started_at").alias("t"), F.col("id").alias("n")).alias("at"), "status", F.when(F.col("status") == "error", F.repeat(F.concat(F.lit("e"), "id", F.lit(" ")), 200)).alias("error"))
+    return sinks.run_log(log).select("id", F.col("at.t").alias("last_at"), "status", "error")
+
+
+@query("""SELECT event_id, CAST(CASE WHEN event_id % 4 = 3 THEN 0 ELSE event_id % 3 END AS INTEGER) AS items,
+  CASE event_id % 4 WHEN 0 THEN event_id % 3 > 0 AND CAST(ts AS DATE) > DATE '2024-03-20' - 60 WHEN 1 THEN event_id % 3 > 0 WHEN 2 THEN event_id % 3 > 0 ELSE true END AS ok FROM events""")
+def source_checks(spark, d):
+    """Feeds need entries that are not too old, channel pages messages, video channels entries; the item list always answers."""
+    k = F.col("event_id") % 4
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("rss", "telegram", "youtube", "hackernews")]), (k + 1).cast("int"))
+    one = F.when(k == 1, '<div class="tgme_widget_message_text">').when(k == 2, "<entry >").when(k == 0, "<item>").otherwise("")
+    pages = table(spark, d, "events").select("event_id", kind.alias("type"), F.repeat(one, (F.col("event_id") % 3).cast("int")).alias("body"), F.col("ts").alias("newest"))
+    return feeds.validate_pages(pages, "2024-03-20").select("event_id", "items", "ok")
+
+
+@query("SELECT item_id, concat('Video ', item_id) AS title, concat('https://v.example/', item_id) AS url, concat('about ', item_id) AS snippet, concat('youtube:UC', lpad(CAST(item_id AS VARCHAR), 6, '0')) AS source, 1704189600 + item_id * 60 AS published FROM benchmark")
+def video_parse(spark, d):
+    at = F.date_format(F.timestamp_seconds(F.lit(1704189600) + F.col("item_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    entry = F.concat(F.lit("<entry><title>Video "), "item_id", F.lit('</title><link href="https://v.example/'), "item_id", F.lit('"/><published>'), at, F.lit("</published><media:group><media:description>&lt;b&gt;about&lt;/b&gt; "), "item_id", F.lit("</media:description></media:group></entry><entry><title>no link</title></entry>"))
+    body = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="http://search.yahoo.com/mrss/">'), entry, F.lit("</feed>"))
+    rows = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("category"), F.concat(F.lit("UC"), F.lpad(F.col("item_id").cast("string"), 6, "0"), F.lit("xyz")).alias("channel"), body.alias("body"))
+    return feeds.parse_atom(rows).select(F.col("category").cast("long").alias("item_id"), "title", "url", "snippet", "source", F.unix_seconds(F.col("published_at").cast("timestamp")).alias("published"))

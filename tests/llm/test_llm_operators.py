@@ -374,7 +374,8 @@ def _clashing(df):
 
 def test_columns_that_clash(docs, vectors, spark):
     some = docs.where("doc_id < 40 or doc_id >= 155")
-    wide, plain = _clashing(some), lambda df: sorted(map(repr, df.collect()))
+    wide = _clashing(some).withColumn("dot.ted", F.lit("x")).withColumn("mapped", F.create_map(F.lit("k"), F.lit(1)))
+    plain = lambda df: sorted(map(repr, df.collect()))
     for f in (jaccard_join.jaccard_components, substring_dedup.remove_repeats, lambda x: mixing.mix(x, fan=8), lambda x: packing.pieces(x, tokenizer_path())):
         assert plain(f(wide)) == plain(f(some))
     for f in (jaccard_join.keep_one, lambda x: mixing.take(x, fan=8), line_dedup.dedup_lines):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.shingles import concat, release, releasing, shingle_sets, slices, small_batches
+from tidewire.llm.shingles import columns, concat, release, releasing, row_key, shingle_sets, slices, small_batches
 from tidewire.operators.components import connected_components
 from tidewire.runtime import drop, settle, unused
 
@@ -319,8 +319,8 @@ def keep_one(documents: DataFrame, words: int = 5, percent: int = 80, rounds: in
     rid, key, comp, row = (unused(documents, c) for c in ("_rid", "_key", "_comp", "_row"))
     known = settle(sets.join(_small(found), "node").select(F.col("rid").alias(key), F.col("comp").alias(comp)).distinct())
     keyed = documents.withColumn(rid, F.xxhash64(F.col("text").cast("string")))
-    alone = keyed.join(_small(known), F.col(rid) == F.col(key), "left_anti").select(*documents.columns)
+    alone = keyed.join(_small(known), F.col(rid) == F.col(key), "left_anti").select(*columns(documents))
     grouped = keyed.join(_small(known), F.col(rid) == F.col(key))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(rid), F.xxhash64(*documents.columns))
-    first = grouped.groupBy(comp).agg(F.min_by(F.struct(*documents.columns), order).alias(row)).select(f"{row}.*")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(rid), row_key(documents))
+    first = grouped.groupBy(comp).agg(F.min_by(F.struct(*columns(documents)), order).alias(row)).select(f"{row}.*")
     return alone.unionByName(first)

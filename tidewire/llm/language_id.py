@@ -310,11 +310,12 @@ def with_language(rows: DataFrame, model: Model | None, text: str = "text", pred
         for batch in (part for whole_batch in batches for part in slices(whole_batch, column=whole)):
             letters = batch.column(has).to_numpy(zero_copy_only=False).astype(bool)
             found = _predicted(m, batch.column(whole), letters)[: len(added)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], [*names, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *found], [*names, *added])
 
     kinds = (StringType(), DoubleType(), BooleanType())
     schema = StructType([*rows.schema.fields, *(StructField(c, t) for c, t in zip(added, kinds))])
-    return small_batches(inner).mapInArrow(run, schema)
+    # mapInArrow can't take every name, so columns go in by place
+    return small_batches(inner.toDF(*[f"_{k}" for k in range(len(names))], has, whole)).mapInArrow(run, schema)
 
 
 def identify(documents: DataFrame, model: Model | None) -> DataFrame:

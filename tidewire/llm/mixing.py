@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.llm.shingles import columns, row_key
 from tidewire.runtime import settle, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -192,12 +193,6 @@ def mix(
     )
 
 
-def _row_key(documents: DataFrame) -> Column:
-    """64-bit hash of a whole row; xxhash64 skips nulls, so their places are hashed as well."""
-    cols = [F.col(f"`{f.name}`") for f in documents.schema.fields if "map<" not in f.dataType.simpleString()]
-    return F.xxhash64(*cols, *(c.isNull() for c in cols))
-
-
 def take(documents: DataFrame, few: int = 1_000_000, **options) -> DataFrame:
     """documents, each row as often as the mix takes it.
 
@@ -206,7 +201,7 @@ def take(documents: DataFrame, few: int = 1_000_000, **options) -> DataFrame:
     of them. The copies are sent out while they are few (three numbers a row), else joined.
     """
     row, key, times, again = (unused(documents, c) for c in ("_row", "_key", "_copies", "_k"))
-    keyed = documents.withColumn(row, _row_key(documents))
+    keyed = documents.withColumn(row, row_key(documents))
     copies = mix(keyed, row=row, **options).groupBy("_row").agg(F.sum("copies").alias(times), F.count(F.lit(1)).alias("_rows"))
     copies = settle(copies.withColumnRenamed("_row", key))
     state = copies.agg(F.count(F.lit(1)).alias("n"), F.max("_rows").alias("most")).first()
@@ -216,4 +211,4 @@ def take(documents: DataFrame, few: int = 1_000_000, **options) -> DataFrame:
     if state["n"] <= few:
         wanted = F.broadcast(wanted)
     joined = keyed.join(wanted, F.col(row) == F.col(key))
-    return joined.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*documents.columns)
+    return joined.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*columns(documents))

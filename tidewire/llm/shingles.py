@@ -14,7 +14,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WINDOW = 1 << 17  # bytes coded in one step; longer words are hashed as a whole
@@ -154,6 +155,17 @@ def small_batches(rows: DataFrame, records: int = 1000, size: int = 8 << 20) ->
     return rows
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever stands in their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def row_key(df: DataFrame) -> Column:
+    """64-bit hash of a whole row; xxhash64 skips nulls, so their places are hashed as well. Maps have no hash and stay out."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*cols, *(c.isNull() for c in cols))
+
+
 def release() -> None:
     """Give memory that a finished task no longer uses back; Python workers live on after their task."""
     pa.default_memory_pool().release_unused()

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import html_text, jaccard_join, language_id, line_dedup, mixing, packing, substring_dedup, topk, urls, vector_dedup
+from tidewire.llm import (
+    feature_join,
+    html_text,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    mixing,
+    packing,
+    sharding,
+    substring_dedup,
+    topk,
+    urls,
+    vector_codes,
+    vector_dedup,
+)
 from tidewire.runtime import table
 
 
@@ -59,6 +73,18 @@ def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feature_join.features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": language,
     "op2_line_dedup": lines,
@@ -70,6 +96,9 @@ QUERIES = {
     "op8_html_extraction": html,
     "op9_embedding_near_dedup": vectors,
     "op10_ngram_jaccard": ngram_join,
+    "op11_vector_codes": codes,
+    "op12_point_in_time": features,
+    "op13_sharding": shards,
 }
 
 LINE_SQL = """
@@ -131,4 +160,57 @@ walk AS (WITH RECURSIVE r(node, root) AS (SELECT doc_id, doc_id FROM size UNION
 SELECT doc_id, k AS n_shingles, root AS component_id FROM size JOIN walk ON doc_id = node
 """
 
-ORACLES = {"op2_line_dedup": LINE_SQL, "op5_substring_dedup": REPEATS_SQL, "op7_exact_top_k": TOP_SQL, "op10_ngram_jaccard": JACCARD_SQL}
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Lloyd's rounds without any bound; a distance and its entry are one number, so the least has the lower entry."""
+    steps = ["""
+kept AS (
+  SELECT vec_id, label, v, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), c AS MATERIALIZED (
+  SELECT r, (i - 1) // (n // 8) AS part, (i - 1) % (n // 8) AS pos, x
+  FROM (SELECT r, len(v) AS n, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept)
+), b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, x FROM c WHERE r <= 16)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+d{k} AS (SELECT c.r, c.part, b.entry, CAST(sum((c.x - b.x) * (c.x - b.x)) AS BIGINT) AS d FROM c JOIN b{k} b USING (part, pos) GROUP BY ALL),
+a{k} AS MATERIALIZED (SELECT r, part, min(d * 16 + entry) AS m FROM d{k} GROUP BY r, part)""")
+        if k < rounds:
+            steps.append(f"""
+s{k} AS (SELECT part, m % 16 AS entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM c JOIN a{k} USING (r, part) GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM b{k} LEFT JOIN s{k} USING (part, entry, pos))""")
+    return "WITH" + ",".join(steps) + f""",
+e AS (SELECT r, string_agg(printf('%02x', m % 16), '' ORDER BY part) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+FROM kept JOIN e USING (r)
+"""
+
+
+def _hex(k: int) -> str:
+    return f"CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), {8 * k + 1}, 8) AS BIGINT)"
+
+
+FEATURES_SQL = f"""
+WITH v AS (
+  SELECT doc_id AS version_id, source, n_chars, lang, {_hex(0)} % 50000 AS event, {_hex(1)} % 600 AS b, {_hex(2)} % 900 AS c FROM documents
+), asks AS (
+  SELECT row_number() OVER () AS r, doc_id, {_hex(3)} % 50000 AS t, (SELECT min(source) FROM documents d WHERE d.doc_id = l.doc_id) AS source FROM labels l
+), best AS (
+  SELECT r, v.*, row_number() OVER (PARTITION BY r ORDER BY event DESC, event - 60 + b, version_id DESC, n_chars DESC NULLS LAST, lang DESC NULLS LAST) AS k
+  FROM asks JOIN v ON asks.source = v.source AND event <= t AND event - 60 + b <= t AND t < event + c
+)
+SELECT doc_id, t, version_id, t - event AS age, CASE WHEN version_id IS NULL THEN 'none' WHEN t - event > 120 THEN 'stale' ELSE 'fresh' END AS status,
+       CASE WHEN t - event <= 120 THEN n_chars END AS n_chars, CASE WHEN t - event <= 120 THEN lang END AS lang
+FROM asks LEFT JOIN best ON asks.r = best.r AND k = 1
+"""
+
+ORACLES = {
+    "op2_line_dedup": LINE_SQL,
+    "op5_substring_dedup": REPEATS_SQL,
+    "op7_exact_top_k": TOP_SQL,
+    "op10_ngram_jaccard": JACCARD_SQL,
+    "op11_vector_codes": _codes_sql(),
+    "op12_point_in_time": FEATURES_SQL,
+}

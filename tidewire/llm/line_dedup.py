@@ -5,17 +5,17 @@ HyperLogLog sketch per line hash, built map-side and merged by aggregation; line
 within `band` of the threshold get exact distinct counts. Sketches are only built for lines with at
 least min_sites occurrences, since rarer lines can't have that many sites.
 
-A text that was copied as a whole to many sites is no boilerplate; copies are the business of the
-near-duplicate operators. So the spread is taken twice: a document of which at least `copied` percent
-of the characters are lines that passed is a copy, and only lines that still pass without the
-copies are boilerplate. They are removed from every document; other lines, blank ones included, stay
-as they are and in order.
+A text that stands word for word on many sites is a copy rather than boilerplate, and copies are the
+business of the near-duplicate operators. So each different text votes once, for one of its sites: sites
+are counted over whole-text digests, each with the least of its site numbers. Nothing else about a text
+matters, whatever share of it a line takes. Boilerplate is removed from every document; other lines, blank
+ones included, stay as they are and in order.
 
 The texts are split and hashed once for all counts; the narrow rows are written, and each step reads
 those of its lines only.
 
 Defined cases: null text stays null, has no lines and loses none; a null source is a site of its own;
-repeated rows count like any others, and each is a document; a text of any length is one row of one
+repeated rows are one text, and each is a document; a text of any length is one row of one
 task; empty tables give no rows; extra columns pass through, whatever their names (but n_lines and
 n_removed, which are set).
 """
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from tidewire.runtime import drop, settle, unused
 
 MIN_SITES = 10
-COPIED = 80
 BROADCAST_LINES = 200_000  # 64-bit hashes; more than that are joined by a shuffle
 INLINE_LINES = 5_000  # hashes that go into the plan as a set; more are joined
 
@@ -60,24 +59,22 @@ def wide_lines(seen: DataFrame, min_sites: int, lg_k: int, band: float) -> DataF
     return found
 
 
-def boilerplate_lines(documents: DataFrame, min_sites: int = MIN_SITES, lg_k: int = 12, band: float = 0.1, copied: int = COPIED) -> DataFrame:
+def site_number(source: Column) -> Column:
+    """A site as a number: the first 60 bits of its MD5, -1 for null."""
+    return F.coalesce(F.conv(F.substring(F.md5(source.cast("string")), 1, 15), 16, 10).cast("long"), F.lit(-1))
+
+
+def boilerplate_lines(documents: DataFrame, min_sites: int = MIN_SITES, lg_k: int = 12, band: float = 0.1) -> DataFrame:
     """One settled column, line_key: the hashes of the boilerplate lines."""
     text = F.col("text").cast("string")
-    cut = documents.where(F.col("text").isNotNull()).select(
-        F.coalesce(F.xxhash64(F.col("source").cast("string")), F.lit(0)).alias("site"),
-        F.monotonically_increasing_id().alias("row"),
-        F.length(text).alias("chars"),
-        _lines(text).alias("lines"),
-    )
-    each = cut.select("site", "row", (F.col("chars") - F.size("lines") + 1).alias("chars"), F.explode("lines").alias("line"))
-    seen = settle(each.select("site", "row", "chars", _key(F.col("line")).alias("line_key"), F.length("line").alias("size")).where("line_key is not null"))
+    cut = documents.where(F.col("text").isNotNull()).select(site_number(F.col("source")).alias("site"), F.xxhash64(text).alias("digest"), _lines(text).alias("lines"))
+    each = cut.select("site", "digest", F.explode("lines").alias("line"))
+    seen = settle(each.select("site", "digest", _key(F.col("line")).alias("line_key")).where("line_key is not null"))
     often = settle(seen.groupBy("line_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("line_key"))
-    some = settle(seen.join(_few(often), "line_key", "left_semi"))
-    wide = wide_lines(some, min_sites, lg_k, band)
-    held = settle(some.join(_few(wide), "line_key", "left_semi"))
-    copies = held.groupBy("row", "chars").agg(F.sum("size").alias("held")).where(F.col("held") * 100 >= F.col("chars") * copied).select("row")
-    found = wide_lines(held.join(copies, "row", "left_anti"), min_sites, lg_k, band)
-    drop(seen, often, some, wide, held)
+    some = seen.join(_few(often), "line_key", "left_semi")
+    votes = settle(some.groupBy("line_key", "digest").agg(F.min("site").alias("site")))
+    found = wide_lines(votes, min_sites, lg_k, band)
+    drop(seen, often, votes)
     return found
 
 

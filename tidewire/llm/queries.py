@@ -103,17 +103,12 @@ QUERIES = {
 
 LINE_SQL = """
 WITH l AS (
-  SELECT doc_id, source, pos, line, chars, trim(regexp_replace(line, '[\\t\\r]', ' ', 'g')) AS bare
-  FROM (SELECT doc_id, source, length(replace(text, chr(10), '')) AS chars, unnest(string_split(text, chr(10))) AS line,
-               generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  SELECT doc_id, site, text, pos, line, trim(regexp_replace(line, '[\\t\\r]', ' ', 'g')) AS bare
+  FROM (SELECT doc_id, text, CASE WHEN source IS NULL THEN -1 ELSE CAST('0x' || substr(md5(source), 1, 15) AS BIGINT) END AS site,
+               unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
         FROM documents WHERE text IS NOT NULL)
-), wide AS (
-  SELECT bare FROM l WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT coalesce(source, chr(0))) >= 10
-), copies AS (
-  SELECT doc_id FROM l WHERE bare IN (SELECT bare FROM wide) GROUP BY doc_id, chars HAVING sum(length(line)) * 100 >= chars * 80
 ), bad AS (
-  SELECT bare FROM l WHERE bare IN (SELECT bare FROM wide) AND doc_id NOT IN (SELECT doc_id FROM copies)
-  GROUP BY bare HAVING count(DISTINCT coalesce(source, chr(0))) >= 10
+  SELECT bare FROM (SELECT bare, text, min(site) AS site FROM l WHERE bare <> '' GROUP BY bare, text) GROUP BY bare HAVING count(DISTINCT site) >= 10
 ), kept AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bare IN (SELECT bare FROM bad)) AS n_removed,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE bare NOT IN (SELECT bare FROM bad)), '') AS text

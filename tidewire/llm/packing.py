@@ -106,6 +106,7 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tu
     return runs, bins
 
 
+_SECOND = 0x6A09E667F3BCC909  # key of the second code of a piece
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -183,7 +184,8 @@ class WordIds:
         self.most = most
         self.words: dict[bytes, bytes] = {}
         # of the pieces known so far: code in order, where its ids stand in `flat`, how many, when it was last asked for
-        self.codes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # and a second code of another key, so pieces are told apart by 128 bits
+        self.codes, self.second, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.size, self.asked = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.clock = np.zeros(0, "<u4"), 0
         model, parts = self.tokenizer.model, [self.tokenizer.normalizer, self.tokenizer.pre_tokenizer]
@@ -217,10 +219,10 @@ class WordIds:
             return
         keep = np.sort(np.argpartition(-self.asked, most)[:most])
         self.flat = self.flat[places(self.at[keep], self.size[keep])]
-        self.codes, self.size, self.asked = self.codes[keep], self.size[keep], self.asked[keep]
+        self.codes, self.second, self.size, self.asked = self.codes[keep], self.second[keep], self.size[keep], self.asked[keep]
         self.at = np.cumsum(self.size) - self.size
 
-    def _learn(self, codes: np.ndarray, new: list[bytes]) -> None:
+    def _learn(self, codes: np.ndarray, second: np.ndarray, new: list[bytes]) -> None:
         """Encode these pieces, of which none is known, and put them among the others."""
         self._forget(max(0, self.most - len(codes)))
         ids, stops = self._encoded(new)
@@ -228,6 +230,7 @@ class WordIds:
         every = np.concatenate((self.codes, codes))
         order = np.argsort(every, kind="stable")
         self.codes = every[order]
+        self.second = np.concatenate((self.second, second))[order]
         self.at = np.concatenate((self.at, starts + len(self.flat)))[order]
         self.size = np.concatenate((self.size, stops - starts))[order]
         self.asked = np.concatenate((self.asked, np.full(len(codes), self.clock)))[order]
@@ -246,15 +249,18 @@ class WordIds:
         low, starts, ends = plain_pieces(data)
         once = pa.array(codes_at(low, starts, ends)).dictionary_encode()
         where, codes = once.indices.to_numpy(), once.dictionary.to_numpy()
-        self.clock += 1
+        second = codes_at(low, starts, ends, key=_SECOND)
+        first = np.zeros(len(codes), np.int64)
+        first[where[::-1]] = np.arange(len(where))[::-1]
         at, known = self._find(codes)
+        if (second[first][where] != second).any() or (self.second[at[known]] != second[first][known]).any():
+            return [self._words(t) for t in texts]  # two pieces of one code: by their bytes
+        self.clock += 1
         self.asked[at[known]] = self.clock
         if not known.all():
-            first = np.zeros(len(codes), np.int64)
-            first[where[::-1]] = np.arange(len(where))[::-1]
             some = first[~known]
             raw = low.tobytes()
-            self._learn(codes[~known], [raw[i:j] for i, j in zip(starts[some].tolist(), ends[some].tolist())])
+            self._learn(codes[~known], second[some], [raw[i:j] for i, j in zip(starts[some].tolist(), ends[some].tolist())])
             at, _ = self._find(codes)
         size = self.size[at][where]
         ids = self.flat[places(self.at[at][where], size)].tobytes()
@@ -361,8 +367,9 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, part: i
     plan = {k: (np.array([r[0] for r in v]), np.array(v, dtype=np.int64)) for k, v in by_length.items()}
     # a length's pieces are numbered in as many parts as they need: capacity + pieces / part numbers in all
     parts = [(k, -(-n // part)) for k, n in counts.items()]
-    salted = cut.join(F.broadcast(spark.createDataFrame(parts, "length long, parts long")), "length")
-    salted = salted.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
+    # rows of one id and text may be many, so a number of the row takes part; the table is settled, so it stays
+    salted = cut.withColumn("part", F.monotonically_increasing_id()).join(F.broadcast(spark.createDataFrame(parts, "length long, parts long")), "length")
+    salted = salted.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "part"), F.col("parts"))).drop("parts")
     firsts: dict[tuple[int, int], int] = {}
     upto = dict.fromkeys(counts, 0)
     for length, salt, n in sorted(map(tuple, salted.groupBy("length", "part").agg(F.count(F.lit(1))).collect())):

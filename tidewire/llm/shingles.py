@@ -1,8 +1,9 @@
 """Words and word n-grams of many texts at once as 64-bit codes, in numpy.
 
-A word's code is a sum of random numbers, one for each byte, times powers of an odd number by their
-place, so the codes of all words of a batch come from one running sum; nothing is cached between
-batches, and memory follows the batch. Batches are cut into slices of a few MB before that.
+A word's code is a keyed hash that is not linear in its bytes: eight bytes at a time are stirred into
+a state, for all words of a batch side by side, so words of up to eight bytes and one length never share a code
+and no structure of longer ones can cancel out. Long words go through a cryptographic hash. Nothing is
+cached between batches, and memory follows the batch. Batches are cut into slices of a few MB before that.
 """
 
 from __future__ import annotations
@@ -16,24 +17,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WINDOW = 1 << 17  # bytes coded in one step; longer words are hashed as a whole
+_LONG = 256  # bytes; longer words are hashed one by one
+_KEY = 0x2545F4914F6CDD1B
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def _powers(base: int) -> np.ndarray:
-    out = np.ones(_WINDOW, np.uint64)
-    out[1:] = base
-    return np.multiply.accumulate(out)
-
-
-_BASE = 0x2545F4914F6CDD1B  # 3 mod 8: its powers differ in low bits
-_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
-_BYTES = np.random.default_rng(20250101).integers(1, 1 << 64, 256, np.uint64)
-_LOWER = _BYTES.copy()
-_LOWER[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -42,26 +35,23 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def codes_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit code of the bytes of each word, A-Z lower-cased if `lower`; words are in order."""
-    table = _LOWER if lower else _BYTES
-    out = np.zeros(len(starts), np.uint64)
-    at = 0
+def codes_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, key: int = _KEY) -> np.ndarray:
+    """64-bit code of the bytes of each word, A-Z lower-cased if `lower`; another key gives codes that are independent."""
+    data = np.append(_LOWER[data] if lower else data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the eight bytes from each place on
+    sizes = ends - starts
     with np.errstate(over="ignore"):
-        while at < len(out):
-            base = int(starts[at])
-            upto = int(np.searchsorted(ends, base + _WINDOW, side="right"))
-            if upto <= at:
-                word = data[base : ends[at]].tobytes()
-                word = word.lower() if lower else word
-                out[at] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-                at += 1
-                continue
-            s, e = starts[at:upto] - base, ends[at:upto] - base
-            run = np.zeros(int(e[-1]) + 1, np.uint64)
-            np.cumsum(table[data[base : base + int(e[-1])]] * _UP[: int(e[-1])], out=run[1:])
-            out[at:upto] = _stir((run[e] - run[s]) * _DOWN[s] + (e - s).astype(np.uint64) * _MIX)
-            at = upto
+        out = _stir(sizes.astype(np.uint64) * _MIX + np.uint64(key))
+        open_ = np.flatnonzero((sizes > 0) & (sizes <= _LONG))
+        done = 0
+        while len(open_):
+            left = sizes[open_] - done
+            block = eight[starts[open_] + done] & _TAIL[np.minimum(left, 8)]
+            out[open_] = _stir(_stir(out[open_] ^ block) * _MIX + np.uint64(key))
+            open_, done = open_[left > 8], done + 8
+    secret = key.to_bytes(8, "little")
+    for k in np.flatnonzero(sizes > _LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=secret).digest(), "little")
     return out
 
 
@@ -160,10 +150,22 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+def _hashable(c: Column, kind: T.DataType) -> Column:
+    """c with every map in it as its entries in order of their hashes, since maps themselves have no hash."""
+    if "map<" not in kind.simpleString():
+        return c
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _hashable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(_hashable(c[f.name], f.dataType).alias(f"c{k}") for k, f in enumerate(kind.fields))))
+    entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+    return F.array_sort(F.transform(F.map_entries(c), lambda e: F.xxhash64(_hashable(e, entry), e["value"].isNull())))
+
+
 def row_key(df: DataFrame) -> Column:
-    """64-bit hash of a whole row; xxhash64 skips nulls, so their places are hashed as well. Maps have no hash and stay out."""
-    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    return F.xxhash64(*cols, *(c.isNull() for c in cols))
+    """64-bit hash of a whole row; xxhash64 skips nulls, so their places are hashed as well."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.xxhash64(*(_hashable(c, f.dataType) for c, f in zip(cols, df.schema.fields)), *(c.isNull() for c in cols))
 
 
 def release() -> None:

@@ -3,16 +3,21 @@
 One scan of the markup cuts a page into blocks at block-level tags and notes for every block the
 containers it stands in, its words, and the words inside links. The first pass decides blocks that
 are clear: blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments (by
-element, or by a whole name in class, id or role; a name that only holds such a word says nothing),
-blocks of mostly links, and long blocks with running text, which a share of stop words gives away.
+element, by a whole name in class, id or role, or by a name that begins or ends with the word for such
+a container; a name that only holds such a word says nothing), blocks of mostly links, and long blocks with running text, which a share of stop words gives away.
 A long block with hardly any stop words is no running text, unless the page or the block is in a
 language without a list: then length and sentence signs decide. Short and unclear blocks stay open.
 The second pass lets every open block inherit the label of its nearest decided neighbour within the
 same container (article, main, or the rest of the page); a container without decided neighbours
-counts as text if it is an article or main element, or if the page has neither.
+counts as text if it is an article or main element, or if the page has neither. A block that the first
+pass took out for its words alone stays if both neighbours are text.
 
-Defined cases: null, empty and unclosed markup give what text there is, or an empty string; only an
-attribute named hidden, or a style of display:none or visibility:hidden, hides an element; a
+The scan reads every character a bounded number of times, whatever the markup: a tag without an
+end, a quote without a partner and an end tag without a start are noticed once, not searched again.
+
+Defined cases: null, empty and unclosed markup give what text there is, or an empty string; a "<" that no
+">" follows is text; a dropped element that is never closed ends where an article, main or h1 element
+starts; a page that names alone would leave without any text is read again without them; only an attribute named hidden, or a style of display:none or visibility:hidden, hides an element; a
 self-closing svg or math is empty; every block is taken whole, and a page of any length is one row
 of one task; repeated rows are extracted one by one; empty tables give no rows; other columns of
 the input are ignored, whatever their names.
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,11 +70,15 @@ DROP_NAMES = frozenset(
     "widget widgets toolbar pagination pager contentinfo complementary search dialog".split()
 )
 KEEP_TAGS = frozenset(("article", "main"))
-_REST = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b" + _REST + r">.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(" + _REST + r")>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+# words for containers that a name of several parts may begin or end with
+DROP_PARTS = frozenset("sidebar footer comments nav navbar menu newsletter breadcrumb breadcrumbs advert adverts advertisement".split())
+COOKIE_PARTS = frozenset("notice bar banner consent law policy popup message wall info".split())
+OPPOSITES = frozenset("with has no without".split())  # "content-with-sidebar" is no sidebar
+KEEP_NAMES = frozenset("article main content post-content entry-content article-body post-body".split())
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+STOP = re.compile(r"""[>"']""")
+ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+LINK = re.compile(r"<(/?)a(?=[\s>/])", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 SPACE = re.compile(r"\s+")
@@ -76,8 +86,19 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?…。！？।؟]")
 
 
-def _drops(tag: str, attributes: str) -> bool:
-    if tag in DROP_TAGS:
+def _container(name: str) -> bool:
+    """Whether a class, id or role is the name of something that is no article."""
+    if name in DROP_NAMES:
+        return True
+    parts = re.split("[-_]+", name)
+    if len(parts) < 2 or OPPOSITES.intersection(parts):
+        return False
+    return parts[0] in DROP_PARTS or parts[-1] in DROP_PARTS or parts[0] in ("cookie", "cookies") and not COOKIE_PARTS.isdisjoint(parts) or parts[-1].isdigit() and parts[-2] in DROP_PARTS
+
+
+def _drops(tag: str, attributes: str, inside: bool, names: bool) -> bool:
+    """Whether an element is no part of an article; inside: it stands in one; names: class, id and role count."""
+    if tag in DROP_TAGS and not (tag == "header" and inside):
         return True
     if not attributes or tag in ("html", "body"):
         return False
@@ -85,11 +106,58 @@ def _drops(tag: str, attributes: str) -> bool:
         name, value = name.lower(), entities.unescape("".join(values))
         if name == "hidden" or name == "style" and HIDES.search(value):
             return True
-        if name in ("class", "id", "role") and tag not in KEEP_TAGS and DROP_NAMES.intersection(value.lower().split()):
-            return True
+        if names and name in ("class", "id", "role") and tag not in KEEP_TAGS:
+            own = value.lower().split()
+            if not KEEP_NAMES.intersection(own) and any(map(_container, own)):
+                return True
     return False
 
 
+def tokens_of(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(begin, end, kind, tag, attributes) of all markup; kind is "raw", "start", "end" or "" for comments and the like."""
+    at, quotes = 0, True
+    while (begin := page.find("<", at)) >= 0:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = len(page) if end < 0 else end + 3
+            yield begin, at, "", "", ""
+            continue
+        slash = page.startswith("/", begin + 1)
+        name = NAME.match(page, begin + 1 + slash)
+        if not name and page[begin + 1 : begin + 2] not in ("!", "?", "/"):
+            at = begin + 1  # a sign of the text
+            continue
+        tag = name.group().lower() if name else ""
+        close, seek = -1, name.end() if name else begin + 1
+        while name and quotes:
+            found = STOP.search(page, seek)
+            if not found:
+                quotes = False  # all that is left of ">" stands in quotes, for this tag and for those after it
+            elif found.group() == ">":
+                close = found.start()
+                break
+            else:
+                partner = page.find(found.group(), found.end())
+                if partner < 0:
+                    quotes = False
+                seek = partner + 1
+        if close < 0:
+            close = page.find(">", begin)
+            if close < 0:
+                return  # no markup can end any more
+        at = close + 1
+        if not name:
+            yield begin, at, "", "", ""
+        elif slash:
+            yield begin, at, "end", tag, ""
+        elif tag in RAW:
+            end = ENDS[tag].search(page, at)
+            at = end.end() if end else len(page)
+            yield begin, at, "raw", tag, ""
+        else:
+            yield begin, at, "start", tag, page[name.end() : close]
+
+
 class Block:
     """A run of text between two block boundaries."""
 
@@ -103,13 +171,18 @@ class Block:
         self.label: bool | None = None
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, Block]], dict[int, bool]]:
+def blocks_of(page: str, names: bool = True) -> tuple[list[tuple[str, Block]], dict[int, bool]]:
     """The non-empty blocks of a page with their text, and which containers are articles."""
-    stack: list[tuple[str, bool, int]] = []  # element, dropped, container
+    scanned = list(tokens_of(page))
+    ended = Counter(tag for _, _, kind, tag, _ in scanned if kind == "end")
+    stack: list[tuple[str, bool, int, bool]] = []  # element, dropped, container, never closed
+    count: Counter[str] = Counter()
     homes = {0: False}
     found: list[Block] = []
     current = Block(False, 0)
-    links = 0
+    link = -1  # depth of the open link, if any
+    wide = False  # it has an end, so it may hold blocks
+    gone = -1  # depth of the outermost dropped element, if any
 
     def cut() -> None:
         nonlocal current
@@ -121,51 +194,66 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Block]], dict[int, bool]]:
     def text(s: str) -> None:
         if s:
             current.parts.append(s)
-            if links:
+            if link >= 0:
                 current.linked += len(s)
 
+    def pop(size: int) -> None:
+        nonlocal link, gone
+        while len(stack) > size:
+            count[stack.pop()[0]] -= 1
+        if gone >= size:
+            gone = -1
+        if link > size:
+            link = -1
+
     at = 0
-    for m in TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        if m.group(1):  # an element whose content is no text of the page
+    for begin, end, kind, tag, attributes in scanned:
+        text(page[at:begin])
+        at = end
+        if kind == "raw":  # an element whose content is no text of the page
             cut()
-            continue
-        tag = (m.group(3) or "").lower()
-        if not tag:
-            continue
-        if m.group(2):
+        elif kind == "end":
+            ended[tag] -= 1
             if tag == "a":
-                links = max(0, links - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    cut()
-                    break
-            else:
-                if tag in BLOCK_TAGS:
-                    cut()
-            continue
-        if tag == "a":
-            links = 1  # links do not nest
-            continue
-        if tag in VOID_TAGS:
+                link = -1
+            elif count[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                pop(k)
+                cut()
+            elif tag in BLOCK_TAGS:
+                cut()
+        elif kind == "start" and tag == "a":
+            after = LINK.search(page, end)
+            link, wide = len(stack), bool(after and after.group(1))  # links do not nest
+        elif kind == "start" and tag in VOID_TAGS:
             if tag in BLOCK_TAGS:
                 cut()
-            continue
-        if tag in FOREIGN and m.group(4).endswith("/"):
-            continue
-        drop = bool(stack and stack[-1][1]) or _drops(tag, m.group(4))
-        if tag in BLOCK_TAGS or drop:
-            if tag in ("p", "li") and stack and stack[-1][0] == tag:
-                stack.pop()
-            home = stack[-1][2] if stack else 0
-            if tag in KEEP_TAGS and not drop:
-                home = len(homes)
-                homes[home] = True
-            stack.append((tag, drop, home))
-            links = 0
-            cut()
+        elif kind == "start" and not (tag in FOREIGN and attributes.endswith("/")):
+            if tag in KEEP_TAGS or tag == "h1":
+                # what was dropped and is never closed ends before an article
+                if gone >= 0 and stack[gone][3]:
+                    pop(gone)
+            inside = bool(stack) and homes[stack[-1][2]]
+            above = bool(stack and stack[-1][1])
+            drop = above or _drops(tag, attributes, inside, names)
+            if tag in BLOCK_TAGS or drop:
+                if tag in ("p", "li") and stack and stack[-1][0] == tag:
+                    pop(len(stack) - 1)
+                home = stack[-1][2] if stack else 0
+                if tag in KEEP_TAGS and not drop:
+                    home = len(homes)
+                    homes[home] = True
+                # more starts are open than ends are to come
+                never = drop and not above and count[tag] + 1 > ended[tag]
+                if drop and not above:
+                    gone = len(stack)
+                stack.append((tag, drop, home, never))
+                count[tag] += 1
+                if not wide:
+                    link = -1
+                cut()
     text(page[at:])
     cut()
     out = []
@@ -192,6 +280,7 @@ def classify(found: list[tuple[str, Block]], homes: dict[int, bool], long: int =
         elif len(whole) >= long:
             words = [w.lower() for w in LETTERS.findall(whole)]
             density[k] = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    weak: set[int] = set()
     known = any(d >= high for d in density.values())  # some block is in a language that has a list
     for k, d in density.items():
         whole, b = found[k]
@@ -201,12 +290,20 @@ def classify(found: list[tuple[str, Block]], homes: dict[int, bool], long: int =
             b.label = True if SENTENCE.search(whole) else None
         elif d < low and not homes[b.home]:
             b.label = False
+            weak.add(id(b))
     marked = any(homes.values())
     # second pass: nearest decided neighbour of the same container, by number of blocks
     by_home: dict[int, list[Block]] = {}
     for _, b in found:
         by_home.setdefault(b.home, []).append(b)
     for home, members in by_home.items():
+        # what only lacks stop words, between two blocks of text, is one of them: a table, a line of names
+        firm = [k for k, b in enumerate(members) if b.label is not None and not b.drop and id(b) not in weak]
+        for left, right in zip(firm, firm[1:]):
+            if members[left].label and members[right].label:
+                for k in range(left + 1, right):
+                    if id(members[k]) in weak:
+                        members[k].label = True
         decided = [k for k, b in enumerate(members) if b.label is not None and not b.drop]
         labels = {k: members[k].label for k in decided}
         before, last = [], None
@@ -230,9 +327,12 @@ def classify(found: list[tuple[str, Block]], homes: dict[int, bool], long: int =
 
 def main_text(page: str | None) -> str:
     """The article of one page."""
-    found, homes = blocks_of(page or "")
-    classify(found, homes)
-    kept = [(whole, b) for whole, b in found if b.label]
+    for names in (True, False):
+        found, homes = blocks_of(page or "", names)
+        classify(found, homes)
+        kept = [(whole, b) for whole, b in found if b.label]
+        if kept or all(len(whole) < 70 for whole, _ in found):
+            break
     inside = [whole for whole, b in kept if homes[b.home]]
     # where an article element holds text, text outside of it is no part of the article
     return " ".join(inside if inside else [whole for whole, _ in kept])

@@ -179,11 +179,14 @@ def urls(data, texts, rules, block_words, allow_words):
     seen = {"block": Counter(), "allow": Counter()}
     for host, path in every:
         if rule := fit(host, path):
-            seen[rule[2]].update(tokens(host, path))
+            # what the rule itself is made of teaches nothing; "x" stands for the last label
+            rest = host.removesuffix(rule[0]).rstrip(".")
+            seen[rule[2]].update(tokens(rest + ".x" if rest else "", path.removeprefix(rule[1])))
     model = {}
     for name, words in (("block", block_words), ("allow", allow_words)):
-        own = max(*(sum(c.values()) for c in seen.values()), len(block_words), len(allow_words)) / len(words)
-        model[name] = {w: seen[name][w] + own * words.count(w) for w in {*seen[name], *words}}
+        mass = max(*(sum(c.values()) for c in seen.values()), len(block_words), len(allow_words))
+        scale = mass / max(1, sum(seen[name].values()))
+        model[name] = {w: scale * seen[name][w] + mass / len(words) * words.count(w) for w in {*seen[name], *words}}
     vocabulary = {*model["block"], *model["allow"]}
     rate = {n: {w: (m.get(w, 0) + 1) / (sum(m.values()) + len(vocabulary)) for w in vocabulary} for n, m in model.items()}
     out = []
@@ -255,7 +258,14 @@ def page_text(root, stop_words, names):
         elif not known or not latin:
             b["label"] = True if re.search("[.!?。]", b["text"]) else None
         elif x < 0.05 and not homes[b["home"]]:
-            b["label"] = False
+            b["label"], b["weak"] = False, True
+    for home in homes:
+        mine = [b for b in blocks if b["home"] == home and b["label"] is not None and not b["drop"]]
+        for i, b in enumerate(mine):
+            left = next((x["label"] for x in mine[:i][::-1] if "weak" not in x), False)
+            right = next((x["label"] for x in mine[i + 1 :] if "weak" not in x), False)
+            if "weak" in b and left and right:
+                b["label"] = True
     sure = [b["label"] for b in blocks]
     for home in homes:
         mine = [k for k, b in enumerate(blocks) if b["home"] == home]
@@ -269,5 +279,7 @@ def page_text(root, stop_words, names):
                 labels = [sure[mine[j]] for j in decided if abs(i - j) == near]
                 blocks[k]["label"] = any(labels) if homes[home] else all(labels)
     kept = [b for b in blocks if b["label"]]
+    if names and not kept and any(len(b["text"]) >= 70 for b in blocks):
+        return page_text(root, stop_words, ())
     inside = [b["text"] for b in kept if homes[b["home"]]]
     return " ".join(inside or [b["text"] for b in kept])

@@ -325,6 +325,24 @@ def test_urls(spark):
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
+PLANTED = {
+    "allow": ["thequietgarden.org/en/", "therin.example.net/en/770", "citylibrary.org/en/books", "familykitchen.de/fr/recipe", "riverpark.org/es/story", "open-source-wiki.io/en/docs"],
+    "block": ["casino.org/de/bonus", "cheappills.org/buy", "freeslots.net/en/win", "bestpokerbets.org/story/1", "loanspayday.de/en/", "adulttube.org/free/sex"],
+}
+
+
+def test_planted_hosts(spark):
+    """Rules label thousands of urls, /en/ in a blocked place among them; hosts that no rule fits go by what they are about."""
+    rng = random.Random(11)
+    names = ["thera", "lubin", "example", "garn", "thorin", "meku"]
+    labelled = [f"https://{rng.choice(names)}.{rng.choice(['example.com', 'com', 'net'])}/{rng.choice(['en', 'fr', 'es', 'de'])}/{rng.choice(names)}/{k}" for k in range(3000)]
+    data = [*labelled, *(f"https://{u}" for us in PLANTED.values() for u in us)]
+    pages = spark.createDataFrame([(k, u, "<p>the story of a garden and its family kitchen</p>") for k, u in enumerate(data)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(pages).collect()}
+    planted = [(u, v) for v, us in PLANTED.items() for u in us]
+    assert [(u, *got[len(labelled) + k]) for k, (u, _) in enumerate(planted)] == [(u, None, v) for u, v in planted]
+
+
 def test_segmentation_is_cheapest():
     s = urls.Segmenter({"free": 9, "bets": 2, "bet": 3, "re": 1, "cheap": 4, "heap": 2, "at": 30, "a": 2})
     for name in ("freebets", "cheapbet", "xfreat", "zz", "qqfreeqq", "abetsheap"):

@@ -8,8 +8,9 @@ Bayes model scores the tokens.
 Both models are learned from the tables. The unigram counts are those of all words in the texts and
 pages (the most frequent are kept, at most `most_words`, a bound on the model, not on what is counted), on top
 of two short word lists that name what the classes are about. Naive Bayes counts the tokens of every
-url that a rule labels, again with the word lists, which weigh as much as all labelled urls of the
-larger class; of the tokens, again at most `most_words` are kept. A token that the model does not hold
+url that a rule labels, but for the host suffix and path prefix that the rule itself is made of, which
+say nothing about urls that it doesn't fit. Both classes are scaled to the mass of the larger one, and
+the word lists weigh as much again; of the tokens, again at most `most_words` are kept. A token that the model does not hold
 says nothing, and a url without a known token is allowed.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits no rule and is
@@ -122,10 +123,14 @@ class NaiveBayes:
         return self.prior + sum(self.weight.get(t, 0.0) for t in tokens)
 
 
-def runs_of(host: str, path: str) -> list[str]:
-    """The letter runs of a host without its last label, and of a path."""
-    labels = host.split(":")[0].split(".")
-    name = labels[:-1] if len(labels) > 1 else labels
+def runs_of(host: str, path: str, rule: str | None = None) -> list[str]:
+    """The letter runs of a host without its last label, and of a path; of a rule that fits both, its own part is left out."""
+    if rule is None:
+        labels = host.split(":")[0].split(".")
+        name = labels[:-1] if len(labels) > 1 else labels
+    else:
+        suffix, _, prefix = rule.partition("/")
+        name, path = host[: len(host) - len(suffix)].split("."), path[len(prefix) + 1 :]
     return re.findall(r"[a-z]+", " ".join(name)) + re.findall(r"[a-z]+", path.lower())
 
 
@@ -145,13 +150,13 @@ class UrlModel:
 
     @staticmethod
     def _with(counts: Mapping[str, float], words: Sequence[str], mass: float) -> dict[str, float]:
-        """Counts plus a list of words that weighs `mass` in all, the same for either class."""
-        listed = Counter(words)
-        return {w: counts.get(w, 0) + mass / len(words) * listed.get(w, 0) for w in counts.keys() | listed.keys()}
+        """Counts scaled to `mass` in all plus a list of words that weighs as much, the same for either class."""
+        listed, scale = Counter(words), mass / max(1.0, sum(counts.values()))
+        return {w: scale * counts.get(w, 0) + mass / len(words) * listed.get(w, 0) for w in counts.keys() | listed.keys()}
 
-    def tokens(self, host: str, path: str) -> list[str]:
+    def tokens(self, host: str, path: str, rule: str | None = None) -> list[str]:
         out: list[str] = []
-        for run in runs_of(host, path):
+        for run in runs_of(host, path, rule):
             if len(run) > 64:
                 out += self.segmenter.split(run)
                 continue
@@ -225,12 +230,12 @@ def token_counts(judged: DataFrame, model: UrlModel, most_words: int = 50_000) -
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts: Counter = Counter()
-            for h, p, v in zip(*(b.column(c).to_pylist() for c in ("host", "path", "rule_verdict"))):
-                counts.update((t, v) for t in shared.value.tokens(h, p))
+            for h, p, v, r in zip(*(b.column(c).to_pylist() for c in ("host", "path", "rule_verdict", "rule"))):
+                counts.update((t, v) for t in shared.value.tokens(h, p, r))
             keys = list(counts)
             yield pa.RecordBatch.from_pydict({"token": pa.array([k[0] for k in keys], pa.string()), "verdict": pa.array([k[1] for k in keys], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    rows = judged.where("rule_verdict is not null").select("host", "path", "rule_verdict").mapInArrow(cut, "token string, verdict string, n long")
+    rows = judged.where("rule_verdict is not null").select("host", "path", "rule_verdict", "rule").mapInArrow(cut, "token string, verdict string, n long")
     sums = [F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("block", "allow")]
     whole = settle(rows.groupBy("token").agg(*sums, F.sum("n").alias("n")))
     top = most_frequent(whole, "n", most_words).collect()

@@ -196,7 +196,7 @@ def urls(data, texts, rules, block_words, allow_words):
             out.append((host, path, rule[0] + rule[1], rule[2]))
             continue
         known = [t for t in tokens(host, path) if t in vocabulary]
-        odds = math.log(0.45 / 0.55) + sum(math.log(rate["block"][t] / rate["allow"][t]) for t in known)
+        odds = math.log(0.3 / 0.7) + sum(math.log(rate["block"][t] / rate["allow"][t]) for t in known)
         out.append((host, path, None, "block" if known and odds > 0 else "allow"))
     return out
 

@@ -145,7 +145,7 @@ class UrlModel:
         known = {w: n for w, n in words.items() if 1 < len(w) <= LONGEST}
         self.segmenter = Segmenter({w: known.get(w, 0) + each * lists.get(w, 0) for w in known.keys() | {w for w in lists if len(w) > 1}})
         mass = max(sum(block.values()), sum(allow.values()), len(BLOCK_WORDS), len(ALLOW_WORDS))
-        self.bayes = NaiveBayes(self._with(block, BLOCK_WORDS, mass), self._with(allow, ALLOW_WORDS, mass), prior=0.45)
+        self.bayes = NaiveBayes(self._with(block, BLOCK_WORDS, mass), self._with(allow, ALLOW_WORDS, mass), prior=0.3)
         self.cut: dict[str, list[str]] = {}
 
     @staticmethod

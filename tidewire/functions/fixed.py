@@ -151,6 +151,9 @@ NUMBERED_NAME = r"(?U)\b([A-Za-z]{2,}[-\s]?\d+(?:\.\d+)?)\b"
 QUOTED_NAME = "[\"“«']([^\"”»']{2,40})[\"”»']"
 CAPITAL_NAME = r"(?U)\b([A-Z][A-Za-z0-9]{1,}(?:\s+[A-Z][A-Za-z0-9]{1,}){0,3})\b"
 
+# fixed value: what no name begins or ends with
+NAME_EDGES = ".,;:!?()[]{}"
+
 # fixed values: texts that mark a card as unfinished: anywhere, and at its start
 LEFTOVERS = ("```", "  Tags:", "&amp;#", "&#x")
 LEFTOVER_START = "Tool:"

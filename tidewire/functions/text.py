@@ -85,9 +85,9 @@ def unique(a: Column) -> Column:
 def entities(text: Column) -> Column:
     """Organisations, people (none by rule), products and topics of a text."""
     t = F.coalesce(text, F.lit(""))
-    numbered = F.filter(F.regexp_extract_all(t, F.lit(fixed.NUMBERED_NAME), 1), lambda x: x.rlike(r"\d"))
-    quoted = F.transform(F.regexp_extract_all(t, F.lit(fixed.QUOTED_NAME), 1), lambda x: F.trim(x))
-    runs = F.regexp_extract_all(t, F.lit(fixed.CAPITAL_NAME), 1)
+    found = lambda pattern: F.transform(F.regexp_extract_all(t, F.lit(pattern), 1), lambda x: F.btrim(strip(x), F.lit(fixed.NAME_EDGES)))
+    numbered = F.filter(found(fixed.NUMBERED_NAME), lambda x: x.rlike(r"\d"))
+    quoted, runs = found(fixed.QUOTED_NAME), found(fixed.CAPITAL_NAME)
     stops = F.array(*[F.lit(w) for w in fixed.CAPITAL_STOPS])
     orgs = F.filter(runs, lambda x: ~x.rlike(r"\d") & ~F.array_contains(stops, F.lower(F.split(x, r"\s+")[0])))
     words = F.regexp_extract_all(F.lower(t), F.lit("[a-zа-яё]{4,}"), 0)

@@ -15,7 +15,8 @@ from tidewire.plans import views as V
 from tidewire.plans.digest import digest, events_of
 from tidewire.runtime import settle, shared_dir, table
 from tidewire.sources import feeds, sinks
-from tidewire.streaming import streams
+from tidewire.sources.state_table import StateTable
+from tidewire.streaming import stories, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -307,7 +308,27 @@ def keep_answers(spark, d):
     return rows.select("v", F.array_join(T.keep_indices(F.col("answer"), F.lit(3)), ",").alias("keep"))
 
 
-@query()
+def entity_ctes(source: str, key: str, text: str) -> str:
+    """entity_lists(key, organizations, products, topics) of a text, in SQL.
+
+    RE2 has no word edge that knows all letters, so words stand between two marks first.
+    """
+    word, begin, end = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+", r"\x01", r"\x02"
+    caps = rf"{begin}([A-Z][A-Za-z0-9]+(?:{end}\s+{begin}[A-Z][A-Za-z0-9]+){{0,3}}){end}"
+    numbered = rf"{begin}([A-Za-z]{{2,}}(?:{end}[-\s]{begin})?\p{{Nd}}+(?:{end}\.{begin}\p{{Nd}}+)?){end}"
+    quoted = fixed.QUOTED_NAME.replace("'", "''")
+    clean = lambda x: rf"trim(regexp_replace(translate({x}, chr(1) || chr(2), ''), '^\s+|\s+$', '', 'g'), '{fixed.NAME_EDGES}')"
+    names = lambda c, p: f"list_transform(regexp_extract_all({c}, '{p}', 1), lambda x: {clean('x')})"
+    once = lambda a: f"list_filter({a}, lambda x, i: trim(x) <> '' AND list_position(list_transform({a}, lambda y: lower(trim(y))), lower(trim(x))) = i)"
+    stops, low = list_sql(fixed.CAPITAL_STOPS + fixed.SIGNATURE_STOPS), list_sql(fixed.CAPITAL_STOPS)
+    return rf"""entity_words AS (SELECT {key} AS key, coalesce({text}, '') AS t, regexp_replace(coalesce({text}, ''), '({word})', chr(1) || '\1' || chr(2), 'g') AS w FROM {source}),
+  entity_names AS (SELECT key, list_filter({names('w', caps)}, lambda x: NOT regexp_matches(x, '[0-9]') AND NOT list_contains({low}, lower(regexp_split_to_array(x, '\s+')[1]))) AS o,
+    list_filter({names('w', numbered)}, lambda x: regexp_matches(x, '[0-9]')) || {names('t', quoted)} AS p, regexp_extract_all(lower(t), '[a-zа-яё]{{4,}}') AS ts FROM entity_words),
+  entity_lists AS (SELECT key, {once('o')} AS organizations, {once('p')} AS products,
+    list_slice(list_filter(ts, lambda x, i: list_position(ts, x) = i AND NOT list_contains({stops}, x)), 1, 15) AS topics FROM entity_names)"""
+
+
+@query(f"WITH {V.ARTICLES}, {entity_ctes('articles', 'seq', 'snippet')} SELECT key AS seq, array_to_string(organizations, '|') AS organizations, array_to_string(products, '|') AS products, array_to_string(topics, '|') AS topics FROM entity_lists")
 def entities(spark, d):
     return V.articles(spark, d).select("seq", T.entities(F.col("snippet")).alias("e")).select("seq", F.array_join("e.organizations", "|").alias("organizations"), F.array_join("e.products", "|").alias("products"), F.array_join("e.topics", "|").alias("topics"))
 
@@ -511,30 +532,117 @@ def history_fuzzy_antijoin(spark, d):
     return history.new_only(V.articles(spark, d), _week(spark, d), "seq", "title", "item_id", "title").select("seq")
 
 
+_KINDS = {"organizations": 0.40, "products": 0.35, "topics": 0.10}  # no rule finds people
+_SET = "list_distinct(list_filter(list_transform({}, lambda v: lower(trim(v))), lambda v: v <> ''))"
+_ALIKE = "CASE WHEN len(list_intersect(x.{0}, y.{0})) > 0 THEN len(list_intersect(x.{0}, y.{0})) / (len(x.{0}) + len(y.{0}) - len(list_intersect(x.{0}, y.{0}))) * {1}::DOUBLE ELSE 0.0::DOUBLE END"
+_STORIES = f"""WITH {V.ARTICLES}, {entity_ctes('articles', 'seq', 'title')},
+  sets AS (SELECT key, {', '.join(f"{_SET.format(k)} AS {k}" for k in _KINDS)} FROM entity_lists),
+  events AS (SELECT * FROM sets WHERE key % 4 <> 0), stories AS (SELECT seq AS story_id, published_at FROM articles WHERE seq % 4 = 0),
+  scored AS (SELECT x.key AS event_id, y.key AS story_id, published_at, {' + '.join(_ALIKE.format(k, w) for k, w in _KINDS.items())} AS overlap
+    FROM events x, sets y JOIN stories ON y.key = story_id WHERE published_at >= TIMESTAMP '{V.AS_OF}' - INTERVAL 14 DAYS),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY overlap DESC, story_id) AS r FROM scored WHERE overlap >= 0.1::DOUBLE) WHERE r = 1)"""
+
+
 def _stories(spark, d):
     a = V.articles(spark, d)
     both = a.select(F.col("seq").alias("event_id"), F.col("title").alias("canonical_title"), T.entities(F.col("title")).alias("entities"), "published_at")
-    stories = both.where("event_id % 4 = 0").select(F.col("event_id").alias("story_id"), "canonical_title", "entities", F.col("published_at").alias("last_seen_at"), F.lit(1).cast("long").alias("card_count"))
+    stories = both.where("event_id % 4 = 0").select(
+        F.col("event_id").alias("story_id"), "canonical_title", "entities", F.expr("published_at - INTERVAL 2 DAYS").alias("first_seen_at"), F.col("published_at").alias("last_seen_at"),
+        F.lit(1).cast("long").alias("card_count"), F.array((F.col("event_id") % 50).cast("long")).alias("digest_ids"))
     return both.where("event_id % 4 <> 0"), stories  # each article is one of the two
 
 
-@query()
+@query(f"{_STORIES} SELECT event_id, story_id, {K4.format('overlap')} AS overlap_k FROM best")
 def best_story_match(spark, d):
     events, stories = _stories(spark, d)
     return history.best_story(events, stories, 0.1, V.AS_OF).select("event_id", "story_id", k4(F.col("overlap")).alias("overlap_k"))
 
 
-@query()
+@query(f"{_STORIES} SELECT seq AS event_id FROM articles WHERE seq % 4 <> 0 AND seq NOT IN (SELECT event_id FROM best WHERE published_at >= TIMESTAMP '{V.AS_OF}' - INTERVAL 10 DAYS)")
 def recent_story_filter(spark, d):
     events, stories = _stories(spark, d)
     return history.not_recent(events, history.best_story(events, stories, 0.1, V.AS_OF), V.AS_OF, 10).select("event_id")
 
 
-@query()
+@query(f"""{_STORIES}, again AS (SELECT story_id, count(*) AS n FROM best GROUP BY story_id)
+  SELECT story_id, published_at - INTERVAL 2 DAYS AS first_seen_at, CASE WHEN n > 0 THEN TIMESTAMP '{V.AS_OF}' ELSE published_at END AS last_seen_at, 1 + coalesce(n, 0) AS card_count,
+    CASE WHEN n > 0 AND story_id % 50 <> 31 THEN concat(story_id % 50, ',31') ELSE CAST(story_id % 50 AS VARCHAR) END AS digest_ids FROM stories LEFT JOIN again USING (story_id)
+  UNION ALL SELECT {1 << 40} + seq, TIMESTAMP '{V.AS_OF}', TIMESTAMP '{V.AS_OF}', 1, '31' FROM articles WHERE seq % 4 <> 0 AND seq NOT IN (SELECT event_id FROM best)""")
 def stories_after_digest(spark, d):
     events, stories = _stories(spark, d)
     matched = settle(history.best_story(events, stories, 0.1, V.AS_OF))
-    return history.upsert_stories(stories, events, matched, V.AS_OF).select("story_id", "last_seen_at", "card_count")
+    after = history.upsert_stories(stories, events, matched, V.AS_OF, 31)
+    return after.select("story_id", "first_seen_at", "last_seen_at", "card_count", F.array_join("digest_ids", ",").alias("digest_ids"))
+
+
+_DIGESTS = 3  # ten days of articles each
+
+
+def _book_sql() -> str:
+    """The stories after each digest, one step for each."""
+    sets, titles = ", ".join(f"{_SET.format(k)} AS {k}" for k in _KINDS), "organizations, products, topics"
+    steps = [f"""WITH {V.ARTICLES}, {entity_ctes('articles', 'seq', 'title')}, sets AS MATERIALIZED (SELECT key, {sets} FROM entity_lists),
+  st0 AS (SELECT CAST(0 AS BIGINT) AS story_id, {titles}, TIMESTAMP '2024-01-01' AS first_seen_at, TIMESTAMP '2024-01-01' AS last_seen_at, CAST(0 AS BIGINT) AS card_count, '' AS digest_ids FROM sets WHERE false)"""]
+    for k in range(1, _DIGESTS + 1):
+        at = f"TIMESTAMP '2024-01-01 00:00:00' + INTERVAL {10 * k} DAYS"
+        alike = " + ".join(_ALIKE.format(kind, w) for kind, w in _KINDS.items())
+        steps.append(f"""
+  ev{k} AS (SELECT sets.* FROM sets JOIN articles ON key = seq WHERE day(published_at) > {10 * k - 10} AND day(published_at) <= {10 * k}),
+  sc{k} AS (SELECT x.key AS event_id, y.story_id, {alike} AS overlap FROM ev{k} x, st{k - 1} y WHERE y.last_seen_at >= {at} - INTERVAL 14 DAYS),
+  be{k} AS MATERIALIZED (SELECT event_id, story_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY overlap DESC, story_id) AS r FROM sc{k} WHERE overlap >= 0.3::DOUBLE) WHERE r = 1),
+  n{k} AS (SELECT story_id, count(*) AS n FROM be{k} GROUP BY story_id),
+  st{k} AS MATERIALIZED (SELECT story_id, {titles}, first_seen_at, CASE WHEN n > 0 THEN {at} ELSE last_seen_at END AS last_seen_at, card_count + coalesce(n, 0) AS card_count,
+      CASE WHEN n > 0 THEN digest_ids || ',{k}' ELSE digest_ids END AS digest_ids FROM st{k - 1} LEFT JOIN n{k} USING (story_id)
+    UNION ALL SELECT {1 << 40} + key, {titles}, {at}, {at}, 1, '{k}' FROM ev{k} WHERE key NOT IN (SELECT event_id FROM be{k}))""")
+    return ",".join(steps) + f" SELECT story_id, first_seen_at, last_seen_at, CAST(card_count AS BIGINT) AS card_count, digest_ids FROM st{_DIGESTS}"
+
+
+@query(_book_sql())
+def story_book(spark, d):
+    a = V.articles(spark, d).withColumn("digest_id", F.ceil(F.dayofmonth("published_at") / 10).cast("long")).where(F.col("digest_id") <= _DIGESTS)
+    at = F.timestamp_add("DAY", (10 * F.col("digest_id")).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    cards = a.select("digest_id", at.alias("digest_at"), F.col("seq").alias("event_id"), F.col("title").alias("canonical_title"), T.entities(F.col("title")).alias("entities"))
+    folder = f"{shared_dir(spark)}/stories-{uuid.uuid4().hex}"
+    for k in range(1, _DIGESTS + 1):  # a file for each digest, so that each is a micro-batch
+        cards.where(F.col("digest_id") == k).coalesce(1).write.mode("append").parquet(f"{folder}/cards")
+    book = stories.StoryBook(spark, f"{folder}/book", least=0.3)
+    stream = spark.readStream.schema(cards.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/cards")
+    streams.finish(streams.deliver(stream, book.take, f"{folder}/checkpoint"))
+    return book.stories().select("story_id", "first_seen_at", "last_seen_at", "card_count", F.array_join("digest_ids", ",").alias("digest_ids"))
+
+
+@query(f"""WITH {V.ARTICLES}, c AS (SELECT seq % 70 AS story_id, day(published_at) AS digest_id, published_at AS seen_at, title FROM articles),
+  g AS (SELECT *, CASE WHEN seen_at > lag(seen_at) OVER w + INTERVAL 3 DAYS THEN 1 ELSE 0 END AS gap FROM c WINDOW w AS (PARTITION BY story_id ORDER BY seen_at, digest_id, title)),
+  r AS (SELECT *, sum(gap) OVER (PARTITION BY story_id ORDER BY seen_at, digest_id, title) AS run FROM g),
+  newest AS (SELECT * FROM r JOIN (SELECT story_id, max(run) AS run FROM r GROUP BY story_id) USING (story_id, run)),
+  ids AS (SELECT story_id, string_agg(CAST(digest_id AS VARCHAR), ',' ORDER BY last) AS digest_ids FROM (SELECT story_id, digest_id, max(seen_at) AS last FROM newest GROUP BY ALL) GROUP BY story_id)
+  SELECT story_id, arg_min(title, (seen_at, digest_id, title)) AS canonical_title, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at, count(*) AS card_count, any_value(digest_ids) AS digest_ids
+  FROM newest JOIN ids USING (story_id) GROUP BY story_id""")
+def story_state(spark, d):
+    cards = V.articles(spark, d).select((F.col("seq") % 70).alias("story_id"), F.dayofmonth("published_at").cast("long").alias("digest_id"), F.col("published_at").cast("timestamp").alias("seen_at"), "title")
+    folder = f"{shared_dir(spark)}/story-state-{uuid.uuid4().hex}"
+    for k in range(4):  # batches in order of time, as digests come
+        cards.where(F.floor(F.dayofmonth("seen_at") / 8) == k).coalesce(1).write.mode("append").parquet(f"{folder}/cards")
+    stories.use_rocksdb(spark)
+    stream = spark.readStream.schema(cards.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/cards")
+    every = streams.run_once(stories.track(stream, days=3), f"story_state_{uuid.uuid4().hex}", "update", f"{folder}/checkpoint")
+    # card counts only grow while a story runs, and times from run to run
+    last = every.groupBy("story_id").agg(F.max_by(F.struct("canonical_title", "first_seen_at", "last_seen_at", "card_count", "digest_ids"), F.struct("last_seen_at", "card_count")).alias("s")).select("story_id", "s.*")
+    ntz = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen_at", "last_seen_at")]
+    return last.select("story_id", "canonical_title", *ntz, "card_count", F.array_join("digest_ids", ",").alias("digest_ids"))
+
+
+@query("""SELECT client_id, seq, op, valid_at, source, segment, city, balance FROM (
+  SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY seq DESC, valid_at DESC, change_id DESC) AS r FROM client_changes) WHERE r = 1 AND op <> 'D'""")
+def client_state(spark, d):
+    changes = table(spark, d, "client_changes")
+    folder = f"{shared_dir(spark)}/clients-{uuid.uuid4().hex}"
+    # batches that know nothing of the order of changes
+    changes.repartition(5, "change_id").write.parquet(f"{folder}/changes")
+    state = StateTable(spark, f"{folder}/table", ["client_id"], ["seq", "valid_at", "change_id"], buckets=8, deleted="op = 'D'", compact_after=3)
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/changes")
+    streams.finish(streams.deliver(stream, state.sink(), f"{folder}/checkpoint"))
+    return state.read().select("client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance")
 
 
 # ---- ranking ----------------------------------------------------------------------------------

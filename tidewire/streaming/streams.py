@@ -55,3 +55,10 @@ def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFr
 def deliver(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Hand every micro-batch to a delivery channel or a state upsert."""
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def finish(query) -> None:
+    """Wait for a query that ends by itself; its error is raised."""
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()

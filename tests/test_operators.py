@@ -207,27 +207,30 @@ def test_issue(spark):
     assert text(compose.agent_card(F.col("t"), F.col("s"), F.lit(""), F.col("a"), F.lit(""))) == "<b>T &amp; x</b>\nFirst. Second.\n<i>Зона влияния:</i> area"
 
 
-class Numbers(providers.Provider):
-    provider_id = "numbers"
-
-    def fetch(self, config, limit=20):
-        for k in range(config["n"]):
+class Numbers(providers.ArticleFormat):
+    @classmethod
+    def name(cls):
+        return "numbers"
+
+    def articles(self, config):
+        k = 0
+        while config.get("n", k) > k or config.get("endless"):
             yield ("c", f"t{k}", f"u{k}", "", "numbers", None, "source", None)
+            k += 1
 
-    def validate_config(self, config):
-        return [] if isinstance(config.get("n"), int) else ["n is required"]
-
-
-PROVIDERS = [Numbers()]
+    def faults(self, config):
+        if not isinstance(config.get("n"), int):
+            yield "n is required"
 
 
-def test_providers(spark):
+def test_article_formats(spark):
     import pytest
 
-    assert providers.load_plugins([__name__, "no_such_module", "pkg._hidden"], spark) == [__name__]
-    assert providers.get_provider("numbers") is PROVIDERS[0] and "numbers" in providers.all_providers() and providers.get_provider("x") is None
-    got = spark.read.format("numbers").option("configs", '[{"n": 3}, {"n": 9}]').option("limit", "5").load()
-    assert got.count() == 8 and got.where("title = 't4'").count() == 1
+    said = providers.use_modules(spark, [__name__, "no_such_module"])
+    assert said[__name__] == "" and "ModuleNotFoundError" in said["no_such_module"]
+    assert providers.formats(spark) == {"numbers": Numbers}
+    got = spark.read.format("numbers").option("configs", '[{"n": 3}, {"n": 9}, {"n": 1, "endless": true}]').option("limit", "5").load()
+    assert got.count() == 13 and got.where("title = 't4'").count() == 2 and got.rdd.getNumPartitions() == 3
     with pytest.raises(Exception, match="n is required"):
         spark.read.format("numbers").option("configs", '[{"n": "x"}]').load().count()
 

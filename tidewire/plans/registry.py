@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import fixed
 from tidewire.functions import text as T
-from tidewire.operators import cluster, compose, dedup, discover, feedback, filters, history, model, rank
+from tidewire.operators import cluster, compose, dedup, discover, feedback, filters, history, model, patterns, rank
 from tidewire.plans import views as V
 from tidewire.plans.digest import digest, events_of
 from tidewire.runtime import settle, shared_dir, table
@@ -335,6 +335,28 @@ def entities(spark, d):
 
 # ---- filters ----------------------------------------------------------------------------------
 
+_TOKENS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+'))"
+_ASKED = """asked AS (SELECT item_id AS pattern_id, ws[1] AS a, substr(ws[2], 1, 4) AS b FROM (
+  SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+') AS ws FROM benchmark) WHERE length(ws[1]) >= 2 AND ws[2] <> '')"""
+
+
+def _asked(spark, d):
+    """A pattern of each benchmark text: its first word and the beginning of its second one."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), 0)
+    some = table(spark, d, "benchmark").select(F.col("item_id").alias("pattern_id"), F.get(words, F.lit(0)).alias("a"), F.substring(F.get(words, F.lit(1)), 1, 4).alias("b")).where("b <> ''")
+    return some.select("pattern_id", F.concat("a", F.lit(" "), "b", F.lit("*")).alias("pattern"))
+
+
+@query(f"WITH {_ASKED}, t AS (SELECT doc_id, {_TOKENS.format('text')} AS ts FROM documents) SELECT doc_id, pattern_id FROM t, asked WHERE list_contains(ts, a) AND len(list_filter(ts, lambda x: starts_with(x, b))) > 0")
+def topic_matches(spark, d):
+    return patterns.matches(table(spark, d, "documents"), "doc_id", F.col("text"), _asked(spark, d))
+
+
+@query(f"WITH {V.ARTICLES}, {_ASKED}, t AS (SELECT seq, {_TOKENS.format("title || ' ' || snippet")} AS ts FROM articles) SELECT seq FROM t WHERE NOT EXISTS (SELECT 1 FROM asked WHERE list_contains(ts, a) AND len(list_filter(ts, lambda x: starts_with(x, b))) > 0)")
+def topic_filter(spark, d):
+    return patterns.without_matches(V.articles(spark, d), "seq", F.concat_ws(" ", "title", "snippet"), _asked(spark, d)).select("seq")
+
+
 @query(rf"WITH {V.ARTICLES} SELECT seq FROM articles WHERE NOT (regexp_matches(lower(title || ' ' || snippet), '(^|[^\p{{L}}\p{{N}}_])the($|[^\p{{L}}\p{{N}}_])') AND regexp_matches(lower(title || ' ' || snippet), '(^|[^\p{{L}}\p{{N}}_])thor')) AND NOT regexp_matches(lower(title || ' ' || snippet), '(^|[^\p{{L}}\p{{N}}_])und($|[^\p{{L}}\p{{N}}_])')")
 def blacklist_filter(spark, d):
     return filters.drop_blacklisted(V.articles(spark, d), F.concat_ws(" ", "title", "snippet"), ["the thor*", "UND"]).select("seq")

@@ -70,10 +70,10 @@ def signature(title: Column, snippet: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct runs of three characters of the normalised text; the text itself if shorter."""
+    """Distinct runs of three characters of the normalised text; the text itself if shorter, none if empty."""
     t = normalize_title(text)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3)))
-    return F.when(F.length(t) < 3, F.array(t)).otherwise(F.array_distinct(grams))
+    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) < 3, F.array(t)).otherwise(F.array_distinct(grams))
 
 
 def unique(a: Column) -> Column:

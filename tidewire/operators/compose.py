@@ -116,7 +116,7 @@ def issue(cards: DataFrame, day: Column, name: str = fixed.ISSUE_NAME, radar: Da
     Cards that fail the quality gate are left out; the first part holds the best cards of all sections.
     """
     good = cards.where(filters.quality_card(F.col("title"), F.col("summary")))
-    picked = rank.headline(good, 5)
+    picked = rank.headline(good, 5, item_score(good))
     picked = picked.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("headline_score"), F.array_position(F.array(*[F.lit(s) for s in fixed.SECTION_ORDER]), F.col("section")), "rank")))
     top = bullet_block(picked, fixed.HEADLINE_HEAD).select(F.col("block").alias("headline"))
     head = F.concat(F.lit(f"{fixed.ISSUE_SIGN} <b>"), F.upper(T.escape_html(F.lit(name))), F.lit("</b>\n"), T.ru_date(day))

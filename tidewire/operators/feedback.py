@@ -24,13 +24,14 @@ def _counts(rating: Column) -> list[Column]:
 
 
 def source_stats(feedback: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """Counts, total and clamped score of every source; unknown ratings only create the row."""
+    """Counts, total and clamped score (to four places) of every source; unknown ratings only create the row."""
     name = F.trim(F.coalesce("source", F.lit("")))
     rows = since(feedback, as_of, days).withColumn("source", F.when(name == "", "unknown").otherwise(name))
     out = rows.groupBy("source").agg(*_counts(normal_rating(F.col("rating"))))
     total = F.col("up") + F.col("down") + F.col("blocked") + F.col("saved")
     raw = (F.col("up") + F.col("saved") - F.col("down") - 2 * F.col("blocked")) / F.col("total")
-    return out.withColumn("total", total).withColumn("score", F.when(F.col("total") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))).otherwise(0.0))
+    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
+    return out.withColumn("total", total).withColumn("score", F.when(F.col("total") > 0, F.rint(score * 10000) / 10000).otherwise(0.0))
 
 
 def source_ratings(feedback: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -62,10 +63,30 @@ def boosts(stats: DataFrame, least: int = 10) -> DataFrame:
 
 
 def suggestions(ratings: DataFrame) -> DataFrame:
-    """Sources to boost and by how much, and sources to remove."""
+    """Sources to boost and by how much (to three places), and sources to remove, each with its reason."""
     s = F.col("score")
-    up = ratings.where((F.col("total") >= 5) & (s > 0.5)).select("source", F.lit("boost").alias("action"), F.least(F.lit(0.5), F.lit(0.2) + F.lit(0.1) * (s - 0.5) * 2).alias("by"))
-    return up.unionByName(ratings.where("blocked >= 3").select("source", F.lit("remove").alias("action"), F.lit(0.0).alias("by")))
+    by = F.least(F.lit(0.5), F.lit(0.2) + F.lit(0.1) * (s - 0.5) * 2)
+    two = lambda c: F.format_string("%.2f", F.bround(c, 2))
+    why = F.concat("source", F.lit(": "), "up", F.lit(" 👍 / "), "down", F.lit(" 👎, score="), two(s), F.lit(" → boost +"), two(by))
+    up = ratings.where((F.col("total") >= 5) & (s > 0.5)).select("source", F.lit("boost").alias("action"), (F.rint(by * 1000) / 1000).alias("by"), why.alias("reason"))
+    gone = F.concat("source", F.lit(": "), "blocked", F.lit(" 🔕 — candidate for removal"))
+    return up.unionByName(ratings.where("blocked >= 3").select("source", F.lit("remove").alias("action"), F.lit(0.0).alias("by"), gone.alias("reason")))
+
+
+def window_stats(runs: DataFrame, feedback: DataFrame, digests: DataFrame, as_of: str, days: int = 7, k: int = 5) -> DataFrame:
+    """One row for the last days: digests, their items, mean seconds of runs (zeros left out), reactions and the k most liked sources.
+
+    digests: created_at and item_count. Likes count as "source:likes", the most first, then the one liked first.
+    """
+    recent = lambda rows, at: rows.where(F.col(at) >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"))
+    some = recent(digests, "created_at").agg(F.count(F.lit(1)).alias("digest_count"), F.coalesce(F.sum("item_count"), F.lit(0)).cast("long").alias("total_items"))
+    long = recent(runs, "started_at").agg(F.coalesce(F.avg(F.when(F.col("duration_sec") != 0, F.col("duration_sec"))), F.lit(0.0)).alias("mean_sec"))
+    ratings = recent(feedback, "created_at").select("id", F.trim(F.coalesce("rating", F.lit(""))).alias("r"), F.coalesce("source", F.lit("")).alias("source"))
+    total = ratings.where("r <> ''").agg(F.count(F.lit(1)).alias("total_reactions"))
+    liked = ratings.where(F.col("r").isin("like", "👍") & (F.col("source") != "")).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    top = liked.orderBy(F.desc("n"), "first").limit(k)
+    top = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "source"))), lambda x: F.concat(x["source"], F.lit(":"), -x["m"])), ",").alias("top_sources"))
+    return some.join(long).join(total).join(top)  # four single rows
 
 
 def negative_keywords(feedback: DataFrame, as_of: str, days: int = 30, k: int = 5, least: int = 2) -> DataFrame:

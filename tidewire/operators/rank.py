@@ -129,12 +129,21 @@ def chosen_events(events: DataFrame, k: int = 5, part: str = "category", score:
     return events.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def headline(cards: DataFrame, count: int = 5) -> DataFrame:
-    """The best cards over all sections: at most three of world and two of each other section."""
+def headline(cards: DataFrame, count: int = 5, worth: Column | None = None) -> DataFrame:
+    """The best cards over all sections: at most three of world and two of each other section, and two in all if there are two.
+
+    Cards without a positive final_score go by `worth`, or by nothing. Where fewer than two are asked for, the
+    first cards of the first sections fill up.
+    """
     world = F.col("section") == "world"
-    score = F.when(world, F.col("importance") + 0.1).otherwise(F.col("relevance") * 0.7 + F.col("importance") * 0.3)
+    ranked = F.when(world, F.col("importance") + 0.1).otherwise(F.col("relevance") * 0.7 + F.col("importance") * 0.3)
+    score = F.when(F.col("final_score") > 0, ranked).otherwise((F.lit(0.0) if worth is None else worth).cast("double"))
     place = _by_section(F.col("section"), {s: F.lit(k) for k, s in enumerate(fixed.SECTION_ORDER)}, F.lit(99))
     rows = cards.withColumn("headline_score", score).withColumn("_place", place).where("_place < 99")
     w = Window.partitionBy("section").orderBy(F.desc("headline_score"), "rank")
     capped = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.when(world, 3).otherwise(2))
-    return capped.orderBy(F.desc("headline_score"), "_place", "rank").limit(count).drop("_r", "_place")
+    best = capped.orderBy(F.desc("headline_score"), "_place", "rank").limit(count).drop("_r")
+    if count < 2:
+        others = rows.join(best.select("section", "rank"), ["section", "rank"], "left_anti")
+        best = best.unionByName(others.orderBy("_place", "rank").limit(2 - count).select(best.columns))
+    return best.drop("_place")

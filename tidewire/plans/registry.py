@@ -48,7 +48,7 @@ _WIN = "created_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL {} DAYS"
 _CNT = "count(*) FILTER (r = 'up') AS up, count(*) FILTER (r = 'down') AS down, count(*) FILTER (r = 'blocked') AS blocked, count(*) FILTER (r = 'saved') AS saved"
 _STATS = f"""WITH {V.FEEDBACK}, c AS (SELECT source, {_CNT} FROM (SELECT trim(source) AS source, {_NORM} AS r FROM feedback WHERE {_WIN.format(30)}) GROUP BY source),
   t AS (SELECT *, up + down + blocked + saved AS total FROM c),
-  stats AS (SELECT *, CASE WHEN total > 0 THEN greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (up + saved - down - 2 * blocked) / total)) ELSE 0.0 END AS score FROM t)"""
+  stats AS (SELECT *, CASE WHEN total > 0 THEN round_even(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (up + saved - down - 2 * blocked) / total)) * 10000, 0) / 10000 ELSE 0.0 END AS score FROM t)"""
 _RATINGS = f"""WITH {V.FEEDBACK}, c AS (SELECT source, {_CNT} FROM (SELECT trim(source) AS source, {_NORM} AS r FROM feedback WHERE {_WIN.format(30)})
     WHERE r IN ('up', 'down', 'blocked', 'saved') GROUP BY source),
   ratings AS (SELECT *, up + down + blocked + saved AS total, (up - down - 2 * blocked) / greatest(up + down + blocked + saved, 1) AS score FROM c)"""
@@ -101,10 +101,27 @@ def source_boosts(spark, d):
     return feedback.boosts(_stats(spark, d)).select("source", "total", k4(F.col("score")).alias("score_k"), "boost")
 
 
-@query(f"""{_RATINGS} SELECT source, 'boost' AS action, {K4.format('least(0.5::DOUBLE, 0.2::DOUBLE + 0.1::DOUBLE * (score - 0.5::DOUBLE) * 2)')} AS by_k FROM ratings WHERE total >= 5 AND score > 0.5
-  UNION ALL SELECT source, 'remove', 0 FROM ratings WHERE blocked >= 3""")
+@query(f"""{_RATINGS}, b AS (SELECT *, least(0.5::DOUBLE, 0.2::DOUBLE + 0.1::DOUBLE * (score - 0.5::DOUBLE) * 2) AS boost FROM ratings)
+  SELECT source, 'boost' AS action, CAST(round_even(boost * 1000, 0) AS BIGINT) AS by_k,
+    concat(source, ': ', up, ' 👍 / ', down, ' 👎, score=', printf('%.2f', round_even(score * 100, 0) / 100), ' → boost +', printf('%.2f', round_even(boost * 100, 0) / 100)) AS reason FROM b WHERE total >= 5 AND score > 0.5
+  UNION ALL SELECT source, 'remove', 0, concat(source, ': ', blocked, ' 🔕 — candidate for removal') FROM ratings WHERE blocked >= 3""")
 def boost_suggestions(spark, d):
-    return feedback.suggestions(_ratings(spark, d)).select("source", "action", k4(F.col("by")).alias("by_k"))
+    return feedback.suggestions(_ratings(spark, d)).select("source", "action", F.rint(F.col("by") * 1000).cast("long").alias("by_k"), "reason")
+
+
+@query(f"""WITH {V.RUNS}, {V.FEEDBACK}, f AS (SELECT id, source, CASE rating WHEN 'save' THEN 'like' WHEN 'up' THEN '👍' ELSE rating END AS r FROM feedback WHERE {_WIN.format(10)}),
+  g AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT * FROM g WHERE day >= DATE '2024-01-31' - 3650),
+  liked AS (SELECT source, count(*) AS n, min(id) AS first FROM f WHERE r IN ('like', '👍') GROUP BY source ORDER BY n DESC, first LIMIT 5)
+  SELECT (SELECT count(*) FROM e) AS digest_count, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM e) AS total_items,
+    (SELECT CAST(floor(coalesce(avg(duration_sec) FILTER (duration_sec <> 0), 0) * 10 + 0.5) AS BIGINT) FROM runs WHERE started_at >= TIMESTAMP '2024-01-31' - INTERVAL 3650 DAYS) AS tenth_sec,
+    (SELECT count(*) FROM f WHERE trim(r) <> '') AS total_reactions, (SELECT coalesce(string_agg(concat(source, ':', n), ',' ORDER BY n DESC, first), '') FROM liked) AS top_sources""")
+def window_stats(spark, d):
+    rating = F.when(F.col("rating") == "save", "like").when(F.col("rating") == "up", "👍").otherwise(F.col("rating"))
+    digests = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").cast("timestamp_ntz").alias("created_at")).agg(F.count(F.lit(1)).alias("item_count"))
+    # orders are years older than events, so the two have windows of their own
+    old = feedback.window_stats(V.runs(spark, d), V.feedback(spark, d).withColumn("rating", rating), digests, V.AS_OF, 3650)
+    new = feedback.window_stats(V.runs(spark, d), V.feedback(spark, d).withColumn("rating", rating), digests, V.AS_OF, 10)
+    return old.select("digest_count", "total_items", F.floor(F.col("mean_sec") * 10 + 0.5).cast("long").alias("tenth_sec")).join(new.select("total_reactions", "top_sources"))
 
 
 @query(f"""WITH {V.FEEDBACK}, b AS (SELECT id, lower(concat_ws(' ', article_url, source)) AS t FROM feedback WHERE {_WIN.format(30)} AND lower(rating) IN ('down', 'mute', 'blocked')),
@@ -532,9 +549,20 @@ def grams_sql(c: str) -> str:
     return f"CASE WHEN length({n}) < 3 THEN [{n}] ELSE list_distinct(list_transform(range(1, length({n}) - 1), lambda i: substr({n}, i, 3))) END"
 
 
-_SIM = f"""ga AS (SELECT seq, {grams_sql('title')} AS g FROM articles), gp AS (SELECT item_id, {grams_sql('title')} AS g FROM past),
+def sig_sql(c: str) -> str:
+    """The signature of a title alone."""
+    words = f"list_filter(string_split({norm_sql(c)}, ' '), lambda w: length(w) >= 3 AND NOT list_contains({list_sql(fixed.SIGNATURE_STOPS)}, w))"
+    return f"array_to_string(list_filter({words}, lambda w, i: list_position({words}, w) = i), ' ')"
+
+
+def _sim(past: str) -> str:
+    """Pairs of an article's signature and of a past title, or its signature, in SQL."""
+    return f"""sa AS (SELECT seq, {sig_sql('title')} AS sig FROM articles), sp AS (SELECT item_id, {past} AS sig FROM past),
+  ga AS (SELECT seq, {grams_sql('sig')} AS g FROM sa WHERE {norm_sql('sig')} <> ''), gp AS (SELECT item_id, {grams_sql('sig')} AS g FROM sp WHERE {norm_sql('sig')} <> ''),
   ta AS (SELECT seq, len(g) AS n, unnest(g) AS t FROM ga), tp AS (SELECT item_id, len(g) AS m, unnest(g) AS t FROM gp),
   sim AS (SELECT * FROM (SELECT seq, item_id, count(*) AS shared, n, m FROM ta JOIN tp ON ta.t = tp.t GROUP BY seq, item_id, n, m) WHERE shared >= 0.7::DOUBLE * (n + m - shared))"""
+
+
 _WEEK = "digest_date >= DATE '2024-01-31' - 7 AND digest_date <= DATE '2024-01-31'"
 
 
@@ -542,16 +570,23 @@ def _week(spark, d):
     return history.within(V.past_titles(spark, d), "digest_date", V.AS_OF, 7)
 
 
-@query(f"WITH {V.ARTICLES}, every_{V.PAST}, past AS (SELECT * FROM every_past WHERE {_WEEK}), {_SIM} SELECT seq, s.item_id, digest_date, shared FROM sim s JOIN past p ON s.item_id = p.item_id")
+def _signed(spark, d):
+    return V.articles(spark, d).select("seq", T.signature(F.col("title"), F.lit("")).alias("sig"))
+
+
+@query(f"WITH {V.ARTICLES}, every_{V.PAST}, past AS (SELECT * FROM every_past WHERE {_WEEK}), {_sim('title')} SELECT seq, s.item_id, digest_date, shared FROM sim s JOIN past p ON s.item_id = p.item_id")
 def similar_in_history(spark, d):
+    """A signature is held against the titles of the past as they stand."""
     past = _week(spark, d)
-    found = history.similar_titles(V.articles(spark, d), past, "seq", "title", "item_id", "title")
+    found = history.similar_titles(_signed(spark, d), past, "seq", "sig", "item_id", "title")
     return found.join(past.select("item_id", "digest_date"), "item_id").select("seq", "item_id", "digest_date", "shared")
 
 
-@query(f"WITH {V.ARTICLES}, every_{V.PAST}, past AS (SELECT * FROM every_past WHERE {_WEEK}), {_SIM} SELECT seq FROM articles WHERE seq NOT IN (SELECT seq FROM sim)")
+@query(f"WITH {V.ARTICLES}, every_{V.PAST}, past AS (SELECT * FROM every_past WHERE {_WEEK}), {_sim(sig_sql('title'))} SELECT seq FROM articles WHERE seq NOT IN (SELECT seq FROM sim)")
 def history_fuzzy_antijoin(spark, d):
-    return history.new_only(V.articles(spark, d), _week(spark, d), "seq", "title", "item_id", "title").select("seq")
+    """Articles whose signature resembles the signature of no past title."""
+    past = _week(spark, d).select("item_id", T.signature(F.col("title"), F.lit("")).alias("sig"))
+    return history.new_only(_signed(spark, d), past, "seq", "sig", "item_id", "sig").select("seq")
 
 
 _KINDS = {"organizations": 0.40, "products": 0.35, "topics": 0.10}  # no rule finds people
@@ -733,6 +768,19 @@ def headline_pick(spark, d):
     return rank.headline(rank.ranked(_scores(spark, d)), 5).select("event_id", "section")
 
 
+_WORTH = "CAST((event_id % 2) * 2 + (event_id % 3 = 0)::INT + (event_id % 5 = 0)::INT + (ln > 80)::INT AS DOUBLE)"
+
+
+@query(f"""WITH {V.ARTICLES}, {_SCORE}, us AS (SELECT rk.*, {_WORTH} AS hscore, {_case({s: k for k, s in enumerate(fixed.SECTION_ORDER)}, '99')} AS place FROM rk JOIN (SELECT event_id, ln FROM ev) USING (event_id)),
+  uc AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY hscore DESC, rank) AS hr FROM us WHERE place < 99),
+  one AS (SELECT event_id, section, rank, place FROM uc WHERE hr <= CASE WHEN section = 'world' THEN 3 ELSE 2 END ORDER BY hscore DESC, place, rank LIMIT 1)
+  SELECT event_id, section FROM one UNION ALL SELECT event_id, section FROM (SELECT event_id, section FROM uc WHERE event_id NOT IN (SELECT event_id FROM one) ORDER BY place, rank LIMIT 1)""")
+def headline_unscored(spark, d):
+    """Cards without scores go by what they hold, and two are taken where one is asked for."""
+    cards = rank.ranked(_scores(spark, d)).withColumns({"final_score": F.lit(0.0), "llm_used": F.col("event_id") % 2 == 1, "why": F.when(F.col("event_id") % 3 == 0, "w"), "take": F.when(F.col("event_id") % 5 == 0, "t"), "summary": F.col("snippets")[0]})
+    return rank.headline(cards, 1, compose.item_score(cards)).select("event_id", "section")
+
+
 @query(f"WITH {V.ARTICLES}, {_SCORE} SELECT event_id FROM fin WHERE section IN ('ai_agents', 'ai', 'tech') ORDER BY final_score DESC, CASE section WHEN 'ai_agents' THEN 0 WHEN 'ai' THEN 1 ELSE 2 END, event_id LIMIT 5")
 def merged_section_topk(spark, d):
     return rank.merged_top(_scores(spark, d)).select("event_id")
@@ -861,14 +909,18 @@ def item_lookup(spark, d):
     return out.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("id"), "pos", "snippet")
 
 
-@query("SELECT item_id, e AS engine, concat('https://r.example/?q=', item_id) AS url, 'A & B' AS title FROM benchmark, (VALUES ('json'), ('web'), ('html')) t(e)")
+@query("""SELECT item_id, e AS engine, concat('https://r.example/?q=', item_id) AS url, CASE e WHEN 'json' THEN '<b>A</b> &amp; B' ELSE 'A & B' END AS title, pos FROM benchmark, (VALUES ('json', 0), ('web', 0), ('html', 0)) t(e, pos)
+  UNION ALL SELECT item_id, 'html', 'https://z.example/', 'last', 1 FROM benchmark""")
 def search_parse(spark, d):
+    """Of three hits the first has no title; two are asked for: JSON engines then have one left, the page has two."""
     b = table(spark, d, "benchmark").select("item_id", F.explode(F.array(F.lit("json"), F.lit("web"), F.lit("html"))).alias("engine"))
-    hit = F.concat(F.lit('{"url": "https://r.example/?q='), "item_id", F.lit('", "title": "<b>A</b> &amp; B", "content": "x", "description": "x"}'))
-    html = F.concat(F.lit('<a class="result__a" href="//d.example/l/?uddg=https%3A%2F%2Fr.example%2F%3Fq%3D'), "item_id", F.lit('&rut=1"><b>A</b> &amp; B</a><a class="result__snippet">x</a>'))
+    bad, last = F.lit('{"url": "https://y.example/", "title": " "}, '), F.lit(', {"url": "https://z.example/", "title": "last"}')
+    hit = F.concat(bad, F.lit('{"url": " https://r.example/?q='), "item_id", F.lit('", "title": "<b>A</b> &amp; B", "content": "x", "description": "x"}'), last)
+    anchor = lambda url, title: F.concat(F.lit('<a class="result__a" href="'), url, F.lit('">'), title, F.lit('</a><a class="result__snippet">x</a>'))
+    html = F.concat(anchor(F.lit("https://y.example/"), F.lit("<b></b>")), anchor(F.concat(F.lit("//d.example/l/?uddg=https%3A%2F%2Fr.example%2F%3Fq%3D"), "item_id", F.lit("&rut=1")), F.lit("<b>A</b> &amp; B")), anchor(F.lit("https://z.example/"), F.lit("last")))
     body = F.when(F.col("engine") == "json", F.concat(F.lit('{"results": ['), hit, F.lit("]}"))).when(F.col("engine") == "web", F.concat(F.lit('{"web": {"results": ['), hit, F.lit("]}}"))).otherwise(html)
     rows = b.select(F.concat_ws("-", "item_id", "engine").alias("category"), "engine", body.alias("body"))
-    return feeds.parse_search(rows).select(F.split("category", "-")[0].cast("long").alias("item_id"), F.split("category", "-")[1].alias("engine"), "url", "title")
+    return feeds.parse_search(rows, 2).select(F.split("category", "-")[0].cast("long").alias("item_id"), F.split("category", "-")[1].alias("engine"), "url", "title", "pos")
 
 
 # ---- composition, streams, whole digest -------------------------------------------------------
@@ -1049,14 +1101,15 @@ def run_log(spark, d):
     return sinks.run_log(log).select("id", F.col("at.t").alias("last_at"), "status", "error")
 
 
-@query("""SELECT event_id, CAST(CASE WHEN event_id % 4 = 3 THEN 0 ELSE event_id % 3 END AS INTEGER) AS items,
-  CASE event_id % 4 WHEN 0 THEN event_id % 3 > 0 AND CAST(ts AS DATE) > DATE '2024-03-20' - 60 WHEN 1 THEN event_id % 3 > 0 WHEN 2 THEN event_id % 3 > 0 ELSE true END AS ok FROM events""")
+@query("""SELECT event_id, CAST(n AS INTEGER) AS items, n > 0 AND (k <> 0 OR ts > TIMESTAMP '2024-03-20' - INTERVAL 60 DAYS) AS ok FROM (SELECT event_id, ts, event_id % 5 AS k,
+  CASE WHEN event_id % 5 = 3 THEN 1 WHEN event_id % 7 = 0 THEN 0 WHEN event_id % 5 = 2 THEN 1 WHEN event_id % 5 = 4 THEN CAST(event_id % 3 = 0 AS INTEGER) WHEN event_id % 5 = 1 THEN 2 * (event_id % 3) ELSE event_id % 3 END AS n FROM events)""")
 def source_checks(spark, d):
-    """Feeds need entries that are not too old, channel pages messages, video channels entries; the item list always answers."""
-    k = F.col("event_id") % 4
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("rss", "telegram", "youtube", "hackernews")]), (k + 1).cast("int"))
-    one = F.when(k == 1, '<div class="tgme_widget_message_text">').when(k == 2, "<entry >").when(k == 0, "<item>").otherwise("")
-    pages = table(spark, d, "events").select("event_id", kind.alias("type"), F.repeat(one, (F.col("event_id") % 3).cast("int")).alias("body"), F.col("ts").alias("newest"))
+    """Feeds, channel pages, video channels, the item list and forums, each by its own rule; every seventh has no answer."""
+    k, n = F.col("event_id") % 5, (F.col("event_id") % 3).cast("int")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("rss", "telegram", "youtube", "hackernews", "reddit")]), (k + 1).cast("int"))
+    forum = F.when(n == 0, '{"data": null}').when(n == 1, '{"error": 404}').otherwise('["data"]')
+    body = F.when(k == 1, F.repeat(F.lit('<div class="tgme_widget_message"><div class="tgme_widget_message_text">'), n)).when(k == 0, F.repeat(F.lit("<item>"), n)).when(k == 4, forum).otherwise("")
+    pages = table(spark, d, "events").select("event_id", kind.alias("type"), F.when(F.col("event_id") % 7 != 0, body).alias("body"), F.col("ts").alias("newest"))
     return feeds.validate_pages(pages, "2024-03-20").select("event_id", "items", "ok")
 
 

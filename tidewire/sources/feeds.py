@@ -148,9 +148,15 @@ def parse_search(pages: DataFrame, limit: int = 10, text: str = "body") -> DataF
     target = lambda u: F.coalesce(F.nullif(F.try_url_decode(F.regexp_extract(u, r"uddg=([^&]+)", 1)), F.lit("")), u)
     html = F.transform(anchors, lambda u, i: F.struct(target(u).alias("url"), F.get(titles, i).alias("title"), F.get(notes, i).alias("content")))
     hits = F.when(F.col("engine") == "json", plain).when(F.col("engine") == "web", web).otherwise(html)
-    rows = pages.select("category", F.posexplode(F.slice(F.filter(hits, lambda r: (F.coalesce(r["url"], F.lit("")) != "") & (F.coalesce(r["title"], F.lit("")) != "")), 1, limit)).alias("pos", "r"))
-    tidy = lambda c: F.trim(T.unescape_html(T.strip_tags(c)))
-    return rows.select("category", "pos", tidy(F.col("r.title")).alias("title"), "r.url", F.substring(tidy(F.col("r.content")), 1, 300).alias("snippet"), F.lit("search").alias("source"), F.lit("signal").alias("role"))
+    tidy = lambda c: T.strip(T.unescape_html(T.strip_tags(c)))
+    bare = lambda c: T.strip(F.coalesce(c, F.lit("")))
+    # the plain engine gives text, the others markup
+    clean = F.transform(hits, lambda r: F.struct(bare(r["url"]).alias("url"), F.when(F.col("engine") == "json", bare(r["title"])).otherwise(tidy(r["title"])).alias("title"), F.when(F.col("engine") == "json", F.coalesce(r["content"], F.lit(""))).otherwise(tidy(r["content"])).alias("content")))
+    good = lambda rs: F.filter(rs, lambda r: (r["url"] != "") & (r["title"] != ""))
+    # JSON engines are cut before bad hits go, the page of anchors after
+    taken = F.when(F.col("engine").isin("json", "web"), good(F.slice(clean, 1, limit))).otherwise(F.slice(good(clean), 1, limit))
+    rows = pages.select("category", F.posexplode(taken).alias("pos", "r"))
+    return rows.select("category", "pos", "r.title", "r.url", F.substring("r.content", 1, 300).alias("snippet"), F.lit("search").alias("source"), F.lit("signal").alias("role"))
 
 
 def valid_image(c: Column) -> Column:
@@ -215,8 +221,16 @@ def feed_candidates(pages: DataFrame) -> DataFrame:
 
 
 def validate_pages(pages: DataFrame, as_of: str) -> DataFrame:
-    """ok and items of fetched source pages (type, body, newest): channel pages by their messages, feeds by entries and age."""
-    items = F.when(F.col("type") == "telegram", F.regexp_count("body", F.lit("tgme_widget_message_text"))).otherwise(F.regexp_count("body", F.lit("<(?:item|entry)[ >]")))
-    age = F.datediff(F.lit(as_of).cast("date"), F.col("newest").cast("date"))
-    ok = F.when(F.col("type") == "hackernews", True).when(F.col("type") == "rss", (items > 0) & (F.col("newest").isNull() | (age < 60))).otherwise(items > 0)
-    return pages.withColumn("items", items).withColumn("ok", ok)
+    """ok and items of fetched source pages (type, body, newest); a null body is no answer.
+
+    Feeds need entries, and their newest one under 60 days of age if it has a time; channel pages count the marks of
+    messages; a forum's answer is an object with data; any answer of a video channel is good, and the item list needs none.
+    """
+    kind, body = F.col("type"), F.col("body")
+    age = F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("newest").cast("timestamp"))) / 86_400_000_000)
+    count = lambda mark: F.coalesce(F.regexp_count(body, F.lit(mark)), F.lit(0))
+    forum = F.coalesce(F.array_contains(F.json_object_keys(body), "data"), F.lit(False))
+    items = F.when(kind == "telegram", count("tgme_widget_message")).when(kind == "rss", count("<(?:item|entry)[ >]"))
+    items = items.when(kind == "hackernews", 1).when(kind == "youtube", body.isNotNull().cast("int")).when(kind == "reddit", forum.cast("int")).otherwise(0)
+    fresh = (kind != "rss") | F.col("newest").isNull() | (age < 60)
+    return pages.withColumn("items", items).withColumn("ok", (F.col("items") > 0) & fresh)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5 as entity_names
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -137,12 +139,46 @@ def escape_html(c: Column) -> Column:
     return out
 
 
+def _code_points(n: Column) -> Column:
+    """The character of a number."""
+    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+
+def _number_reference(n: Column) -> Column:
+    """What a numeric reference stands for: numbers of old Windows signs and impossible ones have rules of their own."""
+    signs = [bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)]
+    lost = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    none = n.between(1, 8) | (n == 0x0B) | n.between(0x0E, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    return F.when(lost, "\uFFFD").when(n.between(0x80, 0x9F), F.get(F.array(*map(F.lit, signs)), (n - 0x80).cast("int"))).when(none, "").otherwise(_code_points(n))
+
+
 def unescape_html(c: Column) -> Column:
-    """The five basic entities and the blank."""
-    out = c
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Text with all named and numeric character references of HTML decoded, as browsers do it.
+
+    A name without its semicolon is read as far as it is the longest known one; what is no reference stays.
+    The names come from the standard library as one map, which is a constant of the plan.
+    """
+    names = F.from_json(F.lit(json.dumps(entity_names)), "map<string,string>")
+    pattern = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+    shortest, longest = 2, max(len(k) for k in entity_names if not k.endswith(";"))
+
+    def named(r: Column) -> Column:
+        found = F.try_element_at(names, r)
+        for k in range(longest, shortest - 1, -1):
+            head = F.when(F.length(r) > k, F.try_element_at(names, F.substring(r, 1, k)))
+            found = F.coalesce(found, F.concat(head, F.substring(r, k + 1, 1 << 30)))
+        return F.coalesce(found, F.concat(F.lit("&"), r))
+
+    def decoded(ref: Column) -> Column:
+        r = F.substring(ref, 2, 1 << 30)
+        digits = F.regexp_extract(r, "([0-9a-fA-F]+);?$", 1)
+        # more digits than any character needs: too large, however many they are
+        number = lambda base, most: F.when(F.length(F.ltrim(digits, F.lit("0"))) > most, F.lit(1 << 24).cast("long")).otherwise(F.conv(digits, base, 10).cast("long"))
+        return F.when(r.rlike("^#[xX]"), _number_reference(number(16, 7))).when(r.startswith("#"), _number_reference(number(10, 9))).otherwise(named(r))
+
+    between, refs = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), 0)
+    whole = F.array_join(F.zip_with(between, F.transform(refs, decoded), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
 
 
 def strip_tags(c: Column, by: str = "") -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import fixed
@@ -169,6 +170,30 @@ def split_messages(texts: DataFrame, column: str = "full_text", most: int = 3800
     return rows.select(*keep, F.struct("_s", "_p").alias("part_no"), "part")
 
 
+class SplitMessage:
+    """Table function of the parts that split_messages makes: split_message(text, most) gives section, chunk and part."""
+
+    def eval(self, text: str, most: int) -> Iterator[tuple]:
+        rules = ((ITEM_BREAK, most // 4, True), ("\n\n", most // 5, True), ("\n", 0, True))
+        sections = (s.strip() for s in re.split(r"\n{3,}", text or ""))
+        for k, section in enumerate(s for s in sections if s):
+            for n, part in enumerate(_cut(section, most, rules)):
+                yield k, n, part
+
+
+class HardSplit:
+    """Table function of hard_split: hard_split(text, most) gives chunk and part."""
+
+    def eval(self, text: str, most: int) -> Iterator[tuple]:
+        yield from enumerate(hard_split(text or "", most))
+
+
+def register_splits(spark: SparkSession) -> None:
+    """Make split_message and hard_split known to SQL, for LATERAL joins; texts travel in Arrow batches."""
+    spark.udtf.register("split_message", F.udtf(SplitMessage, returnType="section int, chunk int, part string", useArrow=True))
+    spark.udtf.register("hard_split", F.udtf(HardSplit, returnType="chunk int, part string", useArrow=True))
+
+
 def hard_split(text: str, most: int = 4096) -> list[str]:
     """Chunks for a transport limit; blank lines first, then lines, else a plain cut."""
     return _cut(text, most, (("\n\n", most // 4 - 1, False), ("\n", 0, False)))

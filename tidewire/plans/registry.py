@@ -14,7 +14,7 @@ from tidewire.operators import cluster, compose, dedup, discover, feedback, filt
 from tidewire.plans import views as V
 from tidewire.plans.digest import digest, events_of
 from tidewire.runtime import settle, shared_dir, table
-from tidewire.sources import feeds, sinks
+from tidewire.sources import feeds, files, outbox, sinks, updates
 from tidewire.sources.state_table import StateTable
 from tidewire.streaming import stories, streams
 
@@ -923,14 +923,123 @@ def search_parse(spark, d):
     return feeds.parse_search(rows, 2).select(F.split("category", "-")[0].cast("long").alias("item_id"), F.split("category", "-")[1].alias("engine"), "url", "title", "pos")
 
 
-# ---- composition, streams, whole digest -------------------------------------------------------
+@query(f"""WITH m AS (SELECT page_id, regexp_extract_all(html, '&[^\t\n\f <&#;]{{1,32}};|&#[0-9]+;|&#[xX][0-9a-fA-F]+;') AS refs FROM pages)
+  SELECT page_id, len(refs) AS n_refs FROM m""")
+def page_references(spark, d):
+    """How many references each page has whose decoding changes them."""
+    refs = F.regexp_extract_all("html", F.lit(r"&[^\t\n\f <&#;]{1,32};|&#[0-9]+;|&#[xX][0-9a-fA-F]+;"), 0)
+    return table(spark, d, "pages").select("page_id", F.size(F.filter(refs, lambda r: T.unescape_html(r) != r)).cast("long").alias("n_refs"))
+
 
 @query()
+def page_text(spark, d):
+    """Pages without tags, with all references decoded."""
+    return table(spark, d, "pages").select("page_id", T.unescape_html(T.strip_tags(F.col("html"), " ")).alias("text"))
+
+
+# ---- composition, streams, whole digest -------------------------------------------------------
+
+def _cut_sql(source: str, most: int, rules: list[tuple[str, int, bool]]) -> str:
+    """pieces(doc_id, section_no, chunk_no, part) of rest, cut step by step at the last break that fits."""
+    last = lambda m: f"(length(h) - instr(reverse(h), reverse({m})) - length({m}) + 1)"
+    at = "CASE " + " ".join(f"WHEN instr(h, {m}) > 0 AND {last(m)} > {least} THEN {last(m)}{f' + length({m})' if behind else ''}" for m, least, behind in rules) + f" ELSE {most} END"
+    return rf"""cuts AS (SELECT doc_id, section_no, 0 AS step, rest, left(rest, {most}) AS h, '' AS part FROM {source}
+    UNION ALL SELECT doc_id, section_no, step + 1, r, left(r, {most}), p FROM (
+      SELECT doc_id, section_no, step, CASE WHEN length(rest) > {most} THEN regexp_replace(substr(rest, ({at}) + 1), '^\s+', '') ELSE '' END AS r,
+        CASE WHEN length(rest) > {most} THEN regexp_replace(left(rest, {at}), '\s+$', '') ELSE rest END AS p FROM cuts WHERE rest <> '')),
+  pieces AS (SELECT doc_id, section_no, CAST(row_number() OVER (PARTITION BY doc_id, section_no ORDER BY step) - 1 AS INTEGER) AS chunk_no, part FROM cuts WHERE step > 0 AND part <> '')"""
+
+
+def _parts_sql(most: int) -> str:
+    item = f"'{compose.ITEM_BREAK}'"
+    return rf"""WITH RECURSIVE cut_up AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n{{3,}}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM documents),
+  sections AS (SELECT doc_id, CAST(unnest(generate_series(0, len(ss) - 1)) AS INTEGER) AS section_no, unnest(ss) AS rest FROM cut_up),
+  {_cut_sql('sections', most, [(item, most // 4, True), ("chr(10) || chr(10)", most // 5, True), ("chr(10)", 0, True)])} SELECT doc_id, section_no, chunk_no, part FROM pieces"""
+
+
+@query(_parts_sql(3800))
 def message_split(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("full_text"))
     return compose.split_messages(docs).select("doc_id", F.col("part_no._s").alias("section_no"), F.col("part_no._p").alias("chunk_no"), "part")
 
 
+@query(_parts_sql(500))
+def message_pieces(spark, d):
+    """The same by a table function in SQL, with another limit."""
+    compose.register_splits(spark)
+    return files.scan(spark, "SELECT doc_id, section AS section_no, chunk AS chunk_no, part FROM {docs}, LATERAL split_message(text, :most)", {"docs": table(spark, d, "documents")}, most=500)
+
+
+@query(f"""WITH RECURSIVE whole AS (SELECT doc_id, 0 AS section_no, text AS rest FROM documents WHERE text IS NOT NULL),
+  {_cut_sql('whole', 1000, [("chr(10) || chr(10)", 249, False), ("chr(10)", 0, False)])} SELECT doc_id, chunk_no, part FROM pieces""")
+def hard_pieces(spark, d):
+    compose.register_splits(spark)
+    return files.scan(spark, "SELECT doc_id, chunk AS chunk_no, part FROM {docs}, LATERAL hard_split(text, :most)", {"docs": table(spark, d, "documents")}, most=1000)
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'click' AND value >= 50 AND event_type <> 'x'' OR 1 = 1 --'")
+def sql_scan(spark, d):
+    """Values of a parameterised query stay values, whatever stands in them."""
+    return files.scan(spark, "SELECT event_id, value FROM {ev} WHERE event_type = :kind AND value >= :least AND event_type <> :other", {"ev": table(spark, d, "events")}, kind="click", least=50.0, other="x' OR 1 = 1 --")
+
+
+def _written(spark, rows, by: str, name: str) -> str:
+    """A folder with a file for each row's text, and a broken one."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.select(by, "body").repartition(by).write.partitionBy(by).text(folder)
+    return folder
+
+
+@query(f"""WITH {V.ARTICLES}, a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq) AS r FROM articles WHERE source IS NOT NULL)
+  SELECT replace(source, ':', '.') AS category, CAST(r - 1 AS INTEGER) AS pos, concat('Title & ', seq) AS title, url, concat('About ', seq) AS snippet FROM a WHERE r <= 20""")
+def feed_scan(spark, d):
+    """A feed file for each source, and one that is no feed; the first twenty items of each come back."""
+    item = F.concat(F.lit("<item><title>Title &amp; "), "seq", F.lit("</title><link>"), "url", F.lit("</link><description>&lt;p&gt;About "), "seq", F.lit("&lt;/p&gt;</description></item>"))
+    a = V.articles(spark, d).where("source IS NOT NULL").select(F.replace("source", F.lit(":"), F.lit(".")).alias("source"), F.struct("seq", item.alias("item")).alias("i"))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda x: x["item"]), "\n")
+    bodies = a.groupBy("source").agg(F.concat(F.lit('<rss version="2.0"><channel><title>T</title>'), items, F.lit("</channel></rss>")).alias("body"))
+    broken = spark.createDataFrame([("broken", "<rss><channel><item><title>half")], "source string, body string")
+    folder = _written(spark, bodies.unionByName(broken), "source", "feeds")
+    return files.feed_files(spark, folder, category="source").select("category", "pos", "title", "url", "snippet")
+
+
+@query("""SELECT concat('sub', event_id % 40) AS sub, event_id, CAST(floor(value) AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 40 ORDER BY event_id) AS r FROM events WHERE floor(value) >= 50) WHERE r <= 15""")
+def listing_scan(spark, d):
+    """A listing file for each forum, and one that breaks off; posts with enough points come back."""
+    post = F.to_json(F.struct(F.struct(F.concat(F.lit("t"), "event_id").alias("title"), F.concat(F.lit("https://x/"), "event_id", F.lit("/"), F.floor("value")).alias("url"), F.floor("value").alias("score"), F.lit(1712000000).alias("created_utc")).alias("data")))
+    posts = table(spark, d, "events").select(F.concat(F.lit("sub"), F.col("event_id") % 40).alias("sub"), F.struct("event_id", post.alias("p")).alias("p"))
+    body = F.concat(F.lit('{"kind": "Listing",\n"data": {"children": [\n'), F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["p"]), ",\n"), F.lit("]}}"))
+    broken = spark.createDataFrame([("broken", '{"data": {"children": [{"data": ')], "sub string, body string")
+    folder = _written(spark, posts.groupBy("sub").agg(body.alias("body")).unionByName(broken), "sub", "listings")
+    out = files.listing_files(spark, folder)
+    return out.select(F.substring("source", 8, 99).alias("sub"), F.split("url", "/")[3].cast("long").alias("event_id"), F.split("url", "/")[4].cast("long").alias("score"))
+
+
+@query("SELECT event_type AS action, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1")
+def stream_updates(spark, d):
+    """All events as updates, in two halves with a restart from the checkpoint between them."""
+    ev = table(spark, d, "events").select(F.col("event_id").alias("update_id"), F.col("ts").alias("at"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("action"), F.col("props").alias("data"))
+    folder, name = f"{shared_dir(spark)}/updates-{uuid.uuid4().hex}", f"updates_{uuid.uuid4().hex}"
+    middle = ev.agg(F.floor(F.avg("update_id")).alias("m")).first()["m"] or 0
+    seen = None
+    for k, part in enumerate((ev.where(F.col("update_id") <= middle), ev.where(F.col("update_id") > middle))):
+        updates.write_updates(part, f"{folder}/in")
+        got = streams.run_once(updates.read_updates(spark, f"{folder}/in"), f"{name}_{k}", "append", f"{folder}/checkpoint")
+        seen = got if seen is None else seen.unionByName(got)
+    return seen.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.min("update_id").alias("first_id"), F.max("update_id").alias("last_id"))
+
+
+@query("""SELECT concat('user', conv_id % 50) AS chat, conv_id AS issue, CAST(turn AS INTEGER) AS part, text AS body FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS r FROM conversations WHERE text IS NOT NULL)""")
+def outbox_delivery(spark, d):
+    """Every turn of every conversation as a message, delivered twice over: the second run has nothing to send."""
+    folder = f"{shared_dir(spark)}/outbox-{uuid.uuid4().hex}"
+    c = table(spark, d, "conversations").where("text IS NOT NULL")
+    c.select(F.concat(F.lit("user"), F.col("conv_id") % 50).alias("chat"), F.col("conv_id").alias("issue"), F.col("turn").cast("int").alias("part"), F.col("text").alias("body")).write.parquet(f"{folder}/in")
+    for _ in range(2):
+        streams.finish(outbox.deliver(spark.readStream.schema(outbox.MESSAGE).parquet(f"{folder}/in"), f"{folder}/box", f"{folder}/checkpoint"))
+    return outbox.published(spark, f"{folder}/box").drop("batch")
+
+
 def _digest(spark, d):
     # stories of the benchmark items, last seen on the day of their digest
     stories = table(spark, d, "benchmark").select(F.col("item_id").alias("story_id"), T.entities(F.col("text")).alias("entities"), F.expr("timestampadd(DAY, -cast(item_id % 20 as int), TIMESTAMP_NTZ'2024-01-31 00:00:00')").alias("last_seen_at"))

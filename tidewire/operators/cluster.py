@@ -75,10 +75,12 @@ def ordered_events(events: DataFrame) -> DataFrame:
 
 
 def collect_sources(articles: DataFrame) -> DataFrame:
-    """Distinct non-empty urls of each event, rss first, else in order."""
-    w = Window.partitionBy("event_id", "url").orderBy(F.when(F.col("source").startswith("rss:"), 0).otherwise(1), "seq")
+    """Distinct non-empty urls of each event, rss first, else in order; of merged events the largest one's come first."""
+    lead = ["lead"] if "lead" in articles.columns else []
+    first = [*lead, F.when(F.col("source").startswith("rss:"), 0).otherwise(1), "seq"]
+    w = Window.partitionBy("event_id", "url").orderBy(*first)
     rows = articles.where("url <> ''").withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    order = Window.partitionBy("event_id").orderBy(F.when(F.col("source").startswith("rss:"), 0).otherwise(1), "seq")
+    order = Window.partitionBy("event_id").orderBy(*first)
     return rows.select("event_id", F.row_number().over(order).alias("place"), "url", "title", "source")
 
 
@@ -118,3 +120,13 @@ def merge_by_entities(events: DataFrame, least: float = 0.5) -> DataFrame:
     lead = F.max_by(F.struct("event_id", "canonical_title", "published_at", "role"), F.struct("n_articles", -F.col("first_seq")))
     out = joined.groupBy("category", "group_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum("n_articles").alias("n_articles"), lead.alias("lead"))
     return out.select("category", "group_id", "n_events", "n_articles", "lead.*")
+
+
+def merged_members(articles: DataFrame, events: DataFrame, groups: DataFrame) -> DataFrame:
+    """Articles (with event_id) of merged events: event_id becomes the group's, and lead tells whose come first.
+
+    The largest event of a group leads, then the one that began first; lead and seq order the articles of a group.
+    """
+    sizes = events.select("event_id", F.struct((-F.col("n_articles")).alias("size"), "first_seq").alias("lead"))
+    rows = articles.join(groups, "event_id").join(sizes, "event_id")
+    return rows.drop("event_id").withColumnRenamed("group_id", "event_id")

@@ -16,9 +16,10 @@ SHOWN = 100  # first articles of an event whose texts and sources it carries
 
 def _arrays(articles: DataFrame, key: str) -> DataFrame:
     """Texts, sources and section of the first articles of each event, in order; bounded per event."""
-    first = articles.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("seq"))).where(F.col("_r") <= SHOWN)
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(c).alias("v")))), lambda x: x["v"])
-    return first.groupBy(key).agg(ordered("title").alias("titles"), ordered("snippet").alias("snippets"), ordered("source").alias("sources"), F.min_by("section", "seq").alias("section"))
+    order = ["lead", "seq"] if "lead" in articles.columns else ["seq"]
+    first = articles.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= SHOWN)
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(c).alias("v")))), lambda x: x["v"])
+    return first.groupBy(key).agg(ordered("title").alias("titles"), ordered("snippet").alias("snippets"), ordered("source").alias("sources"), F.min_by("section", "_r").alias("section"))
 
 
 def _with_entities(events: DataFrame) -> DataFrame:
@@ -33,12 +34,12 @@ def events_of(articles: DataFrame) -> DataFrame:
 
 
 def merged_events(events: DataFrame, articles: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Events that share entities as one, with title, time and role of the largest, and the articles of each.
+    """Events that share entities as one, with title, time and role of the largest, and the articles of each, the largest event's first.
 
     event_id is the group's, in both. articles: seq, event_id and what events carry of them.
     """
     groups = settle(cluster.entity_groups(events, least))
-    rows = settle(articles.join(groups, "event_id").drop("event_id").withColumnRenamed("group_id", "event_id"))
+    rows = settle(cluster.merged_members(articles, events, groups))
     lead = F.max_by(F.struct("canonical_title", "published_at", "role"), F.struct("n_articles", -F.col("first_seq")))
     whole = events.join(groups, "event_id").groupBy("category", "group_id").agg(F.sum("n_articles").alias("n_articles"), F.min("first_seq").alias("first_seq"), lead.alias("lead"))
     whole = whole.select("category", F.col("group_id").alias("event_id"), "n_articles", "first_seq", "lead.*")
@@ -68,7 +69,9 @@ def digest(
     wanted = filters.drop_blacklisted(events, F.concat_ws(" ", "canonical_title", F.array_join("snippets", " ")), blacklist)
     merged, members = merged_events(settle(wanted), grouped)
     merged = settle(merged)
-    fresh = settle(history.new_only(merged, history.within(past, "digest_date", as_of, 7), "event_id", "canonical_title", "item_id", "title"))
+    signed = history.within(past, "digest_date", as_of, 7).select("item_id", T.signature(F.col("title"), F.lit("")).alias("_sig"))
+    fresh = history.new_only(merged.withColumn("_sig", T.signature(F.col("canonical_title"), F.lit(""))), signed, "event_id", "_sig", "item_id", "_sig")
+    fresh = settle(fresh.drop("_sig"))
     if stories is not None:
         fresh = settle(history.not_recent(fresh, history.best_story(fresh, stories, 0.5, as_of, 14), as_of, 3))
     scored = settle(rank.boosted(rank.score_events(fresh, as_of), boosts))

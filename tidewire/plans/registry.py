@@ -532,18 +532,6 @@ def shown_sources(spark, d):
     return cluster.shown_sources(cluster.collect_sources(_by_day(spark, d))).drop("url")
 
 
-@query()
-def entity_overlap_pairs(spark, d):
-    e = V.articles(spark, d).select("category", F.col("seq").alias("event_id"), T.entities(F.col("title")).alias("entities"))
-    return cluster.entity_edges(e).select("a", "b", k4(F.col("overlap")).alias("overlap_k"))
-
-
-@query()
-def entity_groups(spark, d):
-    e = cluster.event_summary(_by_day(spark, d)).withColumn("entities", T.entities(F.col("canonical_title")))
-    return cluster.merge_by_entities(e)
-
-
 def grams_sql(c: str) -> str:
     n = norm_sql(c)
     return f"CASE WHEN length({n}) < 3 THEN [{n}] ELSE list_distinct(list_transform(range(1, length({n}) - 1), lambda i: substr({n}, i, 3))) END"
@@ -592,6 +580,55 @@ def history_fuzzy_antijoin(spark, d):
 _KINDS = {"organizations": 0.40, "products": 0.35, "topics": 0.10}  # no rule finds people
 _SET = "list_distinct(list_filter(list_transform({}, lambda v: lower(trim(v))), lambda v: v <> ''))"
 _ALIKE = "CASE WHEN len(list_intersect(x.{0}, y.{0})) > 0 THEN len(list_intersect(x.{0}, y.{0})) / (len(x.{0}) + len(y.{0}) - len(list_intersect(x.{0}, y.{0}))) * {1}::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+def _entity_pairs(category: str) -> str:
+    """Pairs of a category whose entities overlap by half, in SQL, from entity_lists."""
+    return f"""esets AS (SELECT key, {category} AS category, {', '.join(f"{_SET.format(k)} AS {k}" for k in _KINDS)} FROM entity_lists),
+  epairs AS (SELECT * FROM (SELECT x.key AS a, y.key AS b, {' + '.join(_ALIKE.format(k, w) for k, w in _KINDS.items())} AS overlap FROM esets x JOIN esets y ON x.category = y.category AND x.key < y.key) WHERE overlap >= 0.5::DOUBLE)"""
+
+
+@query(f"WITH {V.ARTICLES}, {entity_ctes('articles', 'seq', 'title')}, {_entity_pairs('(SELECT any_value(category) FROM articles WHERE seq = key)')} SELECT a, b, {K4.format('overlap')} AS overlap_k FROM epairs")
+def entity_overlap_pairs(spark, d):
+    e = V.articles(spark, d).select("category", F.col("seq").alias("event_id"), T.entities(F.col("title")).alias("entities"))
+    return cluster.entity_edges(e).select("a", "b", k4(F.col("overlap")).alias("overlap_k"))
+
+
+_GROUPS = f"""{entity_ctes('summary', 'event_id', 'canonical_title')}, {_entity_pairs('(SELECT any_value(category) FROM summary WHERE event_id = key)')},
+  eways AS (SELECT a, b FROM epairs UNION ALL SELECT b, a FROM epairs),
+  ewalk(node, root) AS (SELECT event_id, event_id FROM summary UNION SELECT w.b, r.root FROM ewalk r JOIN eways w ON r.node = w.a),
+  egroups AS (SELECT node AS event_id, min(root) AS group_id FROM ewalk GROUP BY node)"""
+
+
+def _grouped(spark, d):
+    return cluster.event_summary(_by_day(spark, d)).withColumn("entities", T.entities(F.col("canonical_title")))
+
+
+@query(f"""WITH RECURSIVE {V.ARTICLES}, {_DAY}, {_SUMMARY}, {_GROUPS},
+  ranked AS (SELECT s.*, group_id, row_number() OVER (PARTITION BY group_id ORDER BY n_articles DESC, first_seq) AS r, count(*) OVER (PARTITION BY group_id) AS n_events, sum(n_articles) OVER (PARTITION BY group_id) AS total
+    FROM summary s JOIN egroups USING (event_id))
+  SELECT category, group_id, n_events, CAST(total AS BIGINT) AS n_articles, event_id, canonical_title, published_at, role FROM ranked WHERE r = 1""")
+def entity_groups(spark, d):
+    return cluster.merge_by_entities(_grouped(spark, d))
+
+
+@query(f"""WITH RECURSIVE {V.ARTICLES}, {_DAY}, {_SUMMARY}, {_GROUPS},
+  m AS (SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY n_articles DESC, first_seq, seq) AS place, a.seq, n_articles, first_seq, url, source FROM day_events a JOIN summary s USING (event_id) JOIN egroups USING (event_id)),
+  u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, url ORDER BY n_articles DESC, first_seq, starts_with(source, 'rss:') DESC, seq) AS k FROM m WHERE url <> '') WHERE k = 1),
+  q AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n_articles DESC, first_seq, starts_with(source, 'rss:') DESC, seq) AS source_no FROM u)
+  SELECT group_id, 'article' AS what, CAST(place AS INTEGER) AS place, CAST(seq AS VARCHAR) AS value FROM m WHERE place <= 3 UNION ALL SELECT group_id, 'source', CAST(source_no AS INTEGER), url FROM q WHERE source_no <= 6""")
+def merged_members(spark, d):
+    """The first articles and sources of merged events: the largest event's come first, and each url once."""
+    from pyspark.sql import Window
+
+    events = settle(_grouped(spark, d))
+    rows = settle(cluster.merged_members(_by_day(spark, d), events, cluster.entity_groups(events)))
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy("lead", "seq"))
+    articles = rows.withColumn("place", place).where("place <= 3").select(F.col("event_id").alias("group_id"), F.lit("article").alias("what"), "place", F.col("seq").cast("string").alias("value"))
+    sources = cluster.collect_sources(rows).where("place <= 6").select(F.col("event_id").alias("group_id"), F.lit("source").alias("what"), "place", F.col("url").alias("value"))
+    return articles.unionByName(sources)
+
+
 _STORIES = f"""WITH {V.ARTICLES}, {entity_ctes('articles', 'seq', 'title')},
   sets AS (SELECT key, {', '.join(f"{_SET.format(k)} AS {k}" for k in _KINDS)} FROM entity_lists),
   events AS (SELECT * FROM sets WHERE key % 4 <> 0), stories AS (SELECT seq AS story_id, published_at FROM articles WHERE seq % 4 = 0),

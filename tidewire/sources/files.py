@@ -60,7 +60,10 @@ def broken(spark: SparkSession, path: str, schema: str = feeds.LISTING) -> DataF
 
 
 def feed_items(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
-    """The items of feeds of any size, one row each and cut by Spark into tasks; their order in a file is not kept."""
+    """The items of feeds of any size, one row each and cut by Spark into tasks; their order in a file is not kept.
+
+    An item that breaks off can take those after it along; feed_files reads a feed as one document.
+    """
     rows = spark.read.schema(f"{ITEM}, {CORRUPT} STRING").xml(path, rowTag=tag, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, ignoreNamespace=True).selectExpr("*", _FILE)
     good = rows.where(F.col(CORRUPT).isNull() & (F.trim(F.coalesce("title", F.lit(""))) != "") & (F.trim(F.coalesce("link", F.lit(""))) != ""))
     return good.select("file", F.trim("title").alias("title"), F.trim("link").alias("url"), feeds.feed_snippet(F.col("description")).alias("snippet"), feeds.feed_date(F.col("pubDate")).alias("published_at"))

@@ -39,6 +39,20 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_greedy_keep_of_long_chains(spark):
+    """Each id shares a key with the next one: every second one stays, by rounds, by parts, or by both."""
+    chain = [(k, f"c{k + e}") for k in range(300) for e in (0, 1)]
+    loose = [(1000 + k, f"l{k // 3}") for k in range(30)]
+    want = [*range(0, 300, 2), *range(1000, 1030, 3)]
+    rows = spark.createDataFrame(chain + loose, "id long, key string")
+    assert sorted(r[0] for r in dedup.greedy_keep(rows, patience=2).collect()) == want
+    places = rows.where("id < 40").selectExpr("struct('x' AS s, id AS r) AS id", "key")
+    assert sorted(r[0]["r"] for r in dedup.greedy_keep(places, patience=1).collect()) == list(range(0, 40, 2))
+    few = spark.createDataFrame(chain[:40] + loose, "id long, key string")  # parts that are too large go on in rounds
+    assert sorted(r[0] for r in dedup.greedy_keep(few, patience=1, most=5).collect()) == [*range(0, 20, 2), *range(1000, 1030, 3)]
+    assert dedup.greedy_keep(rows.limit(0)).count() == 0
+
+
 def test_greedy_keep_is_the_sequential_pass(spark):
     rng = random.Random(2)
     rows = [(k, f"u{rng.randrange(60)}") for k in range(150)] + [(k, f"t{rng.randrange(60)}") for k in range(150)]

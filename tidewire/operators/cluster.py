@@ -13,27 +13,46 @@ from tidewire.operators.overlap import similar_within
 from tidewire.runtime import settle
 
 
-def token_edges(articles: DataFrame, jaccard: float = 0.20, shared: int = 2, hours: int = 24) -> DataFrame:
-    """Pairs a < b of a category with enough common keywords, close in time.
+def _meetings(left: DataFrame, right: DataFrame, hours: int) -> DataFrame:
+    """Distinct pairs (category, a < b, with their sizes) of rows that share a token and are close in time.
 
-    Sizes travel with the tokens, so the Jaccard value needs no second join. Rows meet in time
-    buckets of `hours`: each in its own bucket and those beside it, so a keyword of all times is many
-    keys; an unknown time is close to any, and such rows meet all others. Each pair of rows is counted
-    from the rows of its common tokens; the sum is pre-aggregated before the shuffle.
+    Rows meet in time buckets of `hours`: each in its own bucket and those beside it, so a token of all times is many
+    keys; an unknown time is close to any.
     """
-    kw = articles.select("category", "seq", "published_at", T.keywords(F.col("title")).alias("kw"))
-    bucket = F.floor(F.unix_micros(F.col("published_at").cast("timestamp")) / F.lit(hours * 3_600_000_000))
-    tok = settle(kw.select("category", "seq", "published_at", bucket.alias("bucket"), F.size("kw").alias("n"), F.explode("kw").alias("token")))
-    a = tok.select("category", "token", F.col("seq").alias("a"), F.col("n").alias("na"), F.col("published_at").alias("ta"), "bucket")
-    b = tok.select("category", "token", F.col("seq").alias("b"), F.col("n").alias("nb"), F.col("published_at").alias("tb"), "bucket")
+    a = left.select("category", "token", F.col("seq").alias("a"), F.col("n").alias("na"), F.col("published_at").alias("ta"), "bucket")
+    b = right.select("category", "token", F.col("seq").alias("b"), F.col("n").alias("nb"), F.col("published_at").alias("tb"), "bucket")
     beside = b.where("bucket IS NOT NULL").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
     timed = a.join(beside, ["category", "token", "bucket"]).where("a < b").where(T.time_close(F.col("ta"), F.col("tb"), hours))
     free = a.where("bucket IS NULL").drop("bucket").join(b.drop("bucket"), ["category", "token"]).where("a < b")
     free = free.unionByName(a.where("bucket IS NOT NULL").drop("bucket").join(b.where("bucket IS NULL").drop("bucket"), ["category", "token"]).where("a < b"))
-    near = timed.drop("bucket").unionByName(free)
-    pairs = near.groupBy("category", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    alike = F.col("shared") >= jaccard * (F.col("na") + F.col("nb") - F.col("shared"))
-    return pairs.where(alike | (F.col("shared") >= shared)).select("category", "a", "b", "shared")
+    return timed.drop("bucket").unionByName(free).select("category", "a", "b", "na", "nb")
+
+
+def token_edges(articles: DataFrame, jaccard: float = 0.20, shared: int = 2, hours: int = 24) -> DataFrame:
+    """Pairs a < b of a category with enough common keywords, close in time.
+
+    Pairs have `shared` common keywords, or fewer and a Jaccard value of at least `jaccard`, which only small rows can
+    have. In one order, from rare to common, the first common keyword of a pair with enough of them stands before the
+    last shared - 1 keywords of either row; so the commonest keywords of a row, which very many others
+    have, bring no pairs but those of small rows. Each candidate is then counted from its keywords.
+    """
+    kw = articles.select("category", "seq", "published_at", T.keywords(F.col("title")).alias("kw"))
+    rows = settle(kw.withColumn("bucket", F.floor(F.unix_micros(F.col("published_at").cast("timestamp")) / F.lit(hours * 3_600_000_000))))
+    tok = rows.select("category", "seq", "published_at", "bucket", F.size("kw").alias("n"), F.explode("kw").alias("token"))
+    counts = tok.groupBy("category", "token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")  # a keyword of one row meets nobody
+    order = Window.partitionBy("category", "seq").orderBy(F.desc("k"), "token")
+    tok = settle(tok.join(counts, ["category", "token"]).withColumn("behind", F.row_number().over(order)).drop("k"))
+    lead = tok.where(F.col("behind") >= shared)
+    pairs = _meetings(lead, lead, hours)
+    few = shared - 1  # common keywords of a pair that only its Jaccard value links: few >= jaccard * (na + nb - few)
+    small = tok.where(few >= jaccard * (F.col("n") + 1 - few)) if few and jaccard > 0 else tok
+    if few:
+        pairs = pairs.unionByName(_meetings(small, small, hours).where(few >= jaccard * (F.col("na") + F.col("nb") - few)))
+    pairs = pairs.select("category", "a", "b").distinct()
+    x, y = (rows.select("category", F.col("seq").alias(k), F.col("kw").alias("k" + k)) for k in "ab")
+    both = pairs.join(x, ["category", "a"]).join(y, ["category", "b"]).withColumn("shared", F.size(F.array_intersect("ka", "kb")).cast("long"))
+    alike = F.col("shared") >= jaccard * (F.size("ka") + F.size("kb") - F.col("shared"))
+    return both.where(alike | (F.col("shared") >= shared)).select("category", "a", "b", "shared")
 
 
 def with_component(articles: DataFrame, edges: DataFrame) -> DataFrame:

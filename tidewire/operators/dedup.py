@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
+from tidewire.operators.components import connected_components
 from tidewire.operators.history import within
 from tidewire.runtime import settle
 
@@ -18,28 +21,56 @@ def first_by(df: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def greedy_keep(marks: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _sequential(rows: pd.DataFrame) -> pd.DataFrame:
+    """The pass itself over the rows of one part, by the numbers of its ids."""
+    seen, kept = set(), []
+    for i, keys in rows.groupby("no", sort=True)["key"]:
+        if seen.isdisjoint(keys):
+            kept.append(i)
+            seen.update(keys)
+    return pd.DataFrame({"part": pd.Series([rows["part"].iloc[0]] * len(kept), dtype="int64"), "no": pd.Series(kept, dtype="int32")})
+
+
+def _parts_of(open_: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Ids kept in the connected parts of at most `most` rows, and the rows of larger ones."""
+    least = open_.groupBy("key").agg(F.min("id").alias("least"))
+    edges = open_.join(least, "key").select("id", "least").where("id <> least").distinct()
+    found = connected_components(edges, "id", "least")
+    # two parts of one hash are decided together, which changes nothing
+    rows = settle(open_.join(found, F.col("id") == F.col("node"), "left").select("id", "key", F.xxhash64(F.coalesce("component", "id")).alias("part")))
+    small = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("part")
+    numbered = settle(rows.join(small, "part", "left_semi").withColumn("no", F.dense_rank().over(Window.partitionBy("part").orderBy("id"))))
+    won = numbered.groupBy("part").applyInPandas(_sequential, "part long, no int")
+    ids = numbered.select("part", "no", "id").distinct().join(won, ["part", "no"]).select("id")
+    return settle(ids), settle(rows.join(small, "part", "left_anti").select("id", "key"))
+
+
+def greedy_keep(marks: DataFrame, patience: int = 24, most: int = 1_000_000) -> DataFrame:
     """The ids a sequential pass keeps, given (id, key) rows.
 
     The pass goes through the ids in order and keeps one unless it shares a key with one kept
     before. Here, a round keeps every open id that is the least open id of all its keys, then
     drops the open ids that share a key with it. Work per round is linear in the rows, whatever
-    the sizes of the groups; rounds are as many as the longest chain of decisions.
+    the sizes of the groups; rounds are as many as the longest chain of decisions. What is still open
+    after `patience` rounds hangs together in long chains: of that, each connected part of at most `most` rows is decided
+    by the pass itself in one task, and larger parts go on in rounds, of which each decides at least one id of every part.
     """
-    open_, kept = settle(marks.select("id", "key").distinct()), None
-    for _ in range(max_rounds):
-        if not open_.limit(1).count():
-            break
+    open_, kept, rounds = settle(marks.select("id", "key").distinct()), [], 0
+    while open_.limit(1).count():
+        if rounds == patience:
+            won, open_ = _parts_of(open_, most)
+            kept.append(won)
+            rounds, patience = 0, 2 * patience
+            continue
+        rounds += 1
         least = open_.groupBy("key").agg(F.min("id").alias("least"))
         joined = open_.join(least, "key")
         won = settle(joined.groupBy("id").agg(F.min((F.col("id") == F.col("least")).cast("int")).alias("ok")).where("ok = 1").select("id"))
-        kept = won if kept is None else kept.unionByName(won)
+        kept.append(won)
         taken = open_.join(won, "id", "left_semi").select("key").distinct()
         lost = open_.join(taken, "key", "left_semi").select("id").distinct()
         open_ = settle(open_.join(lost, "id", "left_anti"))
-    else:
-        raise RuntimeError("greedy_keep did not end")
-    return kept if kept is not None else marks.select("id").limit(0)
+    return reduce(DataFrame.unionByName, kept) if kept else marks.select("id").limit(0)
 
 
 def batch_dedup(articles: DataFrame) -> DataFrame:

@@ -108,6 +108,3 @@ def memory_lookup(memory: DataFrame, query: str, k: int = 3) -> DataFrame:
     words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower(F.lit(query)), F.lit(r"(?U)\w{3,}"), 0)), 1, 6)
     hit = F.exists(words, lambda w: F.contains(F.lower("title"), w) | F.contains(F.lower("content"), w))
     return memory.where(hit).orderBy(F.desc("importance"), F.desc("created_at"), "id").limit(k)
-
-
-__all__ = ["match_interests", "selected_sources", "flatten_catalog", "freshness_class", "memory_lookup", "T"]

@@ -600,7 +600,7 @@ _GROUPS = f"""{entity_ctes('summary', 'event_id', 'canonical_title')}, {_entity_
   egroups AS (SELECT node AS event_id, min(root) AS group_id FROM ewalk GROUP BY node)"""
 
 
-def _grouped(spark, d):
+def _entity_events(spark, d):
     return cluster.event_summary(_by_day(spark, d)).withColumn("entities", T.entities(F.col("canonical_title")))
 
 
@@ -609,7 +609,7 @@ def _grouped(spark, d):
     FROM summary s JOIN egroups USING (event_id))
   SELECT category, group_id, n_events, CAST(total AS BIGINT) AS n_articles, event_id, canonical_title, published_at, role FROM ranked WHERE r = 1""")
 def entity_groups(spark, d):
-    return cluster.merge_by_entities(_grouped(spark, d))
+    return cluster.merge_by_entities(_entity_events(spark, d))
 
 
 @query(f"""WITH RECURSIVE {V.ARTICLES}, {_DAY}, {_SUMMARY}, {_GROUPS},
@@ -621,7 +621,7 @@ def merged_members(spark, d):
     """The first articles and sources of merged events: the largest event's come first, and each url once."""
     from pyspark.sql import Window
 
-    events = settle(_grouped(spark, d))
+    events = settle(_entity_events(spark, d))
     rows = settle(cluster.merged_members(_by_day(spark, d), events, cluster.entity_groups(events)))
     place = F.row_number().over(Window.partitionBy("event_id").orderBy("lead", "seq"))
     articles = rows.withColumn("place", place).where("place <= 3").select(F.col("event_id").alias("group_id"), F.lit("article").alias("what"), "place", F.col("seq").cast("string").alias("value"))

@@ -6,16 +6,18 @@ weights over all kinds together. In one order of all values, rare ones first, wh
 shared value on bounds the score from either side. So rows meet only on values from which on both lists
 still weigh enough, and only if their sizes allow the score.
 
-A first round lets each row meet the partners of its rarest value alone. The best score found there is
-what the second round asks of that row, in place of the threshold for all.
+Rounds ask for high scores first: a round finds every pair of at least its score, so a row that has a partner
+there has its best one and is done. Only rows without a close partner go on to lower scores, where lists
+have to be followed further and many more partners are possible.
 
-Rows with equal sets are one class on either side, so copies meet once, whatever their number; on the
-right a class stands for its smallest id, which wins ties.
+Rows with equal sets are one class on either side, so copies meet once, whatever their number; a
+class goes by its smallest id, which on the right wins ties.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,15 +41,15 @@ def _values(classes: DataFrame, weights: Mapping[str, float]) -> DataFrame:
         return F.transform(k, lambda v: F.struct(F.lit(i).alias("kind"), v.alias("value"), (F.lit(w) / F.size(k)).alias("adds")))
 
     each = [entries(i, k, w) for i, (k, w) in enumerate(weights.items())]
-    return classes.select("cls", F.array(*map(F.size, weights)).alias("sizes"), F.explode(F.concat(*each)).alias("v")).select("cls", "sizes", "v.*")
+    return classes.select("id", F.array(*map(F.size, weights)).alias("sizes"), F.explode(F.concat(*each)).alias("v")).select("id", "sizes", "v.*")
 
 
 def _ordered(values: DataFrame, counts: DataFrame, least: float) -> DataFrame:
-    """The values that both sides have, with their place in the class and what it weighs from there on; only as far as that reaches."""
-    mine = Window.partitionBy("cls").orderBy("n", "kind", "value")
+    """The values that both sides have, with what the class weighs from there on; only as far as that reaches."""
+    mine = Window.partitionBy("id").orderBy("n", "kind", "value")
     rest = F.sum("adds").over(mine.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = values.join(counts, ["kind", "value"]).withColumn("rest", rest).withColumn("place", F.row_number().over(mine))
-    return settle(rows.where(F.col("rest") >= least - _SLACK).select("cls", "sizes", "kind", "value", "rest", "place"))
+    rows = values.join(counts, ["kind", "value"]).withColumn("rest", rest)
+    return settle(rows.where(F.col("rest") >= least - _SLACK).select("id", "sizes", "kind", "value", "rest"))
 
 
 def _possible(weights: Mapping[str, float]) -> Column:
@@ -59,11 +61,11 @@ def _possible(weights: Mapping[str, float]) -> Column:
     return total
 
 
-def _meet(left: DataFrame, right: DataFrame, weights: Mapping[str, float], least: Column) -> DataFrame:
+def _meet(left: DataFrame, right: DataFrame, weights: Mapping[str, float], least: float) -> DataFrame:
     """Distinct pairs of classes (a, b) that share a value and can reach `least`."""
-    pairs = left.alias("x").join(right.alias("y"), F.expr("x.kind = y.kind AND x.value = y.value"))
-    fits = (F.least("x.rest", "y.rest") >= least - _SLACK) & (_possible(weights) >= least - _SLACK)
-    return pairs.where(fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    far = F.col("rest") >= least - _SLACK
+    pairs = left.where(far).alias("x").join(right.where(far).alias("y"), F.expr("x.kind = y.kind AND x.value = y.value"))
+    return pairs.where(_possible(weights) >= least - _SLACK).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def _best(pairs: DataFrame, left: DataFrame, right: DataFrame, weights: Mapping[str, float], least: float) -> DataFrame:
@@ -73,11 +75,19 @@ def _best(pairs: DataFrame, left: DataFrame, right: DataFrame, weights: Mapping[
         x, y = F.col(f"x.{k}"), F.col(f"y.{k}")
         both = F.size(F.array_intersect(x, y))
         score = score + F.when(both > 0, both / (F.size(x) + F.size(y) - both) * F.lit(w)).otherwise(F.lit(0.0))
-    met = pairs.join(left.alias("x"), F.expr("a = x.cls")).join(right.alias("y"), F.expr("b = y.cls"))
+    met = pairs.join(left.alias("x"), F.expr("a = x.id")).join(right.alias("y"), F.expr("b = y.id"))
     scored = met.select("a", F.least(score, F.lit(1.0)).alias("score"), (-F.col("y.id")).alias("minus"))
     return scored.where(F.col("score") >= least).groupBy("a").agg(F.max(F.struct("score", "minus")).alias("best"))
 
 
+def _scores(least: float, most: float, step: float = 1.6) -> list[float]:
+    """What the rounds ask for, from below the largest score down to `least`."""
+    out = [least]
+    while out[-1] * step < most:
+        out.append(out[-1] * step)
+    return out[::-1]
+
+
 def best_partners(left: DataFrame, right: DataFrame, weights: Mapping[str, float], least: float) -> DataFrame:
     """(a, b, score): for each row of left the row of right with the largest score of at least `least` > 0.
 
@@ -86,18 +96,20 @@ def best_partners(left: DataFrame, right: DataFrame, weights: Mapping[str, float
     """
     kinds = list(weights)
     own, other = _classes(left, kinds), _classes(right, kinds)
-    sets = [F.any_value(k).alias(k) for k in kinds]
-    mine, theirs = settle(own.groupBy("cls").agg(*sets)), settle(other.groupBy("cls").agg(F.min("id").alias("id"), *sets))
+    sets = [F.min("id").alias("id"), *(F.any_value(k).alias(k) for k in kinds)]
+    mine, theirs = (settle(c.groupBy("cls").agg(*sets)) for c in (own, other))
     x, y = _values(mine, weights), _values(theirs, weights)
     both = x.select("kind", "value", F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(y.select("kind", "value", F.lit(0).alias("l"), F.lit(1).alias("r")))
     counts = both.groupBy("kind", "value").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where("l > 0 AND r > 0")
     counts = settle(counts.select("kind", "value", (F.col("l") * F.col("r")).alias("n")))
     x, y = _ordered(x, counts, least), _ordered(y, counts, least)
-    first = settle(_best(_meet(x.where("place = 1"), y, weights, F.lit(least)), mine, theirs, weights, least))
-    # from here on a row only meets partners that can be as good as its best so far
-    floor = x.join(first.select(F.col("a").alias("cls"), F.col("best.score").alias("floor")), "cls", "left").withColumn("floor", F.coalesce("floor", F.lit(least)))
-    again = _best(_meet(floor.where(F.col("rest") >= F.col("floor") - _SLACK), y, weights, F.col("floor")), mine, theirs, weights, least)
-    best = settle(first.unionAll(again).groupBy("a").agg(F.max("best").alias("best")))
-    found = settle(own.select("id", "cls").join(best, F.col("cls") == F.col("a")).select(F.col("id").alias("a"), (-F.col("best.minus")).alias("b"), F.col("best.score").alias("score")))
-    drop(own, other, mine, theirs, counts, x, y, first, best)
-    return found
+    found = []
+    for score in _scores(least, sum(weights.values())):
+        found.append(settle(_best(_meet(x, y, weights, score), mine, theirs, weights, score)))
+        if score > least:
+            done, x = x, settle(x.join(found[-1].select(F.col("a").alias("id")), "id", "left_anti"))
+            drop(done)
+    best = reduce(DataFrame.unionAll, found).join(mine.select(F.col("id").alias("a"), "cls"), "a").select("cls", "best")
+    out = settle(own.select("id", "cls").join(best, "cls").select(F.col("id").alias("a"), (-F.col("best.minus")).alias("b"), F.col("best.score").alias("score")))
+    drop(own, other, mine, theirs, counts, x, y, *found)
+    return out

@@ -310,19 +310,24 @@ def think_strip(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.trim(T.strip_thinking(wrapped)).alias("answer"))
 
 
-@query(f"WITH {V.ARTICLES} SELECT seq, title, trim(split_part(snippet, '[', 1), ' ' || chr(10) || chr(9) || chr(13)) AS summary FROM articles WHERE snippet NOT LIKE '%(%' AND title NOT LIKE '%(%' AND title NOT LIKE '%[%'")
+_SPACES = "' ' || chr(10) || chr(9) || chr(13)"
+
+
+@query(f"WITH {V.ARTICLES} SELECT seq, trim(translate(title, '()[]', ''), {_SPACES}) AS title, trim(translate(snippet, '()[]', ''), {_SPACES}) AS summary FROM articles")
 def tagged_sections(spark, d):
+    """Two sections of an answer for each article, whose own brackets are taken out first."""
     tags = ["ЗАГОЛОВОК", "СУТЬ", "ПОЧЕМУ ВАЖНО"]
-    head = F.split("snippet", r"\[")[0]
-    answer = F.concat(F.lit("So: [заголовок] (до 80 символов) "), "title", F.lit("\n[Суть]\n"), head, F.lit("\n[ПОЧЕМУ ВАЖНО] x"))
-    rows = V.articles(spark, d).where("NOT contains(snippet, '(') AND NOT contains(title, '(') AND NOT contains(title, '[')")
-    return rows.select("seq", T.tagged_section(answer, tags[0], tags).alias("title"), T.tagged_section(answer, tags[1], tags).alias("summary"))
+    bare = lambda c: F.translate(c, "()[]", "")
+    answer = F.concat(F.lit("So: [заголовок] (до 80 символов) "), bare("title"), F.lit("\n[Суть]\n"), bare("snippet"), F.lit("\n[ПОЧЕМУ ВАЖНО] x"))
+    return V.articles(spark, d).select("seq", T.tagged_section(answer, tags[0], tags).alias("title"), T.tagged_section(answer, tags[1], tags).alias("summary"))
 
 
-@query("""SELECT v, array_to_string(CASE v WHEN 0 THEN [0, 2] WHEN 1 THEN [0, 1, 2] WHEN 2 THEN CAST([] AS INTEGER[]) WHEN 3 THEN [1] END, ',') AS keep FROM (SELECT range AS v FROM range(4))""")
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '0,2' WHEN 1 THEN '0,1,2' WHEN 2 THEN '' ELSE CAST(o_orderkey % 3 AS VARCHAR) END AS keep FROM orders")
 def keep_answers(spark, d):
-    rows = spark.createDataFrame([(0, 'Sure: ```json\n{"keep": [0, 2, 9]}\n```'), (1, "no idea"), (2, '{"keep": []}'), (3, 'x {"keep": [1]} y')], "v long, answer string")
-    return rows.select("v", F.array_join(T.keep_indices(F.col("answer"), F.lit(3)), ",").alias("keep"))
+    """Answers in a fence, without any JSON, with an empty list, and with text around the list."""
+    key = F.col("o_orderkey")
+    answer = F.when(key % 4 == 0, 'Sure: ```json\n{"keep": [0, 2, 9]}\n```').when(key % 4 == 1, F.concat(F.lit("no idea about "), key)).when(key % 4 == 2, '{"keep": []}').otherwise(F.concat(F.lit('x {"keep": ['), key % 3, F.lit("]} y")))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(T.keep_indices(answer, F.lit(3)), ",").alias("keep"))
 
 
 def entity_ctes(source: str, key: str, text: str) -> str:
@@ -398,11 +403,16 @@ def log_filter(spark, d):
     return filters.log_lines(table(spark, d, "conversations"), ["ERROR", "the"], "text").select("conv_id", "turn")
 
 
-@query("""SELECT * FROM (VALUES ('rss', '', 'value is missing', 'rss:'), ('rss', 'ftp://x', 'url must start with http', 'rss:ftp://x'), ('reddit', 'r/Python', '', 'reddit:python'), ('telegram', '@News', '', 'tg:news'),
-  ('hackernews', 'many', 'min_score must be a number', 'hackernews:many'), ('fax', '1', 'unknown type', 'fax:1')) t(kind, value, errors, key)""")
+@query("""SELECT o_orderkey, ['rss', 'rss', 'reddit', 'telegram', 'hackernews', 'fax'][CAST(o_orderkey % 6 + 1 AS INTEGER)] AS kind,
+  ['value is missing', 'url must start with http', '', '', 'min_score must be a number', 'unknown type'][CAST(o_orderkey % 6 + 1 AS INTEGER)] AS errors,
+  CASE o_orderkey % 6 WHEN 0 THEN 'rss:' WHEN 1 THEN concat('rss:ftp://x', o_orderkey) WHEN 2 THEN concat('reddit:python', o_orderkey) WHEN 3 THEN concat('tg:news', o_orderkey) WHEN 4 THEN concat('hackernews:many', o_orderkey) ELSE concat('fax:', o_orderkey) END AS key FROM orders""")
 def source_settings(spark, d):
-    rows = spark.createDataFrame([("rss", ""), ("rss", "ftp://x"), ("reddit", "r/Python"), ("telegram", "@News"), ("hackernews", "many"), ("fax", "1")], "kind string, value string")
-    return rows.select("kind", "value", F.array_join(filters.config_errors(F.col("kind"), F.col("value")), "; ").alias("errors"), filters.source_key(F.col("kind"), F.col("value")).alias("key"))
+    """A setting for each order, of six kinds, with its faults and its key."""
+    key, k = F.col("o_orderkey"), (F.col("o_orderkey") % 6 + 1).cast("int")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), k)
+    kind, value = pick("rss", "rss", "reddit", "telegram", "hackernews", "fax"), F.when(k == 1, "").otherwise(F.concat(pick("", "ftp://x", "r/Python", "@News", "many", ""), key))
+    rows = table(spark, d, "orders").select("o_orderkey", kind.alias("kind"), value.alias("value"))
+    return rows.select("o_orderkey", "kind", F.array_join(filters.config_errors(F.col("kind"), F.col("value")), "; ").alias("errors"), filters.source_key(F.col("kind"), F.col("value")).alias("key"))
 
 
 @query(f"WITH {V.ARTICLES} SELECT seq FROM (SELECT seq, (row_number() OVER (PARTITION BY category ORDER BY seq) - 1) % 10 AS i FROM articles) WHERE i IN (0, 2, 5)")
@@ -1164,11 +1174,14 @@ def callbacks(spark, d):
     return table(spark, d, "orders").select("o_orderkey", got["digest_id"].alias("digest_id"), got["article_idx"].alias("article_idx"), got["action"].alias("action"))
 
 
-@query("SELECT * FROM (VALUES ('menu:a:b', 'a', 'b', '', ''), ('menu:a:b:c:d:e', 'a', 'b', 'c', 'd:e'), ('menu:a', NULL, NULL, NULL, NULL), ('fb:1:2:up', NULL, NULL, NULL, NULL)) t(data, screen, action, value, extra)")
+@query("""SELECT o_orderkey, CASE WHEN k < 2 THEN concat('a', o_orderkey) END AS screen, CASE WHEN k < 2 THEN 'b' END AS action, CASE k WHEN 0 THEN '' WHEN 1 THEN 'c' END AS value, CASE k WHEN 0 THEN '' WHEN 1 THEN 'd:e' END AS extra
+  FROM (SELECT o_orderkey, o_orderkey % 4 AS k FROM orders)""")
 def menu_callbacks(spark, d):
-    rows = spark.createDataFrame([("menu:a:b",), ("menu:a:b:c:d:e",), ("menu:a",), ("fb:1:2:up",)], "data string")
-    got = T.menu_callback(F.col("data"))
-    return rows.select("data", *(got[k].alias(k) for k in ("screen", "action", "value", "extra")))
+    """Menu presses of two lengths, one that is too short, and one that is no menu's."""
+    key, k = F.col("o_orderkey"), F.col("o_orderkey") % 4
+    data = F.when(k == 0, F.concat(F.lit("menu:a"), key, F.lit(":b"))).when(k == 1, F.concat(F.lit("menu:a"), key, F.lit(":b:c:d:e"))).when(k == 2, F.concat(F.lit("menu:a"), key)).otherwise(F.concat(F.lit("fb:"), key, F.lit(":2:up")))
+    got = T.menu_callback(data)
+    return table(spark, d, "orders").select("o_orderkey", *(got[c].alias(c) for c in ("screen", "action", "value", "extra")))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN list_extract(['mon', 'tue', 'wed', 'thu', 'fri', 'sat', 'sun'], CAST(o_orderkey % 7 + 1 AS INTEGER)) END AS day, CASE WHEN o_orderkey % 30 < 24 THEN CAST(o_orderkey % 30 AS INTEGER) END AS hour, CASE WHEN o_orderkey % 30 < 24 THEN CAST(o_orderkey % 60 AS INTEGER) END AS minute, o_orderkey % 30 < 24 AS valid FROM orders")

@@ -314,8 +314,15 @@ def test_feeds_of_video_channels_and_validation(spark):
     assert [(r["title"], r["url"], r["snippet"], r["source"]) for r in got] == [("V", "https://v/1", "D x", "youtube:CHANNEL1")]
     dated = feeds.parse_feed(spark.createDataFrame([("c", "https://www.A.com/f", "<rss><channel><item><title>T</title><link>l</link><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate></item></channel></rss>")], "category string, url string, body string")).first()
     assert dated["source"] == "rss:a.com" and str(dated["published_at"]) == "2024-01-02 10:00:00" and dated["snippet"] == "" and dated["image_url"] is None
-    pages = spark.createDataFrame([("rss", "<item ><item>", "2024-01-01"), ("rss", "", None), ("telegram", "tgme_widget_message_text", None), ("hackernews", "", None), ("rss", "<entry>", "2023-01-01")], "type string, body string, newest string")
-    assert [(r["items"], r["ok"]) for r in feeds.validate_pages(pages, "2024-02-01").collect()] == [(2, True), (0, False), (1, True), (0, True), (1, False)]
+    cases = [  # type, body, newest, then items and ok by the rule of the type
+        ("rss", "<item ><item>", "2024-01-01 00:00:00", 2, True), ("rss", "", None, 0, False), ("rss", "<entry>", None, 1, True), ("rss", "<entry>", "2023-01-01 00:00:00", 1, False),
+        ("rss", "<entry>", "2023-12-03 00:00:01", 1, True), ("rss", "<entry>", "2023-12-03 00:00:00", 1, False),  # under 60 days to the second
+        ("telegram", '<div class="tgme_widget_message"><div class="tgme_widget_message_text">', None, 2, True), ("telegram", "<html>", None, 0, False), ("telegram", None, None, 0, False),
+        ("reddit", '{"kind": "t5", "data": {}}', None, 1, True), ("reddit", '{"data": null}', None, 1, True), ("reddit", '{"error": 404}', None, 0, False), ("reddit", '["data"]', None, 0, False), ("reddit", "<item>", None, 0, False),
+        ("youtube", "<feed></feed>", None, 1, True), ("youtube", None, None, 0, False), ("hackernews", None, None, 1, True), ("fax", "x", None, 0, False),
+    ]
+    pages = spark.createDataFrame([c[:3] for c in cases], "type string, body string, newest string").withColumn("newest", F.col("newest").cast("timestamp")).coalesce(1)
+    assert [(r["items"], r["ok"]) for r in feeds.validate_pages(pages, "2024-02-01").collect()] == [c[3:] for c in cases]
 
 
 def test_stream_first_seen_forgets_and_keeps(spark, tmp_path):

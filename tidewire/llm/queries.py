@@ -156,6 +156,22 @@ SELECT doc_id, k AS n_shingles, root AS component_id FROM size JOIN walk ON doc_
 """
 
 
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93::DOUBLE
+), walk(node, root) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT l.b, w.root FROM walk w JOIN links l ON w.node = l.a
+), least AS (SELECT node, min(root) AS root FROM walk GROUP BY node), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, root AS component_id, root = v.vec_id AS kept FROM v JOIN least ON node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
 def _codes_sql(rounds: int = 6) -> str:
     """Lloyd's rounds without any bound; a distance and its entry are one number, so the least has the lower entry."""
     steps = ["""
@@ -205,6 +221,7 @@ ORACLES = {
     "op2_line_dedup": LINE_SQL,
     "op5_substring_dedup": REPEATS_SQL,
     "op7_exact_top_k": TOP_SQL,
+    "op9_embedding_near_dedup": VECTOR_SQL,
     "op10_ngram_jaccard": JACCARD_SQL,
     "op11_vector_codes": _codes_sql(),
     "op12_point_in_time": FEATURES_SQL,

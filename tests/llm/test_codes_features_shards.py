@@ -150,6 +150,19 @@ def test_features_of_empty_tables(spark):
     assert [r["status"] for r in feature_join.features(d.limit(0), asked).collect()] == ["none", "none"]
 
 
+def test_features_over_many_tasks(spark):
+    """Versions and asks of a cell come to one task, however many tasks there are."""
+    documents = [(k, "hot" if k % 3 else "b", k, "en") for k in range(3000)]
+    d = spark.createDataFrame([(*r[:2], None, *r[2:]) for r in documents], "doc_id long, source string, text string, n_chars long, lang string")
+    asked = spark.createDataFrame([(x,) for x in range(0, 3000, 5)], "doc_id long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = feature_join.features(d, asked).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert _plain(got) == _plain(joined(documents, range(0, 3000, 5)))
+
+
 def test_long_lived_versions(spark):
     """Versions of any length go to a level with few copies; answers stay those of a plain search."""
     rng = random.Random(9)

@@ -152,11 +152,13 @@ def latest_versions(versions: DataFrame, asks: DataFrame, chunk: int = CHUNK, re
     nv = spread.groupBy(*cell).agg(F.count(F.lit(1)).alias("nv"))
     na = mine.groupBy(*cell).agg(F.count(F.lit(1)).alias("na"))
     grid = settle(nv.join(na, cell).select(*cell, _copies(F.col("nv"), block).alias("rows"), _copies(F.col("na"), block).alias("cols")))
-    # chunks without asks or without versions meet nobody and end here
+    # chunks without asks or without versions meet nobody and end here; both sides' row and col are ints, as
+    # Spark deals an int and a long of the same value out to different tasks
+    place = lambda n: F.pmod("salt", n).cast("int")
     left = spread.join(grid, cell).select(
-        *cell, F.pmod("salt", "rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), "version_id", "event", "arrival", "expiry", "n_chars", "lang"
+        *cell, place("rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), "version_id", "event", "arrival", "expiry", "n_chars", "lang"
     )
-    right = mine.join(grid, cell).select(*cell, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod("salt", "cols").alias("col"), "ask_id", "t")
+    right = mine.join(grid, cell).select(*cell, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), place("cols").alias("col"), "ask_id", "t")
     group = [*cell, "row", "col"]
     found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_answer, ANSWER)
     # structs compare field by field, nulls first; the earliest arrival is the largest of its negatives

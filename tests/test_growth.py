@@ -1,12 +1,16 @@
 """What keeps the work of a query in proportion to its input, with results against plain versions."""
 
 import hashlib
+import random
 import time
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
-from tidewire.operators import dedup
+from tidewire.operators import cluster, dedup, rank
+from tidewire.operators.components import connected_components
 
 
 def _simhash(text):
@@ -37,3 +41,47 @@ def test_simhash_pairs_broadcast_nothing(spark):
     want = {(first[h], k, 0) for k, h in hashes.items() if first[h] != k}
     want |= {(x, y, bits(g, h)) for g, x in first.items() for h, y in first.items() if x < y and bits(g, h) < 4}
     assert {(r["a"], r["b"], r["bits"]) for r in pairs.collect()} == want
+
+
+@pytest.mark.parametrize("jaccard, shared, hours", [(0.2, 2, 24), (0.34, 3, 5), (0.0, 2, 24), (0.5, 1, 24)])
+def test_event_edges_connect_as_all_pairs(spark, jaccard, shared, hours):
+    rng = random.Random(shared)
+    words = [f"word{c}" for c in "abcdefghijklmnop"]
+    rows = [(k, rng.choice(["x", "y", None]), " ".join(rng.sample(words, rng.randrange(1, 7))).replace("word", "wor"), rng.choice([None] + [rng.randrange(900)] * 15)) for k in range(150)]
+    a = spark.createDataFrame(rows, "seq long, category string, title string, h int")
+    a = a.withColumn("published_at", F.expr("timestampadd(HOUR, h, TIMESTAMP_NTZ'2024-01-01 00:00:00')"))
+    of = lambda edges: {(r["node"], r["component"]) for r in connected_components(edges, "a", "b").collect()}
+    got, want = of(cluster.event_edges(a, jaccard, shared, hours)), of(cluster.token_edges(a, jaccard, shared, hours))
+    assert got == want and len(got) > 15
+
+
+def test_event_edges_are_few(spark):
+    """Very many articles of one moment and one title: an edge or two each for every pair of keywords."""
+    a = spark.range(3000).select(F.col("id").alias("seq"), F.lit("x").alias("category"), F.lit("some words here").alias("title"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("published_at"))
+    assert cluster.event_edges(a).count() < 10 * 3000
+
+
+def test_diverse_top_ends_with_the_choice(spark):
+    """Rows that all resemble each other make no pairs; what is decided is the greedy choice, and skipped rows fill up."""
+    rows = [("same", k, "alpha beta gamma") for k in range(1, 2001)] + [("mixed", k, f"alpha {'abcdefghij'[k % 10] * 5}") for k in range(1, 41)]
+    got = rank.diverse_top(spark.createDataFrame(rows, "section string, rank int, text string"), 4).collect()
+    of = lambda s: [(r["place"], r["rank"], r["diverse"]) for r in sorted(got, key=lambda r: r["place"]) if r["section"] == s]
+    assert of("same") == [(1, 1, True), (2, 2, False), (3, 3, False), (4, 4, False)]
+    assert of("mixed") == [(k, k, True) for k in range(1, 5)]
+
+
+@pytest.mark.parametrize("name, batches", [("story_book", 3), ("story_state", 4)])
+def test_stories_come_in_files_of_many_tasks(spark, name, batches):
+    """Each digest is one micro-batch of all its files, which no single task has to write or read."""
+    from tidewire.plans import registry
+    from tidewire.runtime import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before, kept = set(shared.glob("stor*")), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    (folder,) = set(shared.glob("stor*")) - before
+    assert len(list((folder / "cards").glob("*.parquet"))) > batches

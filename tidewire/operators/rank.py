@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import fixed
 from tidewire.functions import text as T
-from tidewire.operators.dedup import greedy_keep
-from tidewire.operators.overlap import similar_within
 from tidewire.runtime import settle
 
 
@@ -80,22 +78,32 @@ def top_per(events: DataFrame, k: int, part: str = "section", score: str = "fina
 def diverse_top(events: DataFrame, k: int, alike: float = 0.40, part: str = "section", text: str = "text") -> DataFrame:
     """Greedy choice by rank that skips what resembles a chosen one, filled up from the skipped.
 
-    Which rows a pass keeps doesn't depend on where it stops, so all rows are decided by
-    greedy_keep and the first k kept are the choice; skipped rows before the last chosen one
-    fill up in rank order.
+    A round chooses the first row of each part that resembles none of the chosen ones, so there are k rounds at most, each
+    reads the rows once and only compares them with the few chosen ones. Where rounds end before k rows are chosen, all
+    others are skipped ones and fill up in rank order.
     """
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[а-яёa-z]{4,}"), 0))
-    # section and rank together number a row, so no task ever sees all rows
-    rows = settle(events.withColumn("_tok", tokens).withColumn("_id", F.struct(F.col(part).alias("s"), F.col("rank").alias("r"))))
-    near = similar_within(rows.select(part, F.col("_id").alias("id"), F.col("_tok").alias("tokens")), alike, (part,))
-    marks = settle(near.select(F.explode(F.array("a", "b")).alias("id"), F.concat_ws("-", part, F.col("a.r"), F.col("b.r")).alias("key")))
-    kept = greedy_keep(marks)
-    lost = marks.select("id").distinct().join(kept, "id", "left_anti")
-    decided = rows.join(lost.withColumn("_lost", F.lit(True)), F.col("_id") == F.col("id"), "left").withColumn("_ok", F.col("_lost").isNull()).drop("id", "_lost")
-    running = F.count_if(F.col("_ok")).over(Window.partitionBy(part).orderBy("rank"))
+    rows = settle(events.withColumn("_tok", tokens))
+    open_ = rows.select(part, "rank", "_tok")
+    kept = None
+    for _ in range(k):
+        mine = open_ if kept is None else open_.alias("x").join(kept.alias("y"), F.col(f"x.{part}").eqNullSafe(F.col(f"y.{part}")) & _alike(alike), "left_anti")
+        best = settle(mine.groupBy(part).agg(F.min("rank").alias("rank"), F.min_by("_tok", "rank").alias("_tok")))
+        if not best.limit(1).count():
+            break
+        kept = best if kept is None else settle(kept.unionByName(best))
+    marks = rows.limit(0) if kept is None else kept
+    marks = marks.select(F.col(part).alias("_p"), F.col("rank").alias("_r"), F.lit(True).alias("_ok"))
+    decided = rows.join(marks, F.col(part).eqNullSafe(F.col("_p")) & (F.col("rank") == F.col("_r")), "left").withColumn("_ok", F.coalesce("_ok", F.lit(False)))
     order = Window.partitionBy(part).orderBy(F.when(F.col("_ok"), 0).otherwise(1), "rank")
-    chosen = decided.withColumn("_n", running).where((F.col("_n") <= k)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    return chosen.drop("_tok", "_id", "_n").withColumnRenamed("_ok", "diverse")
+    chosen = decided.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return chosen.select(*events.columns, F.col("_ok").alias("diverse"), "place")
+
+
+def _alike(least: float) -> Column:
+    """Whether the tokens of x and y are as similar as that, or are the same row's."""
+    shared = F.size(F.array_intersect("x._tok", "y._tok"))
+    return (F.col("x.rank") == F.col("y.rank")) | ((shared > 0) & (shared >= least * (F.size("x._tok") + F.size("y._tok") - shared)))
 
 
 def boosted(events: DataFrame, boosts: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def _with_entities(events: DataFrame) -> DataFrame:
 
 def events_of(articles: DataFrame) -> DataFrame:
     """Events of deduplicated articles, with entities and article arrays in order."""
-    grouped = settle(cluster.with_component(articles, cluster.token_edges(articles)))
+    grouped = settle(cluster.with_component(articles, cluster.event_edges(articles)))
     return _with_entities(cluster.event_summary(grouped).join(_arrays(grouped, "event_id"), "event_id"))
 
 
@@ -64,7 +64,7 @@ def digest(
     last 3 is left out.
     """
     kept = settle(dedup.batch_dedup(articles))
-    grouped = settle(cluster.with_component(kept, cluster.token_edges(kept)))
+    grouped = settle(cluster.with_component(kept, cluster.event_edges(kept)))
     events = settle(_with_entities(cluster.event_summary(grouped).join(_arrays(grouped, "event_id"), "event_id")))
     wanted = filters.drop_blacklisted(events, F.concat_ws(" ", "canonical_title", F.array_join("snippets", " ")), blacklist)
     merged, members = merged_events(settle(wanted), grouped)

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
-from tidewire.operators import cluster, dedup, rank
+from tidewire.operators import cluster, dedup, history, overlap, rank
 from tidewire.operators.components import connected_components
+from tidewire.runtime import settle
 
 
 def _simhash(text):
@@ -85,3 +86,24 @@ def test_stories_come_in_files_of_many_tasks(spark, name, batches):
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
     (folder,) = set(shared.glob("stor*")) - before
     assert len(list((folder / "cards").glob("*.parquet"))) > batches
+
+
+def test_copies_of_titles_meet_last(spark):
+    """Rows of equal titles meet in the last join, and a filter by similar titles never pairs them."""
+    rows = lambda n, t: spark.range(n).select("id", F.lit(t).alias("t"), F.col("id").alias("day"))
+    now, past = rows(300, "some title of the day"), rows(200, "some title of the days")
+    pairs = history.similar_titles(now, past.withColumnRenamed("id", "past"), "id", "t", "past", "t", more=("day",))
+    assert pairs.where("past = day").count() == pairs.count() == 60_000
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2
+    assert history.new_only(now, past.withColumnRenamed("id", "past"), "id", "t", "past", "t").count() == 0
+
+
+def test_candidates_are_filtered_before_they_are_shuffled(spark):
+    """Sets of common tokens meet very often, but hardly any pair is passed on to be told apart and checked."""
+    rng = random.Random(5)
+    sets = {k: sorted(rng.sample(range(120), 40)) for k in range(250)} | {900: list(range(40)), 901: list(range(2, 42))}
+    df = settle(spark.createDataFrame([(k, [f"t{x}" for x in v]) for k, v in sets.items()], "id long, tokens array<string>"))
+    got = overlap.similar_within(df, 0.7)
+    assert {(r["a"], r["b"]) for r in got.collect()} == {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.7}
+    assert "bit_count" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -564,3 +564,25 @@ def test_vector_recall_near_the_threshold(spark):
         m = np.array([data[k][1] for k in ids])
         all_ = int((m @ m.T / np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(m, axis=1)) >= 0.93).sum()) - len(ids)
         assert all_ >= 800 and 0.98 * all_ <= sum(got[k] for k in ids) <= all_
+
+
+def test_rejection_counts_every_row(spark):
+    """Shares and trigrams come from the whole texts of all labelled rows, also of those beyond 700 and behind the first characters."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    data = [(k, " ".join(word() for _ in range(rng.choice([1, 3, 120]))) + (" qqq" if k % 20 == 0 else ""), "aa", "s", 1, None, None) for k in range(6000)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    got = language_id.with_rejection(language_id.fit(df, per_language=40), df)
+    held = {r["doc_id"] for r in df.where(language_id.held_out(F.col("doc_id"))).collect()}
+    counts, rows = np.zeros(language_id.BINS, int), 0
+    for k, text, *_ in data:
+        if k not in held:
+            bins, good = language_id.trigrams(np.frombuffer(text.encode(), np.uint8))
+            counts[np.unique(bins[good])] += 1
+            rows += 1
+    seen = (counts > 0) & (counts * 700 >= rows)
+    assert (got.seen == seen).all() and 0 < seen.sum() < (counts > 0).sum() + 1
+    bins, good = language_id.trigrams(np.frombuffer(b"qqq", np.uint8))
+    assert seen[bins[good]].all()
+    shares = sorted(int(language_id.seen_share(seen, np.frombuffer(text.encode(), np.uint8)) * language_id.STEPS) for k, text, *_ in data if k in held)
+    assert len(shares) > 1000 and got.least[0] == max(s for s in shares if 100 * sum(x < s for x in shares) <= len(shares)) / language_id.STEPS / 2

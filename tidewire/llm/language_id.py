@@ -8,8 +8,8 @@ id gives; every labelled language is learned) and applied to every window of eve
 batches; the scores of a text's windows are averaged by their length.
 
 The softmax shares all of a text among the learned languages, however strange it is, so rejecting
-has a score of its own: the share of the text's letter trigrams that the training sample of a
-language holds. `with_rejection` learns the least share of each language on held-out rows.
+has a score of its own: the share of the text's letter trigrams that a language has. `with_rejection` counts
+these trigrams over the whole texts of all training rows, and learns the least share of each language on all held-out rows.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; without any labelled
 row every text is `und` with score 0; ties go to the language that sorts first; repeated rows are
@@ -19,17 +19,18 @@ in a row, and a language without held-out rows, give no ground for rejecting.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from tidewire.llm.shingles import releasing, slices, small_batches
-from tidewire.runtime import settle, unused
+from tidewire.runtime import drop, settle, unused
 
 WINDOW = 192
 WIDTHS = (2, 3, 4, 5)
@@ -39,6 +40,7 @@ SPAN = max(WIDTHS)
 PIECE = 2 * WINDOW  # characters of each sampled row
 LEAST_ROWS = 30  # of a language with that many, so that the sample does not miss it
 BINS = 1 << 16  # hashed letter trigrams
+STEPS = 10_000  # in which shares of trigrams are counted
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,7 +58,7 @@ class Model:
     bias: np.ndarray
     out: np.ndarray  # filters x languages
     out_bias: np.ndarray
-    seen: np.ndarray | None = None  # languages x BINS, the trigrams of the training sample
+    seen: np.ndarray | None = None  # languages x BINS, the trigrams of the training rows
     least: np.ndarray | None = None  # per language, the least share of seen trigrams
 
 
@@ -243,13 +245,10 @@ def fit(documents: DataFrame, per_language: int = 700, many: int = 200, seed: in
     place = {lang: k for k, lang in enumerate(languages)}
     rng = np.random.default_rng(seed)
     windows, labels = [], []
-    seen = np.zeros((len(languages), BINS), bool)
     for lang, piece in zip(rows["lang"], rows["piece"]):
         raw = piece.encode("utf-8")
         if not raw.strip():
             continue
-        bins, good = trigrams(np.frombuffer(raw, np.uint8))
-        seen[place[lang], bins[good]] = True
         cut = int(rng.integers(8, WINDOW))
         for part in (raw[:WINDOW], raw[WINDOW : 2 * WINDOW], raw[:cut]):
             if len(part) >= 4 or part is raw:
@@ -257,27 +256,79 @@ def fit(documents: DataFrame, per_language: int = 700, many: int = 200, seed: in
                 labels.append(place[lang])
     if not windows:
         return None
-    return replace(train(np.array(windows), np.array(labels), languages, seed=seed), seen=seen)
+    return train(np.array(windows), np.array(labels), languages, seed=seed)
 
 
-def with_rejection(model: Model | None, documents: DataFrame, per_language: int = 700, seed: int = 7) -> Model | None:
-    """model with the least share of seen trigrams of each language: half of what 99 % of its held-out rows reach.
+def _per_text(rows: DataFrame, languages: list[str], schema: str, each: Callable[[Iterator[tuple[int, np.ndarray]]], Iterator[tuple[np.ndarray, ...]]]) -> DataFrame:
+    """What `each` makes of the (number of the language, bytes) of all texts of a task that have one of the languages."""
+    place = {lang: k for k, lang in enumerate(languages)}
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    Like the training sample, the rows are bounded to about per_language of each language.
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def texts() -> Iterator[tuple[int, np.ndarray]]:
+            for part in (part for batch in batches for part in slices(batch, column="text")):
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary())):
+                    if lang in place:
+                        yield place[lang], np.frombuffer(text.as_buffer(), np.uint8)
+
+        for found in each(texts()):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names)
+
+    return small_batches(rows.select("lang", "text")).mapInArrow(run, schema)
+
+
+def trigrams_of(documents: DataFrame, languages: list[str], one_in: int = 700) -> np.ndarray:
+    """languages x BINS: the letter trigrams that at least one in `one_in` of all training rows of a language has."""
+
+    def each(texts: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+        counts: dict[int, np.ndarray] = {}  # the last place counts the rows
+        mark = np.zeros(BINS + 1, bool)
+        for k, raw in texts:
+            bins, good = trigrams(raw)
+            mark[bins[good]] = mark[BINS] = True
+            there = np.flatnonzero(mark)
+            counts.setdefault(k, np.zeros(BINS + 1, np.int64))[there] += 1
+            mark[there] = False
+        for k, n in counts.items():
+            there = np.flatnonzero(n)
+            yield np.full(len(there), k, np.int32), there.astype(np.int32), n[there]
+
+    rows = _labelled(documents).where(~held_out(F.col("doc_id")))
+    total = settle(_per_text(rows, languages, "place int, bin int, n long", each).groupBy("place", "bin").agg(F.sum("n").alias("n")))
+    size = total.where(F.col("bin") == BINS).select("place", F.col("n").alias("rows"))
+    often = total.where(F.col("bin") < BINS).join(F.broadcast(size), "place").where(F.col("n") * one_in >= F.col("rows")).select("place", "bin").toPandas()
+    drop(total)
+    seen = np.zeros((len(languages), BINS), bool)
+    seen[often["place"].to_numpy(int), often["bin"].to_numpy(int)] = True
+    return seen
+
+
+def with_rejection(model: Model | None, documents: DataFrame) -> Model | None:
+    """model with the trigrams of each language, and half of the share of them that 99 % of its held-out rows reach.
+
+    All labelled rows count with their whole texts. Shares are counted in steps of 1 / STEPS, so a language has no more
+    counts than that, however many rows; the driver gets one row of each language.
     """
     if model is None:
         return None
-    known = _labelled(documents).where(held_out(F.col("doc_id")))
-    share = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("_share"))
-    draw = _draw(seed)
-    rows = known.join(F.broadcast(share), "lang").where(draw < F.col("_share")).select("lang", _piece(draw).alias("piece")).toPandas()
-    place = {lang: k for k, lang in enumerate(model.languages)}
-    least = np.zeros(len(place))
-    for lang, pieces in rows.groupby("lang")["piece"]:
-        if lang in place:
-            shares = [seen_share(model.seen[place[lang]], np.frombuffer(p.encode("utf-8"), np.uint8)) for p in pieces]
-            least[place[lang]] = np.quantile(shares, 0.01) / 2
-    return replace(model, least=least)
+    seen = trigrams_of(documents, model.languages)
+    known = documents.sparkSession.sparkContext.broadcast(seen)
+
+    def each(texts: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+        counts = Counter((k, int(seen_share(known.value[k], raw) * STEPS)) for k, raw in texts)
+        if counts:
+            yield *np.array(list(counts), np.int32).T, np.array(list(counts.values()), np.int64)
+
+    rows = _labelled(documents).where(held_out(F.col("doc_id")))
+    steps = _per_text(rows, model.languages, "place int, step int, n long", each).groupBy("place", "step").agg(F.sum("n").alias("n"))
+    mine = Window.partitionBy("place")
+    below = F.coalesce(F.sum("n").over(mine.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = steps.withColumns({"below": below, "rows": F.sum("n").over(mine)}).where(F.col("below") * 100 <= F.col("rows"))
+    least = np.zeros(len(model.languages))
+    for r in reached.groupBy("place").agg(F.max("step").alias("step")).collect():  # one row of each language
+        least[r["place"]] = r["step"] / STEPS / 2
+    return replace(model, seen=seen, least=least)
 
 
 def _predicted(m: Model | None, text: pa.Array, letters: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:

@@ -179,3 +179,18 @@ def test_token_pairs_are_not_shuffled(spark):
                 want[p, q] = n
     got = [((r["a"], r["b"]), r["shared"]) for r in edges.collect()]
     assert len(got) == len(want) > 500 and dict(got) == want
+
+
+def test_story_state_reads_files_of_many_tasks(spark, monkeypatch):
+    """Each batch of story_state is one micro-batch of all its files, which no single task has to write."""
+    from tidewire.plans import registry
+    from tidewire.streaming import streams
+
+    files, once = [], streams.run_once
+    monkeypatch.setattr(streams, "run_once", lambda stream, *more: files.append(len(spark.read.parquet(more[-1].rpartition("/")[0] + "/cards").inputFiles())) or once(stream, *more))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert registry.QUERIES["story_state"](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(files) == 4 and all(b - a > 1 for a, b in zip([0, *files], files))

@@ -63,6 +63,23 @@ def test_event_edges_are_few(spark):
     assert cluster.event_edges(a).count() < 10 * 3000
 
 
+def test_events_broadcast_nothing(spark, monkeypatch):
+    """Tables of keys and edges look small to the planner; no step from articles to events sends one through the driver."""
+    from tidewire.operators import components
+    from tidewire.plans import digest
+
+    plans = []
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df)
+    for module in (cluster, components, digest):
+        monkeypatch.setattr(module, "settle", seen)
+    rows = [(k, "x", f"word{'abcdefg'[k % 7]} some{'pqrst'[k % 5]}", "", "s", "source", "a", None if k % 11 == 0 else k % 90) for k in range(200)]
+    a = spark.createDataFrame(rows, "seq long, category string, title string, snippet string, source string, role string, section string, h int")
+    events = digest.events_of(a.withColumn("published_at", F.expr("timestampadd(HOUR, h, TIMESTAMP_NTZ'2024-01-01 00:00:00')")))
+    plans.append(events._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
+    assert sum(r["n_articles"] for r in events.collect()) == 200
+
+
 def test_diverse_top_ends_with_the_choice(spark):
     """Rows that all resemble each other make no pairs; what is decided is the greedy choice, and skipped rows fill up."""
     rows = [("same", k, "alpha beta gamma") for k in range(1, 2001)] + [("mixed", k, f"alpha {'abcdefghij'[k % 10] * 5}") for k in range(1, 41)]

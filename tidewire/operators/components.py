@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Each round is two joins on the node id, so a node with very many neighbours is an ordinary
     skewed join key (partial minimum before the shuffle, AQE splits the join) and is never
-    collected into one row. Rounds grow with the logarithm of the longest path.
+    collected into one row. Rounds grow with the logarithm of the longest path. Edges are written compressed, so the planner
+    takes them for small; the joins are told not to send a side through the driver.
     """
     e = (
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
@@ -38,14 +39,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         least = least.select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         # an edge (u > v) seen from v sends u to m(v); seen from u it sends nothing larger
         large = (
-            e.join(least, e.v == least.k)
+            e.join(least.hint("merge"), e.v == least.k)
             .select(F.col("u"), F.col("m").alias("v"))
             .where("u <> v")
             .distinct()
         )
         # small star: u and its smaller neighbours go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        joined = large.join(low, large.u == low.k)
+        joined = large.join(low.hint("merge"), large.u == low.k)
         small = (
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select(F.col("k").alias("u"), F.col("m").alias("v")))

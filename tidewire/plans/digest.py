@@ -30,7 +30,7 @@ def _with_entities(events: DataFrame) -> DataFrame:
 def events_of(articles: DataFrame) -> DataFrame:
     """Events of deduplicated articles, with entities and article arrays in order."""
     grouped = settle(cluster.with_component(articles, cluster.event_edges(articles)))
-    return _with_entities(cluster.event_summary(grouped).join(_arrays(grouped, "event_id"), "event_id"))
+    return _with_entities(cluster.event_summary(grouped).join(_arrays(grouped, "event_id").hint("merge"), "event_id"))
 
 
 def merged_events(events: DataFrame, articles: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +65,7 @@ def digest(
     """
     kept = settle(dedup.batch_dedup(articles))
     grouped = settle(cluster.with_component(kept, cluster.event_edges(kept)))
-    events = settle(_with_entities(cluster.event_summary(grouped).join(_arrays(grouped, "event_id"), "event_id")))
+    events = settle(_with_entities(cluster.event_summary(grouped).join(_arrays(grouped, "event_id").hint("merge"), "event_id")))
     wanted = filters.drop_blacklisted(events, F.concat_ws(" ", "canonical_title", F.array_join("snippets", " ")), blacklist)
     merged, members = merged_events(settle(wanted), grouped)
     merged = settle(merged)

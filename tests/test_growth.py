@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import fixed
 from tidewire.functions import text as T
-from tidewire.operators import cluster, dedup, history, overlap, rank
+from tidewire.operators import cluster, dedup, discover, history, overlap, rank
 from tidewire.operators.components import connected_components
 from tidewire.runtime import settle
 
@@ -198,6 +198,35 @@ def test_token_pairs_are_not_shuffled(spark):
     assert len(got) == len(want) > 500 and dict(got) == want
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_catalogue_is_not_broadcast(spark, tmp_path, monkeypatch, few):
+    """Words go to all tasks if they are few; the catalogue looks small to the planner, but never does."""
+    monkeypatch.setattr(discover, "_FEW", few, raising=False)
+    names = [f"steel {'abcdefg'[k % 7] * 3} copper{k % 5}" for k in range(300)]
+    rows = [(k, t, f"brass {t[:8]}", ["tin", t[:5]], k % 3 == 0, ("high", "medium", "low")[k % 3]) for k, t in enumerate(names)]
+    spark.createDataFrame(rows, "id long, name string, description string, tags array<string>, recommended boolean, quality string").write.parquet(f"{tmp_path}/catalog")
+    asks = [(0, "Steel bbb steel"), (1, "copper3 tin none")]
+    got = discover.match_interests(spark.createDataFrame(asks, "interest_id long, text string"), spark.read.parquet(f"{tmp_path}/catalog"))
+    lines, sent = got._jdf.queryExecution().executedPlan().toString().splitlines(), False
+    for line in lines:
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if "BroadcastExchange" in line:
+            sent, below = True, depth
+        elif sent and depth <= below:
+            sent = False
+        assert not (sent and (few == 0 or f"{tmp_path}/catalog" in line or "Generate" in line)), line
+    assert few == 0 or any("BroadcastExchange" in line for line in lines)
+    want = []
+    for i, text in asks:
+        found = []
+        for k, name, about, tags, good, quality in rows:
+            hits = sum(3 * (w in name) + 2 * (w in about) + 2 * sum(w in t for t in tags) for w in text.lower().split())
+            if hits:
+                found.append((not good, -(hits + 5 * good + {"high": 2, "medium": 1, "low": 0}[quality]), k))
+        want += [(i, r + 1, k, -s) for r, (_, s, k) in enumerate(sorted(found)[:5])]
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 10
+
+
 def test_story_state_reads_files_of_many_tasks(spark, monkeypatch):
     """Each batch of story_state is one micro-batch of all its files, which no single task has to write."""
     from tidewire.plans import registry

@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
+from tidewire.runtime import settle, tasks
+
+_FEW = 10_000  # rows that may go through the driver
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """rows as a side of a join that is sent to all tasks if it is small, else dealt by its key; the other side never is sent."""
+    return F.broadcast(rows) if rows.limit(_FEW + 1).count() <= _FEW else rows.hint("merge")
 
 
 def match_interests(interests: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
@@ -16,21 +24,24 @@ def match_interests(interests: DataFrame, catalog: DataFrame, k: int = 5) -> Dat
     catalog: id, name, description, tags, recommended, quality. Each word of the interest counts 3
     in the name, 2 in the description, 2 in every tag; recommended counts 5, quality high 2 and
     medium 1. A word can only stand in texts that hold its first three letters, so words and entries
-    meet on those, whatever the size of the catalogue.
+    meet on those, whatever the size of the catalogue. Neither the catalogue nor its runs of letters, which the planner
+    takes for small, go through the driver; the words do if they are few.
     """
     words = interests.select("interest_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zа-я0-9]{3,}"), 0)).alias("w"))
     inside = F.contains(F.lower("name"), F.col("w")).cast("int") * 3 + F.contains(F.lower("description"), F.col("w")).cast("int") * 2
     inside = inside + F.size(F.filter("tags", lambda t: F.contains(F.lower(t), F.col("w")))) * 2
     base = F.when(F.col("recommended"), 5).otherwise(0) + F.when(F.col("quality") == "high", 2).when(F.col("quality") == "medium", 1).otherwise(0)
     # each distinct word meets the catalogue once; repeats count by their number
-    counted = words.groupBy("interest_id", "w").agg(F.count(F.lit(1)).alias("times"))
+    counted = settle(words.groupBy("interest_id", "w").agg(F.count(F.lit(1)).alias("times")))
     text = F.lower(F.concat_ws("\n", "name", "description", F.array_join("tags", "\n")))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3))))
-    starts = catalog.withColumn("g", F.explode(grams))
-    asked = counted.select("w").distinct().withColumn("g", F.substring("w", 1, 3))
-    hits = asked.join(starts, "g").where(inside > 0).select("w", "id", inside.alias("hit"))
-    scored = counted.join(hits, "w").groupBy("interest_id", "id").agg(F.sum(F.col("hit") * F.col("times")).alias("hits"))
-    full = scored.join(catalog, "id").withColumn("score", F.col("hits") + base)
+    # an entry is many runs, so the number of tasks must not go by the size of the catalogue
+    dealt = catalog.select("id", "name", "description", "tags").repartition(tasks(catalog.sparkSession), "id")
+    starts = dealt.withColumn("g", F.explode(grams))
+    asked = settle(counted.select("w").distinct().withColumn("g", F.substring("w", 1, 3)))
+    hits = starts.join(_held(asked), "g").where(inside > 0).select("w", "id", inside.alias("hit"))
+    scored = hits.join(_held(counted), "w").groupBy("interest_id", "id").agg(F.sum(F.col("hit") * F.col("times")).alias("hits"))
+    full = scored.join(catalog.select("id", "recommended", base.alias("base")).hint("merge"), "id").withColumn("score", F.col("hits") + F.col("base"))
     w = Window.partitionBy("interest_id").orderBy(F.desc("recommended"), F.desc("score"), "id")
     return full.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("interest_id", "rank", "id", "score")
 

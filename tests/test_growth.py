@@ -242,6 +242,22 @@ def test_one_common_value_brings_few_candidates(spark, monkeypatch):
     assert sum(met) < 300 * 300 / 4
 
 
+def test_sets_are_marked_once_and_stay_off_the_driver(spark):
+    """A title is normalised once and not for each run, marks are made for a set and not for each token, and no side is broadcast."""
+    title = F.concat(F.lit("Alpha Beta and "), F.col("t"))
+    grams = spark.createDataFrame([("x",), (None,)], "t string").select(T.trigrams(title).alias("g"))
+    assert grams._jdf.queryExecution().analyzed().toString().count("Alpha Beta and") == 1
+    assert [len(r["g"]) for r in grams.collect()] == [14, 0]
+    sets = settle(spark.createDataFrame([(k, [f"t{(k + j) % 90}" for j in range(20)]) for k in range(100)], "id long, tokens array<string>"))
+    pairs = overlap.similar_between(sets, sets, 0.7)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    lines = pairs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [b for a, b in zip(lines[1:], lines) if "Generate explode" in a and "xxhash64" in b]
+    alike = lambda a, b: len({(a + j) % 90 for j in range(20)} & {(b + j) % 90 for j in range(20)})
+    want = {(a, b) for a in range(100) for b in range(100) if alike(a, b) >= 0.7 * (40 - alike(a, b))}
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want
+
+
 def test_story_state_reads_files_of_many_tasks(spark, monkeypatch):
     """Each batch of story_state is one micro-batch of all its files, which no single task has to write."""
     from tidewire.plans import registry

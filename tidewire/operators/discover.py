@@ -34,10 +34,9 @@ def match_interests(interests: DataFrame, catalog: DataFrame, k: int = 5) -> Dat
     # each distinct word meets the catalogue once; repeats count by their number
     counted = settle(words.groupBy("interest_id", "w").agg(F.count(F.lit(1)).alias("times")))
     text = F.lower(F.concat_ws("\n", "name", "description", F.array_join("tags", "\n")))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3))))
     # an entry is many runs, so the number of tasks must not go by the size of the catalogue
     dealt = catalog.select("id", "name", "description", "tags").repartition(tasks(catalog.sparkSession), "id")
-    starts = dealt.withColumn("g", F.explode(grams))
+    starts = dealt.withColumn("g", F.explode(T.runs(text)))
     asked = settle(counted.select("w").distinct().withColumn("g", F.substring("w", 1, 3)))
     hits = starts.join(_held(asked), "g").where(inside > 0).select("w", "id", inside.alias("hit"))
     scored = hits.join(_held(counted), "w").groupBy("interest_id", "id").agg(F.sum(F.col("hit") * F.col("times")).alias("hits"))
